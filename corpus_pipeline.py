@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattix.llm.bpe import bpe_round_trip
 from lattix.llm.common import cut, table
+from lattix.llm.decontaminate import find_leaks
+from lattix.llm.jaccard_join import jaccard_components
 from lattix.llm.queries import tokenizer_path
+from lattix.llm.suffix_dedup import dedup_substrings
 from lattix.llm.toxicity import score_texts, train, training_rows
 
 #: A trained classifier and suffix arrays cannot be put in SQL.
@@ -19,11 +22,29 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_texts(docs, model).where(F.col("_toxicity") < 0.5).drop("_toxicity")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose five-word shingle sets reach a similarity of 0.8, directly or over others, the smallest id stays. Rows without an id stay where no document with an id is near."""
+    kept = jaccard_components(docs, width=5, percent=80).where("doc_id <=> component_id").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that repeated 200-byte strings cover."""
+    out = dedup_substrings(docs, texts=True).withColumn("row", F.col("row").withField("text", F.col("kept")).withField("n_chars", F.char_length("kept").cast("long")))
+    return out.select("row.*").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("toxicity", toxicity), ("bpe", encode)]
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontaminate", decontaminate), ("bpe", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

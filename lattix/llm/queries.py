@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_round_trip
 from .common import table
+from .decontaminate import find_leaks
+from .fingerprints import fingerprint_edits
+from .jaccard_join import jaccard_components
 from .licenses import BASE_PHRASES, NOTICES, scan_licenses
+from .suffix_dedup import dedup_substrings
+from .token_files import token_files_round_trip
 from .toxicity import score_texts, train, training_rows
 from .url_filter import BLOCKED_WORDS, judge_urls
+from .warc import archive, audit, build_tree
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +28,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict", "_url.pattern")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(training_rows(docs, table(spark, sf_dir, "labels")))
@@ -29,14 +39,37 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("permitted")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a sound replica of the pages' archive against one in which the first byte of some bodies is wrong."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    wrong = F.when((F.col("page_id") % 97 == 13) & (F.octet_length("html") > 0), F.concat(F.lit("?"), F.substring("html", 2, 2147483647))).otherwise(F.col("html"))
+    return audit(build_tree(archive(pages)), build_tree(archive(pages.withColumn("html", wrong))))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1_SQL = f"""
@@ -81,14 +114,46 @@ FROM d LEFT JOIN found USING (doc_id)
 """
 
 
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS g FROM d),
+n AS MATERIALIZED (SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles FROM s),
+t AS MATERIALIZED (SELECT doc_id, hash(unnest(g)) AS x FROM s),
+p AS (SELECT a.doc_id AS v, b.doc_id AS w, count(*) AS both FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT v, w FROM p JOIN n a ON a.doc_id = v JOIN n b ON b.doc_id = w WHERE 100 * both >= 85 * (a.n_shingles + b.n_shingles - both)),
+e AS MATERIALIZED (SELECT v, w FROM l UNION ALL SELECT w, v FROM l),
+r AS (SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT e.w, r.c FROM r JOIN e ON e.v = r.v WHERE r.c < e.w)
+SELECT doc_id, n_shingles, (SELECT min(c) FROM r WHERE r.v = n.doc_id) AS component_id FROM n
+"""
+
+OP7_SQL = """
+WITH r AS (
+  SELECT page_id, floor(coalesce(page_id, -1) / 4096)::BIGINT AS file, coalesce(url, '') AS u, coalesce(html, '') AS a,
+         CASE WHEN page_id % 97 = 13 AND strlen(html) > 0 THEN '?' || substr(html, 2) ELSE coalesce(html, '') END AS b FROM pages),
+h AS (
+  SELECT page_id, file, sha256(f(u, a)) AS da, sha256(f(u, b)) AS db, strlen(f(u, a)) AS la FROM r),
+p AS (SELECT *, row_number() OVER w - 1 AS node, sum(la) OVER w AS stop FROM h WINDOW w AS (PARTITION BY file ORDER BY page_id, da ROWS UNBOUNDED PRECEDING))
+SELECT file, node::BIGINT AS node, (stop - la)::BIGINT AS start, stop::BIGINT AS stop, page_id, da AS digest_a, db AS digest_b FROM p WHERE da <> db
+""".replace("f(u, a)", "RECORD_A").replace("f(u, b)", "RECORD_B")
+for _side in "ab":
+    OP7_SQL = OP7_SQL.replace(f"RECORD_{_side.upper()}", f"('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Length: ' || strlen({_side})::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || {_side} || chr(13) || chr(10) || chr(13) || chr(10))")
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_toxicity": op3_toxicity,
+        "op4_fingerprints": op4_fingerprints,
         "op5_license_scan": op5_license_scan,
+        "op6_decontaminate": op6_decontaminate,
+        "op7_warc_audit": op7_warc_audit,
+        "op8_token_files": op8_token_files,
         "op9_bpe_round_trip": op9_bpe_round_trip,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op5_license_scan": _op5_sql()}
+    return {"op1_url_filter": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op5_license_scan": _op5_sql(), "op7_warc_audit": OP7_SQL}

@@ -34,33 +34,32 @@ class Model:
     bias: float
 
 
-def gram_hashes(data: np.ndarray, at: np.ndarray, i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n-gram width: hashes of the lower-cased n-grams of rows i..j-1, and the byte at which each starts (from at[i])."""
-    flat = _LOWER[data[at[i] : at[j]]].astype(np.uint64)
-    first = np.zeros(len(flat) + 1, bool)
-    first[at[i:j] - at[i]] = True
-    starts_before = np.cumsum(first)
-    rolled = flat.copy()
+def gram_hashes(flat: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, hash of the n-gram at each byte) over lower-cased bytes; n-grams that leave their row are included."""
+    flat = flat.astype(np.uint32)
+    rolled = flat
     for k in range(1, max(WIDTHS)):
         if k >= len(flat):
             return
-        rolled = rolled[:-1] * np.uint64(0x100000001B3) + flat[k:]
+        rolled = rolled[:-1] * np.uint32(0x01000193)
+        rolled += flat[k:]
         if k + 1 in WIDTHS:
-            inside = starts_before[: len(rolled)] == starts_before[k : k + len(rolled)]
-            yield ((rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS))[inside].astype(np.int64), np.flatnonzero(inside)
+            mixed = rolled * np.uint32(0x9E3779B1)
+            mixed >>= np.uint32(32 - BITS)
+            yield k + 1, mixed
 
 
 def row_features(data: np.ndarray, at: np.ndarray, i: int, j: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row from i, feature) without repeats, sorted."""
-    rows, features = [], []
-    for hashed, start in gram_hashes(data, at, i, j):
+    bounds = at[i : j + 1] - at[i]
+    keys = []
+    for width, hashed in gram_hashes(_LOWER[data[at[i] : at[j]]]):
         f = slot[hashed]
         hit = np.flatnonzero(f)
-        rows.append(np.searchsorted(at[i : j + 1] - at[i], start[hit], "right") - 1)
-        features.append(f[hit].astype(np.int64) - 1)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = np.unique(np.concatenate(rows) << 32 | np.concatenate(features))
+        row = np.searchsorted(bounds, hit, "right") - 1
+        inside = hit + width <= bounds[row + 1]
+        keys.append(row[inside] << 32 | f[hit[inside]].astype(np.int64) - 1)
+    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     return key >> 32, key & 0xFFFFFFFF
 
 
@@ -87,7 +86,7 @@ def train(labelled: DataFrame, max_rows: int = 20_000, features: int = 2048, rou
         yield pa.RecordBatch.from_pydict({"rows": [rows.tolist()], "held": [held.tobytes()]})
 
     rows, held = np.zeros(2, np.int64), np.zeros((2, size), np.int64)
-    for r in sample.mapInArrow(count, "rows array<long>, held binary").toLocalIterator():  # 8 records of a fixed size
+    for r in sample.mapInArrow(count, "rows array<long>, held binary").collect():  # 8 records of a fixed size
         rows += np.array(r["rows"])
         held += np.frombuffer(r["held"], np.uint32).reshape(2, size)
     if not rows.all():
@@ -111,7 +110,7 @@ def train(labelled: DataFrame, max_rows: int = 20_000, features: int = 2048, rou
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["label", "f"])
 
     labels, parts = [], []
-    for r in sample.mapInArrow(encode, "label int, f binary").toLocalIterator():  # max_rows rows of at most `features` numbers
+    for r in sample.mapInArrow(encode, "label int, f binary").collect():  # max_rows rows of at most `features` numbers
         labels.append(r["label"])
         parts.append(np.frombuffer(r["f"], np.uint16))
     y = np.array(labels, np.float64)
