@@ -120,8 +120,8 @@ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4
         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS g FROM d),
 n AS MATERIALIZED (SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles FROM s),
 t AS MATERIALIZED (SELECT doc_id, hash(unnest(g)) AS x FROM s),
-p AS (SELECT a.doc_id AS v, b.doc_id AS w, count(*) AS both FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS MATERIALIZED (SELECT v, w FROM p JOIN n a ON a.doc_id = v JOIN n b ON b.doc_id = w WHERE 100 * both >= 85 * (a.n_shingles + b.n_shingles - both)),
+p AS (SELECT a.doc_id AS v, b.doc_id AS w, count(*) AS k FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT v, w FROM p JOIN n a ON a.doc_id = v JOIN n b ON b.doc_id = w WHERE 100 * k >= 85 * (a.n_shingles + b.n_shingles - k)),
 e AS MATERIALIZED (SELECT v, w FROM l UNION ALL SELECT w, v FROM l),
 r AS (SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT e.w, r.c FROM r JOIN e ON e.v = r.v WHERE r.c < e.w)
 SELECT doc_id, n_shingles, (SELECT min(c) FROM r WHERE r.v = n.doc_id) AS component_id FROM n
