@@ -10,8 +10,9 @@ two sets that share ``need`` tokens share at least l tokens of their first ``siz
    These links are stars, not all pairs of a group, and give components.
 3. What could still link different components goes on: sets that share enough tokens with a set of another component, unless that
    pair was verified. Over these sets tokens are ordered by frequency, rare first, and each set takes the l that makes its estimated
-   candidate cost (posting lengths of its prefix, and candidates left to verify) least. Pairs of different components that share
-   l tokens at fitting places and sizes are verified.
+   candidate cost (posting lengths of its prefix, and candidates left to verify) least. A second round of hubs, now by the exact
+   number of tokens that no other set holds, joins what is near a group's middle; then pairs of different components that share l
+   tokens at fitting places and sizes are verified.
 4. Components of all links.
 
 Null, empty and wordless texts are empty sets linked with nothing; fewer words than n are one n-gram. Repeated rows share a node.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from .common import SPACES, cut, is_word, mix, shingles, slices, text_buffers, words
 from .components import components
@@ -189,7 +190,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     per_node = prefix.repartition("v").dropDuplicates(["v", "token"])
     counted = per_node.withColumn("c", F.count("*").over(Window.partitionBy("v")))
     kept = cut(counted.where("c >= 1 + floor(n / 20)"), "prefix-survivors")
-    drop = [prefix]
 
     # hubs: of the sets that hold a token, the one with the least prefix of its own
     own = F.struct((F.expr(f"n - ceil({percent} * n / 100) + 1 + floor(n / 20) - c") / F.col("n")).alias("o"), F.col("v").alias("hub"))
@@ -209,7 +209,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     unsettled = lists.where("c0 <> c1 and not (df = 2 and (a.w = b.v or b.w = a.v))").select("token")
     left = known.join(unsettled, "token", "left_semi").groupBy("v", "n", "comp").agg(F.count("*").alias("k")).where(f"k >= 1 + floor(floor({percent} * n / 100) / 20)")
     left = cut(left.select("v", "n", "comp"), "unsettled-sets")
-    more = cut(verify(frequent_candidates(left, sets, percent), sets, percent), "more-links")
+    rows = cut(adaptive_prefixes(left, sets, percent), "adaptive-prefixes")
+    more = cut(verify(hub_pairs(rows, percent), sets, percent), "hub-links")
+    links = links.unionByName(more)
+    if more.limit(1).count():
+        comps = components(links)
+        rows = cut(rows.drop("comp").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v")), "relabelled-prefixes")
+    more = cut(verify(candidate_pairs(rows, percent), sets, percent), "more-links")
     if more.limit(1).count():
         comps = components(links.unionByName(more))
 
@@ -219,8 +225,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     return nodes.join(named, (nodes["v"] == named["v"]) & (nodes["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def frequent_candidates(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (v, w) of different components among ``left`` that share enough prefix tokens, rare tokens first."""
+def adaptive_prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, v, n, comp, m, pos, ell): the prefix of each set by frequency among ``left``, rare tokens first. m counts the tokens that another set holds."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +235,7 @@ def frequent_candidates(left: DataFrame, sets: DataFrame, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), *(pa.array(np.full(len(tokens), x)) for x in (v, n, comp))], names=["token", "v", "n", "comp"])
 
     rows = left.join(sets, "v").select("v", "n", "comp", "tokens").mapInArrow(spread, "token long, v long, n long, comp long")
-    df = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("df > 1")
+    df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rows = rows.join(df, "token")
     by_v = Window.partitionBy("v")
     rows = rows.withColumn("m", F.count("*").over(by_v))
@@ -238,11 +244,33 @@ def frequent_candidates(left: DataFrame, sets: DataFrame, percent: int) -> DataF
     rows = rows.where(F.col("pos") < longest + max(ELLS))
     costs = [F.struct((F.sum(F.when(F.col("pos") < longest + ell, F.col("df")).otherwise(0)).over(by_v) * (1 + VERIFY_COST / ell)).alias("cost"), F.lit(ell).alias("ell")) for ell in ELLS]
     rows = rows.withColumn("ell", F.least(*costs)["ell"]).where(F.col("pos") < longest + F.col("ell"))
-    rows = cut(rows.select("token", "v", "n", "comp", "m", "pos", "ell"), "adaptive-prefixes")
-    a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("v", "n", "comp", "m", "pos", "ell"))) for s in "ab")
+    return rows.select("token", "v", "n", "comp", "m", "pos", "ell")
+
+
+def fits(percent: int) -> tuple[Column, Column]:
+    """(whether sets a and b of different components can share enough, with the token at a fitting place; the tokens that they must share)."""
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     ell = F.least("ell_a", "ell_b")
-    fits = (F.col("v_a") < F.col("v_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("m_a", "m_b") >= need)
-    fits &= (F.col("pos_a") < F.col("n_a") - need + ell) & (F.col("pos_b") < F.col("n_b") - need + ell)
-    pairs = a.join(b, (a["token"] == b["token"]) & fits).groupBy("v_a", "v_b", ell.alias("ell")).agg(F.count("*").alias("k"))
+    ok = (F.col("comp_a") != F.col("comp_b")) & (F.least("m_a", "m_b") >= need)
+    return ok & (F.col("pos_a") < F.col("n_a") - need + ell) & (F.col("pos_b") < F.col("n_b") - need + ell), ell
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "comp", "m", "pos", "ell")))
+
+
+def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (v, w): each set with that set of least own tokens which it meets most often."""
+    rank = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("own"), F.col("v").alias("v"))
+    hubs = rows.groupBy("token").agg(F.min_by(F.struct("v", "n", "comp", "m", "pos", "ell"), rank).alias("h")).select("token", "h.*")
+    met = _side(rows, "a").join(_side(hubs, "b"), "token").where((F.col("v_a") != F.col("v_b")) & fits(percent)[0])
+    counted = met.groupBy("v_a", "v_b").agg(F.count("*").alias("k"))
+    return counted.groupBy(F.col("v_a").alias("v")).agg(F.max_by("v_b", F.struct("k", "v_b")).alias("w"))
+
+
+def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (v, w) of different components that share enough prefix tokens."""
+    ok, ell = fits(percent)
+    a, b = _side(rows, "a"), _side(rows, "b")
+    pairs = a.join(b, (a["token"] == b["token"]) & (F.col("v_a") < F.col("v_b")) & ok).groupBy("v_a", "v_b", ell.alias("ell")).agg(F.count("*").alias("k"))
     return pairs.where("k >= ell").select(F.col("v_a").alias("v"), F.col("v_b").alias("w"))

@@ -1,11 +1,539 @@
-"""Registered queries of the reference's operators, each with its SQL."""
+"""Registered queries of the library's operators over the test tables, each with its SQL where SQL can say the same.
+
+Floating results are rounded on both sides; arrays are compared as rows or texts.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import lookups, scalar
+from ..operators import folds, intervals, linear, lookup, signal, stacking, stats, strf, tables, timeseries
+from ..sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(fn: Query) -> Query:
+        _QUERIES[name] = fn
+        if sql is not None:
+            _SQL[name] = sql
+        return fn
 
-def queries() -> dict:
-    return {}
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+KEYS, ORDER = ["user_id"], ["ts", "event_id"]
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one series per user: user_id, event_id, ts, event_type, value, t_idx."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy(*ORDER)
+    return read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value", (F.row_number().over(w) - 1).alias("t_idx"))
+
+
+S = "s AS (SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t_idx FROM events)"
+W = "(PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@query("w1_lag_past", f"SELECT user_id, event_id, value AS value_lag0, coalesce(lag(value, 1) OVER {W}, 0.0) AS value_lag1, coalesce(lag(value, 2) OVER {W}, 0.0) AS value_lag2 FROM events")
+def _(spark, d):
+    return timeseries.lag_columns(read(spark, d, "events").select("user_id", "event_id", "ts", "value"), "value", timeseries.lag_steps(3), KEYS, ORDER).drop("ts", "value")
+
+
+@query("w1_lag_future", f"SELECT user_id, event_id, value AS value_lag0, coalesce(lead(value, 1) OVER {W}, 0.0) AS value_lead1 FROM events")
+def _(spark, d):
+    return timeseries.lag_columns(read(spark, d, "events").select("user_id", "event_id", "ts", "value"), "value", timeseries.lag_steps(-2), KEYS, ORDER).drop("ts", "value")
+
+
+@query("w2_match_lag", f"SELECT user_id, event_id, f, l, CASE l WHEN 0 THEN x WHEN 1 THEN coalesce(lag(x, 1) OVER v, 0.0) WHEN 2 THEN coalesce(lag(x, 4) OVER v, 0.0) ELSE coalesce(lead(x, 2) OVER v, 0.0) END AS x FROM (SELECT user_id, event_id, ts, f, l, CASE f WHEN 0 THEN value ELSE value * 2 END AS x FROM events, range(2) a(f), range(4) b(l)) WINDOW v AS (PARTITION BY user_id, f, l ORDER BY ts, event_id)")
+def _(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", "ts", F.array("value", F.col("value") * 2).alias("features"))
+    s = timeseries.lag_stack(e, "features", [0, 1, 4, -2], KEYS, ORDER)
+    return s.select("user_id", "event_id", F.posexplode("lags").alias("f", "row")).select("user_id", "event_id", F.col("f").cast("long").alias("f"), F.posexplode("row").alias("l", "x")).withColumn("l", F.col("l").cast("long"))
+
+
+@query("w3_structure_lag", f"SELECT user_id, event_id, i, CASE i WHEN 0 THEN value WHEN 1 THEN value * 2 WHEN 2 THEN p ELSE p * 2 END AS x FROM (SELECT user_id, event_id, value, coalesce(lag(value) OVER {W}, 0.0) AS p FROM events), range(4) r(i)")
+def _(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", "ts", F.array("value", F.col("value") * 2).alias("features"))
+    return timeseries.structure_lag(e, "features", 2, KEYS, ORDER).select("user_id", "event_id", F.posexplode("lagged").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
+def _taps_sql(scale: float = 1.0) -> str:
+    return f"raw AS (SELECT k, j, (j / 100.0) / {scale}::DOUBLE - k * 0.5::DOUBLE * 0.2::DOUBLE AS u FROM range(9) a(k), range(199) b(j)), pos AS (SELECT k, j, 0.5 * (1 - cos(2 * pi() * u / 0.2)) AS h FROM raw WHERE u > 0 AND u < 0.2), taps AS (SELECT k, j, h / (SELECT sum(h) FROM pos) AS h FROM pos)"
+
+
+@query("w4_hanning_taps", f"WITH {_taps_sql()} SELECT k::INT AS k, j::INT AS j, round(h, 9) AS h FROM taps WHERE h > 1e-12")
+def _(spark, d):
+    return timeseries.taps_table(spark).where("h > 1e-12").select("k", "j", F.round("h", 9).alias("h"))
+
+
+def _fir_sql(scale: float) -> str:
+    return f"WITH {S}, {_taps_sql(scale)}, grid AS (SELECT user_id, event_id, t_idx, k FROM s, range(9) r(k)) SELECT g.user_id, g.event_id, g.k::INT AS k, round(coalesce(sum(x.value * taps.h), 0), 6) AS y FROM grid g LEFT JOIN taps ON taps.k = g.k LEFT JOIN s x ON x.user_id = g.user_id AND x.t_idx = g.t_idx - taps.j GROUP BY ALL"
+
+
+def _fir(scale: float) -> Query:
+    def run(spark, d):
+        e = read(spark, d, "events").select("user_id", "event_id", "ts", F.array("value").alias("features"))
+        y = timeseries.hanning_feature(e, "features", KEYS, ORDER, scale=scale)
+        return y.select("user_id", "event_id", F.posexplode(F.get("basis", F.lit(0))).alias("k", "y")).withColumn("y", F.round("y", 6))
+
+    return run
+
+
+query("w5_hanning_feature", _fir_sql(1.0))(_fir(1.0))
+query("w6_hanning_rho", _fir_sql(timeseries.rho_scales(0.5)[1]))(_fir(timeseries.rho_scales(0.5)[1]))
+
+
+@query("w7_islands", f"WITH {S}, g AS (SELECT user_id, event_type, t_idx, t_idx - row_number() OVER (PARTITION BY user_id, event_type ORDER BY t_idx) AS g FROM s) SELECT user_id, event_type, min(t_idx) / 100.0::DOUBLE AS onset, max(t_idx) / 100.0::DOUBLE AS \"offset\" FROM g GROUP BY user_id, event_type, g")
+def _(spark, d):
+    return timeseries.islands(series(spark, d), KEYS, "event_type")
+
+
+SPANS = "spans AS (SELECT event_type AS label, value AS onset, value + 0.125 AS \"offset\", event_id FROM events)"
+N = "n AS (SELECT max(floor(\"offset\" * 100))::BIGINT AS n FROM spans)"
+COVER = "cover AS (SELECT label, event_id, onset, k FROM spans, n, LATERAL (SELECT unnest(range(greatest(0, floor(onset * 100)::BIGINT - 2), least(n, floor(\"offset\" * 100)::BIGINT + 3))) AS k) WHERE k / 100.0::DOUBLE BETWEEN onset AND \"offset\")"
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select(F.col("event_type").alias("label"), F.col("value").alias("onset"), (F.col("value") + 0.125).alias("offset"), "event_id")
+
+
+@query("j2_onehot", f"WITH {SPANS}, {N}, {COVER} SELECT DISTINCT k AS t_idx, label FROM cover")
+def _(spark, d):
+    s = spans(spark, d)
+    return intervals.onehot_long(s, intervals.time_length(s))
+
+
+@query("r7_onehot_wide", f"WITH {SPANS}, {N}, {COVER} SELECT t AS t_idx, coalesce(max((label = 'click')::INT), 0) AS click, coalesce(max((label = 'view')::INT), 0) AS view FROM n, LATERAL (SELECT unnest(range(n)) AS t) LEFT JOIN cover ON k = t GROUP BY t")
+def _(spark, d):
+    s = spans(spark, d)
+    return intervals.onehot_wide(s, ["click", "view"], intervals.time_length(s))
+
+
+@query("w9_onset_samples", f"WITH {SPANS}, {N}, {COVER} SELECT DISTINCT k AS t_idx, label FROM (SELECT label, event_id, min(k) AS k FROM cover GROUP BY ALL)")
+def _(spark, d):
+    s = spans(spark, d)
+    return intervals.onehot_long(s, intervals.time_length(s), onset_feature=True)
+
+
+@query("j4_next_sample", "SELECT DISTINCT event_type AS label, CASE WHEN (ceil(value * 100) - 1) / 100.0::DOUBLE >= value THEN ceil(value * 100) - 1 WHEN ceil(value * 100) / 100.0::DOUBLE >= value THEN ceil(value * 100) ELSE ceil(value * 100) + 1 END::BIGINT AS t_idx FROM (SELECT event_type, value + 0.0031 AS value FROM events)")
+def _(spark, d):
+    s = read(spark, d, "events").select(F.col("event_type").alias("label"), (F.col("value") + 0.0031).alias("onset"), (F.col("value") + 0.0032).alias("offset"))
+    return intervals.onehot_long(s, intervals.time_length(s) + 2, onset_feature=True)
+
+
+@query("j3_last_writer", f"WITH {SPANS}, {N}, {COVER} SELECT t AS t_idx, coalesce(max_by(onset, event_id), 0.0) AS onset FROM n, LATERAL (SELECT unnest(range(n)) AS t) LEFT JOIN cover ON k = t GROUP BY t")
+def _(spark, d):
+    s = spans(spark, d)
+    s = s.withColumn("x", F.col("onset"))
+    return intervals.last_writer(s, "x", "event_id", intervals.time_length(s), 100, F.lit(0.0)).withColumnRenamed("x", "onset")
+
+
+@query("w8_onset_raster", "WITH o AS (SELECT s_suppkey / 40.0::DOUBLE AS onset FROM supplier) SELECT t AS t_idx, coalesce(max((t / 100.0::DOUBLE BETWEEN onset AND onset + 1 / 100.0::DOUBLE)::INT), 0) AS value FROM range(300) r(t), o GROUP BY t")
+def _(spark, d):
+    return intervals.onset_raster(read(spark, d, "supplier").select((F.col("s_suppkey") / 40.0).alias("onset")), 300)
+
+
+@query("j1_phone_in_word", "WITH p AS (SELECT user_id, event_id AS idx, event_type AS text, value AS onset, value + 0.5 AS \"offset\" FROM events), w AS (SELECT u.user_id, k AS idx, 'w' || k AS text, k * 10.0::DOUBLE AS onset, k * 10.0::DOUBLE + 11 AS \"offset\" FROM (SELECT DISTINCT user_id FROM events) u, range(1000) r(k)) SELECT p.user_id, p.text AS phoneme, p.onset AS phoneme_absolute_onset, p.\"offset\" AS phoneme_absolute_offset, w.text AS word, w.onset AS word_absolute_onset, w.\"offset\" AS word_absolute_offset, w.idx::INT AS word_index, p.onset - w.onset AS phoneme_relative_onset, p.\"offset\" - w.onset AS phoneme_relative_offset FROM p JOIN w ON p.user_id = w.user_id AND w.onset <= p.onset AND w.\"offset\" >= p.\"offset\" QUALIFY row_number() OVER (PARTITION BY p.idx ORDER BY w.idx) = 1")
+def _(spark, d):
+    e = read(spark, d, "events")
+    p = e.select("user_id", F.col("event_id").alias("idx"), F.col("event_type").alias("text"), F.col("value").alias("onset"), (F.col("value") + 0.5).alias("offset"))
+    w = e.select("user_id").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    w = w.select("user_id", "idx", F.concat(F.lit("w"), F.col("idx").cast("string")).alias("text"), (F.col("idx") * 10.0).alias("onset"), (F.col("idx") * 10.0 + 11).alias("offset"))
+    return intervals.containment_join(p, w, 10, KEYS)
+
+
+@query("j10_interpolate", f"WITH {S}, seg AS (SELECT user_id, t_idx * 1.0 AS t0, value AS x0, lead(t_idx * 1.0) OVER v AS t1, lead(value) OVER v AS x1 FROM s WINDOW v AS (PARTITION BY user_id ORDER BY t_idx)) SELECT user_id, t0 + 0.25 AS t, round(x0 + 0.25 * (x1 - x0), 6) AS x_new FROM seg WHERE t1 IS NOT NULL")
+def _(spark, d):
+    s = series(spark, d).select("user_id", F.col("t_idx").cast("double").alias("t"), F.col("value").alias("x"))
+    return timeseries.interpolate(s, s.select("user_id", (F.col("t") + 0.25).alias("t")), KEYS, bin_width=4).withColumn("x_new", F.round("x_new", 6))
+
+
+@query("pf1_filter_at", "SELECT event_id, 0 AS at_idx FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 1 FROM events WHERE event_type = 'click' AND user_id = 8")
+def _(spark, d):
+    return tables.filter_at(read(spark, d, "events"), [{"event_type": "click"}, {"event_type": "click", "user_id": 8}]).select("event_id", "at_idx")
+
+
+@query("pf6_usable_targets", "SELECT l_returnflag AS target, (stddev_pop(l_tax) <> 0 AND NOT bool_or(l_tax IS NULL OR isnan(l_tax))) AS usable FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return stats.usable_targets(read(spark, d, "lineitem").select(F.col("l_returnflag").alias("target"), "l_tax"), "target", "l_tax")
+
+
+CELLS = "cells AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber AS rep, list(l_quantity::INT ORDER BY l_orderkey, l_partkey, l_suppkey, l_quantity) AS data FROM lineitem GROUP BY ALL)"
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")))
+    g = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("rep")).agg(rows.alias("r"))
+    return g.select("flag", "status", "rep", F.transform("r", lambda x: x["l_quantity"].cast("int")).alias("data"))
+
+
+@query("a1_concatenate", f"WITH {CELLS} SELECT flag, status, md5(array_to_string(flatten(list(data ORDER BY rep)), ',')) AS data, md5(array_to_string(flatten(list(list_transform(data, lambda x: rep) ORDER BY rep)), ',')) AS mask FROM cells GROUP BY flag, status")
+def _(spark, d):
+    c = tables.concatenate_by_variables(cells(spark, d), ["rep"], fold_mask=True)
+    text = lambda x: F.md5(F.array_join(F.transform(x, lambda v: v.cast("string")), ",").cast("binary"))
+    return c.select("flag", "status", text(F.col("data")).alias("data"), text(F.col("rep_mask")).alias("mask"))
+
+
+@query("a1_concatenate_two", f"WITH {CELLS} SELECT flag, md5(array_to_string(flatten(list(data ORDER BY status, rep)), ',')) AS data FROM cells GROUP BY flag")
+def _(spark, d):
+    c = tables.concatenate_by_variables(cells(spark, d), ["rep", "status"])
+    return c.select("flag", F.md5(F.array_join(F.transform("data", lambda v: v.cast("string")), ",").cast("binary")).alias("data"))
+
+
+@query("j5_replicate", "WITH f AS (SELECT n_regionkey AS region, max(n_nationkey) AS feature FROM nation GROUP BY 1), x AS (SELECT n_regionkey AS region, n_name AS name, n_nationkey AS data FROM nation) SELECT region, name, data, feature FROM x FULL JOIN f USING (region)")
+def _(spark, d):
+    n = read(spark, d, "nation")
+    data = n.select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("data"))
+    feature = n.groupBy(F.col("n_regionkey").alias("region")).agg(F.max("n_nationkey").alias("feature"))
+    features, rows = tables.replicate_data_feature(feature, data)
+    return rows.join(features, ["region", "name"])
+
+
+@query("j6_levels", "SELECT 'nation' AS variable, n::VARCHAR AS level, CASE WHEN a IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT c_nationkey AS n, 1 AS a FROM customer) FULL JOIN (SELECT DISTINCT s_nationkey AS n, 1 AS b FROM supplier) USING (n) WHERE a IS NULL OR b IS NULL")
+def _(spark, d):
+    return tables.levels_differ(read(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")), ["nation"])
+
+
+_TOKENS_SQL = "tok AS (SELECT conv_id, turn, w, i FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS w FROM conversations) UNION ALL SELECT -1, 0, unnest(['can''t', 'he''d', 'it''s', 'zzz']), 0), vec AS (SELECT DISTINCT w AS word, strlen(w)::DOUBLE AS x FROM tok WHERE length(w) BETWEEN 1 AND 4 UNION SELECT unnest(['he', 'would', 'cannot']), unnest([2.0, 5.0, 6.0]))"
+_EXPAND_SQL = "SELECT unnest(['can''t', 'he''d', 'it''s']) AS c, unnest(['cannot', 'he would', 'it is']) AS e"
+
+
+@query("j7_encode_words", f"WITH {_TOKENS_SQL}, v1 AS (SELECT word, max(x) AS x FROM vec GROUP BY 1), ex AS ({_EXPAND_SQL}), parts AS (SELECT c, unnest(string_split(e, ' ')) AS p FROM ex), m AS (SELECT c, avg(coalesce(x, 0)) AS x FROM parts LEFT JOIN v1 ON word = p GROUP BY c) SELECT conv_id, turn, w AS word, round(coalesce(v1.x, m.x, 0), 6) AS x0 FROM tok LEFT JOIN v1 ON word = w LEFT JOIN m ON c = w WHERE w <> 'it''s'")
+def _(spark, d):
+    t = read(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word"))
+    t = t.unionByName(spark.createDataFrame([(-1, 0, w) for w in ("can't", "he'd", "zzz")], "conv_id long, turn long, word string"))
+    short = t.where("char_length(word) between 1 and 4").select("word", F.octet_length("word").cast("double").alias("x")).unionByName(spark.createDataFrame([("he", 2.0), ("would", 5.0), ("cannot", 6.0)], "word string, x double"))
+    v = short.groupBy("word").agg(F.array(F.max("x")).alias("vec"))
+    return lookup.encode_words(t, v, 1).select("conv_id", "turn", "word", F.round(F.get("vec", F.lit(0)), 6).alias("x0"))
+
+
+_ATTR = ", ".join(f"('{m}', {lookups.ATTRIBUTES.index(a) if a in lookups.ATTRIBUTES else 'NULL'}, '{a}', '{p}')" for m in ("Arpabet", "IPA") for a in lookups.ARPABET for p in lookups.phonemes(a, m))
+_PHONES = ["AA", "hh", "Zh", "NG", "w", "ER", "b", "TH"]
+
+
+@query("j8_attribute_phonemes", f"WITH a(mode, pos, attribute, phoneme) AS (VALUES {_ATTR}) SELECT 'Vowel-' || attribute AS tag, phoneme FROM a WHERE mode = 'IPA' AND attribute IN ('back', 'nasal', 'semivowel')")
+def _(spark, d):
+    asked = spark.createDataFrame([("Back",), ("NASAL",), ("semivowel",), ("none",)], "attribute string")
+    return lookup.phonemes_of(asked, "IPA").select(F.concat(F.lit("Vowel-"), F.lower("attribute")).alias("tag"), "phoneme")
+
+
+@query("j9_phoneme_attributes", f"WITH a(mode, pos, attribute, phoneme) AS (VALUES {_ATTR}), p AS (SELECT unnest({_PHONES!r}) AS phoneme) SELECT p.phoneme, coalesce(string_agg(attribute, ' ' ORDER BY pos), '') AS attributes FROM p LEFT JOIN a ON lower(a.phoneme) = lower(p.phoneme) AND mode = 'Arpabet' AND pos IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    asked = spark.createDataFrame([(p,) for p in _PHONES], "phoneme string")
+    return lookup.attributes_of(asked).select("phoneme", F.array_join("attributes", " ").alias("attributes"))
+
+
+@query("a2_mean_arrays", "SELECT label, pos, round(avg(x), 5) AS x FROM (SELECT label, generate_subscripts(embedding, 1)::INT - 1 AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("embedding"))
+    return tables.mean_arrays(e, ["label"], "embedding").select("label", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 5))
+
+
+@query("a3_column_statistics", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END, 6) AS norm FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
+def _(spark, d):
+    s = stats.column_statistics(read(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    return s.select("column", F.round("mean", 6).alias("mean"), F.round("norm", 6).alias("norm"))
+
+
+@query("a3_standardise", "SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS l_quantity FROM lineitem")
+def _(spark, d):
+    s = stats.standardise(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_quantity"])
+    return s.withColumn("l_quantity", F.round("l_quantity", 6))
+
+
+@query("a4_correlate", "SELECT l_returnflag AS target, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return stats.correlate_columns(read(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice").select(F.col("l_returnflag").alias("target"), F.round("r", 6).alias("r"))
+
+
+@query("a5_scores", "WITH x AS (SELECT l_linenumber AS g, l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem) SELECT g, round(avg((p - y) ** 2), 1) AS mse, round(1 - sum((p - y) ** 2) / (var_pop(y) * count(*)), 6) AS r2, round(corr(y, p), 6) AS r FROM x GROUP BY g")
+def _(spark, d):
+    x = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("g"), F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("p"))
+    return stats.scores(x, keys=["g"]).select("g", F.round("mse", 1).alias("mse"), F.round("r2", 6).alias("r2"), F.round("r", 6).alias("r"))
+
+
+@query("a6_mse", "SELECT l_linenumber AS target, round(avg((l_quantity * 0.05 - l_tax) ** 2), 6) AS mse FROM lineitem GROUP BY 1")
+def _(spark, d):
+    x = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("target"), F.col("l_tax").alias("y"), (F.col("l_quantity") * 0.05).alias("p"))
+    return stats.mse_per_target(x, "target").withColumn("mse", F.round("mse", 6))
+
+
+_ERRORS = "e AS (SELECT o_orderkey AS row_id, o_orderpriority AS target, 1 AS m, o_totalprice / 1000 - 100 AS e FROM orders UNION ALL SELECT o_orderkey, o_orderpriority, 2, (o_custkey % 100) - 40.0 FROM orders)"
+
+
+def errors(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    base = [F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("target")]
+    a = o.select(*base, F.lit(1).alias("m"), (F.col("o_totalprice") / 1000 - 100).alias("e"))
+    return a.unionByName(o.select(*base, F.lit(2).alias("m"), (F.col("o_custkey") % 100 - 40.0).alias("e")))
+
+
+@query("a7_error_moments", f"WITH {_ERRORS} SELECT a.target, a.m AS i, b.m AS j, round(avg(a.e * b.e), 4) AS p FROM e a JOIN e b USING (row_id, target) GROUP BY ALL")
+def _(spark, d):
+    return stats.error_moments(errors(spark, d), "row_id", "target", "m").withColumn("p", F.round("p", 4))
+
+
+_WEIGHTS = f"WITH {_ERRORS}, q AS (SELECT target, avg(CASE WHEN a.m = 1 AND b.m = 1 THEN a.e * b.e END) AS p11, avg(CASE WHEN a.m = 1 AND b.m = 2 THEN a.e * b.e END) AS p12, avg(CASE WHEN a.m = 2 AND b.m = 2 THEN a.e * b.e END) AS p22 FROM e a JOIN e b USING (row_id, target) GROUP BY target), w AS (SELECT target, greatest(0, least(1, (p22 - p12) / (p11 + p22 - 2 * p12))) AS w FROM q)"
+
+
+@query("m4_two_model_weight", f"{_WEIGHTS} SELECT target, round(w, 5) AS w FROM w")
+def _(spark, d):
+    p = stats.error_moments(errors(spark, d), "row_id", "target", "m")
+    at = lambda i, j: F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("p")))
+    q = p.groupBy("target").agg(at(1, 1).alias("a"), at(1, 2).alias("b"), at(2, 2).alias("c"))
+    return q.select("target", F.round(stacking.two_model_weight(F.col("a"), F.col("b"), F.col("c")), 5).alias("w"))
+
+
+@query("m5_stacking", f"{_WEIGHTS} SELECT target, 1 AS m, round(w, 5) AS weight FROM w UNION ALL SELECT target, 2, round(1 - w, 5) FROM w")
+def _(spark, d):
+    return stacking.stacking_weights(errors(spark, d), "row_id", "target", "m").withColumn("weight", F.round("weight", 5))
+
+
+@query("a8_label_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    return stats.label_counts(read(spark, d, "events"), "event_type")
+
+
+@query("a11_global_range", "SELECT min(list_min(embedding)) AS low, max(list_max(embedding)) AS high FROM embeddings")
+def _(spark, d):
+    return stats.global_range(read(spark, d, "embeddings"), "embedding")
+
+
+@query("a12_mean_lines", "SELECT l_shipmode.f AS l_returnflag, l_linenumber, h AS l_linestatus, round(avg(l_quantity), 6) AS l_quantity, 0 AS is_average FROM (SELECT l_returnflag AS f, l_linestatus AS h, l_linenumber, l_quantity FROM lineitem) l_shipmode GROUP BY ALL UNION ALL SELECT l_returnflag, l_linenumber, NULL, round(avg(l_quantity), 6), 1 FROM lineitem GROUP BY ALL")
+def _(spark, d):
+    return tables.mean_lines(read(spark, d, "lineitem"), "l_linenumber", "l_quantity", ["l_returnflag"], ["l_linestatus"]).withColumn("l_quantity", F.round("l_quantity", 6))
+
+
+@query("a14_char_errors", "SELECT o_orderstatus, sum(levenshtein(o_orderpriority, '3-MEDIUM'))::BIGINT AS edits, count(*) * 8 AS chars, round(sum(levenshtein(o_orderpriority, '3-MEDIUM')) / (count(*) * 8.0), 6) AS cer FROM orders GROUP BY 1")
+def _(spark, d):
+    o = read(spark, d, "orders").withColumn("truth", F.lit("3-MEDIUM"))
+    return stats.char_error_rate(o, "truth", "o_orderpriority", ["o_orderstatus"]).withColumn("cer", F.round("cer", 6))
+
+
+@query("a14_word_errors")
+def _(spark, d):
+    t = read(spark, d, "conversations").select("conv_id", F.substring_index("text", " ", 12).alias("truth"), F.substring_index(F.regexp_replace("text", " (the|a) ", " "), " ", 12).alias("heard"))
+    return stats.word_error_rate(t, "truth", "heard", ["conv_id"])
+
+
+@query("a15_normalise", "SELECT vec_id, p::INT AS p, round(x / m, 5) AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding)::DOUBLE AS x, list_max(embedding)::DOUBLE AS m FROM embeddings)")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return e.select("vec_id", F.posexplode(tables.normalise_by_max(F.col("e"))).alias("p", "x")).withColumn("x", F.round("x", 5))
+
+
+@query("a16_rms", "SELECT vec_id, round(0.01 * list_sum(list_transform(embedding, lambda v: v::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)) / len(embedding)), 6) AS total FROM embeddings")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", scalar.root_mean_square(0.01, F.col("embedding").cast("array<double>")).alias("e"))
+    return e.select("vec_id", F.round(F.aggregate("e", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+@query("a17_balance_groups", "WITH n AS (SELECT sqrt(sum(l_quantity * l_quantity + l_tax * l_tax)) AS a, sqrt(sum(l_discount * l_discount)) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(l_quantity / a, 9) AS l_quantity, round(l_tax / a, 9) AS l_tax, round(l_discount / b, 9) AS l_discount FROM lineitem, n")
+def _(spark, d):
+    x = stats.balance_groups(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount"), {"a": ["l_quantity", "l_tax"], "b": ["l_discount"]})
+    return x.select("l_orderkey", "l_linenumber", *(F.round(c, 9).alias(c) for c in ("l_quantity", "l_tax", "l_discount")))
+
+
+@query("g1_subdivide", "SELECT event_id, ntile(7) OVER (ORDER BY event_id)::INT AS fold FROM events")
+def _(spark, d):
+    return folds.subdivide(read(spark, d, "events").select("event_id"), 7, ["event_id"])
+
+
+@query("g2_partition", "SELECT event_id, ntile(4) OVER (PARTITION BY event_type ORDER BY event_id)::INT AS fold FROM events")
+def _(spark, d):
+    return folds.partition_within_labels(read(spark, d, "events"), "event_type", "event_id", 4).select("event_id", "fold")
+
+
+@query("g2_partition_fractions", "WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), f AS (SELECT *, floor(n * 0.6::DOUBLE)::BIGINT AS a, floor(n * 0.2::DOUBLE)::BIGINT AS b FROM r), x AS (SELECT *, n - a - b - b AS q FROM f) SELECT event_id, CASE WHEN i < a + q // 3 + (q % 3 > 0)::INT THEN 1 WHEN i < a + b + 2 * (q // 3) + (q % 3 > 0)::INT + (q % 3 > 1)::INT THEN 2 ELSE 3 END AS fold FROM x")
+def _(spark, d):
+    return folds.partition_within_labels(read(spark, d, "events"), "event_type", "event_id", [0.6, 0.2, 0.2]).select("event_id", "fold")
+
+
+@query("g2_partition_shuffled")
+def _(spark, d):
+    return folds.partition_within_labels(read(spark, d, "events"), "event_type", "event_id", 5, seed=3, shuffle=True).groupBy("event_type", "fold").count()
+
+
+@query("g3_leave_one_out", "SELECT n_nationkey, f.n_regionkey AS fold, n.n_regionkey = f.n_regionkey AS is_test FROM nation n, (SELECT DISTINCT n_regionkey FROM nation) f")
+def _(spark, d):
+    return folds.leave_one_out(read(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey").select("n_nationkey", "fold", "is_test")
+
+
+@query("r1_expand_nested", "SELECT vec_id, embedding[i * 8 + j + 1] AS cell, i::INT AS d1_index, j::INT AS d2_index FROM embeddings, range(8) a(i), range(8) b(j)")
+def _(spark, d):
+    two = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    return tables.expand_nested(read(spark, d, "embeddings").select("vec_id", two.alias("cell")), "cell")
+
+
+@query("r2_to_strf", "SELECT vec_id, f::INT AS f, l::INT AS l, embedding[l * 9 + f + 2] AS x FROM embeddings, range(9) a(f), range(7) b(l)")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode(tables.to_strf(F.col("embedding"), 7)).alias("f", "row"))
+    return e.select("vec_id", "f", F.posexplode("row").alias("l", "x"))
+
+
+@query("r3_split_strf", "SELECT vec_id, CASE WHEN f < 3 THEN 'low' ELSE 'high' END AS feature_name, CASE WHEN f < 3 THEN f ELSE f - 3 END::INT AS f, embedding[f * 8 + 1] AS x FROM embeddings, range(8) a(f)")
+def _(spark, d):
+    two = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    s = tables.split_strf(read(spark, d, "embeddings").select("vec_id", two.alias("STRF")), "STRF", [3, 5], ["low", "high"], ["vec_id"])
+    return s.select("vec_id", "feature_name", F.posexplode("STRF").alias("f", "row")).select("vec_id", "feature_name", "f", F.get("row", F.lit(0)).alias("x"))
+
+
+@query("r4_pivot_cell", "SELECT vec_id, i / 100.0::DOUBLE AS time_stamp, embedding[i + 1] AS \"diff\" FROM embeddings, range(64) r(i)")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", "embedding", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i / 100.0).alias("t"))
+    return tables.pivot_cell(e, "embedding", "t")
+
+
+@query("r5_lag_rows", "SELECT vec_id, i::INT AS lag, embedding[i + 1] AS \"TRF\", (list_position(embedding, list_max(embedding)) - 1)::INT AS max_lag FROM embeddings, range(64) r(i)")
+def _(spark, d):
+    return tables.lag_rows(read(spark, d, "embeddings"), ["vec_id"], "embedding")
+
+
+@query("u1_stack_rows", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation")
+def _(spark, d):
+    n, r = read(spark, d, "nation").select(F.col("n_name").alias("name")), read(spark, d, "region").select(F.col("r_name").alias("name"))
+    return tables.stack_rows(n, r, n)
+
+
+@query("f_scalars", "SELECT s_suppkey, regexp_replace(s_name, '[0-9]$', '') AS stripped, round(9.265 * ln(1 + s_suppkey / (24.7 * 9.265)), 6) AS erb, round(24.7 * 9.265 * (exp(s_suppkey / 100.0 / 9.265) - 1), 6) AS hz, round((1 / 0.31) * (1 / (1 - 0.533)) * pow(s_suppkey / 1000.0, 1 - 0.533), 6) AS erb_ferret, round(1000 * pow(s_suppkey * 0.31 * (1 - 0.533), 1 / (1 - 0.533)), 3) AS hz_ferret, md5(s_suppkey::VARCHAR) AS h, greatest(-1.0, least(1.0, s_acctbal / 5000)) AS clipped, round(ln(1 + s_suppkey), 6) AS lp FROM supplier")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    return read(spark, d, "supplier").select("s_suppkey", scalar.strip_stress(F.col("s_name")).alias("stripped"), F.round(scalar.hz_to_erb(k), 6).alias("erb"), F.round(scalar.erb_to_hz(k / 100.0), 6).alias("hz"), F.round(scalar.hz_to_erb_ferret(k), 6).alias("erb_ferret"), F.round(scalar.erb_to_hz_ferret(k), 3).alias("hz_ferret"), scalar.data_hash(k).alias("h"), scalar.clip(F.col("s_acctbal") / 5000, -1.0, 1.0).alias("clipped"), F.round(F.log1p(k), 6).alias("lp"))
+
+
+@query("f6_to_text", "SELECT c_custkey, CASE WHEN length(c_name) > 10 THEN substr(md5(c_name), 1, 10) ELSE c_name END AS t FROM customer")
+def _(spark, d):
+    return read(spark, d, "customer").select("c_custkey", scalar.to_text(F.col("c_name"), 10).alias("t"))
+
+
+@query("s11_frame_times", "SELECT n_nationkey, i::INT AS i, i * 320.0::DOUBLE - 0.5 AS t FROM nation, LATERAL (SELECT unnest(range(n_nationkey)) AS i)")
+def _(spark, d):
+    return read(spark, d, "nation").select("n_nationkey", F.posexplode(scalar.frame_times(F.col("n_nationkey"))).alias("i", "t"))
+
+
+@query("s12_constructed", "SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * i)), 4) AS y FROM embeddings a")
+def _(spark, d):
+    w = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i.cast("double"))
+    return read(spark, d, "embeddings").select("vec_id", F.round(scalar.dot(F.col("embedding").cast("array<double>"), w), 4).alias("y"))
+
+
+@query("io1_parse_intervals", f"WITH {S} SELECT user_id::VARCHAR AS file, t_idx::INT AS idx, value AS onset, lead(value) OVER v AS \"offset\", CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS label FROM s QUALIFY \"offset\" IS NOT NULL WINDOW v AS (PARTITION BY user_id ORDER BY t_idx)")
+def _(spark, d):
+    line = F.concat_ws(",", F.when(F.col("event_type") == "view", ">").otherwise(F.col("event_type")), F.col("value").cast("string"))
+    texts = series(spark, d).groupBy(F.col("user_id").cast("string").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("value"))
+    return files.parse_intervals(texts.withColumn("value", F.concat(F.lit("label,onset\n"), "value")))
+
+
+@query("io5_textgrid", f"WITH {S} SELECT user_id::VARCHAR AS file, event_type AS tier, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY t_idx) - 1)::INT AS idx, value AS xmin, value + 0.5 AS xmax, 'say \"' || event_type || '\"' AS text FROM s")
+def _(spark, d):
+    label = F.concat(F.lit('say "'), F.col("event_type"), F.lit('"'))
+    rows = series(spark, d).select(F.col("user_id").cast("string").alias("file"), F.col("event_type").alias("tier"), F.col("t_idx").alias("idx"), F.col("value").alias("onset"), (F.col("value") + 0.5).alias("offset"), label.alias("label"))
+    from pyspark.sql import Window
+
+    rows = rows.withColumn("tier_no", F.dense_rank().over(Window.partitionBy("file").orderBy("tier")) - 1)
+    return files.parse_textgrids(files.textgrid_texts(rows))
+
+
+@query("m2_one_feature_ridge", "SELECT round(covar_pop(l_quantity, l_extendedprice) * count(*) / (var_pop(l_quantity) * count(*) + 4096.0), 3) AS coef, round(avg(l_extendedprice) - avg(l_quantity) * covar_pop(l_quantity, l_extendedprice) * count(*) / (var_pop(l_quantity) * count(*) + 4096.0), 2) AS intercept FROM lineitem")
+def _(spark, d):
+    x = read(spark, d, "lineitem").select("l_linenumber", F.array("l_quantity").alias("x"), F.array("l_extendedprice").alias("y"))
+    m = linear.ridge_cv(linear.group_factors(x, "l_linenumber"), alphas=[4096.0])
+    return spark.createDataFrame([(round(float(m.coef[0, 0]), 3), round(float(m.intercept[0]), 2))], "coef double, intercept double")
+
+
+def design(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_discount", "l_tax").alias("x"), F.array("l_extendedprice", (F.col("l_quantity") * F.col("l_tax")).alias("q")).alias("y"))
+
+
+@query("m3_nested_ridge")
+def _(spark, d):
+    f = linear.group_factors(design(spark, d), "l_linenumber")
+    return linear.result_tables(spark, linear.nested_ridge_cv(f))["r"]
+
+
+@query("m3_predictions")
+def _(spark, d):
+    x = design(spark, d)
+    m = linear.nested_ridge_cv(linear.group_factors(x, "l_linenumber")).models
+    return linear.predict(x, m, "l_linenumber").select("l_orderkey", "l_linenumber", "y_hat")
+
+
+@query("m1_pca")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return linear.pca(e, n_components=4)[0].select("vec_id", "scores")
+
+
+@query("m8_weights")
+def _(spark, d):
+    r = linear.group_factors(design(spark, d), "l_linenumber")
+    parts = linear.decompose(r.of(r.r), r.f)
+    rows = [(m, i, float(v)) for m, k in (("least-squares", 1), ("pcreg", 2), ("ridge", 10.0), ("pls", 2), ("lasso", 100.0)) for i, v in enumerate(linear.regression_weights(parts, m, k)[:, 0])]
+    return spark.createDataFrame(rows, "method string, i int, weight double")
+
+
+@query("m9_ridge_class")
+def _(spark, d):
+    x = design(spark, d)
+    f = linear.group_factors(x, "l_linenumber")
+    return linear.Ridge([0.1, 1.0, 10.0]).inner_cv(f).transform(x).select("l_orderkey", "l_linenumber", "y_hat")
+
+
+@query("m11_fold_predictions")
+def _(spark, d):
+    x = design(spark, d)
+    return linear.fold_predictions(x, linear.group_factors(x, "l_linenumber"), "l_linenumber", "pls", 2).select("l_orderkey", "l_linenumber", "y_hat")
+
+
+@query("m14_trf")
+def _(spark, d):
+    two = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col("embedding").cast("array<double>"), i * 8 + 1, 8))
+    return strf.trf(read(spark, d, "embeddings").select("vec_id", two.alias("STRF"))).select("vec_id", "TRF")
+
+
+@query("w10_align_time")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
+    return timeseries.align_time(e.select("vec_id", (F.col("i") / 50.0).alias("t"), F.array("v").alias("features")), ["vec_id"], 75, -0.1, 1.2)
+
+
+@query("s1_spectrogram")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.flatten(F.array_repeat("embedding", 20)).cast("array<double>").alias("samples"), F.lit(16000).alias("sr"))
+    return signal.map_waveforms(e, signal.spectrogram, "spectrogram").select("vec_id", "spectrogram")
+
+
+@query("s2_cochleagram")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.flatten(F.array_repeat("embedding", 20)).cast("array<double>").alias("samples"), F.lit(16000).alias("sr"))
+    return signal.map_waveforms(e, lambda x, r: signal.cochleagram(x, r, n=12), "cochleagram").select("vec_id", "cochleagram")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Lagged values and event types of each user as features of the next value; r per fold of users."""
+    s = series(spark, d)
+    kinds = ["click", "view", "error", "purchase", "signup"]
+    x = timeseries.lag_columns(s, "value", [1, 2, -1], KEYS, ORDER)
+    x = x.select((F.pmod("user_id", F.lit(5))).alias("fold"), F.array("value", "value_lag1", "value_lag2", *(F.when(F.col("event_type") == k, 1.0).otherwise(0.0) for k in kinds)).alias("x"), F.array("value_lead1").alias("y"))
+    return linear.result_tables(spark, linear.nested_ridge_cv(linear.group_factors(x, "fold")))["r"]
