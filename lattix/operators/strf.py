@@ -7,21 +7,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-@F.pandas_udf("array<double>")
-def leading_lags(strf: pd.Series) -> pd.Series:
+def leading_lags(strf: Column) -> Column:
     """The leading right singular vector of feature-by-lag matrices, its sum not negative."""
+
     def one(m):
         if m is None or len(m) == 0:
             return None
         v = np.linalg.svd(np.stack([np.asarray(r, float) for r in m]), full_matrices=False)[2][0]
         return (v if v.sum() >= 0 else -v).tolist()
 
-    return strf.map(one)
+    @F.pandas_udf("array<double>")
+    def work(strf: pd.Series) -> pd.Series:
+        return strf.map(one)
+
+    return work(strf)
 
 
 def trf(df: DataFrame, strf: str = "STRF", out: str = "TRF") -> DataFrame:
     return df.withColumn(out, leading_lags(F.col(strf)))
-
-
-def trf_of(strf: Column) -> Column:
-    return leading_lags(strf)

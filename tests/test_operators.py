@@ -106,8 +106,8 @@ def test_interpolation_and_alignment(spark, tensor):
     at = spark.createDataFrame([(1, v) for v in (0.0, 0.5, 1.0, 2.5, 3.0, 9.0)], "k int, t double")
     assert column(timeseries.interpolate(s, at, ["k"]), "x_new", "t") == [0, 0.5, 1, 6.5, 9]
     one = spark.createDataFrame([("s", float(t), [float(np.sin(t / 8))]) for t in range(200)], "k string, t double, features array<double>")
-    same = np.array(column(timeseries.align_time(one, ["k"], 1, -2, 205), "features", "t"))[:, 0]
-    assert len(same) == 208 and (same[:2] == 0).all() and np.allclose(same[2:202], np.sin(np.arange(200) / 8))
+    same = np.array(column(timeseries.align_time(one, ["k"], 1, -2, 199), "features", "t"))[:, 0]
+    assert len(same) == 202 and (same[:2] == 0).all() and np.allclose(same[2:202], np.sin(np.arange(200) / 8))
     fine = timeseries.align_time(one, ["k"], 2, 20, 150).toPandas().sort_values("t")
     assert np.allclose(np.stack(fine.features)[:, 0], np.sin(fine.t / 8), atol=5e-3)
     with pytest.raises(Exception, match="needs"):
