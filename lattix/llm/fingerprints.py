@@ -14,27 +14,39 @@ Null and empty texts have no paragraphs; their fingerprint is the zero vector, a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 PARAGRAPHS = r"(?<=[\n.!?])"
 STRONG, WORDS, LANES = 4, 32, 7
 _STRONG_MASK, _WORD_MASK = (1 << 48) - 1, (1 << 56) - 1
-#: Rows of one window bucket, and most quantiles asked for; beyond them segments are cut evenly.
-BUCKET_ROWS, MOST_QUANTILES = 8192, 1024
+#: Least rows of a window bucket, most buckets, and most quantiles asked for; beyond the quantiles segments are cut evenly.
+BUCKET_ROWS, MOST_BUCKETS, MOST_QUANTILES = 512, 1 << 16, 1024
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once however often it is used, also inside of lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def fingerprint(text: Column) -> Column:
     """array<long>: WORDS counting longs, then STRONG hash lanes."""
     pieces = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPHS), lambda p: p != "")
-    hashed = F.transform(pieces, lambda p: F.xxhash64(p))
-    parts = F.transform(hashed, lambda h: F.struct(h.bitwiseAND(F.lit(WORDS - 1)).alias("w"), h.alias("h")))
-    parts = F.transform(parts, lambda p: F.struct(p["w"].alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(F.shiftrightunsigned(p["h"], 5), F.lit(LANES)) * 8).cast("int")).alias("add")))
-    counts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(WORDS - 1).cast("long")), lambda k: F.aggregate(F.filter(parts, lambda p: p["w"] == k), F.lit(0).cast("long"), lambda acc, p: (acc + p["add"]).bitwiseAND(F.lit(_WORD_MASK))))
+    return once(F.transform(pieces, lambda p: F.xxhash64(p)), _lanes)
+
+
+def _lanes(hashed: Column) -> Column:
+    zero = F.lit(0).cast("long")
+    parts = F.transform(hashed, lambda h: F.struct(h.bitwiseAND(F.lit(WORDS - 1)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(F.shiftrightunsigned(h, 5), F.lit(LANES)) * 8).cast("int")).alias("add")))
+
+    def words(parts: Column) -> Column:
+        return F.transform(F.sequence(zero, F.lit(WORDS - 1).cast("long")), lambda k: F.aggregate(parts, zero, lambda acc, p: F.when(p["w"] == k, (acc + p["add"]).bitwiseAND(F.lit(_WORD_MASK))).otherwise(acc)))
 
     def lane(seed: int) -> Column:
-        return F.aggregate(hashed, F.lit(0).cast("long"), lambda acc, h: (acc + F.xxhash64(h, F.lit(seed)).bitwiseAND(F.lit(_STRONG_MASK))).bitwiseAND(F.lit(_STRONG_MASK)))
+        return F.aggregate(hashed, zero, lambda acc, h: (acc + F.xxhash64(h, F.lit(seed)).bitwiseAND(F.lit(_STRONG_MASK))).bitwiseAND(F.lit(_STRONG_MASK)))
 
-    return F.concat(counts, F.array(*(lane(seed) for seed in range(STRONG))))
+    return F.concat(once(parts, words), F.array(*(lane(seed) for seed in range(STRONG))))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -65,8 +77,8 @@ def signed_lanes(fp: Column) -> Column:
 def likeness(same: Column, a: Column, b: Column) -> Column:
     """1 for equal fingerprints, else the cosine of two arrays of signed lanes, at least 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    norm = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(same, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / F.when(norm == 0, 1.0).otherwise(norm))))
+    cosine = once(F.sqrt(dot(a, a) * dot(b, b)), lambda norm: F.when(norm == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / F.when(norm == 0, 1.0).otherwise(norm)))))
+    return F.when(same, F.lit(1.0)).otherwise(cosine)
 
 
 def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -75,11 +87,12 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     One shuffle: rows go to buckets of consecutive keys (from quantiles of the keys alone), and the first row of each bucket also
     to the bucket before. Ties go by ``columns``.
     """
-    n, bounds = docs.agg(F.count("*"), F.percentile_approx(key, [0.0], 10000)).first()
-    segments = max(1, min(MOST_QUANTILES, -(-n // BUCKET_ROWS)))
+    n = docs.count()
+    size = max(BUCKET_ROWS, -(-n // MOST_BUCKETS))
+    segments = max(1, min(MOST_QUANTILES, -(-n // size)))
     bounds = docs.agg(F.percentile_approx(key, [k / segments for k in range(segments)], 20000)).first()[0] or [0]
     bounds = sorted(set(bounds))
-    cuts = max(1, -(-n // (BUCKET_ROWS * segments)))
+    cuts = max(1, -(-n // (size * segments)))
     edges = F.array(*(F.lit(b).cast("long") for b in bounds))
     seg = F.greatest(F.size(F.filter(edges, lambda b: b <= F.col(key))), F.lit(1))
     bucket = (seg * cuts).cast("long")
@@ -89,9 +102,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     firsts = docs.groupBy(bucket.alias("_b")).agg(F.min(key).alias("_first"))
     order = Window.orderBy("_b")
     firsts = firsts.select("_first", F.coalesce(F.lag("_b").over(order), F.max("_b").over(Window.partitionBy())).alias("_before"))
-    if n < 1_000_000_000:  # one small row for BUCKET_ROWS documents: at most some MB
-        firsts = F.broadcast(firsts)
-    dealt = docs.withColumn("_b", bucket).join(firsts, F.col(key) == F.col("_first"), "left")
+    dealt = docs.withColumn("_b", bucket).join(F.broadcast(firsts), F.col(key) == F.col("_first"), "left")  # two numbers for each of about MOST_BUCKETS buckets
     homes = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_b").alias("to"), F.lit(0).alias("halo")))).otherwise(F.array(F.struct(F.col("_b").alias("to"), F.lit(0).alias("halo")), F.struct(F.col("_before").alias("to"), F.lit(1).alias("halo"))))
     dealt = dealt.withColumn("_home", F.explode(homes)).drop("_first", "_b", "_before")
     w = Window.partitionBy("_home.to").orderBy("_home.halo", key, *columns)
@@ -104,6 +115,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = with_next(rows, "_key", ["text"]).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    made = rows.select("doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("a"), fingerprint(edited).alias("b"), fingerprint(F.col("next_text")).alias("c"))
+    rows = rows.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))
+    made = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("a"), fingerprint(F.col("edited")).alias("b"), fingerprint(F.col("next_text")).alias("c"))
     lanes = made.select("*", *(signed_lanes(F.col(x)).alias(f"l{x}") for x in "abc"))
     return lanes.select("doc_id", "n_chars", "edited_sha256", as_hex(F.col("a")).alias("fingerprint"), as_hex(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a") == F.col("b"), F.col("la"), F.col("lb")).alias("near_edited"), likeness(F.col("a") == F.col("c"), F.col("la"), F.col("lc")).alias("near_next"))
