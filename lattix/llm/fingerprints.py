@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-PARAGRAPHS = r"(?<=[\n.!?])"
+PARAGRAPHS = r"(?<=[\n.!?])(?=[^\n.!?])"
 STRONG, WORDS, LANES = 4, 32, 7
 _STRONG_MASK, _WORD_MASK = (1 << 48) - 1, (1 << 56) - 1
 #: Least rows of a window bucket, most buckets, and most quantiles asked for; beyond the quantiles segments are cut evenly.
