@@ -7,7 +7,8 @@ document's ids is decoded without the rest of its shard. Pairs never span two do
     part, shard: order of the shard; n_ids, n_docs: totals; body: the grammar and its documents, see ``pack``.
 
 The library is called for distinct words only: the vocabulary's pre-tokenizer cuts at word borders, and no merge crosses one. Texts
-with characters outside plain Latin letters, or with special tokens, go to the library whole. Each task's memory of words is bounded.
+with characters outside plain Latin letters, or with special tokens, go to the library whole. Each task's memory of words is bounded;
+words of plain texts are told apart by 64-bit hashes.
 
 Null and empty texts hold the end id alone; null ids come first; repeated ids keep all their rows, ordered by their ids' digest.
 """
@@ -23,13 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
-from .bpe import text_runs
-from .common import shared_folder
+from .common import _LOWER, mix, powers, shared_folder, slices, text_buffers
 
 END = 1
 SHARD_IDS = 1 << 20
 MAX_RULES = 14_000
-MEMORY = 600_000
+MEMORY = 1_000_000
 NO_ID = -(1 << 62)
 #: Fixed values of the vocabulary's pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -37,7 +37,26 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 UNUSUAL = "[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u0148\\u014a-\\u017e]|<\\|"
 
 
+def _classes() -> np.ndarray:
+    """Of each byte: 0 white space, 1 letter, 2 digit, 3 other sign, 4 not for the plain path."""
+    out = np.full(256, 4, np.uint8)
+    out[33:127] = 3
+    out[[9, 10, 13, 32]] = 0
+    out[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = 1
+    out[48:58] = 2
+    out[39] = 4  # an apostrophe may begin a contraction
+    return out
+
+
+_CLASS = _classes()
+#: Pairs of bytes that take a text off the plain path: two signs among the letters, letters that change when normalised, special tokens.
+_SLOW = np.zeros(1 << 16, bool)
+_SLOW[[0xC397, 0xC3B7, 0xC4B0, 0xC4B1, 0xC589, 0xC5BF, 0x3C7C]] = True
+
+
 class WordEncoder:
+    """Plain texts are cut into words by byte classes and known words fetched by 64-bit hashes; other texts by the pattern, or whole."""
+
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
@@ -49,30 +68,79 @@ class WordEncoder:
         self.ends = np.zeros(size + 1, bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.words, self.unusual = regex.compile(WORDS).findall, regex.compile(UNUSUAL).search
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | int, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint16).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, keys: list, words: list[str]) -> None:
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.uint16)
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint16)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
-                self.known.update(zip(some, self.whole(some), strict=True))
+                self.known.update(zip(keys[i : i + 4096], self.whole(some), strict=True))
                 continue
             raw, at = ids.tobytes(), [0, *(stops * 2).tolist()]
-            self.known.update((w, raw[at[k] : at[k + 1]]) for k, w in enumerate(some))
-
-    def run(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
+            self.known.update((w, raw[at[k] : at[k + 1]]) for k, w in enumerate(keys[i : i + 4096]))
+
+    def run(self, data: np.ndarray, at: np.ndarray, i: int, j: int) -> list[bytes]:
+        """Little-endian 16-bit ids of the texts of rows i..j-1."""
+        flat, starts = data[at[i] : at[j]], at[i : j + 1] - at[i]
+        kinds = _CLASS[flat]
+        bad = np.concatenate([np.flatnonzero(kinds == 4), np.flatnonzero(_SLOW[(flat[:-1].astype(np.uint16) << 8) | flat[1:]])])
+        slow = np.zeros(j - i, bool)
+        slow[np.searchsorted(starts, bad, "right") - 1] = True
+        out = self._plain(flat, starts, kinds, slow)
+        if slow.any():
+            rows = np.flatnonzero(slow).tolist()
+            for k, ids in zip(rows, self._by_pattern([flat[starts[k] : starts[k + 1]].tobytes().decode() for k in rows]), strict=True):
+                out[k] = ids
+        return out
+
+    def _plain(self, flat: np.ndarray, starts: np.ndarray, kinds: np.ndarray, slow: np.ndarray) -> list[bytes]:
+        n = len(starts) - 1
+        edge = np.concatenate([[True], kinds[1:] != kinds[:-1]])[: len(kinds)] | (kinds == 2)
+        edge[starts[:-1][starts[:-1] < len(flat)]] = True
+        first = np.flatnonzero(edge)
+        stop = np.append(first[1:], len(flat))[: len(first)]
+        row = np.searchsorted(starts, first, "right") - 1
+        keep = (kinds[first] != 0) & ~slow[row]
+        first, stop, row = first[keep], stop[keep], row[keep]
+        if not len(first):
+            return [b""] * n
+        low = _LOWER[flat]
+        up, down = powers(len(low) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low * up[: len(low)])])
+        hashed = mix((total[stop] - total[first]) * down[first] + (stop - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        order = np.argsort(hashed)
+        ordered = hashed[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        where, inverse = order[new], np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        keys = ordered[new].tolist()
+        fresh = [k for k, h in enumerate(keys) if h not in self.known]
+        if len(self.known) + len(fresh) > MEMORY:
+            self.known.clear()
+            fresh = list(range(len(keys)))
+        raw = low.tobytes()
+        self.learn([keys[k] for k in fresh], [raw[first[where[k]] : stop[where[k]]].decode() for k in fresh])
+        found = [self.known[h] for h in keys]
+        pool, sizes = np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) // 2
+        begin = np.cumsum(sizes) - sizes
+        counts = sizes[inverse]
+        stops = np.cumsum(counts)
+        ids = pool[np.repeat(begin[inverse] - stops + counts, counts) + np.arange(stops[-1])].tobytes()
+        ends = np.append(0, stops)[np.searchsorted(row, np.arange(n + 1))] * 2
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _by_pattern(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.unusual(t) else self.words(t.lower()) for t in texts]
         new = set().union(*(c for c in cut if c)) - self.known.keys()
         if len(self.known) + len(new) > MEMORY:
             self.known.clear()
             new = set().union(*(c for c in cut if c))
-        self.learn(list(new))
+        self.learn(list(new), list(new))
         odd = iter(self.whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
         return [next(odd) if c is None else b"".join(map(self.known.__getitem__, c)) for c in cut]
 
@@ -82,40 +150,42 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def re_pair(ids: np.ndarray, last: np.ndarray, first_symbol: int, least: int = 4, rounds: int = 14, per_round: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, its document ends, rules): rule k is the pair that symbol ``first_symbol + k`` stands for. ``last`` marks each document's last id."""
-    seq, rules = ids.astype(np.int64), []
-    made = 0
+def re_pair(ids: np.ndarray, last: np.ndarray, first_symbol: int, least: int = 4, rounds: int = 14, per_round: int = 3500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, its document ends, rules): rule k is the pair that symbol ``first_symbol + k`` stands for. ``last`` marks each document's last id. Symbols are 16-bit numbers under 65535."""
+    seq, rules = ids.astype(np.uint32), []
+    made, none = 0, np.uint32(0xFFFFFFFF)
     for _ in range(rounds):
         room = min(per_round, MAX_RULES - made)
         if len(seq) < 2 or room <= 0:
             break
-        keys = seq[:-1] << 20 | seq[1:]
-        keys[last[:-1]] = -1
+        keys = seq[:-1] << np.uint32(16) | seq[1:]
+        keys[last[:-1]] = none
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         pairs, counts = ordered[edge], np.diff(np.append(edge, len(ordered)))
-        ok = (counts >= least) & (pairs >= 0)
+        ok = (counts >= least) & (pairs != none)
         pairs, counts = pairs[ok], counts[ok]
         if not len(pairs):
             break
         if len(pairs) > room:
-            top = np.argpartition(-counts, room - 1)[:room]
-            pairs, counts = pairs[top], counts[top]
+            pairs = pairs[np.argpartition(-counts, room - 1)[:room]]
         pairs = np.sort(pairs)
-        where = np.searchsorted(pairs, keys)
-        hit = np.flatnonzero(pairs[np.minimum(where, len(pairs) - 1)] == keys)
+        left, right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        left[pairs >> np.uint32(16)], right[pairs & np.uint32(0xFFFF)] = True, True
+        hit = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
+        where = np.searchsorted(pairs, keys[hit])
+        found = pairs[np.minimum(where, len(pairs) - 1)] == keys[hit]
+        hit, where = hit[found], where[found]
         # of overlapping places every other one is replaced, from the left
         begin = np.concatenate([[True], np.diff(hit) > 1])
         run = np.arange(len(hit)) - np.maximum.accumulate(np.where(begin, np.arange(len(hit)), 0))
-        hit = hit[run % 2 == 0]
-        symbols = first_symbol + made + where[hit]
-        seq[hit] = symbols
+        hit, where = hit[run % 2 == 0], where[run % 2 == 0]
+        seq[hit] = first_symbol + made + where
         last[hit] = last[hit + 1]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq, last = seq[keep], last[keep]
-        rules.append(np.stack([pairs >> 20, pairs & 0xFFFFF], 1))
+        rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1).astype(np.int64))
         made += len(pairs)
     return seq, np.flatnonzero(last) + 1, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
@@ -216,8 +286,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
             return out
 
         for batch in batches:
-            for i, j, texts in text_runs(batch, 1):
-                for doc, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.run(texts), strict=True):
+            data, at = text_buffers(batch.column(1))
+            for i, j in slices(at):
+                for doc, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.run(data, at, i, j), strict=True):
                     held_ids.append(doc)
                     held.append(ids + struct.pack("<H", end_id))
                     count += len(ids) // 2 + 1
