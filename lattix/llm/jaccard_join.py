@@ -12,7 +12,8 @@ two sets that share ``need`` tokens share at least l tokens of their first ``siz
    pair was verified. Over these sets tokens are ordered by frequency, rare first, and each set takes the l that makes its estimated
    candidate cost (posting lengths of its prefix, and candidates left to verify) least. A second round of hubs, now by the exact
    number of tokens that no other set holds, joins what is near a group's middle; then pairs of different components that share l
-   tokens at fitting places and sizes are verified.
+   tokens at fitting places and sizes are verified. Tokens of more than ``HOT`` of these sets, as a large group of near copies has,
+   are not paired: each has a pivot set, and the sets that hold it are joined by their differences from the pivot (``pivot_pairs``).
 4. Components of all links.
 
 Null, empty and wordless texts are empty sets linked with nothing; fewer words than n are one n-gram. Repeated rows share a node.
@@ -35,6 +36,7 @@ _WORD = is_word(SPACES)
 ELLS = (1, 2, 4, 8, 16)
 VERIFY_COST = 8
 MAX_BITS = 28
+HOT = 128
 
 
 def row_sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -215,7 +217,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     if more.limit(1).count():
         comps = components(links)
         rows = cut(rows.drop("comp").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v")), "relabelled-prefixes")
-    more = cut(verify(candidate_pairs(rows, percent), sets, percent), "more-links")
+    cold, hot = split_hot(rows)
+    differences = cut(pivot_differences(hot, sets, percent), "pivot-differences")
+    pairs = candidate_pairs(cold, percent).unionByName(pivot_pairs(differences, percent)).distinct()
+    more = cut(verify(pairs, sets, percent), "more-links")
     if more.limit(1).count():
         comps = components(links.unionByName(more))
 
@@ -268,6 +273,57 @@ def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return counted.groupBy(F.col("v_a").alias("v")).agg(F.max_by("v_b", F.struct("k", "v_b")).alias("w"))
 
 
+def split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of tokens of at most HOT sets, (v, n, comp, hub) of the others): hub is the token's set of least own tokens. Tokens of one component are left out."""
+    own = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("own"), F.col("v").alias("hub"))
+    lists = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(own).alias("h")).where("c0 <> c1")
+    cold = rows.join(lists.where(F.col("df") <= HOT).select("token"), "token", "left_semi")
+    hot = rows.join(lists.where(F.col("df") > HOT).select("token", "h.hub"), "token").groupBy("v", "n", "comp", "hub").agg(F.count("*").alias("k"))
+    return cold, hot.where("v <> hub").drop("k")
+
+
+def pivot_differences(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(v, n, comp, hub, linked, d): the tokens that only one of v and its pivot holds, and whether these two link."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, d = [], []
+            for a, b in zip(batch.column(4), batch.column(5), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                d.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+                both = (len(x) + len(y) - len(d[-1])) // 2
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(d, pa.list_(pa.int64()))], names=["v", "n", "comp", "hub", "linked", "d"])
+
+    one = hot.join(sets.select("v", F.col("tokens").alias("a")), "v").join(sets.select(F.col("v").alias("hub"), F.col("tokens").alias("b")), "hub")
+    return one.select("v", "n", "comp", "hub", "a", "b").mapInArrow(work, "v long, n long, comp long, hub long, linked boolean, d array<long>")
+
+
+def pivot_pairs(differences: DataFrame, percent: int) -> DataFrame:
+    """Pairs (v, w) of different components that may link, of sets with one pivot; and each set that links to its pivot with it.
+
+    Sets a and b link when at most t * (|a| + |b|) tokens are in only one of them, t = (100 - percent) / (100 + percent). With A and B
+    their differences from the pivot, they share at least (|A| + |B| - t * (|a| + |b|)) / 2 tokens of these. Two sets that link to the
+    pivot are in one component by that. If a does not link to it, the shared tokens are more than (1 - t) / 2 of B, so prefixes of A and
+    B by rarity meet: few tokens of a group's common text are in them.
+    """
+    t = (100 - percent) / (100 + percent)
+    rows = differences.withColumn("size", F.size("d")).select("v", "n", "comp", "hub", "linked", "size", F.explode("d").alias("d"))
+    of_set = Window.partitionBy("hub", "v")
+    rows = rows.join(rows.groupBy("hub", "d").agg(F.count("*").alias("df")).where("df > 1"), ["hub", "d"])
+    rows = rows.withColumn("pos", F.col("size") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("df", "d")) - 1)
+    least_a = F.greatest(F.lit(1), F.ceil(F.col("size") - t * (1 + 100 / percent) * F.col("n") - 1e-6))
+    least_b = F.greatest(F.lit(1), F.ceil((1 - t) / 2 * F.col("size") - 1e-6))
+    a = rows.where(~F.col("linked") & (F.col("pos") <= F.col("size") - least_a))
+    b = rows.where(F.col("pos") <= F.col("size") - least_b)
+    a, b = (x.select("hub", "d", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "comp", "size", "pos"))) for x, side in ((a, "a"), (b, "b")))
+    need = (F.col("size_a") + F.col("size_b") - t * (F.col("n_a") + F.col("n_b"))) / 2 - 1e-6
+    ok = (F.col("comp_a") != F.col("comp_b")) & (F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= need)
+    met = a.join(b, (a["hub"] == b["hub"]) & (a["d"] == b["d"]) & ok)
+    pairs = met.select(F.least("v_a", "v_b").alias("v"), F.greatest("v_a", "v_b").alias("w"))
+    return pairs.unionByName(differences.where("linked").select("v", F.col("hub").alias("w"))).distinct()
+
+
 def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (v, w) of different components that share enough prefix tokens."""
     ok, ell = fits(percent)

@@ -83,22 +83,24 @@ def test_jaccard_components_equal_brute_force(docs, empty, width, percent):
     assert jaccard_components(empty, width, percent).count() == 0
 
 
-def test_jaccard_components_of_a_large_edited_group(spark):
-    from lattix.llm.jaccard_join import jaccard_components
+@pytest.mark.parametrize(("width", "percent", "hot"), [(4, 85, 128), (4, 85, 3), (5, 80, 3)])
+def test_jaccard_components_of_a_large_edited_group(spark, monkeypatch, width, percent, hot):
+    from lattix.llm import jaccard_join
 
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     base = words(150, 9)
     texts = [edited(base, k % 9, k) for k in range(160)] + [" ".join(words(80, 1000 + k)) + " " + " ".join(base[:30]) for k in range(40)]
-    sets = [frozenset(tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)) for t in texts]
+    sets = [frozenset(tuple(t.split()[k : k + width]) for k in range(len(t.split()) - width + 1)) for t in texts]
     comp = list(range(len(texts)))
     changed = True
     while changed:
         changed = False
         for a in range(len(texts)):
             for b in range(len(texts)):
-                if comp[b] < comp[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                if comp[b] < comp[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                     comp[a], changed = comp[b], True
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    assert sorted((r.doc_id, r.component_id) for r in jaccard_components(df, 4, 85).collect()) == list(enumerate(comp))
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, width, percent).collect()) == list(enumerate(comp))
 
 
 def brute_repeats(texts: list[bytes], window: int):
