@@ -438,7 +438,7 @@ def _(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.round(scalar.dot(F.col("embedding").cast("array<double>"), w), 4).alias("y"))
 
 
-@query("io1_parse_intervals", f"WITH {S} SELECT user_id::VARCHAR AS file, t_idx::INT AS idx, value AS onset, lead(value) OVER v AS \"offset\", CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS label FROM s QUALIFY \"offset\" IS NOT NULL WINDOW v AS (PARTITION BY user_id ORDER BY t_idx)")
+@query("io1_parse_intervals", f"WITH {S} SELECT user_id::VARCHAR AS file, t_idx::INT AS idx, value AS onset, lead(value) OVER v AS \"offset\", CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS label FROM s WINDOW v AS (PARTITION BY user_id ORDER BY t_idx) QUALIFY \"offset\" IS NOT NULL")
 def _(spark, d):
     line = F.concat_ws(",", F.when(F.col("event_type") == "view", ">").otherwise(F.col("event_type")), F.col("value").cast("string"))
     texts = series(spark, d).groupBy(F.col("user_id").cast("string").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("value"))
