@@ -198,8 +198,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     hubs = kept.groupBy("token").agg(F.min(own).alias("h"), F.count("*").alias("df")).where("df > 1").select("token", "h.hub")
     stars = kept.select("token", "v").join(hubs, "token").where("v <> hub").groupBy("v", "hub").agg(F.count("*").alias("k"))
     stars = cut(stars.groupBy("v").agg(F.max_by("hub", F.struct("k", "hub")).alias("w")), "star-pairs")
-    alive = stars.select("v").unionByName(stars.select(F.col("w").alias("v"))).distinct()
-    sets = cut(sets_of(rows, alive, width), "sets")
+    # every survivor's set: a hub of all its tokens has no star, and may be nobody's choice, but can still link
+    sets = cut(sets_of(rows, kept.select("v").distinct(), width), "sets")
     links = cut(verify(stars, sets, percent), "star-links")
     comps = components(links)
 

@@ -103,6 +103,26 @@ def test_jaccard_components_of_a_large_edited_group(spark, monkeypatch, width, p
     assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, width, percent).collect()) == list(enumerate(comp))
 
 
+def test_jaccard_join_has_the_sets_of_all_that_may_link(spark, monkeypatch):
+    from lattix.llm import jaccard_join
+
+    rows = []
+    for seed in range(100):
+        w = [f"s{seed}w{k}" for k in range(10)]
+        rows += [" ".join(w[:9]), " ".join(w), " ".join(w[1:])]
+    missing, inner = [], jaccard_join.adaptive_prefixes
+
+    def spy(left, sets, percent):
+        missing.append((left.count() > 0, left.join(sets, "v", "left_anti").count()))
+        return inner(left, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "adaptive_prefixes", spy)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, 4, 85).collect())
+    assert missing == [(True, 0)]
+    assert got == [(k, k - k % 3) for k in range(len(rows))]
+
+
 def brute_repeats(texts: list[bytes], window: int):
     seen: dict[bytes, int] = {}
     for t in texts:
