@@ -248,16 +248,18 @@ def adaptive_prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFra
     longest = F.expr(f"n - ceil({percent} * n / 100)")
     rows = rows.where(F.col("pos") < longest + max(ELLS))
     costs = [F.struct((F.sum(F.when(F.col("pos") < longest + ell, F.col("df")).otherwise(0)).over(by_v) * (1 + VERIFY_COST / ell)).alias("cost"), F.lit(ell).alias("ell")) for ell in ELLS]
+    # a set is offered no larger l than the tokens it must share with any other
+    costs = [costs[0], *(F.when(F.expr(f"ceil({percent} * n / 100) >= {ell}"), cost) for ell, cost in zip(ELLS[1:], costs[1:], strict=True))]
     rows = rows.withColumn("ell", F.least(*costs)["ell"]).where(F.col("pos") < longest + F.col("ell"))
     return rows.select("token", "v", "n", "comp", "m", "pos", "ell")
 
 
 def fits(percent: int) -> tuple[Column, Column]:
-    """(whether sets a and b of different components can share enough, with the token at a fitting place; the tokens that they must share)."""
+    """(whether sets a and b of different components can share enough, with the token at a fitting place; the prefix tokens that they must share)."""
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     ell = F.least("ell_a", "ell_b")
     ok = (F.col("comp_a") != F.col("comp_b")) & (F.least("m_a", "m_b") >= need)
-    return ok & (F.col("pos_a") < F.col("n_a") - need + ell) & (F.col("pos_b") < F.col("n_b") - need + ell), ell
+    return ok & (F.col("pos_a") < F.col("n_a") - need + ell) & (F.col("pos_b") < F.col("n_b") - need + ell), F.least(ell, need)
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:

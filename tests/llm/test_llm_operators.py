@@ -123,6 +123,36 @@ def test_jaccard_join_has_the_sets_of_all_that_may_link(spark, monkeypatch):
     assert got == [(k, k - k % 3) for k in range(len(rows))]
 
 
+def short_chains(width: int, percent: int, n: int = 300):
+    """Chains of short texts, each chain of its own words, and the chain's number and brute-force component of each."""
+    rows, want = [], []
+    for seed in range(n):
+        r = random.Random(seed)
+        size = r.randint(6, 20)
+        w = [f"s{seed}w{k}x{r.randrange(10**6)}" for k in range(size + 2)]
+        texts = [w[:size], w[: size + 1], w[1 : size + 1]] + [w[1:]] * (seed % 2) + [w[2:]] * (seed % 3 == 0)
+        r.shuffle(texts)
+        sets = [frozenset(tuple(t[k : k + width]) for k in range(len(t) - width + 1)) or frozenset([tuple(t)]) for t in texts]
+        comp = list(range(len(texts)))
+        for _ in texts:
+            for a in range(len(texts)):
+                for b in range(len(texts)):
+                    if comp[b] < comp[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                        comp[a] = comp[b]
+        want += [(len(rows) + k, len(rows) + c) for k, c in enumerate(comp)]
+        rows += [(len(rows) + k, " ".join(t)) for k, t in enumerate(texts)]
+    return rows, want
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_components_of_short_chains(spark, width, percent):
+    from lattix.llm.jaccard_join import jaccard_components
+
+    rows, want = short_chains(width, percent)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_components(df, width, percent).collect()) == want
+
+
 def brute_repeats(texts: list[bytes], window: int):
     seen: dict[bytes, int] = {}
     for t in texts:
