@@ -106,8 +106,8 @@ def word_keys(text: np.ndarray) -> np.ndarray:
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, block: int = 256) -> np.ndarray:
     """For each place of ``order`` the bytes in common with the suffix before it, counted up to ``most``.
 
-    Kasai's bound: a suffix shares at least one byte less than the one that starts before it in the text. Blocks of the text go in
-    step, each keeping its own bound.
+    Kasai's bound: a suffix shares at least one byte less than the one that starts before it in the text, if ``order`` is by whole
+    suffixes. Blocks of the text go in step, each keeping its own bound.
     """
     n = len(text)
     words = np.concatenate([word_keys(text), np.zeros(most + 8, np.uint64)])
@@ -149,13 +149,13 @@ def repeated_windows(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarr
     row = np.repeat(np.arange(len(texts)), sizes)
     start = np.arange(len(flat)) - begin[row]
     valid = start + window <= sizes[row]
-    order = suffix_array(flat, window)
+    order = suffix_array(flat, len(flat))  # in full: the bound of common_prefixes does not hold over ties
     lcp = common_prefixes(flat, order, window)
     at = np.flatnonzero(valid[order])
     if not len(at):
         return at, np.zeros(0, bool), at, at
-    least = np.minimum.reduceat(lcp, np.append(at[:-1] + 1, len(lcp) - 1)[: len(at)]) if len(at) > 1 else np.zeros(1, np.int64)
-    same = np.concatenate([[False], least[: len(at) - 1] >= window])
+    least = np.minimum.reduceat(lcp[: at[-1] + 1], at[:-1] + 1) if len(at) > 1 else np.zeros(0, np.int64)  # up to the last window, not past it
+    same = np.concatenate([[False], least >= window])
     place = order[at]
     return place, same, row[place], start[place]
 

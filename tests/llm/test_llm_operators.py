@@ -199,6 +199,26 @@ def test_suffix_arrays_and_common_prefixes():
             assert lcp[k] == min(n, 200)
 
 
+def test_repeated_windows_of_long_shared_parts():
+    from lattix.llm.suffix_dedup import repeated_windows
+
+    letters = np.frombuffer(b"abcdefghij", np.uint8)
+    for seed in range(60):
+        r = np.random.default_rng(seed)
+        text = lambda n: r.choice(letters, n).tobytes()
+        shared = text(256 + 2 * seed if seed < 56 else 368)
+        # what follows sorts the earlier text last, or first; the neighbour's byte 199 agrees with the shared part's
+        ends = [b"z", b"a"] if seed % 2 else [b"a", b"z"]
+        near = [bytearray(shared[k : k + 30] + text(220)) for k in range(1, 60)]
+        for k, x in enumerate(near, 1):
+            x[199] = shared[k + 199] if k + 199 < len(shared) else x[199]
+        texts = [shared + ends[0] + text(20), shared + ends[1] + text(20), *map(bytes, near)]
+        places, same, row, start = repeated_windows(texts)
+        windows = [texts[i][k : k + 200] for i, k in zip(row, start)]
+        assert windows == sorted(windows) and len(windows) == sum(len(t) - 199 for t in texts)
+        assert same.tolist() == [k > 0 and windows[k] == windows[k - 1] for k in range(len(windows))], seed
+
+
 def test_leaks_are_found_despite_substitutions(spark, docs, empty):
     from lattix.llm.decontaminate import find_leaks
 
