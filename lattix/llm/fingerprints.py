@@ -5,9 +5,8 @@ wide vector; a fingerprint is the sum of its paragraphs' vectors modulo powers o
 a paragraph can be added or taken away without the text (``add``, ``remove``). The vector has two parts:
 
 * ``STRONG`` lanes modulo 2^48, full hashes: equal multisets of paragraphs have equal lanes, others differ but by accident.
-* ``WORDS`` longs modulo 2^56 of seven 8-bit lanes. A paragraph adds one to a single lane; even longs count positive and odd longs
-  negative signs. The cosine of two such signed vectors estimates the share of paragraphs in common. Beyond about 25,000 paragraphs
-  lanes wrap: fingerprints still tell equal from different, likeness gets vague.
+* ``COUNTS`` signed counts, a whole long each, so that no text that fits a row can wrap one. A paragraph adds one to a single count or
+  takes one from it. The cosine of two such vectors estimates the share of paragraphs in common.
 
 Null and empty texts have no paragraphs; their fingerprint is the zero vector, alike to itself (1) and to no other (0).
 """
@@ -19,8 +18,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 PARAGRAPHS = r"(?<=[\n.!?])(?=[^\n.!?])"
-STRONG, WORDS, LANES = 4, 32, 7
-_STRONG_MASK, _WORD_MASK = (1 << 48) - 1, (1 << 56) - 1
+STRONG, GROUPS, LANES = 4, 16, 7
+COUNTS = GROUPS * LANES
+_STRONG_MASK = (1 << 48) - 1
 #: Least rows of a window bucket, most buckets, and most quantiles asked for; beyond the quantiles segments are cut evenly.
 BUCKET_ROWS, MOST_BUCKETS, MOST_QUANTILES = 512, 1 << 16, 1024
 
@@ -31,47 +31,53 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """array<long>: WORDS counting longs, then STRONG hash lanes."""
+    """array<long>: COUNTS signed counts, then STRONG hash lanes."""
     pieces = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPHS), lambda p: p != "")
     return once(F.transform(pieces, lambda p: F.xxhash64(p)), _lanes)
 
 
 def _lanes(hashed: Column) -> Column:
     zero = F.lit(0).cast("long")
-    parts = F.transform(hashed, lambda h: F.struct(h.bitwiseAND(F.lit(WORDS - 1)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(F.shiftrightunsigned(h, 5), F.lit(LANES)) * 8).cast("int")).alias("add")))
+    parts = F.transform(hashed, lambda h: F.struct(F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(GROUPS - 1)).alias("g"), F.pmod(F.shiftrightunsigned(h, 5), F.lit(LANES)).alias("lane"), (1 - 2 * h.bitwiseAND(F.lit(1))).cast("long").alias("sign")))
+    numbers = lambda n: F.sequence(zero, F.lit(n - 1).cast("long"))
 
-    def words(parts: Column) -> Column:
-        return F.transform(F.sequence(zero, F.lit(WORDS - 1).cast("long")), lambda k: F.aggregate(parts, zero, lambda acc, p: F.when(p["w"] == k, (acc + p["add"]).bitwiseAND(F.lit(_WORD_MASK))).otherwise(acc)))
+    def count(some: Column) -> Column:
+        return F.transform(numbers(LANES), lambda k: F.aggregate(some, zero, lambda acc, p: acc + F.when(p["lane"] == k, p["sign"]).otherwise(zero)))
+
+    def counts(parts: Column) -> Column:
+        return F.flatten(F.transform(numbers(GROUPS), lambda g: once(F.filter(parts, lambda p: p["g"] == g), count)))
 
     def lane(seed: int) -> Column:
         return F.aggregate(hashed, zero, lambda acc, h: (acc + F.xxhash64(h, F.lit(seed)).bitwiseAND(F.lit(_STRONG_MASK))).bitwiseAND(F.lit(_STRONG_MASK)))
 
-    return F.concat(once(parts, words), F.array(*(lane(seed) for seed in range(STRONG))))
+    return F.concat(once(parts, counts), F.array(*(lane(seed) for seed in range(STRONG))))
 
 
 def add(a: Column, b: Column) -> Column:
     """The fingerprint of both texts' paragraphs together."""
-    return F.zip_with(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), b, lambda p, y: (p["x"] + y).bitwiseAND(_mask(p["i"])))
+    return F.zip_with(_numbered(a), b, lambda p, y: _wrapped(p["x"] + y, p["i"]))
 
 
 def remove(a: Column, b: Column) -> Column:
     """The fingerprint ``a`` without the paragraphs of ``b``, which it must hold."""
-    return F.zip_with(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), b, lambda p, y: (p["x"] + _mask(p["i"]) + 1 - y).bitwiseAND(_mask(p["i"])))
+    return F.zip_with(_numbered(a), b, lambda p, y: _wrapped(p["x"] - y, p["i"]))
+
+
+def _numbered(a: Column) -> Column:
+    return F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
 
 
-def _mask(i: Column) -> Column:
-    return F.when(i < WORDS, F.lit(_WORD_MASK)).otherwise(F.lit(_STRONG_MASK))
+def _wrapped(value: Column, i: Column) -> Column:
+    return F.when(i < COUNTS, value).otherwise(value.bitwiseAND(F.lit(_STRONG_MASK)))
 
 
 def as_hex(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda x, i: F.lpad(F.lower(F.hex(x)), F.when(i < WORDS, 14).otherwise(12), F.lit("0"))), "")
+    return F.array_join(F.transform(fp, lambda x, i: F.lpad(F.lower(F.hex(x)), F.when(i < COUNTS, 16).otherwise(12), F.lit("0"))), "")
 
 
 def signed_lanes(fp: Column) -> Column:
-    """array<double> of WORDS / 2 * LANES signed counts."""
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(WORDS // 2 * LANES - 1)), lambda i: F.struct((F.floor(i / LANES) * 2).cast("int").alias("w"), (i % LANES * 8).alias("s")))
-    take = lambda w, s: F.call_function("shiftrightunsigned", F.get(fp, w), s).bitwiseAND(F.lit(255))
-    return F.transform(pairs, lambda p: (take(p["w"], p["s"]) - take(p["w"] + 1, p["s"])).cast("double"))
+    """array<double> of COUNTS signed counts."""
+    return F.transform(F.slice(fp, 1, COUNTS), lambda x: x.cast("double"))
 
 
 def likeness(same: Column, a: Column, b: Column) -> Column:

@@ -308,6 +308,18 @@ def test_fingerprints(spark, docs, empty):
     assert one.select(f["x"] == f["y"], add(f["p"], f["rest"]) == f["x"], remove(f["x"], f["p"]) == f["rest"], f["p"] == f["rest"]).first()[:] == (True, True, True, False)
 
 
+def test_likeness_of_lines_that_stand_often(spark):
+    from lattix.llm.fingerprints import add, fingerprint, likeness, signed_lanes
+    from pyspark.sql import functions as F
+
+    rows = [("always this\n" * n + f"line {n}\n" * (n // 4), "always this\n" * (n // 2) + f"line {n}\n" * (n // 4)) for n in (8, 256, 1000, 40_000)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    f = {c: fingerprint(F.col(c)) for c in "ab"}
+    got = df.select(F.char_length("a").alias("size"), likeness(F.lit(False), *(signed_lanes(f[c]) for c in "ab")).alias("near"), (add(f["a"], f["b"]) == fingerprint(F.concat("a", "b"))).alias("sums")).collect()
+    # two lines in different counts: (4, 1) and (2, 1)
+    assert len(got) == 4 and all(abs(r.near - 9 / 85**0.5) < 1e-9 and r.sums for r in got), got
+
+
 def test_fingerprints_over_many_buckets(spark, monkeypatch):
     from lattix.llm import fingerprints
 
