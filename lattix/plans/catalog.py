@@ -182,23 +182,23 @@ def _(spark, d):
 CELLS = "cells AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber AS rep, list(l_quantity::INT ORDER BY l_orderkey, l_partkey, l_suppkey, l_quantity) AS data FROM lineitem GROUP BY ALL)"
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")))
-    g = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("rep")).agg(rows.alias("r"))
-    return g.select("flag", "status", "rep", F.transform("r", lambda x: x["l_quantity"].cast("int")).alias("data"))
+SAMPLE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """The samples of the cells as rows."""
+    return read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("rep"), *SAMPLE_ORDER, F.col("l_quantity").cast("int").alias("data"))
 
 
 @query("a1_concatenate", f"WITH {CELLS} SELECT flag, status, md5(array_to_string(flatten(list(data ORDER BY rep)), ',')) AS data, md5(array_to_string(flatten(list(list_transform(data, lambda x: rep) ORDER BY rep)), ',')) AS mask FROM cells GROUP BY flag, status")
 def _(spark, d):
-    c = tables.concatenate_by_variables(cells(spark, d), ["rep"], fold_mask=True)
-    text = lambda x: F.md5(F.array_join(F.transform(x, lambda v: v.cast("string")), ",").cast("binary"))
-    return c.select("flag", "status", text(F.col("data")).alias("data"), text(F.col("rep_mask")).alias("mask"))
+    c = tables.digest_concatenated(samples(spark, d), ["rep"], SAMPLE_ORDER, fold_mask=True)
+    return c.select("flag", "status", "data", F.col("rep_mask").alias("mask"))
 
 
 @query("a1_concatenate_two", f"WITH {CELLS} SELECT flag, md5(array_to_string(flatten(list(data ORDER BY status, rep)), ',')) AS data FROM cells GROUP BY flag")
 def _(spark, d):
-    c = tables.concatenate_by_variables(cells(spark, d), ["rep", "status"])
-    return c.select("flag", F.md5(F.array_join(F.transform("data", lambda v: v.cast("string")), ",").cast("binary")).alias("data"))
+    return tables.digest_concatenated(samples(spark, d), ["rep", "status"], SAMPLE_ORDER).select("flag", "data")
 
 
 @query("j5_replicate", "WITH f AS (SELECT n_regionkey AS region, max(n_nationkey) AS feature FROM nation GROUP BY 1), x AS (SELECT n_regionkey AS region, n_name AS name, n_nationkey AS data FROM nation) SELECT region, name, data, feature FROM x FULL JOIN f USING (region)")
