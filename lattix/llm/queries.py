@@ -13,7 +13,7 @@ from .licenses import BASE_PHRASES, NOTICES, scan_licenses
 from .suffix_dedup import dedup_substrings
 from .token_files import token_files_round_trip
 from .toxicity import score_texts, train, training_rows
-from .url_filter import BLOCKED_WORDS, judge_urls
+from .url_filter import BLOCKED_GLOBS, BLOCKED_WORDS, judge_urls
 from .warc import archive, audit, build_tree
 
 
@@ -83,9 +83,13 @@ fits AS (
   SELECT n, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(action, length(rhost || rpath)) AS action
   FROM u JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   GROUP BY n),
-words AS (SELECT n, max_by('host:' || w, length(w) * 1000 + ord(w)) AS pattern
-  FROM u, (SELECT unnest([{", ".join(f"'{w}'" for w in BLOCKED_WORDS)}]) AS w)
-  WHERE regexp_matches(host, '(^|[^a-z0-9])' || w || '($|[^a-z0-9])') GROUP BY n)
+found AS (
+  SELECT n, 'host:' || w AS name FROM u, (SELECT unnest([{", ".join(f"'{w}'" for w in BLOCKED_WORDS)}]) AS w)
+  WHERE regexp_matches(host, '(^|[^a-z0-9])' || w || '($|[^a-z0-9])')
+  UNION ALL
+  SELECT n, g FROM u, (SELECT unnest([{", ".join(f"'{g}'" for g in BLOCKED_GLOBS)}]) AS g)
+  WHERE regexp_full_match(host || path, '([^/]*[.])?' || replace(replace(g, '.', '[.]'), '*', '.*'))),
+words AS (SELECT n, substr(max(printf('%04d', length(name)) || name), 5) AS pattern FROM found GROUP BY n)
 SELECT page_id, host, path, rule,
        CASE WHEN action IS NOT NULL THEN action WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
        coalesce(rule, pattern) AS pattern
