@@ -4,11 +4,14 @@ A text is cut into paragraphs (after every line end or sentence end, so that the
 wide vector; a fingerprint is the sum of its paragraphs' vectors modulo powers of two, so the order of paragraphs does not count and
 a paragraph can be added or taken away without the text (``add``, ``remove``). The vector has two parts:
 
-* ``STRONG`` lanes modulo 2^48, full hashes: equal multisets of paragraphs have equal lanes, others differ but by accident.
+* ``STRONG`` lanes modulo 2^48, each the sum of a hash of its own of the paragraph's bytes: equal multisets of paragraphs have equal
+  lanes, others differ but by accident.
 * ``COUNTS`` signed counts, a whole long each, so that no text that fits a row can wrap one. A paragraph adds one to a single count or
   takes one from it. The cosine of two such vectors estimates the share of paragraphs in common.
 
-Null and empty texts have no paragraphs; their fingerprint is the zero vector, alike to itself (1) and to no other (0).
+Null and empty texts have no paragraphs; their fingerprint is the zero vector, alike to itself (1) and to no other (0). Very long texts
+are one row's value; their counts do not wrap. Rows with a null id come first; rows that share an id go by their texts. An empty table
+gives no rows. Only the id and text columns are read, so that other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,12 +36,13 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 def fingerprint(text: Column) -> Column:
     """array<long>: COUNTS signed counts, then STRONG hash lanes."""
     pieces = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPHS), lambda p: p != "")
-    return once(F.transform(pieces, lambda p: F.xxhash64(p)), _lanes)
+    wide = lambda p: F.struct(F.xxhash64(p).alias("h"), *(F.xxhash64(F.lit(seed), p).alias(f"s{seed}") for seed in range(STRONG)))
+    return once(F.transform(pieces, wide), _lanes)
 
 
 def _lanes(hashed: Column) -> Column:
     zero = F.lit(0).cast("long")
-    parts = F.transform(hashed, lambda h: F.struct(F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(GROUPS - 1)).alias("g"), F.pmod(F.shiftrightunsigned(h, 5), F.lit(LANES)).alias("lane"), (1 - 2 * h.bitwiseAND(F.lit(1))).cast("long").alias("sign")))
+    parts = F.transform(hashed["h"], lambda h: F.struct(F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(GROUPS - 1)).alias("g"), F.pmod(F.shiftrightunsigned(h, 5), F.lit(LANES)).alias("lane"), (1 - 2 * h.bitwiseAND(F.lit(1))).cast("long").alias("sign")))
     numbers = lambda n: F.sequence(zero, F.lit(n - 1).cast("long"))
 
     def count(some: Column) -> Column:
@@ -48,7 +52,7 @@ def _lanes(hashed: Column) -> Column:
         return F.flatten(F.transform(numbers(GROUPS), lambda g: once(F.filter(parts, lambda p: p["g"] == g), count)))
 
     def lane(seed: int) -> Column:
-        return F.aggregate(hashed, zero, lambda acc, h: (acc + F.xxhash64(h, F.lit(seed)).bitwiseAND(F.lit(_STRONG_MASK))).bitwiseAND(F.lit(_STRONG_MASK)))
+        return F.aggregate(hashed[f"s{seed}"], zero, lambda acc, h: (acc + h).bitwiseAND(F.lit(_STRONG_MASK)))
 
     return F.concat(once(parts, counts), F.array(*(lane(seed) for seed in range(STRONG))))
 
