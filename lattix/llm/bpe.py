@@ -6,7 +6,9 @@ together as the rows of a matrix. Very long words (over ``LONG`` bytes) use a he
 quadratic there. Each task keeps the words it has met in a bounded memory.
 
 One map-only pass: no shuffle. Null and empty texts have no ids. Special tokens that stand in a text are their own id, as in the
-tokenizers library; ``decode`` gives their string back.
+tokenizers library; decoding looks each id up and gives their string back, and bytes that are no UTF-8 become replacement signs. Long
+texts are taken whole; a task works on a few million characters at a time, or one text. Repeated rows and null ids each get their own
+rows; an empty table gives none. Only the id and text columns are read, so that other columns may have any name.
 """
 
 from __future__ import annotations
@@ -168,8 +170,8 @@ class Codec:
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda t: [t]
         self.special = special
         self.ids: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}
         self.names = {i: b"%d," % i for i in self.vocabulary.bytes}
+        self.back = {b"%d" % i: raw for i, raw in self.vocabulary.bytes.items()}
 
     def cut(self, text: str) -> list[str]:
         if not any(s in text for s in self.special):
@@ -180,28 +182,29 @@ class Codec:
         return out
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode words not met before, and decode them again: words that come back changed are kept in ``odd``."""
-        special, names, back = self.vocabulary.special, self.names, self.vocabulary.bytes
+        """Encode words not met before."""
+        special, names = self.vocabulary.special, self.names
         raw = [b"" if p in special else p.encode() for p in pieces]
-        for p, word, ids in zip(pieces, raw, self.vocabulary.encode_words(raw), strict=True):
-            if p in special:
-                word, ids = p.encode(), [special[p]]
-            self.ids[p] = b"".join([names[i] for i in ids])
-            if (decoded := b"".join([back[i] for i in ids])) != word:
-                self.odd[p] = decoded
-
-    def run(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text: its decimal ids, each followed by a comma, and the bytes that they decode to."""
+        for p, ids in zip(pieces, self.vocabulary.encode_words(raw), strict=True):
+            self.ids[p] = names[special[p]] if p in special else b"".join([names[i] for i in ids])
+
+    def run(self, texts: list[str]) -> Iterator[bytes]:
+        """For each text its decimal ids, each followed by a comma."""
         cut = [self.cut(t) for t in texts]
         new = set().union(*cut) - self.ids.keys()
         if len(self.ids) + len(new) > MEMORY:  # what this run needs is learnt anew
             self.ids.clear()
-            self.odd.clear()
             new = set().union(*cut)
         self.learn(list(new))
-        for text, pieces in zip(texts, cut, strict=True):
-            decoded = b"".join([self.odd.get(p) or p.encode() for p in pieces]) if self.odd else text.encode()
-            yield b"".join(map(self.ids.__getitem__, pieces)), decoded
+        for pieces in cut:
+            yield b"".join(map(self.ids.__getitem__, pieces))
+
+    def decode(self, line: bytes) -> bytes:
+        """The bytes that decimal ids, each followed by a comma, stand for; ids that the vocabulary lacks stand for none."""
+        try:
+            return b"".join(map(self.back.__getitem__, line[:-1].split(b","))) if line else b""
+        except KeyError:
+            return b"".join([self.back.get(i, b"") for i in line[:-1].split(b",")])
 
 
 def text_runs(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[tuple[int, int, list[str]]]:
@@ -221,10 +224,10 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for i, j, texts in text_runs(batch, 1):
                 counts, ids, back = [], [], []
-                for line, decoded in codec.run(texts):
+                for line in codec.run(texts):
                     counts.append(line.count(b","))
                     ids.append(hashlib.sha256(line[:-1]).hexdigest())
-                    back.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
+                    back.append(hashlib.sha256(codec.decode(line).decode("utf-8", "replace").encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text").mapInArrow(work, SCHEMA)
@@ -237,7 +240,19 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         codec = Codec(path)
         for batch in batches:
             for i, j, texts in text_runs(batch, 1):
-                ids = [np.fromstring(line[:-1].decode(), np.int32, sep=",") if line else np.zeros(0, np.int32) for line, _ in codec.run(texts)]
+                ids = [np.fromstring(line[:-1].decode(), np.int32, sep=",") if line else np.zeros(0, np.int32) for line in codec.run(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text").mapInArrow(work, "doc_id long, ids array<int>")
+
+
+def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Per document the text that its ids stand for; null and empty lists give an empty text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = vocabulary(path).bytes
+        for batch in batches:
+            texts = [b"".join([back.get(i, b"") for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.selectExpr(f"cast({id_col} as long) as doc_id", f"{ids_col} as ids").mapInArrow(work, "doc_id long, text string")
