@@ -40,6 +40,18 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in so many rows is frequent; there are fewer frequent keys than this.
+SPREAD = 4096
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``keys`` (one row a key, its number of rows in ``df``) without a task for a frequent key: the fewer than SPREAD frequent keys are broadcast, the others shuffled."""
+    limit = (keys.agg(F.sum("df")).first()[0] or 0) // SPREAD
+    few = F.broadcast(keys.where(F.col("df") > limit))
+    rest = rows.join(few.select(key), key, "left_anti").join(keys.where(F.col("df") <= limit), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that cut() wrote and nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -142,6 +154,15 @@ def shingles(hashed: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray
     return mix(out), row
 
 
+def with_row_hash(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a long that tells its rows apart by all their columns, nulls included, and that column's name. Only rows that are equal throughout share one."""
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    columns = [F.col(c) for c in df.columns]
+    return df.withColumn(name, F.xxhash64(*columns, *(c.isNull() for c in columns))), name
+
+
 def with_row_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under names that clash with nothing."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
