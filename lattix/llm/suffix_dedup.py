@@ -1,19 +1,23 @@
 """Suffix-array dedup: remove every byte that a repeated ``WINDOW``-byte string covers, over all documents, exactly.
 
-Comparing suffixes of all shards with each other would grow with the square of the shards. Equal strings are brought together first:
+Comparing suffixes of all shards with each other would grow with the square of the shards, so equal strings are brought together first:
 
 1. Each window has one anchor, its leftmost minimal 32-byte hash, so equal windows have equal anchors at equal distance. A run of
-   windows with one anchor is a context: the anchor's hash, the context's hash, and where it lies. About one byte in 85 starts one.
-2. Anchors that occur once end here. Where all contexts of an anchor are equal, or a context occurs twice, all its windows repeat.
-3. Only different contexts of one anchor are left, one copy of each. They are dealt to shards by anchor. A shard sorts its suffixes
-   by Larsson-Sadakane refinement in numpy and takes common prefixes by Kasai's bound; a window repeats where a neighbour shares
-   ``WINDOW`` bytes. An anchor with more than ``PIECE`` contexts is split over shards; each gives its sorted windows, which are dealt
-   by value and merged by binary search.
-4. The repeated stretches of a document are joined to its text.
-
-Hot passages cost rows in proportion to their places: counts are pre-aggregated before their shuffle, the place join may be split by
-Spark, and split anchors meet by window value. Null and empty texts and those under ``WINDOW`` bytes keep everything. Repeated rows
-are copies of each other: all their windows repeat. Documents are known by id and a hash of their text, so ids may repeat or be null.
+   windows with one anchor is a context, some 285 bytes. Anchors are counted; a context whose anchor stands nowhere else cannot repeat
+   and ends here. (A bit filter of bounded size tells it; what it lets through by chance only costs work.)
+2. Contexts of equal bytes, told by a 128-bit digest of them, are counted as one. If there are two, all their windows repeat.
+3. Of anchors with different contexts one copy of each goes to a bucket by anchor, as bytes. A bucket deals them by source text to
+   shards; a shard sorts its suffixes by Larsson-Sadakane refinement in numpy and takes common prefixes by Kasai's bound, which tells
+   the windows that repeat in it. Shards are merged by binary search: each window of one is looked up in the sorted windows of the
+   others by its bytes, eight at a time, over ever smaller ranges.
+4. An anchor of more than ``PIECE`` contexts is split over buckets. Their sorted windows meet as bytes in ranges of window values.
+5. The repeated stretches of a document are joined to its text.
+
+Hot passages cost rows in proportion to their places: counts are pre-aggregated, and contexts of very many places are told by their
+count and broadcast (``spread_join``). Null and empty texts and those under ``WINDOW`` bytes keep everything. Repeated rows are copies
+of each other: all their windows repeat. Documents are known by id and a hash of their text, so ids may repeat or be null. Very long
+texts are cut into stretches of ``CHUNK`` bytes that overlap by a window, so only their bytes are held whole. An empty table gives no
+rows. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,22 +29,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut, mix, powers, slices, text_buffers
+from .common import cut, mix, powers, slices, spread_join, text_buffers
+from .decontaminate import _has, _probes, seed_filter
 
 WINDOW, GRAM = 200, 32
 PIECE = 8192
-SHARD_BYTES = 3 << 20
-_POSITION = np.uint64((1 << 28) - 1)
+SHARD_BYTES, BUCKET_BYTES, CHUNK = 3 << 19, 3 << 20, 1 << 21
+MAX_BITS = 28
+#: Places of a text; Spark's strings are shorter.
+_POSITION = np.uint64((1 << 31) - 1)
 _KEY = ["doc_id", "th"]
 
 
-def contexts(data: np.ndarray, at: np.ndarray, i: int, j: int, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, row from i, context's start in its row, its length) of rows i..j-1."""
-    flat = data[at[i] : at[j]]
+def contexts(data: np.ndarray, at: np.ndarray, i: int, j: int, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor hash, row from i, context's start in its row, its length) of rows i..j-1; a very long row by stretches."""
+    if j - i > 1 or at[j] - at[i] <= CHUNK:
+        yield _contexts(data[at[i] : at[j]], at[i : j + 1] - at[i], window, gram)
+        return
+    for begin in range(0, int(at[j] - at[i]) - window + 1, CHUNK):
+        some = data[at[i] + begin : min(at[i] + begin + CHUNK + window - 1, at[j])]
+        a, row, pos, size = _contexts(some, np.array([0, len(some)]), window, gram)
+        yield a, row, pos + begin, size
+
+
+def _contexts(flat: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     n = len(flat) - window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none, none
+        return none, none, none, none
     up, down = powers(len(flat) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat * up[: len(flat)])])
     grams = mix((total[gram:] - total[:-gram]) * down[: len(flat) - gram + 1])
@@ -52,18 +68,14 @@ def contexts(data: np.ndarray, at: np.ndarray, i: int, j: int, window: int = WIN
     if width < span:
         low = np.minimum(low[: n], low[span - width : span - width + n])
     anchor = (low[:n] & _POSITION).astype(np.int64)
-    starts = at[i : j + 1] - at[i]
     ends_at = np.repeat(starts[1:], np.diff(starts))
     ok = np.flatnonzero(np.arange(n) + window <= ends_at[:n])
     if not len(ok):
-        return none, none, none, none, none
+        return none, none, none, none
     edge = np.flatnonzero(np.concatenate([[True], (np.diff(anchor[ok]) != 0) | (np.diff(ok) > 1)]))
     first, last = ok[edge], ok[np.append(edge[1:], len(ok)) - 1]
-    a = grams[anchor[first]]
-    stop = last + window
-    c = mix((total[stop] - total[first]) * down[first] + (anchor[first] - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     row = np.searchsorted(starts, first, "right") - 1
-    return a.view(np.int64), c.view(np.int64), row, first - starts[row], stop - first
+    return grams[anchor[first]].view(np.int64), row, first - starts[row], last + window - first
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -160,7 +172,56 @@ def repeated_windows(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarr
     return place, same, row[place], start[place]
 
 
-_MARKS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("len", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+class Run:
+    """A shard's windows in the order of their bytes. repeats: of each class of equal windows, whether it is known to repeat."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        self.window, self.words = window, word_keys(flat)
+        self.place, self.same, self.row, self.start = repeated_windows(texts, window)
+        self.head = np.flatnonzero(~self.same)
+        self.of = np.cumsum(~self.same) - 1
+        self.repeats = np.diff(np.append(self.head, len(self.same))) > 1
+
+    def word(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The k-th eight bytes of the windows at sorted places ``at``; the last eight end with the window."""
+        return self.words[self.place[at] + min(8 * k, self.window - 8)]
+
+
+def _bound(run: Run, k: int, low: np.ndarray, high: np.ndarray, target: np.ndarray, after: bool) -> np.ndarray:
+    """By binary search in each range low..high-1, whose windows are in order of their k-th word: the first that is not under (or, ``after``, that is over) the target."""
+    low, high = low.copy(), high.copy()
+    live = np.flatnonzero(low < high)
+    while len(live):
+        mid = (low[live] + high[live]) >> 1
+        word = run.word(mid, k)
+        up = word <= target[live] if after else word < target[live]
+        low[live] = np.where(up, mid + 1, low[live])
+        high[live] = np.where(up, high[live], mid)
+        live = live[low[live] < high[live]]
+    return low
+
+
+def merge(a: Run, b: Run) -> None:
+    """Look up each different window of ``b`` in ``a``; those found repeat in both."""
+    if not len(a.place) or not len(b.place):
+        return
+    first = a.word(np.arange(len(a.place)), 0)
+    target = b.word(b.head, 0)
+    low, high = np.searchsorted(first, target, "left"), np.searchsorted(first, target, "right")
+    left = np.flatnonzero(low < high)
+    for k in range(1, -(-a.window // 8)):
+        low, high, target = low[left], high[left], b.word(b.head[left], k)
+        low, high = _bound(a, k, low, high, target, False), _bound(a, k, low, high, target, True)
+        found = low < high
+        low, high, left = low[found], high[found], left[found]
+        wide = np.empty(len(b.head), np.int64)
+        wide[left] = low
+        low, wide = wide, np.empty(len(b.head), np.int64)
+        wide[left] = high
+        high = wide
+    b.repeats[left] = True
+    a.repeats[a.of[low[left]]] = True
 
 
 def _stretches(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -169,76 +230,97 @@ def _stretches(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1] - p[0]) + window) for p in np.split(starts, cuts)] if len(starts) else []
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece: int = PIECE, texts: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document; with ``texts`` also ``kept``, what is left of its text, and ``row``, a struct of its other columns."""
     rest = F.struct(*(F.col(c) for c in docs.columns if c != text_col)) if texts else F.struct(F.lit(0).alias("none"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("row"))
+    long_ones = rows.where(F.octet_length("text") >= window).drop("row")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_buffers(batch.column(0))
+            for i, j in slices(at):
+                for a, *_ in contexts(data, at, i, j, window):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(a, return_counts=True)], names=["hash", "n"])
+
+    anchors = cut(long_ones.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "repeated-anchors")
+    bits = max(16, min(MAX_BITS, (16 * anchors.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(seed_filter(anchors, bits))  # at most 2^MAX_BITS bits
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch in batches:
             data, at = text_buffers(batch.column(2))
+            view = memoryview(data)
             for i, j in slices(at):
-                a, c, row, pos, size = contexts(data, at, i, j, window)
-                if len(a):
-                    at_row = pa.array(row + i)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), batch.column(0).take(at_row), batch.column(1).take(at_row), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32))], names=["a", "c", *_KEY, "pos", "len"])
-
-    found = rows.where(F.octet_length("text") >= window).drop("row").mapInArrow(find, "a long, c long, doc_id long, th long, pos int, len int")
-    anchors = found.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("a", (F.col("c0") != F.col("c1")).alias("mixed"))
-    places = cut(found.join(anchors, "a"), "repeated-anchors")
-    plain, mixed = places.where("not mixed"), places.where("mixed")
-    kinds = mixed.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "pos", "len")).alias("one"))
-    kinds = cut(kinds, "contexts")
-    twice = mixed.join(kinds.where("n > 1").select("a", "c"), ["a", "c"], "left_semi")
-    full = plain.select(*_KEY, "pos", "len").unionByName(twice.select(*_KEY, "pos", "len"))
+                for a, row, pos, size in contexts(data, at, i, j, window):
+                    one, two = _probes(a.view(np.uint64), bits)
+                    ok = np.flatnonzero(_has(bitmap, one) & _has(bitmap, two))
+                    if len(ok):
+                        a, row, pos, size = a[ok], row[ok] + i, pos[ok], size[ok]
+                        begin = at[row] + pos
+                        k = [hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k, pa.binary()), *(batch.column(c).take(pa.array(row)) for c in (0, 1)), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32))], names=["a", "k", *_KEY, "pos", "len"])
+
+    places = cut(long_ones.mapInArrow(find, "a long, k binary, doc_id long, th long, pos int, len int"), "places")
+    kinds = cut(places.groupBy("a", "k").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "pos", "len")).alias("one")), "contexts")
+    full = spread_join(places.select("k", *_KEY, "pos", "len"), kinds.where("n > 1").select("k", F.col("n").alias("df")), "k").select(*_KEY, "pos", "len")
 
     # contexts to compare: one copy of each, with its bytes
-    pieces = kinds.groupBy("a").agg(F.ceil(F.count("*") / piece).alias("pieces"), F.sum(F.col("one.len")).alias("bytes"))
-    total = pieces.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    sole = kinds.join(pieces.select("a", "pieces"), "a")
-    home = F.when(F.col("pieces") > 1, F.xxhash64("a", F.pmod(F.xxhash64("c"), F.col("pieces")))).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards)))
-    sole = sole.select("one.*", home.alias("shard"), F.col("a"), (F.col("pieces") > 1).alias("split"), (F.col("n") > 1).alias("full"))
-    wanted = sole.groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "len", "shard", "a", "split", "full")).alias("parts"))
+    mixed = kinds.groupBy("a").agg(F.count("*").alias("df"), F.sum("one.len").alias("bytes")).where("df > 1")
+    mixed = cut(mixed.withColumn("pieces", F.ceil(F.col("df") / piece)), "mixed-anchors")
+    buckets = max(1, -(-(mixed.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
+    sole = spread_join(kinds, mixed, "a")
+    home = F.when(F.col("pieces") > 1, F.xxhash64("a", F.pmod(F.xxhash64("k"), F.col("pieces")))).otherwise(F.pmod(F.xxhash64("a"), F.lit(buckets)))
+    sole = sole.select("one.*", home.alias("bucket"), (F.col("pieces") > 1).alias("split"), (F.col("n") > 1).alias("full"))
+    wanted = cut(sole.groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "len", "bucket", "split", "full")).alias("parts")), "wanted")
     null_safe = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
-    touched = places.select(*_KEY).distinct()
+    touched = cut(full.select(*_KEY).unionByName(wanted.select(*_KEY)).distinct(), "touched")
     texts_of = cut(rows.join(touched, null_safe(rows, touched), "left_semi"), "touched-texts")
     asked = texts_of.join(wanted, null_safe(texts_of, wanted)).select(texts_of["doc_id"], texts_of["th"], "text", "parts")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("shard", pa.int64()), ("a", pa.int64()), ("split", pa.bool_()), ("full", pa.bool_()), *((x, pa.int64()) for x in _KEY), ("pos", pa.int32()), ("bytes", pa.binary())])
+        kind = pa.schema([("bucket", pa.int64()), ("split", pa.bool_()), ("full", pa.bool_()), *((x, pa.int64()) for x in _KEY), ("pos", pa.int32()), ("bytes", pa.binary())])
         for batch in batches:
             data, at = text_buffers(batch.column(2))
             for k, parts in enumerate(batch.column(3).to_pylist()):
                 text = memoryview(data[at[k] : at[k + 1]])
                 doc, th = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                yield pa.RecordBatch.from_pylist([{"shard": p["shard"], "a": p["a"], "split": p["split"], "full": p["full"], "doc_id": doc, "th": th, "pos": p["pos"], "bytes": bytes(text[p["pos"] : p["pos"] + p["len"]])} for p in parts], schema=kind)
-
-    bits = asked.mapInArrow(pick, "shard long, a long, split boolean, full boolean, doc_id long, th long, pos int, bytes binary")
-
-    def sort_shard(table: pa.Table) -> pa.Table:
-        split, full = table.column("split").to_numpy(zero_copy_only=False), table.column("full").to_numpy(zero_copy_only=False)
-        ids, ths, pos, a = table.column("doc_id").to_pylist(), table.column("th").to_pylist(), table.column("pos").to_numpy(), table.column("a").to_numpy()
-        parts = table.column("bytes").to_pylist()
-        _, same, row, start = repeated_windows(parts, window)
-        twin = same | np.append(same[1:], False) if len(same) else same
-        out = []
-        hit = np.flatnonzero(twin & ~full[row])
-        hit = hit[np.lexsort((start[hit], row[hit]))]
-        for p in np.split(hit, np.flatnonzero(np.diff(row[hit])) + 1) if len(hit) else ():
-            r = int(row[p[0]])
-            out += [{"doc_id": ids[r], "th": ths[r], "pos": int(pos[r]) + s, "len": n, "low": None, "high": None} for s, n in _stretches(start[p], window)]
-        # an anchor that is split over shards: its sorted windows go on to be merged; len 0 marks a window known to repeat
-        for k in np.flatnonzero(split[row] & ~same if len(row) else row):
-            r, s = int(row[k]), int(start[k])
-            d = hashlib.blake2b(parts[r][s : s + window] + int(a[r]).to_bytes(8, "little", signed=True), digest_size=16).digest()
-            out.append({"doc_id": ids[r], "th": ths[r], "pos": int(pos[r]) + s, "len": -1 if full[r] or twin[k] else 0, "low": int.from_bytes(d[:8], "little", signed=True), "high": int.from_bytes(d[8:], "little", signed=True)})
-        return pa.Table.from_pylist(out, schema=_MARKS)
-
-    sorted_ = cut(bits.groupBy("shard").applyInArrow(sort_shard, "doc_id long, th long, pos int, len int, low long, high long"), "sorted-shards")
-    shared = sorted_.where("low is null").select(*_KEY, "pos", "len")
-    merged = sorted_.where("low is not null").groupBy(F.shiftrightunsigned("high", 50).alias("range")).applyInArrow(_merge(window), "doc_id long, th long, pos int, len int")
-    marks = full.unionByName(shared).unionByName(merged).groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "len")).alias("marks"))
+                yield pa.RecordBatch.from_pylist([{"bucket": p["bucket"], "split": p["split"], "full": p["full"], "doc_id": doc, "th": th, "pos": p["pos"], "bytes": bytes(text[p["pos"] : p["pos"] + p["len"]])} for p in parts], schema=kind)
+
+    bits_of = asked.mapInArrow(pick, "bucket long, split boolean, full boolean, doc_id long, th long, pos int, bytes binary")
+
+    def sort_bucket(table: pa.Table) -> pa.Table:
+        split, full = (table.column(c).to_numpy(zero_copy_only=False) for c in ("split", "full"))
+        ids, ths, pos, parts = table.column("doc_id").to_pylist(), table.column("th").to_numpy(), table.column("pos").to_numpy(), table.column("bytes").to_pylist()
+        shards = max(2, -(-sum(map(len, parts)) // shard_bytes))
+        dealt = [np.flatnonzero(ths.view(np.uint64) % np.uint64(shards) == s) for s in range(shards)]
+        runs = [Run([parts[k] for k in some], window) for some in dealt]
+        for k, run in enumerate(runs):
+            for other in runs[:k]:
+                merge(other, run)
+        cols: list[list] = [[], [], [], [], []]
+        for some, run in zip(dealt, runs, strict=True):
+            twin, row = run.repeats[run.of], some[run.row]
+            hit = np.flatnonzero(twin & ~full[row])
+            hit = hit[np.lexsort((run.start[hit], row[hit]))]
+            for p in np.split(hit, np.flatnonzero(np.diff(row[hit])) + 1) if len(hit) else ():
+                r = int(row[p[0]])
+                for begin, size in _stretches(run.start[p], window):
+                    for c, x in zip(cols, (ids[r], int(ths[r]), int(pos[r]) + begin, size, None), strict=True):
+                        c.append(x)
+            # an anchor that is split over buckets: its different windows go on; len -1 marks one known to repeat
+            for k in run.head[split[row[run.head]]] if len(run.head) else ():
+                r, begin = int(row[k]), int(run.start[k])
+                for c, x in zip(cols, (ids[r], int(ths[r]), int(pos[r]) + begin, -1 if twin[k] or full[r] else 0, parts[r][begin : begin + window]), strict=True):
+                    c.append(x)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=[*_KEY, "pos", "len", "bytes"])
+
+    sorted_ = cut(bits_of.groupBy("bucket").applyInArrow(sort_bucket, "doc_id long, th long, pos int, len int, bytes binary"), "sorted-buckets")
+    shared_ones = sorted_.where("bytes is null").select(*_KEY, "pos", "len")
+    ranges = sorted_.where("bytes is not null").repartitionByRange("bytes").sortWithinPartitions("bytes")
+    merged = ranges.mapInArrow(_neighbours(window), "doc_id long, th long, pos int, len int")
+    marks = full.unionByName(shared_ones).unionByName(merged).groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "len")).alias("marks"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,15 +353,28 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out if texts else out.drop("row", "kept")
 
 
-def _merge(window: int):
-    def merge(table: pa.Table) -> pa.Table:
-        """Sorted windows of several shards, merged by binary search: a window that another shard holds too repeats."""
-        low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-        key = np.rec.fromarrays([high, low], names="high,low")
-        ordered = np.sort(key)
-        n = np.searchsorted(ordered, key, "right") - np.searchsorted(ordered, key, "left")
-        hit = np.flatnonzero((n > 1) & (table.column("len").to_numpy() == 0))
-        out = table.take(pa.array(hit)).select(["doc_id", "th", "pos"])
-        return out.append_column("len", pa.array(np.full(len(hit), window, np.int32)))
+def _neighbours(window: int):
+    """Of windows in the order of their bytes, one from each bucket: those that equal the one before or after and were not known to repeat."""
 
-    return merge
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(rows: pa.Table) -> pa.RecordBatch:
+            raw = rows.column("bytes").to_pylist()
+            equal = np.array([x == y for x, y in zip(raw, raw[1:])], bool)
+            twin = np.concatenate([[False], equal]) | np.append(equal, False)
+            out = rows.filter(pa.array(twin & (rows.column("len").to_numpy() == 0))).select([*_KEY, "pos"]).combine_chunks()
+            return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in out.columns), pa.array(np.full(len(out), window, np.int32))], names=[*_KEY, "pos", "len"])
+
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            raw = table.column("bytes").to_pylist()
+            stop = next((k + 1 for k in range(len(raw) - 2, -1, -1) if raw[k] != raw[-1]), 0)  # the last value waits for the next batch
+            if stop:
+                yield settle(table.slice(0, stop))
+            held = table.slice(stop)
+        if held is not None and len(held):
+            yield settle(held)
+
+    return work
