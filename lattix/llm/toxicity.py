@@ -6,7 +6,9 @@ In a second pass each training document becomes its set of picked features, and
 bounded matrix. Scoring is map-only over whole texts: no shuffle, so no source or copy group can pile up in a task.
 
 Labels, language, source and id are never inputs of a score. Null and empty texts hold no n-gram and get the score of the intercept.
-Null labels and ids are left out of training. With a single class among the labels every score is that class's smoothed share.
+Null labels and ids are left out of training. With a single class among the labels every score is that class's smoothed share. Very
+long texts are read whole, a stretch of ``STRETCH`` bytes at a time, so memory does not grow with them. Repeated rows are scored alike;
+an empty table gives no rows. Columns are added under a name of the caller's choice, and clashes are refused.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,6 +24,8 @@ from .common import _LOWER, cut, slices, text_buffers
 
 BITS = 18
 WIDTHS = (3, 4, 5, 6)
+#: Bytes that are worked on at once.
+STRETCH = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -51,16 +54,30 @@ def gram_hashes(flat: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def row_features(data: np.ndarray, at: np.ndarray, i: int, j: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row from i, feature) without repeats, sorted."""
+    if j - i == 1 and at[j] - at[i] > STRETCH:
+        return _long_features(data[at[i] : at[j]], slot)
     bounds = at[i : j + 1] - at[i]
-    keys = []
+    kind = np.uint32 if (j - i) << BITS <= 1 << 32 else np.uint64
+    keys = [np.zeros(0, kind)]
     for width, hashed in gram_hashes(_LOWER[data[at[i] : at[j]]]):
         f = slot[hashed]
         hit = np.flatnonzero(f)
         row = np.searchsorted(bounds, hit, "right") - 1
         inside = hit + width <= bounds[row + 1]
-        keys.append(row[inside] << 32 | f[hit[inside]].astype(np.int64) - 1)
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return key >> 32, key & 0xFFFFFFFF
+        keys.append((row[inside] << BITS | f[hit[inside]].astype(np.int64) - 1).astype(kind))
+    key = np.sort(np.concatenate(keys))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]].astype(np.int64)
+    return key >> BITS, key & ((1 << BITS) - 1)
+
+
+def _long_features(text: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of one text, marked stretch by stretch."""
+    held = np.zeros(int(slot.max()) + 1, bool)
+    for begin in range(0, len(text), STRETCH):
+        for _, hashed in gram_hashes(_LOWER[text[begin : begin + STRETCH + max(WIDTHS) - 1]]):
+            held[slot[hashed]] = True
+    found = np.flatnonzero(held[1:])
+    return np.zeros(len(found), np.int64), found
 
 
 def train(labelled: DataFrame, max_rows: int = 20_000, features: int = 2048, rounds: int = 300, penalty: float = 1e-3) -> Model:
@@ -74,12 +91,12 @@ def train(labelled: DataFrame, max_rows: int = 20_000, features: int = 2048, rou
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = np.zeros((2, size), np.uint32), np.zeros(2, np.int64)
-        every = np.arange(1, size + 1, dtype=np.int64)
+        every = np.arange(1, size + 1, dtype=np.int32)
         for batch in batches:
             labels = batch.column(0).to_numpy(zero_copy_only=False)
             data, at = text_buffers(batch.column(1))
             rows += np.bincount(labels, minlength=2)
-            for i, j in slices(at):
+            for i, j in slices(at, STRETCH):
                 row, f = row_features(data, at, i, j, every)
                 for label in (0, 1):
                     held[label] += np.bincount(f[labels[i:j][row] == label], minlength=size).astype(np.uint32)
@@ -103,7 +120,7 @@ def train(labelled: DataFrame, max_rows: int = 20_000, features: int = 2048, rou
         for batch in batches:
             data, at = text_buffers(batch.column(1))
             out = []
-            for i, j in slices(at):
+            for i, j in slices(at, STRETCH):
                 row, f = row_features(data, at, i, j, slot)
                 cuts = np.searchsorted(row, np.arange(j - i + 1))
                 out += [f[cuts[k] : cuts[k + 1]].astype(np.uint16).tobytes() for k in range(j - i)]
@@ -135,22 +152,24 @@ def _fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, k:
     return w[:k], float(w[k])
 
 
-def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``_toxicity``, a double from 0 to 1."""
+def score_texts(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "_toxicity") -> DataFrame:
+    """All columns of ``docs`` plus ``out_col``, a double from 0 to 1."""
+    if out_col in docs.columns:
+        raise ValueError(f"the documents have a column {out_col}; name another for the score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2^BITS slots
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for batch in batches:
-            data, at = text_buffers(pa.array(batch, pa.large_string(), from_pandas=True))
+            data, at = text_buffers(batch)
             z = np.full(len(batch), m.bias)
-            for i, j in slices(at):
+            for i, j in slices(at, STRETCH):
                 row, f = row_features(data, at, i, j, m.slot)
                 z[i:j] += np.bincount(row, weights=m.weight[f], minlength=j - i)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return docs.withColumn("_toxicity", score(F.col(text_col)))
+    return docs.withColumn(out_col, score(F.col(text_col)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
