@@ -103,24 +103,36 @@ def test_jaccard_components_of_a_large_edited_group(spark, monkeypatch, width, p
     assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, width, percent).collect()) == list(enumerate(comp))
 
 
-def test_jaccard_join_has_the_sets_of_all_that_may_link(spark, monkeypatch):
-    from lattix.llm import jaccard_join
-
-    rows = []
-    for seed in range(100):
-        w = [f"s{seed}w{k}" for k in range(10)]
-        rows += [" ".join(w[:9]), " ".join(w), " ".join(w[1:])]
-    missing, inner = [], jaccard_join.adaptive_prefixes
-
-    def spy(left, sets, percent):
-        missing.append((left.count() > 0, left.join(sets, "v", "left_anti").count()))
-        return inner(left, sets, percent)
+def test_pruning_asks_for_no_more_than_linked_sets_share():
+    from lattix.llm.jaccard_join import least_overlap, pruning_prefix
+
+    for percent in range(50, 100):
+        for a in range(1, 90):
+            for b in range(a, 90):
+                both = -(-percent * (a + b) // (100 + percent))
+                if both > a:
+                    continue
+                assert both >= least_overlap(b, percent)
+                # the worst order: tokens of one set only come first
+                met = min(pruning_prefix(a, percent)[0] - (a - both), pruning_prefix(b, percent)[0] - (b - both))
+                assert met >= max(pruning_prefix(a, percent)[1], pruning_prefix(b, percent)[1]), (a, b, percent)
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95, 99])
+def test_jaccard_links_of_every_size(spark, percent):
+    from lattix.llm.jaccard_join import jaccard_components
 
-    monkeypatch.setattr(jaccard_join, "adaptive_prefixes", spy)
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
-    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, 4, 85).collect())
-    assert missing == [(True, 0)]
-    assert got == [(k, k - k % 3) for k in range(len(rows))]
+    texts, want, seed = [], [], 0
+    for a in range(1, 36):
+        for b in range(a, min(36, a * 100 // percent + 2)):
+            both = min(a, -(-percent * (a + b) // (100 + percent)))
+            for shared in {both, max(both - 1, 0)}:
+                seed += 1
+                x, y = ([f"s{seed}o{k}x{(k * 7919 + seed * 104729) % 1009}" for k in range(shared)] + [f"s{seed}{side}{k}" for k in range(n - shared)] for side, n in (("l", a), ("r", b)))
+                want += [len(texts), len(texts) if 100 * shared >= percent * (a + b - shared) else len(texts) + 1]
+                texts += [" ".join(x), " ".join(y)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert [c for _, c in sorted((r.doc_id, r.component_id) for r in jaccard_components(df, 1, percent).collect())] == want
 
 
 def short_chains(width: int, percent: int, n: int = 300):
@@ -169,20 +181,58 @@ def brute_repeats(texts: list[bytes], window: int):
     return out
 
 
-@pytest.mark.parametrize("piece", [8192, 2])
-def test_suffix_dedup_equals_brute_force(docs, empty, piece):
+@pytest.mark.parametrize(("piece", "shard_bytes"), [(8192, 3 << 19), (8192, 400), (2, 3 << 19), (2, 400)])
+def test_suffix_dedup_equals_brute_force(docs, empty, piece, shard_bytes):
     from lattix.llm.suffix_dedup import dedup_substrings
 
     rows = sample_texts()
     want = sorted([(i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 200), strict=True)], key=str)
-    got = sorted((tuple(r) for r in dedup_substrings(docs, piece=piece).collect()), key=str)
+    got = sorted((tuple(r) for r in dedup_substrings(docs, piece=piece, shard_bytes=shard_bytes).collect()), key=str)
     assert got == want
+    if shard_bytes == 400:
+        return
     kept = dedup_substrings(docs, piece=piece, texts=True)
     left = [(r.doc_id, r.kept_sha256, hashlib.sha256(r.kept.encode()).hexdigest()) for r in kept.where("row.source = 's'").collect()]
     assert sorted(((i, a) for i, a, _ in left), key=str) == sorted(((w[0], w[4]) for w in want), key=str) and all(a == b for _, a, b in left)
     assert dedup_substrings(empty).count() == 0
 
 
+def test_shards_merge_by_binary_search():
+    from lattix.llm.suffix_dedup import Run, merge
+
+    for seed in range(40):
+        r = random.Random(seed)
+        pool = ["".join(r.choice("ab") for _ in range(r.randint(1, 400))) for _ in range(6)]
+        texts = [("".join(r.choice(pool) for _ in range(r.randint(0, 4))) + r.choice(["", "x", "\x00"])).encode() for _ in range(9)]
+        for window in (8, 61, 200):
+            shards = [texts[k::3] for k in range(3)]
+            runs = [Run(some, window) for some in shards]
+            for k, run in enumerate(runs):
+                for other in runs[:k]:
+                    merge(other, run)
+            found = {(k + 3 * int(t), int(p)) for k, run in enumerate(runs) for t, p, twin in zip(run.row, run.start, run.repeats[run.of], strict=True) if twin}
+            seen: dict[bytes, int] = {}
+            for t in texts:
+                for p in range(len(t) - window + 1):
+                    seen[t[p : p + window]] = seen.get(t[p : p + window], 0) + 1
+            assert found == {(k, p) for k, t in enumerate(texts) for p in range(len(t) - window + 1) if seen[t[p : p + window]] > 1}, (seed, window)
+
+
+def test_contexts_of_a_very_long_text(monkeypatch):
+    from lattix.llm import suffix_dedup
+
+    text = np.frombuffer(" ".join(words(3000, 5)).encode(), np.uint8)
+    at = np.array([0, len(text)])
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
+    covered = np.zeros(len(text), bool)
+    for _, row, pos, size in suffix_dedup.contexts(text, at, 0, 1):
+        assert not row.any() and (size >= 200).all()
+        for p, n in zip(pos, size, strict=True):
+            assert not covered[p : p + n - 199].any()
+            covered[p : p + n - 199] = True
+    assert covered[: len(text) - 199].all() and not covered[len(text) - 199 :].any()
+
+
 def test_suffix_arrays_and_common_prefixes():
     from lattix.llm.suffix_dedup import common_prefixes, suffix_array
 
@@ -236,7 +286,7 @@ def test_leaks_are_found_despite_substitutions(spark, docs, empty):
 
 def test_bpe_and_token_files_equal_the_library(docs, empty, spark):
     import public_tokenizers
-    from lattix.llm.bpe import bpe_round_trip, encode_ids
+    from lattix.llm.bpe import bpe_round_trip, decode_ids, encode_ids
     from lattix.llm.token_files import token_files_round_trip
     from tokenizers import Tokenizer
 
@@ -250,6 +300,10 @@ def test_bpe_and_token_files_equal_the_library(docs, empty, spark):
     assert sorted((tuple(r) for r in bpe_round_trip(docs, path).collect()), key=str) == sorted(want, key=str)
     assert bpe_round_trip(empty, path).count() == 0
     assert sorted(len(r.ids) for r in encode_ids(docs, path).collect()) == sorted(w[1] for w in want)
+    back = [(r.doc_id, sha(r.text.encode())) for r in decode_ids(encode_ids(docs, path), path).collect()]
+    assert sorted(back, key=str) == sorted([(w[0], w[3]) for w in want], key=str)
+    odd = spark.createDataFrame([(1, [13]), (2, []), (3, None), (4, [10**6, 255])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in decode_ids(odd, path).collect()} == {1: library.decode([13]), 2: "", 3: "", 4: library.decode([10**6, 255])}
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -366,6 +420,11 @@ def test_url_filter(spark):
         "http://spam-farm.example.org/es/1": ("spam-farm.example.org", "/es/1", "org/es/", "block"),
         "http://spam-farm.example.org/fr/1": ("spam-farm.example.org", "/fr/1", None, "block"),
         "spam.example.org": ("", "", None, "allow"),
+        "http://www.Cheap-Pills.example.org/": ("www.cheap-pills.example.org", "/", None, "block"),
+        "http://cheap-pills2.example.org/": ("cheap-pills2.example.org", "/", None, "allow"),
+        "http://h.org/a/cgi-bin/x": ("h.org", "/a/cgi-bin/x", None, "block"),
+        "http://h.org/wp-login.php?a": ("h.org", "/wp-login.php", None, "block"),
+        "http://h.org/wp-login.phpx": ("h.org", "/wp-login.phpx", None, "allow"),
         "a://b://c/d": ("b:", "//c/d", None, "allow"),
         "": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
@@ -374,6 +433,27 @@ def test_url_filter(spark):
     got = judge_urls(df).selectExpr("page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict").collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted([(k, *v) for k, v in enumerate(urls.values())] * 2, key=str)
     assert judge_urls(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        judge_urls(df.withColumnRenamed("rule", "_url"))
+
+
+def test_url_rules_are_found_by_their_tokens(spark):
+    """Every rule of a large set, in any case of letters, against all URLs without an index."""
+    from lattix.llm.url_filter import glob_rule, host_rule, judge_urls, split_url
+
+    r = random.Random(8)
+    part = lambda: r.choice(["en", "eNx", "De", "x1", "a-b", "q"])
+    rules = [host_rule("block", f"{r.choice('abc')}.com/{part()}/{part()}"[: r.randint(6, 14)]) for _ in range(150)]
+    rules += [glob_rule("block", r.choice([f"{r.choice('abc')}.*/{part()}", f"*/{part()}*{part()}/*", f"*.com/*{part()}"])) for _ in range(150)]
+    urls = [f"http://{r.choice(['', 'w.', 'x1.'])}{r.choice('abcd')}.com/" + "/".join(part() for _ in range(r.randint(0, 4))) for _ in range(400)]
+    want = []
+    for u in urls:
+        host, path = split_url(u)
+        fit = [(x.base, len(x.name), x.name) for x in rules if re.match(x.regex, host + path)]
+        want.append(max(fit)[2] if fit else None)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = judge_urls(df, rules=rules).selectExpr("page_id", "_url.pattern").collect()
+    assert [p for _, p in sorted((x.page_id, x.pattern) for x in got)] == want and sum(w is not None for w in want) > 100
 
 
 def test_warc_audit_finds_what_was_changed(spark):
