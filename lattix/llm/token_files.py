@@ -10,7 +10,9 @@ The library is called for distinct words only: the vocabulary's pre-tokenizer cu
 with characters outside plain Latin letters, or with special tokens, go to the library whole. Each task's memory of words is bounded;
 words of plain texts are told apart by 64-bit hashes.
 
-Null and empty texts hold the end id alone; null ids come first; repeated ids keep all their rows, ordered by their ids' digest.
+Null and empty texts hold the end id alone; null ids come first; rows that share an id are ordered by a hash of their text. A text longer
+than ``SHARD_IDS`` makes a shard of its own. An empty table writes no shards. Only the id and text columns are read, so that other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .common import _LOWER, mix, powers, shared_folder, slices, text_buffers
 
 END = 1
 SHARD_IDS = 1 << 20
-MAX_RULES = 14_000
+#: Places that a rule must replace at least.
+LEAST = 4
 MEMORY = 1_000_000
 NO_ID = -(1 << 62)
 #: Fixed values of the vocabulary's pre-tokenizer.
@@ -65,27 +68,28 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         size = self.library.get_vocab_size()
+        self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
         self.ends = np.zeros(size + 1, bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.words, self.unusual = regex.compile(WORDS).findall, regex.compile(UNUSUAL).search
         self.known: dict[str | int, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, keys: list, words: list[str]) -> None:
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint16)
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 self.known.update(zip(keys[i : i + 4096], self.whole(some), strict=True))
                 continue
-            raw, at = ids.tobytes(), [0, *(stops * 2).tolist()]
+            raw, at = ids.tobytes(), [0, *(stops * self.kind.itemsize).tolist()]
             self.known.update((w, raw[at[k] : at[k + 1]]) for k, w in enumerate(keys[i : i + 4096]))
 
     def run(self, data: np.ndarray, at: np.ndarray, i: int, j: int) -> list[bytes]:
-        """Little-endian 16-bit ids of the texts of rows i..j-1."""
+        """Ids of the texts of rows i..j-1, as bytes of ``kind``."""
         flat, starts = data[at[i] : at[j]], at[i : j + 1] - at[i]
         kinds = _CLASS[flat]
         bad = np.concatenate([np.flatnonzero(kinds == 4), np.flatnonzero(_SLOW[(flat[:-1].astype(np.uint16) << 8) | flat[1:]])])
@@ -126,12 +130,12 @@ class WordEncoder:
         raw = low.tobytes()
         self.learn([keys[k] for k in fresh], [raw[first[where[k]] : stop[where[k]]].decode() for k in fresh])
         found = [self.known[h] for h in keys]
-        pool, sizes = np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) // 2
+        pool, sizes = np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
         begin = np.cumsum(sizes) - sizes
         counts = sizes[inverse]
         stops = np.cumsum(counts)
         ids = pool[np.repeat(begin[inverse] - stops + counts, counts) + np.arange(stops[-1])].tobytes()
-        ends = np.append(0, stops)[np.searchsorted(row, np.arange(n + 1))] * 2
+        ends = np.append(0, stops)[np.searchsorted(row, np.arange(n + 1))] * self.kind.itemsize
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def _by_pattern(self, texts: list[str]) -> list[bytes]:
@@ -150,28 +154,29 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def re_pair(ids: np.ndarray, last: np.ndarray, first_symbol: int, least: int = 4, rounds: int = 14, per_round: int = 3500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, its document ends, rules): rule k is the pair that symbol ``first_symbol + k`` stands for. ``last`` marks each document's last id. Symbols are 16-bit numbers under 65535."""
-    seq, rules = ids.astype(np.uint32), []
-    made, none = 0, np.uint32(0xFFFFFFFF)
-    for _ in range(rounds):
-        room = min(per_round, MAX_RULES - made)
-        if len(seq) < 2 or room <= 0:
-            break
-        keys = seq[:-1] << np.uint32(16) | seq[1:]
+def re_pair(ids: np.ndarray, last: np.ndarray, symbols: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, its document ends, rules): rule k is the pair that symbol ``symbols + k`` stands for. ``ids`` are under ``symbols``; ``last`` marks each document's last id.
+
+    Pairs are replaced frequent ones first, those within a quarter of the highest count together, until none stands ``least`` times: under
+    that a rule takes more room than it saves.
+    """
+    seq, last, rules, made = ids.astype(np.uint32), last.copy(), [], 0
+    while len(seq) > 1:
+        wide = symbols + made > 1 << 16
+        kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
+        none = np.iinfo(kind).max  # no pair: of its symbols the last is not made yet
+        keys = seq[:-1].astype(kind) << kind(shift) | seq[1:]
         keys[last[:-1]] = none
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         pairs, counts = ordered[edge], np.diff(np.append(edge, len(ordered)))
-        ok = (counts >= least) & (pairs != none)
-        pairs, counts = pairs[ok], counts[ok]
-        if not len(pairs):
+        if pairs[-1] == none:
+            pairs, counts = pairs[:-1], counts[:-1]
+        if not len(pairs) or counts.max() < least:
             break
-        if len(pairs) > room:
-            pairs = pairs[np.argpartition(-counts, room - 1)[:room]]
-        pairs = np.sort(pairs)
-        left, right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        left[pairs >> np.uint32(16)], right[pairs & np.uint32(0xFFFF)] = True, True
+        pairs = pairs[counts >= max(least, counts.max() // 4)]
+        left, right = np.zeros(symbols + made, bool), np.zeros(symbols + made, bool)
+        left[pairs >> kind(shift)], right[pairs & kind((1 << shift) - 1)] = True, True
         hit = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
         where = np.searchsorted(pairs, keys[hit])
         found = pairs[np.minimum(where, len(pairs) - 1)] == keys[hit]
@@ -180,12 +185,15 @@ def re_pair(ids: np.ndarray, last: np.ndarray, first_symbol: int, least: int = 4
         begin = np.concatenate([[True], np.diff(hit) > 1])
         run = np.arange(len(hit)) - np.maximum.accumulate(np.where(begin, np.arange(len(hit)), 0))
         hit, where = hit[run % 2 == 0], where[run % 2 == 0]
-        seq[hit] = first_symbol + made + where
+        used = np.zeros(len(pairs), np.int64)  # a pair that others left no place for gets no rule now
+        used[where] = 1
+        pairs, number = pairs[used > 0], np.cumsum(used) - 1
+        seq[hit] = symbols + made + number[where]
         last[hit] = last[hit + 1]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq, last = seq[keep], last[keep]
-        rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1).astype(np.int64))
+        rules.append(np.stack([pairs >> kind(shift), pairs & kind((1 << shift) - 1)], 1).astype(np.int64))
         made += len(pairs)
     return seq, np.flatnonzero(last) + 1, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
@@ -205,14 +213,22 @@ def expansion_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
 HEAD = "<4sIIIQQ"
 
 
-def pack(doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray, first_symbol: int) -> bytes:
-    """Head (magic, first symbol, rules, documents, ids, symbols); rules as pairs and their lengths; document ids; ends in ids and in symbols; symbols."""
+def symbol_kind(symbols: int) -> str:
+    return "<u2" if symbols <= 1 << 16 else "<u4"
+
+
+def pack(doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> bytes:
+    """Head (magic, different ids, rules, documents, ids, symbols); the different ids; rules as pairs and their lengths; document ids; ends in ids and in symbols; symbols. Symbols are numbers of different ids, then rules; they take two bytes, or four where there are over 65,536 of them."""
     last = np.zeros(len(ids), bool)
     last[ends - 1] = True
-    seq, stops, rules = re_pair(ids, last, first_symbol)
-    lengths = expansion_lengths(rules, first_symbol)[first_symbol:]
-    head = struct.pack(HEAD, b"RPG1", first_symbol, len(rules), len(doc_ids), len(ids), len(seq))
-    return b"".join([head, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), ends.astype("<u8").tobytes(), stops.astype("<u8").tobytes(), seq.astype("<u2").tobytes()])
+    names = np.flatnonzero(np.bincount(ids))
+    number = np.zeros(int(names[-1]) + 1 if len(names) else 0, np.uint32)
+    number[names] = np.arange(len(names))
+    seq, stops, rules = re_pair(number[ids], last, len(names))
+    lengths = expansion_lengths(rules, len(names))[len(names) :]
+    kind = symbol_kind(len(names) + len(rules))
+    head = struct.pack(HEAD, b"RPG2", len(names), len(rules), len(doc_ids), len(ids), len(seq))
+    return b"".join([head, names.astype("<u4").tobytes(), rules.astype(kind).tobytes(), lengths.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), ends.astype("<u8").tobytes(), stops.astype("<u8").tobytes(), seq.astype(kind).tobytes()])
 
 
 class Shard:
@@ -220,7 +236,7 @@ class Shard:
 
     def __init__(self, body: bytes):
         magic, self.first, n_rules, n_docs, self.n_ids, n_symbols = struct.unpack_from(HEAD, body)
-        if magic != b"RPG1":
+        if magic != b"RPG2":
             raise ValueError("not a packed shard")
         at = struct.calcsize(HEAD)
 
@@ -230,10 +246,12 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.rules = take("<u2", 2 * n_rules).reshape(-1, 2).astype(np.int64)
+        kind = symbol_kind(self.first + n_rules)
+        self.names = take("<u4", self.first)
+        self.rules = take(kind, 2 * n_rules).reshape(-1, 2).astype(np.int64)
         self.lengths = np.concatenate([np.ones(self.first, np.int64), take("<u4", n_rules)])
         self.doc_ids, self.ends, self.stops = take("<i8", n_docs), take("<u8", n_docs).astype(np.int64), take("<u8", n_docs).astype(np.int64)
-        self.symbols = take("<u2", n_symbols)
+        self.symbols = take(kind, n_symbols)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         seq = symbols.astype(np.int64)
@@ -245,7 +263,7 @@ class Shard:
             pairs = self.rules[seq[big] - self.first]
             out[at[big]], out[at[big] + 1] = pairs[:, 0], pairs[:, 1]
             seq = out
-        return seq
+        return self.names[seq]
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start..stop-1 of document k; only the symbols that cover them are expanded."""
@@ -253,7 +271,7 @@ class Shard:
         ends = np.cumsum(self.lengths[part])
         stop = int(ends[-1]) if stop is None else min(stop, int(ends[-1]))
         if start >= stop:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.uint32)
         i, j = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
         before = int(ends[i - 1]) if i else 0
         return self.expand(part[i : j + 1])[start - before : stop - before]
@@ -264,21 +282,22 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.select("doc_id").rdd.getNumPartitions())
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ["doc_id", F.xxhash64("text")]  # null and shared ids are split too
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode = encoder(tokenizer)
-        first = len(encode.ends) - 1
+        size, end = encode.kind.itemsize, np.array([end_id], encode.kind).tobytes()
         part, shard = TaskContext.get().partitionId(), 0
         held_ids, held, count = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal shard, count
-            ids = np.frombuffer(b"".join(held), np.uint16)
-            ends = np.cumsum([len(x) // 2 for x in held])
-            body = pack(np.array(held_ids, np.int64), ids, ends, first)
+            ids = np.frombuffer(b"".join(held), encode.kind)
+            ends = np.cumsum([len(x) // size for x in held])
+            body = pack(np.array(held_ids, np.int64), ids, ends)
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([shard], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([body], pa.binary())], names=["part", "shard", "n_ids", "n_docs", "body"])
             shard, count = shard + 1, 0
             held_ids.clear()
@@ -290,8 +309,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
             for i, j in slices(at):
                 for doc, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.run(data, at, i, j), strict=True):
                     held_ids.append(doc)
-                    held.append(ids + struct.pack("<H", end_id))
-                    count += len(ids) // 2 + 1
+                    held.append(ids + end)
+                    count += len(ids) // size + 1
                     if count >= SHARD_IDS:
                         yield flush()
         if held:

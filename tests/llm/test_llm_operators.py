@@ -325,7 +325,7 @@ def test_re_pair_shards_decode_any_run():
     r = np.random.default_rng(1)
     documents = [r.integers(0, 6, n).astype(np.uint16) for n in (1, 2, 900, 5000, 40)] + [np.tile(np.array([5, 6, 7, 5], np.uint16), 800)]
     ends = np.cumsum([len(d) for d in documents])
-    body = pack(np.arange(len(documents)), np.concatenate(documents), ends, 50_000)
+    body = pack(np.arange(len(documents)), np.concatenate(documents), ends)
     shard = Shard(body)
     assert len(shard.rules) > 10 and len(shard.symbols) < ends[-1] / 3
     for k, d in enumerate(documents):
@@ -334,6 +334,22 @@ def test_re_pair_shards_decode_any_run():
             assert (shard.document(k, a, b) == d[a:b]).all()
 
 
+def test_re_pair_goes_on_until_no_pair_repeats():
+    from lattix.llm.token_files import LEAST, Shard, pack
+
+    for seed, ids in ((0, 3), (1, 40), (2, 60_000)):
+        r = np.random.default_rng(seed)
+        documents = [np.minimum(r.geometric(3 / ids, n), ids).astype(np.uint16) for n in r.integers(1, 4000, 60)]
+        ends = np.cumsum([len(d) for d in documents])
+        shard = Shard(pack(np.arange(len(documents)), np.concatenate(documents), ends))
+        counts: dict[tuple[int, int], int] = {}
+        for a, b in zip([0, *shard.stops], shard.stops):
+            for pair in zip(shard.symbols[a : b - 1].tolist(), shard.symbols[a + 1 : b].tolist()):
+                counts[pair] = counts.get(pair, 0) + 1
+        assert max(counts.values(), default=0) < LEAST
+        assert all((shard.document(k) == d).all() and (shard.document(k, 5, 900) == d[5:900]).all() for k, d in enumerate(documents))
+
+
 def test_fingerprints(spark, docs, empty):
     from lattix.llm.fingerprints import add, fingerprint, fingerprint_edits, remove
     from pyspark.sql import functions as F
