@@ -170,8 +170,3 @@ def attribute_table(spark: SparkSession) -> DataFrame:
     """(mode, pos, attribute, phoneme): pos is the attribute's place in the list, null where it is not listed."""
     rows = [(mode, ATTRIBUTES.index(a) if a in ATTRIBUTES else None, a, p) for mode in ("Arpabet", "IPA") for a in ARPABET for p in phonemes(a, mode)]
     return spark.createDataFrame(rows, "mode string, pos int, attribute string, phoneme string")
-
-
-def contraction_table(spark: SparkSession) -> DataFrame:
-    """(word, expansion)."""
-    return spark.createDataFrame(list(CONTRACTIONS.items()), "word string, expansion string")

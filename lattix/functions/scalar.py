@@ -32,8 +32,10 @@ def data_hash(x: Column) -> Column:
 
 
 def to_text(x: Column, hash_len: int | None = None) -> Column:
-    """A value's text, NULL for null or empty; texts over hash_len characters become the start of their hash."""
-    s = F.when(x.isNull() | (x.cast("string") == ""), F.lit("NULL")).otherwise(x.cast("string"))
+    """A value's text, NULL for null, an empty text, the number 0 and false; texts over hash_len characters become the start of their hash."""
+    text = x.cast("string")
+    zero = F.when(F.typeof(x) == "string", text == "").when(F.typeof(x) == "boolean", text == "false").otherwise(text.rlike(r"^-?0(\.0*)?(E-?\d+)?$"))
+    s = F.when(x.isNull() | zero, F.lit("NULL")).otherwise(text)
     return s if hash_len is None else F.when(F.char_length(s) > hash_len, F.substring(data_hash(x), 1, hash_len)).otherwise(s)
 
 

@@ -56,3 +56,10 @@ def leave_one_out(df: DataFrame, group: str) -> DataFrame:
     """Every row for every fold (a group's value), with is_test. Meant for few groups; models use per-group sums instead."""
     folds = df.agg(F.array_sort(F.collect_set(group)).alias("_f"))
     return df.join(F.broadcast(folds)).withColumn("fold", F.explode("_f")).drop("_f").withColumn("is_test", F.col(group) == F.col("fold"))
+
+
+def folds_from_lists(df: DataFrame, tests: DataFrame, row_id: str, folds: int) -> DataFrame:
+    """Every row for every fold 0..folds-1, with is_test where ``tests`` (row_id, fold) lists it. A row may be listed in several folds or in none. One join on the row, whatever the number of folds."""
+    listed = tests.groupBy(row_id).agg(F.collect_set("fold").alias("_f"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
+    return df.join(listed, row_id, "left").withColumn("fold", every).withColumn("is_test", F.coalesce(F.array_contains("_f", F.col("fold")), F.lit(False))).drop("_f")

@@ -195,6 +195,7 @@ class Decomposition:
     norm: np.ndarray
     y: np.ndarray
     y_mean: np.ndarray
+    rows: float
 
 
 def decompose(r: np.ndarray, f: int, std: bool = True, demean: bool = True, blocks: Sequence[int] | None = None) -> Decomposition:
@@ -214,7 +215,7 @@ def decompose(r: np.ndarray, f: int, std: bool = True, demean: bool = True, bloc
     u, s, vt = np.linalg.svd(x, full_matrices=False)
     sign = np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])
     sign[sign == 0] = 1
-    return Decomposition(u * sign, s, vt * sign[:, None], mx if demean else np.zeros(f), norm, y, my if demean else np.zeros_like(my))
+    return Decomposition(u * sign, s, vt * sign[:, None], mx if demean else np.zeros(f), norm, y, my if demean else np.zeros_like(my), n)
 
 
 def pca(df: DataFrame, x: str = "x", std: bool = True, demean: bool = True, n_components: int | None = None, out: str = "scores") -> tuple[DataFrame, Decomposition]:
@@ -234,8 +235,10 @@ def ridge_from_svd(d: Decomposition, penalties: Sequence[float]) -> np.ndarray:
     return np.einsum("kf,ak,kt->aft", d.vt, d.s / (d.s**2 + np.asarray(penalties, float)[:, None] + np.where(d.s == 0, 1e-300, 0)), d.u.T @ d.y)
 
 
-def regression_weights(d: Decomposition, method: str = "ridge", k: float = 1.0) -> np.ndarray:
-    """(1 + features) x targets in the units of the features, the intercept first. Methods: least-squares, pcreg, ridge, pls, lasso."""
+def regression_weights(d: Decomposition, method: str = "ridge", k: float | Sequence[float] = 1.0) -> np.ndarray:
+    """(1 + features) x targets in the units of the features, the intercept first; for a sequence of k, one of these for each. Methods: least-squares, pcreg and pls (k components), ridge and lasso (penalty k; the lasso's goes with the mean, not the sum, of squared errors)."""
+    if np.ndim(k):
+        return np.stack([regression_weights(d, method, one) for one in k])
     solid = d.s > d.s.max(initial=0) * 1e-12
     if method == "least-squares":
         w = d.vt[solid].T @ ((d.u[:, solid].T @ d.y) / d.s[solid][:, None])
@@ -247,7 +250,7 @@ def regression_weights(d: Decomposition, method: str = "ridge", k: float = 1.0)
     elif method == "pls":
         w = np.stack([_pls((d.u * d.s) @ d.vt, c, int(k)) for c in d.y.T], 1)
     elif method == "lasso":
-        w = np.stack([_lasso((d.u * d.s) @ d.vt, c, k) for c in d.y.T], 1)
+        w = np.stack([_lasso((d.u * d.s) @ d.vt, c, k * d.rows) for c in d.y.T], 1)
     else:
         raise ValueError(f"unknown method: {method}")
     w = w / d.norm[:, None]
@@ -330,7 +333,7 @@ class Ridge:
         return self
 
     def loss(self, r: np.ndarray, f: int, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Per target and alpha, lower is better: mse, 1 - r2, or -r."""
+        """Per target and alpha, lower is better: mse, 1 - r2 (of each target on its own; ``stats.scores`` pools them), or -r."""
         mse = squared_loss(r, f, w, b)
         if self.scoring == "mse":
             return mse
@@ -377,6 +380,17 @@ def fold_predictions(df: DataFrame, factors: Factors, group: str, method: str =
     return predict(df, models, group, x, out)
 
 
-def fold_scores(factors: Factors, alphas: Sequence[float] = ALPHAS) -> dict[object, np.ndarray]:
-    """r per fold and target by nested ridge; 0 for targets that are constant or cannot be predicted."""
-    return {g: np.nan_to_num(r, nan=0.0) for g, r in nested_ridge_cv(factors, alphas).r.items()}
+def fold_scores(df: DataFrame, group: str, x: str = "x", y: str = "y", alphas: Sequence[float] = ALPHAS) -> dict[object, np.ndarray]:
+    """r per fold and target by nested ridge; 0 for targets that hold a NaN or null, are constant, or cannot be predicted."""
+    bad = F.transform(F.col(y), lambda v: v.isNull() | F.isnan(v))
+    width = df.agg(F.max(F.size(y))).first()[0] or 0
+    flags = df.select(F.posexplode(F.arrays_zip(F.col(y).alias("v"), bad.alias("bad"))).alias("t", "z"))
+    usable = sorted(r["t"] for r in flags.groupBy("t").agg(F.max("z.bad").alias("bad"), (F.max("z.v") != F.min("z.v")).alias("moves")).where("not bad and moves").collect())
+    out: dict[object, np.ndarray] = {}
+    if usable:
+        kept = df.withColumn(y, F.array(*(F.get(F.col(y), F.lit(t)) for t in usable)))
+        for g, r in nested_ridge_cv(group_factors(kept, group, x, y), alphas).r.items():
+            out[g] = np.zeros(width)
+            out[g][usable] = np.nan_to_num(r, nan=0.0)
+        return out
+    return {r[group]: np.zeros(width) for r in df.select(group).distinct().where(F.col(group).isNotNull()).collect()}

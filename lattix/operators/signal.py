@@ -40,11 +40,22 @@ def erb2freq(e: np.ndarray) -> np.ndarray:
     return 24.7 * 9.265 * (np.exp(np.asarray(e, float) / 9.265) - 1)
 
 
-def erb_filters(length: int, sr: float, n: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(filters: frequency by n + 2, cutoffs, frequencies): half-cosines evenly spaced in ERBs, with a low and a high pass that complete them."""
+def freq2erb_ferret(f: np.ndarray) -> np.ndarray:
+    return (1 / 0.31) * (1 / (1 - 0.533)) * (np.asarray(f, float) / 1000) ** (1 - 0.533)
+
+
+def erb2freq_ferret(e: np.ndarray) -> np.ndarray:
+    return (np.asarray(e, float) * 0.31 * (1 - 0.533)) ** (1 / (1 - 0.533)) * 1000
+
+
+def erb_filters(length: int, sr: float, n: int, low: float, high: float, animal: str = "human") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(filters: frequency by n + 2, cutoffs, frequencies): half-cosines evenly spaced in ERBs (of a human or a ferret), with a low and a high pass that complete them."""
+    if animal not in ("human", "ferret"):
+        raise ValueError(f"no ERB scale for: {animal}")
+    to_erb, to_freq = (freq2erb, erb2freq) if animal == "human" else (freq2erb_ferret, erb2freq_ferret)
     f = np.linspace(0, sr / 2, length // 2 + 1)
-    cut = erb2freq(np.linspace(freq2erb(low), freq2erb(min(high, sr / 2)), n + 2))
-    e, edges = freq2erb(f), freq2erb(cut)
+    cut = to_freq(np.linspace(to_erb(low), to_erb(min(high, sr / 2)), n + 2))
+    e, edges = to_erb(f), to_erb(cut)
     bank = np.zeros((len(f), n + 2))
     for k in range(n):
         # from the first frequency above the lower edge up to, but without, the last one below the upper edge
@@ -121,12 +132,20 @@ def resample_time_and_freq(x: np.ndarray, sr: float, new_sr: float, f: np.ndarra
     return pchip(np.log2(f), y.T, np.log2(new_f)).T
 
 
-def cochleagram(samples: np.ndarray, sr: int, output_sr: int = 100, n: int = 30, low: float = 50, high: float = 8000, compression: float = 0.3) -> np.ndarray:
-    """Time by frequency (low to high): ERB subbands, compressed envelopes, resampled in time."""
+def cochleagram(samples: np.ndarray, sr: int, output_sr: int = 100, n: int = 30, low: float = 50, high: float = 8000, compression: float = 0.3, flip: bool = False) -> np.ndarray:
+    """Time by frequency (low to high; with ``flip`` high to low): ERB subbands, compressed envelopes, resampled in time to the nearest whole number of frames."""
     x = mono(np.asarray(samples, float))
     bank, _, _ = erb_filters(len(x), sr, n, low, high)
     y = envelope(subbands(x, bank[:, 1:-1]), compression)
-    return fft_resample(y, int(len(y) * output_sr / sr))
+    y = fft_resample(y, int(np.round(output_sr / sr * len(y))))
+    return y[:, ::-1] if flip else y
+
+
+def layer_means(activations: DataFrame, activation: str = "activation", out: str = "mean") -> DataFrame:
+    """Per layer and frame the mean over units, over the layer's highest: an array beside each layer's activations. Layers without a positive mean stay as they are."""
+    means = F.transform(F.col(activation), lambda frame: F.aggregate(frame, F.lit(0.0), lambda s, v: s + v) / F.greatest(F.size(frame), F.lit(1)))
+    top = F.array_max(F.col(out))
+    return activations.withColumn(out, means).withColumn(out, F.when(top > 0, F.transform(F.col(out), lambda v: v / F.when(top > 0, top).otherwise(F.lit(1.0)))).otherwise(F.col(out)))
 
 
 def map_waveforms(df: DataFrame, fn: Callable[[np.ndarray, int], np.ndarray], out: str, kind: str = FEATURES, samples: str = "samples", sr: str = "sr") -> DataFrame:

@@ -21,11 +21,23 @@ def correlate_columns(df: DataFrame, target: str, x: str, y: str, keys: Sequence
     return df.groupBy(*keys, target).agg(correlation(x, y).alias("r"))
 
 
-def scores(df: DataFrame, truth: str = "y", prediction: str = "p", keys: Sequence[str] = ()) -> DataFrame:
-    """mse, pooled r2 and flattened r over all targets of a group."""
-    error = F.sum((F.col(prediction) - F.col(truth)) ** 2)
-    total = F.sum(F.col(truth) * F.col(truth))
-    return df.groupBy(*keys).agg(F.avg((F.col(prediction) - F.col(truth)) ** 2).alias("mse"), F.try_divide(error, F.var_pop(truth) * F.count(truth)).alias("_u"), total.alias("_t"), correlation(truth, prediction).alias("r")).select(*keys, "mse", (1 - F.col("_u")).alias("r2"), "r")
+def scores(df: DataFrame, target: str, truth: str = "y", prediction: str = "p", keys: Sequence[str] = ()) -> DataFrame:
+    """mse, r2 and r of a group. r2 pools the squared errors and the squares around each target's own mean over all targets; r flattens all targets into one."""
+    y, p, n = F.col(truth), F.col(prediction), F.count("*").cast("double")
+    per = df.where(y.isNotNull() & p.isNotNull()).groupBy(*keys, target).agg(
+        n.alias("n"), F.sum((p - y) ** 2).alias("e"), F.avg(y).alias("my"), F.avg(p).alias("mp"),
+        (F.var_pop(y) * n).alias("yy"), (F.var_pop(p) * n).alias("pp"), (F.covar_pop(y, p) * n).alias("yp"),
+    )
+    total = F.sum("n")
+
+    def around(within: str, a: str, b: str) -> Column:
+        """The products around the means of all targets together: those within targets, and those of the targets' means."""
+        return F.sum(within) + F.sum(F.col("n") * F.col(a) * F.col(b)) - F.sum(F.col("n") * F.col(a)) * F.sum(F.col("n") * F.col(b)) / total
+
+    sums = per.groupBy(*keys).agg((F.sum("e") / total).alias("mse"), (1 - F.try_divide(F.sum("e"), F.sum("yy"))).alias("r2"), around("yy", "my", "my").alias("_a"), around("pp", "mp", "mp").alias("_b"), around("yp", "my", "mp").alias("_c"))
+    flat = (F.col("_a") <= 0) | (F.col("_b") <= 0)
+    r = F.when(flat, F.lit(float("nan"))).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_c") / F.sqrt(F.when(flat, F.lit(1.0)).otherwise(F.col("_a") * F.col("_b"))))))
+    return sums.select(*keys, "mse", "r2", r.alias("r"))
 
 
 def mse_per_target(df: DataFrame, target: str, truth: str = "y", prediction: str = "p", keys: Sequence[str] = ()) -> DataFrame:
@@ -103,14 +115,10 @@ def word_error_rate(df: DataFrame, truth: str, heard: str, keys: Sequence[str] =
     return df.groupBy(*keys).agg(F.sum(word_errors(F.col(truth), F.col(heard))).alias("edits"), F.sum(n).alias("words")).withColumn("wer", F.try_divide("edits", "words"))
 
 
-def group_sums(df: DataFrame, group: str, xs: Sequence[str], ys: Sequence[str]) -> DataFrame:
-    """One row per group: n, sums of x and y, and the products x'x, x'y, y'y as arrays; all by built-in partial aggregates."""
-    tri = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
-    return df.groupBy(group).agg(
-        F.count("*").alias("n"),
-        F.array(*(F.sum(x) for x in xs)).alias("sx"),
-        F.array(*(F.sum(y) for y in ys)).alias("sy"),
-        F.array(*(F.sum(F.col(xs[i]) * F.col(xs[j])) for i, j in tri)).alias("sxx"),
-        F.array(*(F.sum(F.col(x) * F.col(y)) for x in xs for y in ys)).alias("sxy"),
-        F.array(*(F.sum(F.col(y) * F.col(y)) for y in ys)).alias("syy"),
-    )
+def scores_of_usable(df: DataFrame, target: str, truth: str = "y", prediction: str = "p", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, target, r): targets that hold a NaN or null, or are constant, over all keys score 0."""
+    good = usable_targets(df, target, truth)
+    r = correlate_columns(df.where(~F.isnan(truth)), target, truth, prediction, keys)
+    rows = df.select(*keys, target).distinct().join(good, target)
+    scored = rows.join(r, [*keys, target], "left")
+    return scored.select(*keys, target, F.when(F.col("usable") & ~F.isnan("r"), F.col("r")).otherwise(0.0).alias("r"))

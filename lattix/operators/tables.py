@@ -17,8 +17,13 @@ def filter_at(df: DataFrame, at: Sequence[Mapping[str, object]]) -> DataFrame:
     return df.withColumn("at_idx", F.explode(fits))
 
 
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n) of the keys that stand in several rows."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def require_unique(df: DataFrame, keys: Sequence[str]) -> None:
-    if not df.groupBy(*keys).count().where("count > 1").isEmpty():
+    if not repeated_keys(df, keys).isEmpty():
         raise ValueError(f"{list(keys)} do not identify rows")
 
 

@@ -154,25 +154,30 @@ def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
     return full[: n * down : down][:n].reshape(n, *x.shape[1:])
 
 
-def align_time(df: DataFrame, keys: Sequence[str], f_new: float, t_start: float, t_stop: float, t: str = "t", features: str = "features", interpolate: bool = True) -> DataFrame:
-    """Each series at the times t_start, t_start + 1/f_new, ... t_stop: resampled by a rational ratio, padded with zeros to cover the times, interpolated.
+def align_time(df: DataFrame, keys: Sequence[str], t_new: Sequence[float], t: str = "t", features: str = "features", interpolate: bool = True, resample_first: bool = True) -> DataFrame:
+    """Each series at the times ``t_new``: resampled by a rational ratio to their mean rate, padded with zeros to cover them, interpolated.
 
-    Without ``interpolate`` the padded samples and their own times come back. A series is one group: its samples fit a task.
+    Without ``resample_first`` the samples keep their own times, which may be uneven. Without ``interpolate`` the padded samples and their
+    times come back. A series is one group: its samples fit a task.
     """
-    fresh = np.round(np.arange(int(round((t_stop - t_start) * f_new)) + 1) / f_new + t_start, 8)
+    fresh = np.round(np.asarray(t_new, float), 8)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)
-        times, values = pdf[t].to_numpy(float), np.stack(pdf[features].to_numpy())
+        times, y = pdf[t].to_numpy(float), np.stack(pdf[features].to_numpy()).astype(float)
         f_old = (len(times) - 1) / (times[-1] - times[0]) if len(times) > 1 else 1.0
-        ratio = Fraction(f_new).limit_denominator() / Fraction(f_old).limit_denominator()
-        needed = ((fresh[-1] - times[0]) * f_new + 1) * ratio.denominator / ratio.numerator
-        if len(times) < math.floor(needed):
-            raise ValueError(f"the series has {len(times)} samples; covering the new times needs {needed:g}")
-        y = resample(values, ratio.numerator, ratio.denominator)
-        at = np.round(np.arange(len(y)) / f_new + times[0], 8)
+        f_new = (len(fresh) - 1) / (fresh[-1] - fresh[0]) if len(fresh) > 1 else f_old
+        at = np.round(times, 8)
+        if resample_first:
+            ratio = Fraction(f_new).limit_denominator() / Fraction(f_old).limit_denominator()
+            needed = ((fresh[-1] - times[0]) * f_new + 1) * ratio.denominator / ratio.numerator
+            if len(times) < math.floor(needed):
+                raise ValueError(f"the series has {len(times)} samples; covering the new times needs {needed:g}")
+            y = resample(y, ratio.numerator, ratio.denominator)
+            at = np.round(np.arange(len(y)) / f_new + times[0], 8)
         before, after = (max(0, math.ceil(round(v * f_new, 8))) for v in (at[0] - fresh[0], fresh[-1] - at[-1]))
-        at = np.concatenate([at[0] - np.arange(before, 0, -1) / f_new, at, at[-1] + np.arange(1, after + 1) / f_new])
+        ahead = np.linspace(at[-1], fresh[-1] + 1 / f_new, after + 1, endpoint=False)[1:]
+        at = np.concatenate([np.linspace(fresh[0], at[0], before), at, ahead])
         y = np.concatenate([np.zeros((before, y.shape[1])), y, np.zeros((after, y.shape[1]))])
         if interpolate:
             y, at = np.stack([np.interp(fresh, at, c) for c in y.T], 1), fresh
@@ -180,3 +185,22 @@ def align_time(df: DataFrame, keys: Sequence[str], f_new: float, t_start: float,
 
     kinds = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), f"`{t}` double", f"`{features}` array<double>"])
     return df.groupBy(*keys).applyInPandas(one, kinds)
+
+
+def regular_times(f_new: float, t_start: float, t_stop: float) -> np.ndarray:
+    """t_start, t_start + 1/f_new, ... t_stop."""
+    return np.round(np.arange(int(round((t_stop - t_start) * f_new)) + 1) / f_new + t_start, 8)
+
+
+def fit_over_rho(fast: DataFrame, slow: DataFrame, rhos: Sequence[float], features: str, target: str, keys: Sequence[str], order: Sequence[str], **parameters) -> DataFrame:
+    """(rho, r): for each assumed rho both conditions' basis features are stacked, the target fitted on them by least squares without an intercept, and truth and fit correlated. Rows never leave their tasks but as the factor of their decomposition."""
+    from .linear import correlation_of, group_factors, ridge_path
+
+    out = []
+    for rho in rhos:
+        both = hanning_from_rho(fast, slow, rho, features, keys, order, **parameters)
+        rows = both.select(F.lit(0).alias("g"), F.flatten("basis").alias("x"), F.array(F.col(target).cast("double")).alias("y"))
+        made = group_factors(rows, "g")
+        w, _ = ridge_path(made.r[0], made.f, [0.0], intercept=False)
+        out.append((float(rho), float(correlation_of(made.r[0], made.f, w[0])[0])))
+    return fast.sparkSession.createDataFrame(out, "rho double, r double")

@@ -101,7 +101,28 @@ def _fir(scale: float) -> Query:
 
 
 query("w5_hanning_feature", _fir_sql(1.0))(_fir(1.0))
-query("w6_hanning_rho", _fir_sql(timeseries.rho_scales(0.5)[1]))(_fir(timeseries.rho_scales(0.5)[1]))
+
+
+_RHO = 0.5
+_RHO_SQL = " UNION ALL ".join(f"SELECT * FROM ({_fir_sql(scale)}) WHERE user_id % 2 = {k}" for k, scale in enumerate(timeseries.rho_scales(_RHO)))
+
+
+@query("w6_hanning_rho", _RHO_SQL)
+def _(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", "ts", F.array("value").alias("features"))
+    y = timeseries.hanning_from_rho(e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1"), _RHO, "features", KEYS, ORDER)
+    return y.select("user_id", "event_id", F.posexplode(F.get("basis", F.lit(0))).alias("k", "y")).withColumn("y", F.round("y", 6))
+
+
+@query("m15_fit_over_rho", "SELECT rho, rho = 0.5 AS best FROM (SELECT unnest([-0.5, 0.0, 0.5])::DOUBLE AS rho)")
+def _(spark, d):
+    """The response is made with rho 0.5: that assumption alone fits it without an error."""
+    e = read(spark, d, "events").select("user_id", "event_id", "ts", F.array("value").alias("features"))
+    fast, slow = e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1")
+    weighted = F.aggregate(F.transform(F.get("basis", F.lit(0)), lambda b, k: b * (k + 1)), F.lit(0.0), lambda s, v: s + v)
+    true = timeseries.hanning_from_rho(fast, slow, _RHO, "features", KEYS, ORDER).select("user_id", "event_id", "ts", "features", weighted.alias("y"))
+    fit = timeseries.fit_over_rho(true.where("user_id % 2 = 0"), true.where("user_id % 2 = 1"), [-0.5, 0.0, 0.5], "features", "y", KEYS, ORDER)
+    return fit.select("rho", (F.col("r") > 1 - 1e-9).alias("best"))
 
 
 @query("w7_islands", f"WITH {S}, g AS (SELECT user_id, event_type, t_idx, t_idx - row_number() OVER (PARTITION BY user_id, event_type ORDER BY t_idx) AS g FROM s) SELECT user_id, event_type, min(t_idx) / 100.0::DOUBLE AS onset, max(t_idx) / 100.0::DOUBLE AS \"offset\" FROM g GROUP BY user_id, event_type, g")
@@ -210,9 +231,9 @@ def _(spark, d):
     return rows.join(features, ["region", "name"])
 
 
-@query("j6_levels", "SELECT 'nation' AS variable, n::VARCHAR AS level, CASE WHEN a IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT c_nationkey AS n, 1 AS a FROM customer) FULL JOIN (SELECT DISTINCT s_nationkey AS n, 1 AS b FROM supplier) USING (n) WHERE a IS NULL OR b IS NULL")
+@query("j6_levels", "WITH a AS (SELECT DISTINCT c_nationkey % 20 AS n FROM customer), b AS (SELECT DISTINCT s_nationkey % 23 + 3 AS n FROM supplier) SELECT 'nation' AS variable, n::VARCHAR AS level, CASE WHEN n IN (FROM a) THEN 'left' ELSE 'right' END AS side FROM (FROM a UNION FROM b) WHERE (n IN (FROM a)) <> (n IN (FROM b))")
 def _(spark, d):
-    return tables.levels_differ(read(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")), ["nation"])
+    return tables.levels_differ(read(spark, d, "customer").select((F.col("c_nationkey") % 20).alias("nation")), read(spark, d, "supplier").select((F.col("s_nationkey") % 23 + 3).alias("nation")), ["nation"])
 
 
 _TOKENS_SQL = "tok AS (SELECT conv_id, turn, w, i FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS w FROM conversations) UNION ALL SELECT -1, 0, unnest(['can''t', 'he''d', 'it''s', 'zzz']), 0), vec AS (SELECT DISTINCT w AS word, strlen(w)::DOUBLE AS x FROM tok WHERE length(w) BETWEEN 1 AND 4 UNION SELECT unnest(['he', 'would', 'cannot']), unnest([2.0, 5.0, 6.0]))"
@@ -267,10 +288,15 @@ def _(spark, d):
     return stats.correlate_columns(read(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice").select(F.col("l_returnflag").alias("target"), F.round("r", 6).alias("r"))
 
 
-@query("a5_scores", "WITH x AS (SELECT l_linenumber AS g, l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem) SELECT g, round(avg((p - y) ** 2), 1) AS mse, round(1 - sum((p - y) ** 2) / (var_pop(y) * count(*)), 6) AS r2, round(corr(y, p), 6) AS r FROM x GROUP BY g")
+_A5 = "x AS (SELECT l_linenumber AS g, unnest([1, 2]) AS t, unnest([l_extendedprice, l_quantity * 900]) AS y, unnest([l_quantity * 1500, l_extendedprice * 0.6]) AS p FROM lineitem)"
+
+
+@query("a5_scores", f"WITH {_A5}, m AS (SELECT g, t, y, p, avg(y) OVER (PARTITION BY g, t) AS own FROM x) SELECT g, round(avg((p - y) ** 2), 1) AS mse, round(1 - sum((p - y) ** 2) / sum((y - own) ** 2), 6) AS r2, round(corr(y, p), 6) AS r FROM m GROUP BY g")
 def _(spark, d):
-    x = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("g"), F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("p"))
-    return stats.scores(x, keys=["g"]).select("g", F.round("mse", 1).alias("mse"), F.round("r2", 6).alias("r2"), F.round("r", 6).alias("r"))
+    pair = lambda y, p: F.struct(y.alias("y"), p.alias("p"))
+    price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+    x = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("g"), F.posexplode(F.array(pair(price, quantity * 1500), pair(quantity * 900, price * 0.6))).alias("t", "v")).select("g", "t", "v.*")
+    return stats.scores(x, "t", keys=["g"]).select("g", F.round("mse", 1).alias("mse"), F.round("r2", 6).alias("r2"), F.round("r", 6).alias("r"))
 
 
 @query("a6_mse", "SELECT l_linenumber AS target, round(avg((l_quantity * 0.05 - l_tax) ** 2), 6) AS mse FROM lineitem GROUP BY 1")
@@ -331,10 +357,16 @@ def _(spark, d):
     return stats.char_error_rate(o, "truth", "o_orderpriority", ["o_orderstatus"]).withColumn("cer", F.round("cer", 6))
 
 
-@query("a14_word_errors")
+_A14 = "t AS (SELECT comment_id, list_filter(string_split(truth, ' '), lambda w: w <> '') AS a, list_filter(string_split(heard, ' '), lambda w: w <> '') AS b FROM (SELECT p_partkey AS comment_id, p_name || ' ' || p_type AS truth, replace(p_name, 'e', 'a') || ' and ' || p_type AS heard FROM part))"
+
+
+@query("a14_word_errors", f"""WITH RECURSIVE {_A14},
+g AS (SELECT comment_id, a, b, 0 AS i, range(0, len(b) + 1) AS r FROM t
+  UNION ALL SELECT comment_id, a, b, i + 1, list_reduce(list_prepend([(i + 1)::BIGINT], list_transform(range(1, len(b) + 1), lambda j: [least(r[j + 1] + 1, r[j] + (a[i + 1] <> b[j])::BIGINT)])), lambda x, y: list_append(x, least(y[1], x[-1] + 1))) FROM g WHERE i < len(a))
+SELECT comment_id, sum(r[-1])::BIGINT AS edits, sum(len(a))::BIGINT AS words, round(sum(r[-1]) / sum(len(a)), 6)::DOUBLE AS wer FROM g WHERE i = len(a) GROUP BY 1""")
 def _(spark, d):
-    t = read(spark, d, "conversations").select("conv_id", F.substring_index("text", " ", 12).alias("truth"), F.substring_index(F.regexp_replace("text", " (the|a) ", " "), " ", 12).alias("heard"))
-    return stats.word_error_rate(t, "truth", "heard", ["conv_id"])
+    t = read(spark, d, "part").select(F.col("p_partkey").alias("comment_id"), F.concat_ws(" ", "p_name", "p_type").alias("truth"), F.concat(F.replace("p_name", F.lit("e"), F.lit("a")), F.lit(" and "), F.col("p_type")).alias("heard"))
+    return stats.word_error_rate(t, "truth", "heard", ["comment_id"]).select("comment_id", F.col("edits").cast("long").alias("edits"), F.col("words").cast("long").alias("words"), F.round("wer", 6).alias("wer"))
 
 
 @query("a15_normalise", "SELECT vec_id, p::INT AS p, round(x / m, 5) AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding)::DOUBLE AS x, list_max(embedding)::DOUBLE AS m FROM embeddings)")
@@ -370,11 +402,18 @@ def _(spark, d):
     return folds.partition_within_labels(read(spark, d, "events"), "event_type", "event_id", [0.6, 0.2, 0.2]).select("event_id", "fold")
 
 
-@query("g2_partition_shuffled")
+@query("g2_partition_shuffled", "SELECT event_type, f::INT AS fold, (n // 5 + (n % 5 >= f)::INT)::BIGINT AS count FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1), range(1, 6) r(f)")
 def _(spark, d):
     return folds.partition_within_labels(read(spark, d, "events"), "event_type", "event_id", 5, seed=3, shuffle=True).groupBy("event_type", "fold").count()
 
 
+@query("g4_index_lists", "SELECT event_id, k::INT AS fold, event_id % 3 = k AND event_id % 7 <> 0 AS is_test FROM events, range(3) r(k)")
+def _(spark, d):
+    e = read(spark, d, "events").select("event_id")
+    tests = e.where("event_id % 7 <> 0").select("event_id", (F.col("event_id") % 3).cast("int").alias("fold"))
+    return folds.folds_from_lists(e, tests, "event_id", 3)
+
+
 @query("g3_leave_one_out", "SELECT n_nationkey, f.n_regionkey AS fold, n.n_regionkey = f.n_regionkey AS is_test FROM nation n, (SELECT DISTINCT n_regionkey FROM nation) f")
 def _(spark, d):
     return folds.leave_one_out(read(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey").select("n_nationkey", "fold", "is_test")
@@ -455,6 +494,73 @@ def _(spark, d):
     return files.parse_textgrids(files.textgrid_texts(rows))
 
 
+_TG = "g AS (SELECT user_id::VARCHAR AS file, (row_number() OVER (PARTITION BY user_id ORDER BY t_idx) - 1)::INT AS idx, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type || event_id % 3 END AS text, value AS onset, value + 0.5 AS \"offset\" FROM s)"
+
+
+def _textgrids(spark: SparkSession, d: str) -> DataFrame:
+    """Two tiers of the same intervals, some without a label, written as texts and parsed."""
+    label = F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.col("event_type"), (F.col("event_id") % 3).cast("string")))
+    rows = series(spark, d).select(F.col("user_id").cast("string").alias("file"), F.col("t_idx").alias("idx"), F.col("value").alias("onset"), (F.col("value") + 0.5).alias("offset"), label.alias("label"))
+    tiers = rows.withColumn("t", F.explode(F.array(F.struct(F.lit(0).alias("tier_no"), F.lit("phones").alias("tier")), F.struct(F.lit(1).alias("tier_no"), F.lit("words").alias("tier"))))).select("*", "t.*").drop("t")
+    return files.parse_textgrids(files.textgrid_texts(tiers))
+
+
+@query("io2_phones", f"WITH {S}, {_TG} SELECT file, idx, regexp_replace(text, '[0-9]$', '') AS text, onset, \"offset\" FROM g WHERE text <> ''")
+def _(spark, d):
+    return files.phones(_textgrids(spark, d))
+
+
+@query("io3_words", f"WITH {S}, {_TG} SELECT file, idx, text, onset, \"offset\" FROM g WHERE text <> ''")
+def _(spark, d):
+    return files.words(_textgrids(spark, d))
+
+
+@query("io7_tier_per_label", f"WITH {S}, {_TG} SELECT file, text AS tier, (dense_rank() OVER (PARTITION BY file ORDER BY text) - 1)::INT AS tier_no, idx FROM g")
+def _(spark, d):
+    label = F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.col("event_type"), (F.col("event_id") % 3).cast("string")))
+    rows = series(spark, d).select(F.col("user_id").cast("string").alias("file"), F.col("t_idx").cast("int").alias("idx"), label.alias("label"))
+    return files.tier_per_label(rows).select("file", "tier", F.col("tier_no").cast("int").alias("tier_no"), "idx")
+
+
+@query("a9_sorted_labels", "SELECT row_number() OVER (ORDER BY label) - 1 AS place, label FROM (SELECT DISTINCT event_type AS label FROM events)")
+def _(spark, d):
+    labels = intervals.sorted_labels(read(spark, d, "events").select(F.col("event_type").alias("label")))
+    return spark.createDataFrame(list(enumerate(labels)), "place long, label string")
+
+
+@query("a10_repeated_keys", "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def _(spark, d):
+    return tables.repeated_keys(read(spark, d, "lineitem"), ["l_orderkey", "l_partkey"])
+
+
+@query("f12_round", "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice::DOUBLE / 7, 8) AS x FROM lineitem")
+def _(spark, d):
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalar.round8(F.col("l_extendedprice").cast("double") / 7).alias("x"))
+
+
+@query("m13_fold_scores", "SELECT g::INT AS g, t::INT AS target FROM range(1, 8) a(g), range(4) b(t) WHERE t IN (1, 2)")
+def _(spark, d):
+    """Targets 1 (constant) and 2 (with a NaN) score 0; 0 and 3 do not."""
+    y = F.array(F.col("l_extendedprice").cast("double"), F.lit(1.0), F.when(F.col("l_orderkey") == 1, F.lit(float("nan"))).otherwise(F.col("l_tax").cast("double")), (F.col("l_quantity") * F.col("l_discount")).cast("double"))
+    x = read(spark, d, "lineitem").select("l_linenumber", F.array("l_quantity", "l_discount").alias("x"), y.alias("y"))
+    found = linear.fold_scores(x, "l_linenumber", alphas=[1.0, 64.0])
+    return spark.createDataFrame([(int(g), t) for g, r in found.items() for t, v in enumerate(r) if v == 0], "g int, target int")
+
+
+@query("m5_prefit_stacking", "WITH e AS (SELECT avg(e1 * e1) AS p11, avg(e1 * e2) AS p12, avg(e2 * e2) AS p22 FROM (SELECT o_totalprice - 2000 * (o_custkey % 100) AS e1, o_totalprice - 150000 AS e2 FROM orders)), w AS (SELECT greatest(0.0, least(1.0, (p22 - p12) / (p11 + p22 - 2 * p12))) AS w FROM e) SELECT 0 AS target, 1 AS model, round(w, 5) AS weight FROM w UNION ALL SELECT 0, 2, round(1 - w, 5) FROM w")
+def _(spark, d):
+    """Weights of two models that were fitted before."""
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("row"), F.lit(0).alias("target"), F.col("o_totalprice").alias("y"), "o_custkey")
+    made = F.explode(F.array(F.struct(F.lit(1).alias("model"), (F.col("o_custkey") % 100 * 2000).cast("double").alias("p")), F.struct(F.lit(2).alias("model"), F.lit(150000.0).alias("p"))))
+    return stacking.stack_predictions(rows.select("row", "target", made.alias("m")).select("row", "target", "m.*"), rows.select("row", "target", "y"), "row", "target", "model").withColumn("weight", F.round("weight", 5))
+
+
+@query("f6_falsy", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'NULL' ELSE (s_suppkey % 3)::VARCHAR END AS number, CASE WHEN s_suppkey % 2 = 0 THEN 'NULL' ELSE 'true' END AS flag, CASE WHEN s_suppkey % 3 = 0 THEN '0' ELSE 'x' END AS text FROM supplier")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    return read(spark, d, "supplier").select("s_suppkey", scalar.to_text(k % 3).alias("number"), scalar.to_text(k % 2 != 0).alias("flag"), scalar.to_text(F.when(k % 3 == 0, "0").otherwise("x")).alias("text"))
+
+
 @query("m2_one_feature_ridge", "SELECT round(covar_pop(l_quantity, l_extendedprice) * count(*) / (var_pop(l_quantity) * count(*) + 4096.0), 3) AS coef, round(avg(l_extendedprice) - avg(l_quantity) * covar_pop(l_quantity, l_extendedprice) * count(*) / (var_pop(l_quantity) * count(*) + 4096.0), 2) AS intercept FROM lineitem")
 def _(spark, d):
     x = read(spark, d, "lineitem").select("l_linenumber", F.array("l_quantity").alias("x"), F.array("l_extendedprice").alias("y"))
@@ -515,7 +621,7 @@ def _(spark, d):
 @query("w10_align_time")
 def _(spark, d):
     e = read(spark, d, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
-    return timeseries.align_time(e.select("vec_id", (F.col("i") / 50.0).alias("t"), F.array("v").alias("features")), ["vec_id"], 75, -0.1, 1.2)
+    return timeseries.align_time(e.select("vec_id", (F.col("i") / 50.0).alias("t"), F.array("v").alias("features")), ["vec_id"], timeseries.regular_times(75, -0.1, 1.2))
 
 
 @query("s1_spectrogram")

@@ -54,7 +54,7 @@ class Options:
 def parse_options(pairs: Sequence[object], defaults: Mapping[str, object] | None = None, ignore_bad_keys: bool = False, any_type: Iterable[str] = (), empty_means_unspecified: bool = False) -> Options:
     """Defaults with the given key, value, key, value ... put over them. Keys must be known strings, given once, with values of the default's type."""
     if len(pairs) % 2:
-        raise ValueError("there are not an even number of optional inputs")
+        raise ValueError(f"the last key has no value: {pairs[-1]!r}")
     keys = pairs[::2]
     if any(not isinstance(k, str) for k in keys):
         raise ValueError("all keys must be strings")

@@ -106,12 +106,12 @@ def test_interpolation_and_alignment(spark, tensor):
     at = spark.createDataFrame([(1, v) for v in (0.0, 0.5, 1.0, 2.5, 3.0, 9.0)], "k int, t double")
     assert column(timeseries.interpolate(s, at, ["k"]), "x_new", "t") == [0, 0.5, 1, 6.5, 9]
     one = spark.createDataFrame([("s", float(t), [float(np.sin(t / 8))]) for t in range(200)], "k string, t double, features array<double>")
-    same = np.array(column(timeseries.align_time(one, ["k"], 1, -2, 199), "features", "t"))[:, 0]
+    same = np.array(column(timeseries.align_time(one, ["k"], timeseries.regular_times(1, -2, 199)), "features", "t"))[:, 0]
     assert len(same) == 202 and (same[:2] == 0).all() and np.allclose(same[2:202], np.sin(np.arange(200) / 8))
-    fine = timeseries.align_time(one, ["k"], 2, 20, 150).toPandas().sort_values("t")
+    fine = timeseries.align_time(one, ["k"], timeseries.regular_times(2, 20, 150)).toPandas().sort_values("t")
     assert np.allclose(np.stack(fine.features)[:, 0], np.sin(fine.t / 8), atol=5e-3)
     with pytest.raises(Exception, match="needs"):
-        timeseries.align_time(one, ["k"], 1, 0, 400).collect()
+        timeseries.align_time(one, ["k"], timeseries.regular_times(1, 0, 400)).collect()
 
 
 def test_tables(spark):
@@ -268,15 +268,67 @@ def test_scalars_and_signal(spark):
 
 
 def test_options():
-    o = options.parse_options(["a", "quilting", "c", ["goodbye", "world"]], {"a": "TCI", "b": [1, 2, 3], "c": ["hello", "world"]})
-    assert o.changed == {"a": True, "b": False, "c": True} and o.values["b"] == [1, 2, 3]
-    assert options.options_to_text(o, ["b"], ["a"]) == "b-1-2-3_c-goodbye-world"
-    assert options.struct_to_text({"a": "doowicky", "b": [3.14, 42]}) == "a-doowicky_b-3.14-42"
-    assert options.struct_to_text({"a": "doowicky", "b": "x"}, max_len=3, delimiter="/") == "a-doowicky/b-x"
+    o = options.parse_options(["rate", 50, "bands", ["low", "mid"]], {"rate": 100, "width": [2, 5], "bands": ["all"]})
+    assert o.changed == {"rate": True, "width": False, "bands": True} and o.values["width"] == [2, 5]
+    assert options.options_to_text(o, ["width"], ["rate"]) == "width-2-5_bands-low-mid"
+    assert options.struct_to_text({"tag": "lag", "span": [0.25, 8]}) == "tag-lag_span-0.25-8"
+    assert options.struct_to_text({"tag": "lag", "q": "z"}, max_len=7, delimiter="/") == "tag-lag/q-z"
     assert options.to_text([]) == options.to_text(None) == "NULL"
-    for bad in (["a"], ["a", 1, "a", 2], ["z", 1], ["a", 1]):
+    for bad in (["rate"], ["rate", 1, "rate", 2], ["z", 1], ["rate", "x"]):
         with pytest.raises(ValueError):
-            options.parse_options(bad, {"a": "x"})
+            options.parse_options(bad, {"rate": 1})
+
+
+def test_alignment_to_uneven_times(spark, tensor):
+    s = spark.createDataFrame([("s", t, [t * 2, 1.0]) for t in (0.0, 0.4, 1.0, 1.1, 2.0)], "k string, t double, features array<double>")
+    got = timeseries.align_time(s, ["k"], [0.1, 0.4, 1.05, 1.9], resample_first=False).orderBy("t").collect()
+    assert [r.t for r in got] == [0.1, 0.4, 1.05, 1.9] and np.allclose([r.features for r in got], [[0.2, 1], [0.8, 1], [2.1, 1], [3.8, 1]])
+    padded = timeseries.align_time(s, ["k"], [-1.0, 0.0, 1.0, 2.0, 3.0], interpolate=False, resample_first=False).orderBy("t", F.get("features", F.lit(1))).collect()
+    assert [r.t for r in padded] == [-1.0, 0.0, 0.4, 1.0, 1.1, 2.0, 3.0] and padded[0].features == padded[-1].features == [0.0, 0.0]
+    with pytest.raises(Exception, match="needs"):
+        timeseries.align_time(s, ["k"], timeseries.regular_times(2, 0, 9)).collect()
+
+
+def test_scores_pool_over_targets(spark):
+    r = np.random.default_rng(5)
+    y = r.normal(size=(40, 3)) * [1, 5, 0.2] + [10, -3, 0]
+    p = y + r.normal(size=y.shape) * [0.5, 2, 0.3]
+    df = spark.createDataFrame([(int(i), int(t), float(y[i, t]), float(p[i, t])) for i in range(40) for t in range(3)], "i int, t int, y double, p double")
+    got = stats.scores(df, "t").first()
+    assert np.isclose(got.mse, ((p - y) ** 2).mean()) and np.isclose(got.r2, 1 - ((p - y) ** 2).sum() / ((y - y.mean(0)) ** 2).sum()) and np.isclose(got.r, np.corrcoef(y.ravel(), p.ravel())[0, 1])
+    flat = stats.scores(df.withColumn("y", F.lit(2.0)), "t").first()
+    assert flat.r2 is None and np.isnan(flat.r)
+    odd = df.withColumn("y", F.when(F.col("t") == 0, 1.0).when((F.col("t") == 1) & (F.col("i") == 3), F.lit(float("nan"))).otherwise(F.col("y")))
+    found = {x.t: x.r for x in stats.scores_of_usable(odd, "t").collect()}
+    assert found[0] == found[1] == 0 and np.isclose(found[2], np.corrcoef(y[:, 2], p[:, 2])[0, 1])
+
+
+def test_lasso_goes_with_the_mean_of_squared_errors(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(50, 3))
+    y = x @ [2.0, -1.0, 0.1] + 3
+    df = spark.createDataFrame([(0, a.tolist(), [float(b)]) for a, b in zip(x, y)], "g int, x array<double>, y array<double>")
+    d = linear.decompose(linear.group_factors(df, "g").r[0], 3, std=False)
+    w = linear.regression_weights(d, "lasso", [0.05, 0.5])[:, 1:, 0]
+    c = x - x.mean(0)
+    for k, one in zip((0.05, 0.5), w):
+        slope = c.T @ (y - y.mean() - c @ one) / 50  # at the least: k * sign(w), or within k where w is 0
+        assert np.allclose(slope[one != 0], k * np.sign(one[one != 0]), atol=1e-6) and (np.abs(slope[one == 0]) <= k + 1e-6).all()
+
+
+def test_sound_shapes(spark):
+    sound = np.sin(np.arange(1601) / 5)
+    low, high = signal.cochleagram(sound, 16000, 100, 6), signal.cochleagram(sound, 16000, 100, 6, flip=True)
+    assert low.shape == (10, 6) and np.allclose(low, high[:, ::-1])
+    assert len(signal.cochleagram(sound[:960], 16000, 100, 6)) == 6 and len(signal.cochleagram(np.tile(sound, 2)[:2500], 16000, 100, 6)) == 16
+    bank, cut, _ = signal.erb_filters(4000, 16000, 10, 50, 7000, "ferret")
+    assert np.allclose((bank**2).sum(1)[(np.linspace(0, 8000, 2001) > cut[1]) & (np.linspace(0, 8000, 2001) < cut[-2])], 1, atol=0.05)
+    assert np.allclose(signal.erb2freq_ferret(signal.freq2erb_ferret([50, 800, 7000])), [50, 800, 7000])
+    f = np.array([100.0, 200, 400, 800])
+    same = signal.resample_time_and_freq(low[:, :4], 100, 100, f, f)
+    assert np.allclose(same, low[:, :4])
+    df = spark.createDataFrame([(0, [[1.0, 3.0], [2.0, 6.0]]), (1, [[0.0], [0.0]])], "layer int, activation array<array<double>>")
+    assert {r.layer: r.mean for r in signal.layer_means(df).collect()} == {0: [0.5, 1.0], 1: [0.0, 0.0]}
 
 
 def test_files(spark, tmp_path):
