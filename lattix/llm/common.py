@@ -52,6 +52,17 @@ def spread_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(few, key).unionByName(rest)
 
 
+def salted_join(rows: DataFrame, keys: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined to ``keys`` on ``key`` without a task for a frequent key: its rows are dealt over places by a hash of column ``by``, and what ``keys`` holds of it is copied to each place. Places follow the key's share of all rows, so that there are fewer than 2 * SPREAD more. ``rows`` are read twice."""
+    count = rows.groupBy(key).agg(F.count("*").alias("_rows"))
+    limit = max(1, (count.agg(F.sum("_rows")).first()[0] or 0) // SPREAD)
+    hot = F.broadcast(count.where(F.col("_rows") > limit).select(key, F.ceil(F.col("_rows") / limit).cast("int").alias("_places")))  # fewer than SPREAD rows of two numbers
+    places = F.coalesce("_places", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_place", F.pmod(F.xxhash64(by), places).cast("int")).drop("_places")
+    copies = keys.join(hot, key, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), places - 1))).drop("_places")
+    return dealt.join(copies, [key, "_place"]).drop("_place")
+
+
 def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that cut() wrote and nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -6,8 +6,11 @@ probes) tells each training window apart in the task that reads the text, and on
 each stretch around its hits, with the stretch's words. Hits join seeds on the hash; each (stretch, item, diagonal) is then verified
 word by word: the best run, where a match counts 1 and a substitution -2, must hold ``share`` of the item's words or ``enough`` words.
 
-Items with fewer than ``least`` words are too short to tell and never leak. Null and empty texts hold no windows. Repeated documents
-each get their own rows; documents with a null id give rows with a null id. An empty benchmark or corpus gives no rows.
+Items with fewer than ``least`` words are too short to tell and never leak. Null and empty texts hold no windows. Rows that share an
+id, null included, leak together: one row for each (id, item), with the best run of any of them. Of equal runs the shorter, then the
+first, is told. Very long texts are hashed whole, and of them only stretches around hits travel. An empty benchmark or corpus gives no
+rows. Only the id and text columns are read, so that other columns may have any name. Frequent seeds and items are dealt over many
+tasks (``salted_join``).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NOT_ALNUM, cut, is_word, mix, slices, text_buffers, words
+from .common import NOT_ALNUM, cut, is_word, mix, salted_join, slices, text_buffers, words
 
 #: 1 is read, 0 ignored.
 MASKS = ("11011011", "1110010111", "10111001101")
@@ -134,8 +137,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stretches = cut(rows.mapInArrow(work, "stretch long, doc_id long, from_word long, words binary, hits array<struct<hash: long, pos: int>>"), "decontamination-stretches")
     hits = stretches.select("stretch", F.explode("hits").alias("h")).select("stretch", F.col("h.hash").alias("hash"), F.col("h.pos").alias("pos"))
-    diagonals = hits.join(seeds, "hash").groupBy("stretch", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("n_hits"))
-    pairs = diagonals.join(stretches.select("stretch", "doc_id", "from_word", F.col("words").alias("doc_words")), "stretch").join(table.select("item", "item_id", F.col("words").alias("item_words")), "item")
+    diagonals = salted_join(hits, seeds, "hash", "stretch").groupBy("stretch", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("n_hits"))
+    diagonals = cut(diagonals, "decontamination-diagonals")
+    pairs = salted_join(diagonals, table.select("item", "item_id", F.col("words").alias("item_words")), "item", "stretch")
+    pairs = pairs.join(stretches.select("stretch", "doc_id", "from_word", F.col("words").alias("doc_words")), "stretch")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .common import SPACES, SPREAD, cut, is_word, mix, shingles, slices, spread_join, text_buffers, words
+from .common import SPACES, cut, is_word, mix, salted_join, shingles, slices, spread_join, text_buffers, words
 from .components import components
 from .decontaminate import _has, _probes, seed_filter
 
@@ -197,13 +197,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame, w: str) -> DataFrame:
-    """``pairs`` with the tokens of column ``v`` as ``a`` and of column ``w`` as ``b``. A set that many pairs name as ``w`` is copied to as many places as its share of pairs asks for."""
-    count = pairs.groupBy(w).agg(F.count("*").alias("n_pairs"))
-    limit = max(1, (count.agg(F.sum("n_pairs")).first()[0] or 0) // SPREAD)
-    hot = F.broadcast(count.where(F.col("n_pairs") > limit).select(F.col(w), F.ceil(F.col("n_pairs") / limit).cast("int").alias("places")))  # fewer than SPREAD rows
-    dealt = pairs.join(hot, w, "left").withColumn("place", F.pmod(F.xxhash64("v"), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
-    copies = sets.select(F.col("v").alias(w), F.col("tokens").alias("b")).join(hot, w, "left").withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
-    return dealt.join(sets.select("v", F.col("tokens").alias("a")), "v").join(copies, [w, "place"]).drop("place")
+    """``pairs`` with the tokens of column ``v`` as ``a`` and of column ``w``, which many pairs may name, as ``b``."""
+    copies = sets.select(F.col("v").alias(w), F.col("tokens").alias("b"))
+    return salted_join(pairs, copies, w, "v").join(sets.select("v", F.col("tokens").alias("a")), "v")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(c, T.StringType()) for c in ("lang", "source")), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("v", "th", "row", "token", "hash", "key", "item"))])
 
@@ -284,6 +284,53 @@ def test_leaks_are_found_despite_substitutions(spark, docs, empty):
     assert find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_against_every_alignment(spark):
+    """Documents with passages of which up to a third of the words are substituted, against all items at all shifts."""
+    from lattix.llm.common import NOT_ALNUM, is_word, text_buffers
+    from lattix.llm.common import words as word_hashes
+    from lattix.llm.decontaminate import ENOUGH, LEAST, SHARE, best_run, find_leaks
+    import pyarrow as pa
+
+    r = random.Random(12)
+    items = [" ".join(words(r.randint(8, 60), 500 + k)) for k in range(25)]
+    texts = []
+    for k in range(70):
+        w = r.choice(items).split()
+        a = r.randint(0, len(w) // 3)
+        part = w[a : a + r.randint(len(w) // 2, len(w))]
+        part = edited(part, round(len(part) * r.choice([0, 0.05, 0.1, 0.2, 0.33])), k)
+        texts.append(" ".join([*words(r.randint(0, 60), 900 + k), part, *words(r.randint(0, 60), 990 + k)]))
+
+    def hashes(some):
+        data, at = text_buffers(pa.array(some))
+        hashed, ends = word_hashes(data, at, 0, len(some), is_word(NOT_ALNUM))
+        return [hashed[ends[k] : ends[k + 1]] for k in range(len(some))]
+
+    want = set()
+    for d, doc in enumerate(hashes(texts)):
+        for i, item in enumerate(hashes(items)):
+            if np.isin(doc, item).sum() < LEAST:
+                continue
+            found = max(best_run(doc, item, s)[1] for s in range(-len(item) + 1, len(doc)))
+            if found >= LEAST and (found >= ENOUGH or found >= SHARE * len(item)):
+                want.add((d, i))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {(x.doc_id, x.item_id) for x in find_leaks(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    print(f"leaks by every alignment: {len(want)}; found: {len(got & want)}")
+    assert got <= want and len(want) > 40 and len(got) >= 0.9 * len(want)
+
+
+def test_frequent_keys_join_as_any_other(spark):
+    from lattix.llm.common import salted_join, spread_join
+
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(9000)], "key long, n long").repartition(5)
+    keys = spark.createDataFrame([(k, f"k{k}", 1) for k in range(1, 9)] + [(0, "zero", 6000)], "key long, name string, df long")
+    want = sorted(map(tuple, rows.join(keys.select("key", "name"), "key").collect()))
+    assert sorted(map(tuple, spread_join(rows, keys, "key").select("key", "n", "name").collect())) == want
+    twice = keys.select("key", "name").unionByName(keys.select("key", F.concat("name", F.lit("b")).alias("name")))
+    assert sorted(map(tuple, salted_join(rows, twice, "key", "n").collect())) == sorted(map(tuple, rows.join(twice, "key").collect()))
+
+
 def test_bpe_and_token_files_equal_the_library(docs, empty, spark):
     import public_tokenizers
     from lattix.llm.bpe import bpe_round_trip, decode_ids, encode_ids
