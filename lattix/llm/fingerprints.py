@@ -10,7 +10,7 @@ a paragraph can be added or taken away without the text (``add``, ``remove``). T
   takes one from it. The cosine of two such vectors estimates the share of paragraphs in common.
 
 Null and empty texts have no paragraphs; their fingerprint is the zero vector, alike to itself (1) and to no other (0). Very long texts
-are one row's value; their counts do not wrap. Rows with a null id come first; rows that share an id go by their texts. An empty table
+are one row's value; their counts do not wrap. Rows with a null id come first; rows that share an id go by a hash of their text. An empty table
 gives no rows. Only the id and text columns are read, so that other columns may have any name.
 """
 
@@ -20,6 +20,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from .common import SPREAD
+
 PARAGRAPHS = r"(?<=[\n.!?])(?=[^\n.!?])"
 STRONG, GROUPS, LANES = 4, 16, 7
 COUNTS = GROUPS * LANES
@@ -91,11 +93,11 @@ def likeness(same: Column, a: Column, b: Column) -> Column:
     return F.when(same, F.lit(1.0)).otherwise(cosine)
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Each row with ``columns`` of the next row by ``key`` as ``next_<column>``; the first row follows the last.
+def with_next(docs: DataFrame, key: str, tie: str, columns: list[str]) -> DataFrame:
+    """Each row with ``columns`` of the next row by ``key``, then ``tie`` (longs), as ``next_<column>``; the first row follows the last.
 
     One shuffle: rows go to buckets of consecutive keys (from quantiles of the keys alone), and the first row of each bucket also
-    to the bucket before. Ties go by ``columns``.
+    to the bucket before. The rows of a very frequent key are split by ranges of ``tie``, which should be a hash of what tells them apart.
     """
     n = docs.count()
     size = max(BUCKET_ROWS, -(-n // MOST_BUCKETS))
@@ -109,20 +111,26 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     if cuts > 1:
         low, high = F.get(edges, seg - 1), F.coalesce(F.get(edges, seg), F.get(edges, seg - 1) + F.lit(bounds[-1] - bounds[0] + 1))
         bucket += F.least(F.lit(cuts - 1), F.greatest(F.lit(0), F.floor((F.col(key) - low) / (high - low) * cuts))).cast("long")
-    firsts = docs.groupBy(bucket.alias("_b")).agg(F.min(key).alias("_first"))
-    order = Window.orderBy("_b")
-    firsts = firsts.select("_first", F.coalesce(F.lag("_b").over(order), F.max("_b").over(Window.partitionBy())).alias("_before"))
-    dealt = docs.withColumn("_b", bucket).join(F.broadcast(firsts), F.col(key) == F.col("_first"), "left")  # two numbers for each of about MOST_BUCKETS buckets
-    homes = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_b").alias("to"), F.lit(0).alias("halo")))).otherwise(F.array(F.struct(F.col("_b").alias("to"), F.lit(0).alias("halo")), F.struct(F.col("_before").alias("to"), F.lit(1).alias("halo"))))
-    dealt = dealt.withColumn("_home", F.explode(homes)).drop("_first", "_b", "_before")
-    w = Window.partitionBy("_home.to").orderBy("_home.halo", key, *columns)
+    heavy = docs.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(2 * size, n // SPREAD))
+    heavy = F.broadcast(heavy.select(F.col(key).alias("_heavy"), F.ceil(F.col("_n") / size).alias("_parts")))  # fewer than SPREAD rows of two numbers
+    top = F.shiftright(tie, 33) + (1 << 30)  # 31 bits, in the order of tie
+    part = F.floor(top * F.coalesce("_parts", F.lit(1)) / F.lit(float(1 << 31)))
+    homes = docs.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_b", F.struct(bucket.alias("b"), F.when(F.col("_parts").isNotNull(), F.col(key)).alias("k"), part.alias("p"))).drop("_heavy", "_parts")
+    firsts = homes.groupBy("_b").agg(F.min(F.struct(key, tie)).alias("_first"))
+    order = Window.orderBy("_first")
+    firsts = firsts.select("_first", F.coalesce(F.lag("_b").over(order), F.max_by("_b", "_first").over(Window.partitionBy())).alias("_before"))
+    halo = F.broadcast(firsts.select(F.col(f"_first.{key}").alias("_k"), F.col(f"_first.{tie}").alias("_t"), "_before"))  # a few numbers for each of about MOST_BUCKETS buckets
+    dealt = homes.join(halo, (F.col(key) == F.col("_k")) & (F.col(tie) == F.col("_t")), "left")
+    own, ahead = F.struct(F.col("_b").alias("to"), F.lit(0).alias("halo")), F.struct(F.col("_before").alias("to"), F.lit(1).alias("halo"))
+    dealt = dealt.withColumn("_home", F.explode(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, ahead)))).drop("_k", "_t", "_b", "_before")
+    w = Window.partitionBy("_home.to").orderBy("_home.halo", key, tie)
     return dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("_home.halo = 0").drop("_home")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text: the last half of its code points replaced by the first ones of the next document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows, "_key", ["text"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = with_next(rows.withColumn("_tie", F.xxhash64("text")), "_key", "_tie", ["text"]).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))

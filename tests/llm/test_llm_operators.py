@@ -444,8 +444,52 @@ def test_fingerprints_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "MOST_QUANTILES", 5)
     ids = sorted(random.Random(4).sample(range(10_000), 150))
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(6)
-    got = {r.doc_id: r.next_text for r in fingerprints.with_next(df, "doc_id", ["text"]).collect()}
+    rows = df.withColumn("tie", F.xxhash64("text"))
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(rows, "doc_id", "tie", ["text"]).collect()}
     assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
+    # a third of all rows share an id: one round through all rows, in the order of ids
+    shared = df.unionByName(spark.createDataFrame([(ids[70], f"s{k}") for k in range(75)], df.schema)).repartition(6).withColumn("tie", F.xxhash64("text"))
+    after = {r.text: (r.doc_id, r.next_text) for r in fingerprints.with_next(shared, "doc_id", "tie", ["text"]).collect()}
+    assert len(after) == 225
+    at, seen = f"t{ids[0]}", []
+    for _ in range(225):
+        seen.append(after[at][0])
+        at = after[at][1]
+    assert at == f"t{ids[0]}" and seen == sorted(seen) and seen.count(ids[70]) == 76
+
+
+def test_fingerprints_are_multiset_sums(spark):
+    """Against sums in Python, over texts of few different paragraphs in many counts; likeness against the cosine of the true counts."""
+    from collections import Counter
+
+    import xxhash
+    from lattix.llm.fingerprints import COUNTS, STRONG, fingerprint, likeness, signed_lanes
+
+    r = random.Random(9)
+    pool = [f"{w}{end}" for w, end in zip(words(40, 77), [".", "!", "\n", "?", ".\n"] * 8)]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 300))) for _ in range(30)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string").withColumn("fp", fingerprint(F.col("text")))
+    made = {x.k: list(x.fp) for x in df.collect()}
+    long = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def hashed(p, seed=42):
+        return xxhash.xxh64_intdigest(p.encode(), seed)
+
+    counts = []
+    for k, t in enumerate(texts):
+        parts = Counter(x for x in re.split(r"(?<=[\n.!?])(?=[^\n.!?])", t) if x)
+        counts.append(parts)
+        lanes, strong = [0] * COUNTS, [0] * STRONG
+        for p, n in parts.items():
+            h = hashed(p)
+            lanes[(h >> 1 & 15) * 7 + (h >> 5) % 7] += n * (1 - 2 * (h & 1))
+            for seed in range(STRONG):
+                strong[seed] = (strong[seed] + n * hashed(p, xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42))) % (1 << 48)
+        assert made[k][:COUNTS] == lanes and [x % (1 << 48) for x in made[k][COUNTS:]] == strong, k
+    near = df.alias("a").join(df.alias("b"), F.col("a.k") < F.col("b.k")).select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), likeness(F.lit(False), signed_lanes(F.col("a.fp")), signed_lanes(F.col("b.fp"))).alias("near")).collect()
+    norm = lambda c: sum(v * v for v in c.values()) ** 0.5
+    off = [abs(x.near - sum(n * counts[x.j][p] for p, n in counts[x.i].items()) / (norm(counts[x.i]) * norm(counts[x.j]) or 1)) for x in near]
+    assert sum(off) / len(off) < 0.15
 
 
 def test_licenses(docs, empty, spark):
