@@ -6,7 +6,8 @@ In a second pass each training document becomes its set of picked features, and
 bounded matrix. Scoring is map-only over whole texts: no shuffle, so no source or copy group can pile up in a task.
 
 Labels, language, source and id are never inputs of a score. Null and empty texts hold no n-gram and get the score of the intercept.
-Null labels and ids are left out of training. With a single class among the labels every score is that class's smoothed share. Very
+Null labels and ids are left out of training. With a single class among the labels every score is the smoothed share of
+label 1, and 1/4 without any label. Very
 long texts are read whole, a stretch of ``STRETCH`` bytes at a time, so memory does not grow with them. Repeated rows are scored alike;
 an empty table gives no rows. Columns are added under a name of the caller's choice, and clashes are refused.
 """
@@ -107,7 +108,7 @@ def train(labelled: DataFrame, max_rows: int = 20_000, features: int = 2048, rou
         rows += np.array(r["rows"])
         held += np.frombuffer(r["held"], np.uint32).reshape(2, size)
     if not rows.all():
-        share = (rows[1] + 1) / (rows.sum() + 2)
+        share = (rows[1] + 0.5) / (rows.sum() + 2)
         return Model(np.zeros(size, np.uint16), np.zeros(0), float(np.log(share / (1 - share))))
     p, q = (held[1] + 1) / (rows[1] + 2), (held[0] + 1) / (rows[0] + 2)
     ratio = np.log(p / q)
