@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut, mix, powers, slices, spread_join, text_buffers
+from .common import cut, drop_written, mix, powers, slices, spread_join, text_buffers
 from .decontaminate import _has, _probes, seed_filter
 
 WINDOW, GRAM = 200, 32
 PIECE = 8192
-SHARD_BYTES, BUCKET_BYTES, CHUNK = 3 << 19, 3 << 20, 1 << 21
+SHARD_BYTES, BUCKET_BYTES, CHUNK = 3 << 18, 3 << 19, 1 << 21
 MAX_BITS = 28
 #: Places of a text; Spark's strings are shorter.
 _POSITION = np.uint64((1 << 31) - 1)
@@ -78,10 +78,10 @@ def _contexts(flat: np.ndarray, starts: np.ndarray, window: int, gram: int) -> t
     return grams[anchor[first]].view(np.int64), row, first - starts[row], last + window - first
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` bytes (at least), by Larsson-Sadakane refinement from 8-byte keys."""
+def suffix_array(text: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes in order of their first ``depth`` bytes (at least), by Larsson-Sadakane refinement from 8-byte keys (``words``)."""
     n = len(text)
-    words = word_keys(text)
+    words = word_keys(text) if words is None else words
     order = np.argsort(words, kind="stable")
     rank = np.empty(n, np.int64)
     edge = np.concatenate([[True], words[order][1:] != words[order][:-1]])
@@ -108,21 +108,18 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 def word_keys(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place as one big-endian number; zeros follow the end."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + len(text)]
-    return out
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.ndarray((len(text),), ">u8", padded.data, strides=(1,)).astype(np.uint64)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, block: int = 256) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, block: int = 256, words: np.ndarray | None = None) -> np.ndarray:
     """For each place of ``order`` the bytes in common with the suffix before it, counted up to ``most``.
 
     Kasai's bound: a suffix shares at least one byte less than the one that starts before it in the text, if ``order`` is by whole
     suffixes. Blocks of the text go in step, each keeping its own bound.
     """
     n = len(text)
-    words = np.concatenate([word_keys(text), np.zeros(most + 8, np.uint64)])
+    words = np.concatenate([word_keys(text) if words is None else words, np.zeros(most + 8, np.uint64)])
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, np.int64)
@@ -153,7 +150,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, block: int =
     return shared[order]
 
 
-def repeated_windows(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(texts: list[bytes], window: int = WINDOW, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(windows in order of their bytes as places in the joined texts, whether each equals the one before; text and start of each)."""
     flat = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -161,8 +158,9 @@ def repeated_windows(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarr
     row = np.repeat(np.arange(len(texts)), sizes)
     start = np.arange(len(flat)) - begin[row]
     valid = start + window <= sizes[row]
-    order = suffix_array(flat, len(flat))  # in full: the bound of common_prefixes does not hold over ties
-    lcp = common_prefixes(flat, order, window)
+    words = word_keys(flat) if words is None else words
+    order = suffix_array(flat, len(flat), words)  # in full: the bound of common_prefixes does not hold over ties
+    lcp = common_prefixes(flat, order, window, words=words)
     at = np.flatnonzero(valid[order])
     if not len(at):
         return at, np.zeros(0, bool), at, at
@@ -176,9 +174,8 @@ class Run:
     """A shard's windows in the order of their bytes. repeats: of each class of equal windows, whether it is known to repeat."""
 
     def __init__(self, texts: list[bytes], window: int):
-        flat = np.frombuffer(b"".join(texts), np.uint8)
-        self.window, self.words = window, word_keys(flat)
-        self.place, self.same, self.row, self.start = repeated_windows(texts, window)
+        self.window, self.words = window, word_keys(np.frombuffer(b"".join(texts), np.uint8))
+        self.place, self.same, self.row, self.start = repeated_windows(texts, window, self.words)
         self.head = np.flatnonzero(~self.same)
         self.of = np.cumsum(~self.same) - 1
         self.repeats = np.diff(np.append(self.head, len(self.same))) > 1
@@ -263,21 +260,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k, pa.binary()), *(batch.column(c).take(pa.array(row)) for c in (0, 1)), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32))], names=["a", "k", *_KEY, "pos", "len"])
 
     places = cut(long_ones.mapInArrow(find, "a long, k binary, doc_id long, th long, pos int, len int"), "places")
-    kinds = cut(places.groupBy("a", "k").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "pos", "len")).alias("one")), "contexts")
+    kinds = cut(places.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("a", *_KEY, "pos", "len")).alias("one")).select("k", "n", "one.*"), "contexts")
     full = spread_join(places.select("k", *_KEY, "pos", "len"), kinds.where("n > 1").select("k", F.col("n").alias("df")), "k").select(*_KEY, "pos", "len")
 
     # contexts to compare: one copy of each, with its bytes
-    mixed = kinds.groupBy("a").agg(F.count("*").alias("df"), F.sum("one.len").alias("bytes")).where("df > 1")
+    mixed = kinds.groupBy("a").agg(F.count("*").alias("df"), F.sum("len").alias("bytes")).where("df > 1")
     mixed = cut(mixed.withColumn("pieces", F.ceil(F.col("df") / piece)), "mixed-anchors")
     buckets = max(1, -(-(mixed.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
     sole = spread_join(kinds, mixed, "a")
     home = F.when(F.col("pieces") > 1, F.xxhash64("a", F.pmod(F.xxhash64("k"), F.col("pieces")))).otherwise(F.pmod(F.xxhash64("a"), F.lit(buckets)))
-    sole = sole.select("one.*", home.alias("bucket"), (F.col("pieces") > 1).alias("split"), (F.col("n") > 1).alias("full"))
-    wanted = cut(sole.groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "len", "bucket", "split", "full")).alias("parts")), "wanted")
+    sole = sole.select(*_KEY, "pos", "len", home.alias("bucket"), (F.col("pieces") > 1).alias("split"), (F.col("n") > 1).alias("full"))
+    wanted = sole.groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "len", "bucket", "split", "full")).alias("parts"))
     null_safe = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
-    touched = cut(full.select(*_KEY).unionByName(wanted.select(*_KEY)).distinct(), "touched")
-    texts_of = cut(rows.join(touched, null_safe(rows, touched), "left_semi"), "touched-texts")
-    asked = texts_of.join(wanted, null_safe(texts_of, wanted)).select(texts_of["doc_id"], texts_of["th"], "text", "parts")
+    none = F.lit(None).cast(wanted.schema["parts"].dataType)
+    touched = cut(full.select(*_KEY).distinct().withColumn("parts", none).unionByName(wanted).groupBy(*_KEY).agg(F.first("parts", ignorenulls=True).alias("parts")), "touched")
+    texts_of = cut(rows.join(touched, null_safe(rows, touched)).select(rows["doc_id"], rows["th"], "text", "row", "parts"), "touched-texts")
+    asked = texts_of.where("parts is not null").select(*_KEY, "text", "parts")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("bucket", pa.int64()), ("split", pa.bool_()), ("full", pa.bool_()), *((x, pa.int64()) for x in _KEY), ("pos", pa.int32()), ("bytes", pa.binary())])
@@ -320,7 +318,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared_ones = sorted_.where("bytes is null").select(*_KEY, "pos", "len")
     ranges = sorted_.where("bytes is not null").repartitionByRange("bytes").sortWithinPartitions("bytes")
     merged = ranges.mapInArrow(_neighbours(window), "doc_id long, th long, pos int, len int")
-    marks = full.unionByName(shared_ones).unionByName(merged).groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "len")).alias("marks"))
+    marks = cut(full.unionByName(shared_ones).unionByName(merged).groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "len")).alias("marks")), "marks")
+    drop_written(docs.sparkSession, anchors, places, kinds, mixed, sorted_)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
