@@ -133,10 +133,10 @@ SELECT doc_id, n_shingles, (SELECT min(c) FROM r WHERE r.v = n.doc_id) AS compon
 
 OP7_SQL = """
 WITH r AS (
-  SELECT page_id, floor(coalesce(page_id, -1) / 4096)::BIGINT AS file, coalesce(url, '') AS u, coalesce(html, '') AS a,
+  SELECT page_id, floor(page_id / 4096)::BIGINT AS at_file, coalesce(url, '') AS u, coalesce(html, '') AS a,
          CASE WHEN page_id % 97 = 13 AND strlen(html) > 0 THEN '?' || substr(html, 2) ELSE coalesce(html, '') END AS b FROM pages),
 h AS (
-  SELECT page_id, file, sha256(f(u, a)) AS da, sha256(f(u, b)) AS db, strlen(f(u, a)) AS la FROM r),
+  SELECT page_id, coalesce(at_file, -1 - ('0x' || substr(sha256(f(u, a)), 1, 3))::BIGINT) AS file, sha256(f(u, a)) AS da, sha256(f(u, b)) AS db, strlen(f(u, a)) AS la FROM r),
 p AS (SELECT *, row_number() OVER w - 1 AS node, sum(la) OVER w AS stop FROM h WINDOW w AS (PARTITION BY file ORDER BY page_id, da ROWS UNBOUNDED PRECEDING))
 SELECT file, node::BIGINT AS node, (stop - la)::BIGINT AS start, stop::BIGINT AS stop, page_id, da AS digest_a, db AS digest_b FROM p WHERE da <> db
 """.replace("f(u, a)", "RECORD_A").replace("f(u, b)", "RECORD_B")

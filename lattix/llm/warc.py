@@ -5,8 +5,10 @@ record's digest with its offset range; each inner node hashes up to ``FANOUT`` c
 joins the roots of two replicas, then the children of differing nodes, and so on: it reads a level's rows only below a mismatch.
 
 All is DataFrame functions. A level groups by (file, node) over rows already dealt by file, at most ``FANOUT`` digests to a group.
-Null URLs, bodies and ids are empty fields of a record; repeated rows are records of their own; an empty table has no trees.
-A record that one replica lacks shows with null fields on that side.
+Null URLs and bodies are empty fields of a record; records with a null id are filed by their digest; repeated rows are records of their
+own, and of equal ids those with the lower digest come first. Very long bodies are hashed where they are read and never travel. An
+empty table has no trees. Only the id, URL and body columns are read, so that other columns may have any name. A record that one
+replica lacks shows with null fields on that side.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ def archive(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", bod
     """Records of consecutive ids laid out in files of ``file_records`` ids: file, place, offset, length, digest, page_id. Bodies are hashed where they are read; only digests are shuffled."""
     record = warc_record(F.col(uri_col), F.col(body_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
-    rows = rows.withColumn("file", F.floor(F.coalesce(F.col("page_id"), F.lit(-1)) / file_records).cast("long"))
+    apart = -1 - F.conv(F.substring("digest", 1, 3), 16, 10).cast("long")  # records without an id lie in 4,096 files by their digest
+    rows = rows.withColumn("file", F.coalesce(F.floor(F.col("page_id") / file_records).cast("long"), apart))
     w = Window.partitionBy("file").orderBy("page_id", "digest")
     return rows.select("file", (F.row_number().over(w) - 1).cast("long").alias("place"), (F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "digest", "page_id")
 
