@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .common import SPACES, cut, is_word, mix, salted_join, shingles, slices, spread_join, text_buffers, words
+from .common import SPACES, cut, drop_written, is_word, mix, salted_join, shingles, slices, spread_join, text_buffers, words
 from .components import components
 from .decontaminate import _has, _probes, seed_filter
 
@@ -222,26 +222,35 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id. Sets link when 100 * intersection >= percent * union."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    written: list[DataFrame] = []
+
+    def keep(df: DataFrame, purpose: str) -> DataFrame:
+        written.append(cut(df, purpose))
+        return written[-1]
+
     nodes = cut(jaccard_nodes(docs, width), "jaccard-nodes")
-    alive = cut(tokens_elsewhere(docs, width, percent), "jaccard-alive")
-    sets = cut(sets_of(docs, alive, width), "jaccard-sets")
-    rows = cut(adaptive_prefixes(sets, percent), "adaptive-prefixes")
-    links = cut(verify(cut(hub_pairs(rows, percent), "hub-pairs"), sets, percent), "hub-links")
+    alive = keep(tokens_elsewhere(docs, width, percent), "jaccard-alive")
+    sets = keep(sets_of(docs, alive, width), "jaccard-sets")
+    rows = keep(adaptive_prefixes(sets, percent), "adaptive-prefixes")
+    links = keep(verify(keep(hub_pairs(rows, percent), "hub-pairs"), sets, percent), "hub-links")
     comps = components(links)
 
     def labelled(some: DataFrame) -> DataFrame:
         return some.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
 
-    cold, hot = split_hot(cut(labelled(rows), "labelled-prefixes"))
-    more = cut(verify(cut(candidate_pairs(cold, percent), "candidates"), sets, percent), "more-links")
-    differences = cut(pivot_differences(cut(hot, "pivots"), sets, percent), "pivot-differences")
+    cold, hot = split_hot(keep(labelled(rows), "labelled-prefixes"))
+    more = keep(verify(keep(candidate_pairs(cold, percent), "candidates"), sets, percent), "more-links")
+    differences = keep(pivot_differences(keep(hot, "pivots"), sets, percent), "pivot-differences")
     more = more.unionByName(differences.where("linked").select("v", F.col("hub").alias("w")))
     links = links.unionByName(more)
     if more.limit(1).count():
+        written.append(comps)
         comps = components(links)
-    more = cut(verify(cut(pivot_pairs(labelled(differences), percent), "pivot-candidates"), sets, percent), "pivot-links")
+    more = keep(verify(keep(pivot_pairs(labelled(differences), percent), "pivot-candidates"), sets, percent), "pivot-links")
     if more.limit(1).count():
+        written.append(comps)
         comps = components(links.unionByName(more))
+    drop_written(docs.sparkSession, *written)
 
     names = nodes.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("low")).join(comps, "v", "left").select("v", "low", F.coalesce("comp", "v").alias("comp"))
     lowest = names.groupBy("comp").agg(F.min("low").alias("component_id"))
