@@ -34,22 +34,32 @@ def partition_within_labels(df: DataFrame, label: str, row_id: str, fractions: i
 
     A whole number k means k equal parts. Fractions may sum to less than 1 (the rest is dealt round) or more (the last parts are cut short).
     """
-    order = [shuffled(row_id, seed or 0), F.col(row_id)] if shuffle else [F.col(row_id)]
-    w = Window.partitionBy(label).orderBy(*order)
+    from ..plans.ranking import with_global_index
+
+    rows, order = df, [label, row_id]
+    if shuffle:
+        rows, order = df.withColumn("_o", shuffled(row_id, seed or 0)), [label, "_o", row_id]
+    # places within a label: places in the order of all rows, from counts per range, less the rows of the labels before
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_label").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    rows = with_global_index(rows, order, "_g").join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("_i", F.col("_g") - F.col("_start"))
+    i, n = F.col("_i"), F.col("_n")
     if isinstance(fractions, int):
-        return df.withColumn(out, F.ntile(fractions).over(w))
+        small, extra = F.floor(n / fractions), n % fractions
+        edge = extra * (small + 1)
+        made = F.when(i < edge, F.floor(i / (small + 1)) + 1).otherwise(extra + F.floor((i - edge) / F.greatest(small, F.lit(1))) + 1)
+        return rows.withColumn(out, made.cast("int")).select(*df.columns, out)
     k = len(fractions)
-    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(label)))
-    floors = [F.floor(F.col("_n") * F.lit(float(f))).cast("long") for f in fractions]
-    rest = F.greatest(F.col("_n") - sum(floors[1:], floors[0]), F.lit(0).cast("long"))
+    floors = [F.floor(n * F.lit(float(f))).cast("long") for f in fractions]
+    rest = F.greatest(n - sum(floors[1:], floors[0]), F.lit(0).cast("long"))
     ends, total = [], F.lit(0).cast("long")
     for j, size in enumerate(floors):
         total = total + size + F.floor(rest / k).cast("long") + (rest % k > j).cast("long")
         ends.append(total)
     label_of = F.lit(k)
     for j in range(k - 2, -1, -1):
-        label_of = F.when(F.col("_i") < ends[j], F.lit(j + 1)).otherwise(label_of)
-    return rows.withColumn(out, label_of.cast("int")).drop("_i", "_n")
+        label_of = F.when(i < ends[j], F.lit(j + 1)).otherwise(label_of)
+    return rows.withColumn(out, label_of.cast("int")).select(*df.columns, out)
 
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:

@@ -31,12 +31,14 @@ def containment_join(phones: DataFrame, words: DataFrame, bin_width: float, keys
     p = phones.where("text <> ''").select(*keys, F.col("idx").alias("_p"), F.col("text").alias("phoneme"), F.col("onset").alias("phoneme_absolute_onset"), F.col("offset").alias("phoneme_absolute_offset"))
     numbered = Window.partitionBy(*keys).orderBy("idx")
     w = words.where("text <> ''").select(*keys, F.col("text").alias("word"), F.col("onset").alias("word_absolute_onset"), F.col("offset").alias("word_absolute_offset"), (F.row_number().over(numbered) - 1).alias("word_index"))
-    # the phone's onset lies in the word: one bin, then the offset is checked
-    held = range_join(p, w, "phoneme_absolute_onset", "word_absolute_onset", "word_absolute_offset", bin_width, keys).where("phoneme_absolute_offset <= word_absolute_offset")
+    # the phone's onset lies in the word: one bin, then the offset is checked; phones without a word stay, so that they are not joined again
+    near = range_join(p, w, "phoneme_absolute_onset", "word_absolute_onset", "word_absolute_offset", bin_width, keys, "left")
     names = ["word", "word_absolute_onset", "word_absolute_offset", "word_index"]
-    first = held.groupBy(*keys, "_p").agg(F.min_by(F.struct(*names), "word_index").alias("_w"))
-    out = p.join(first, [*keys, "_p"], "left")
-    found = F.when(F.col("_w").isNull(), F.raise_error(F.concat(F.lit("no word holds phone "), F.col("phoneme"))).cast(first.schema["_w"].dataType)).otherwise(F.col("_w"))
+    holds = F.col("phoneme_absolute_offset") <= F.col("word_absolute_offset")
+    own = ["phoneme", "phoneme_absolute_onset", "phoneme_absolute_offset"]
+    held = F.min_by(F.when(holds, F.struct(*names)), F.when(holds, F.col("word_index"))).alias("_w")
+    out = near.groupBy(*keys, "_p").agg(*(F.first(c).alias(c) for c in own), held)
+    found = F.when(F.col("_w").isNull(), F.raise_error(F.concat(F.lit("no word holds phone "), F.col("phoneme"))).cast(out.schema["_w"].dataType)).otherwise(F.col("_w"))
     out = out.withColumn("_w", found)
     begin = F.col("_w.word_absolute_onset")
     return out.select(*keys, "phoneme", "phoneme_absolute_onset", "phoneme_absolute_offset", *(F.col(f"_w.{n}").alias(n) for n in names), (F.col("phoneme_absolute_onset") - begin).alias("phoneme_relative_onset"), (F.col("phoneme_absolute_offset") - begin).alias("phoneme_relative_offset"))

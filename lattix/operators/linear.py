@@ -155,6 +155,10 @@ def nested_ridge_cv(factors: Factors, alphas: Sequence[float] = ALPHAS, train_gr
     return NestedResult(models, r)
 
 
+#: Numbers in a table of weights up to which it is sent to every task.
+MOST_BROADCAST = 4_000_000
+
+
 def predict(df: DataFrame, models: Mapping[object, RidgeModel], group: str, x: str = "x", out: str = "y_hat") -> DataFrame:
     """Out-of-fold predictions: each row by the model that did not see its group. The models are folds * targets * features numbers."""
     spark = df.sparkSession
@@ -162,7 +166,9 @@ def predict(df: DataFrame, models: Mapping[object, RidgeModel], group: str, x: s
     rows = [(g, m.coef.T.tolist(), m.intercept.tolist()) for g, m in models.items()]
     table = spark.createDataFrame(rows, f"_g {kind}, _w array<array<double>>, _b array<double>")
     dot = F.transform(F.col("_w"), lambda w, t: F.aggregate(F.zip_with(w, F.col(x), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.get("_b", t))
-    return df.join(F.broadcast(table), F.col(group) == F.col("_g"), "left").withColumn(out, dot).drop("_g", "_w", "_b")
+    if sum(m.coef.size for m in models.values()) <= MOST_BROADCAST:
+        table = F.broadcast(table)
+    return df.join(table, F.col(group) == F.col("_g"), "left").withColumn(out, dot).drop("_g", "_w", "_b")
 
 
 def result_tables(spark, result: NestedResult) -> dict[str, DataFrame]:
@@ -223,11 +229,13 @@ def pca(df: DataFrame, x: str = "x", std: bool = True, demean: bool = True, n_co
     r = group_factors(df.select(F.lit(0).alias("_g"), F.col(x), F.array(F.lit(0.0)).alias("_y")), "_g", x, "_y")
     d = decompose(r.r[0], r.f, std, demean)
     k = len(d.s) if n_components is None else n_components
+    if d.vt[:k].size > MOST_BROADCAST:
+        raise ValueError(f"{k} components of {r.f} features are too many to send to every task")
     w = (d.vt[:k] / d.norm).tolist()
     shift = [float(v) for v in (d.vt[:k] / d.norm) @ d.mean]
     one = df.sparkSession.createDataFrame([(w, shift)], "_w array<array<double>>, _s array<double>")
     dot = F.transform(F.col("_w"), lambda v, i: F.aggregate(F.zip_with(v, F.col(x), lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p) - F.get("_s", i))
-    return df.join(F.broadcast(one)).withColumn(out, dot).drop("_w", "_s"), d
+    return df.join(F.broadcast(one)).withColumn(out, dot).drop("_w", "_s"), d  # one row of a bounded size
 
 
 def ridge_from_svd(d: Decomposition, penalties: Sequence[float]) -> np.ndarray:

@@ -7,12 +7,13 @@ is never split from its own rows and never moved into one task with the others.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T, Window
 
 
 def _series(keys: Sequence[str], order: Sequence[str]) -> Window:
@@ -78,24 +79,46 @@ def taps_table(spark: SparkSession, **parameters) -> DataFrame:
 def hanning_feature(df: DataFrame, features: str, keys: Sequence[str], order: Sequence[str], out: str = "basis", scale: float = 1, **parameters) -> DataFrame:
     """features array<double> to array<array<double>>, feature by window: each feature convolved with each window of past samples.
 
-    The past samples come from one window frame of at most the last tap, so rows are not multiplied by the taps.
+    A task streams through its series in order and keeps the last samples that a window reaches back to; a batch is one product with the
+    taps. All rows have equally many features; a null array is all zeros.
     """
     taps = hanning_taps(scale=scale, **parameters)
-    by_window: dict[int, list[tuple[int, float]]] = {k: [] for k in range(n_windows(parameters.get("hanning_width", 0.2), parameters.get("dur", 1)))}
-    for k, j, h in taps:
-        by_window[k].append((j, h))
+    windows = n_windows(parameters.get("hanning_width", 0.2), parameters.get("dur", 1))
     last = max((j for _, j, _ in taps), default=0)
-    w = _series(keys, order).rowsBetween(-last, 0)
-    past = F.reverse(F.collect_list(features).over(w))
-
-    def dot(f: Column, pairs: list[tuple[int, float]]) -> Column:
-        if not pairs:
-            return F.lit(0.0)
-        start = pairs[0][0]  # a window's taps are consecutive
-        return F.aggregate(F.zip_with(F.slice(F.col("_past"), start + 1, len(pairs)), F.array(*(F.lit(h) for _, h in pairs)), lambda x, h: F.coalesce(F.get(x, f), F.lit(0.0)) * h), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-
-    made = F.transform(F.col(features), lambda _, f: F.array(*(dot(f, pairs) for pairs in by_window.values())))
-    return df.withColumn("_past", past).withColumn(out, made).drop("_past")
+    weights = np.zeros((last + 1, windows))
+    for k, j, h in taps:
+        weights[last - j, k] = h  # a window of samples has the newest last
+    flagged = df.withColumn("_first", F.row_number().over(_series(keys, order)) == 1)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.ArrayType(T.DoubleType())))])
+    place, names = df.columns.index(features), [*df.columns, out]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past = None
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                some = batch.slice(at, 4096)
+                column = some.column(place)
+                sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
+                there = column.is_valid().to_numpy(zero_copy_only=False)
+                width = int(sizes[there][0]) if there.any() else 0 if past is None else past.shape[1]
+                if (sizes[there] != width).any() or (past is not None and len(past) and past.shape[1] not in (0, width)):
+                    raise ValueError("rows differ in their number of features")
+                x = np.zeros((len(some), width))
+                x[there] = column.drop_null().flatten().cast(pa.float64()).fill_null(0.0).to_numpy().reshape(-1, width)
+                first = some.column(len(names) - 1).to_numpy(zero_copy_only=False)
+                made = np.empty((len(some), width, windows))
+                edges = [0, *(np.flatnonzero(first[1:]) + 1).tolist(), len(some)]
+                for a, b in zip(edges, edges[1:]):
+                    if first[a] or past is None or past.shape[1] != width:
+                        past = np.zeros((last, width))
+                    run = np.concatenate([past, x[a:b]])
+                    made[a:b] = np.lib.stride_tricks.sliding_window_view(run, last + 1, axis=0) @ weights
+                    past = run[len(run) - last :]
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(len(some) * width + 1, dtype=np.int32) * windows), pa.array(made.ravel()))
+                outer = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * width), inner)
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], outer], names=names)
+
+    return flagged.mapInArrow(work, schema)
 
 
 def rho_scales(rho: float) -> tuple[float, float]:
