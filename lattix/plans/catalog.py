@@ -5,6 +5,7 @@ Floating results are rounded on both sides; arrays are compared as rows or texts
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -40,6 +41,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, or the warehouse where that is not set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 KEYS, ORDER = ["user_id"], ["ts", "event_id"]
 
 
@@ -522,6 +529,37 @@ def _(spark, d):
     return files.tier_per_label(rows).select("file", "tier", F.col("tier_no").cast("int").alias("tier_no"), "idx")
 
 
+@query("io6_csv_to_textgrid", "SELECT t.tier, idx::INT AS idx, xmin, xmax, text FROM (SELECT n_name AS text, n_nationkey * 0.5::DOUBLE AS xmin, lead(n_nationkey * 0.5::DOUBLE) OVER (ORDER BY n_nationkey) AS xmax, row_number() OVER (ORDER BY n_nationkey) - 1 AS idx FROM nation), (SELECT unnest(['phones', 'words']) AS tier) t WHERE xmax IS NOT NULL")
+def _(spark, d):
+    """Two interval CSVs of the nations, written, made into a TextGrid and read back."""
+    home = scratch(spark, "io6")
+    rows = read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat_ws(",", "n_name", (F.col("n_nationkey") * 0.5).cast("string")).alias("line"))
+    head = spark.createDataFrame([(-1, "label,onset")], "k int, line string")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("k").select("line").write.text(f"{home}/in")  # 26 lines
+    files.csv_to_textgrid(spark, [f"{home}/in"] * 2, f"{home}/out", ["phones", "words"])
+    return files.read_textgrids(spark, f"{home}/out").select("tier", "idx", "xmin", "xmax", "text")
+
+
+@query("io8_vectors", "SELECT 'w' || vec_id AS word, generate_subscripts(embedding, 1)::INT - 1 AS p, unnest(embedding)::FLOAT::VARCHAR::DOUBLE AS x FROM embeddings")
+def _(spark, d):
+    """Word vectors written as lines of text, scanned, kept as a table and read again."""
+    home = scratch(spark, "io8")
+    numbers = F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")
+    read(spark, d, "embeddings").select(F.concat_ws(" ", F.concat(F.lit("w"), F.col("vec_id").cast("string")), numbers)).write.text(f"{home}/vectors.txt")
+    files.keep_vectors(files.read_vectors(spark, f"{home}/vectors.txt"), f"{home}/vectors.parquet")
+    return files.read_vectors(spark, f"{home}/vectors.parquet").select("word", F.posexplode("vec").alias("p", "x"))
+
+
+_ERB = "9.265 * ln(1 + ({}) / (24.7 * 9.265))"
+
+
+@query("s3_erb_filters", f"WITH f AS (SELECT i, i * 8000.0::DOUBLE / 400 AS f FROM range(401) r(i)), c AS (SELECT k, 24.7 * 9.265 * (exp(({_ERB.format(80)} + k * ({_ERB.format(6990)} - {_ERB.format(80)}) / 7) / 9.265) - 1) AS cut FROM range(8) r(k)), b AS (SELECT k, cut AS low, lead(cut, 2) OVER (ORDER BY k) AS high, lead(k, 2) OVER (ORDER BY k) AS there FROM c), e AS (SELECT k, low, high, {_ERB.format('low')} AS el, {_ERB.format('high')} AS eh, (SELECT count(*) FROM f WHERE f.f < high) AS stop FROM b WHERE there IS NOT NULL) SELECT k::INT + 1 AS filter, i::INT AS bin, round(cos(({_ERB.format('f')} - (el + eh) / 2) / (eh - el) * pi()), 6) AS gain FROM f, e WHERE f > low AND i < stop - 1")
+def _(spark, d):
+    """The band filters of six ERB-spaced half-cosines, where they are not 0."""
+    bank, _, _ = signal.erb_filters(800, 16000, 6, 80, 6990)
+    return spark.createDataFrame([(k, i, round(float(bank[i, k]), 6)) for k in range(1, 7) for i in bank[:, k].nonzero()[0].tolist()], "filter int, bin int, gain double")
+
+
 @query("a9_sorted_labels", "SELECT row_number() OVER (ORDER BY label) - 1 AS place, label FROM (SELECT DISTINCT event_type AS label FROM events)")
 def _(spark, d):
     labels = intervals.sorted_labels(read(spark, d, "events").select(F.col("event_type").alias("label")))
