@@ -8,7 +8,10 @@ from .common import cut, drop_written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``links``: v, w. Returns v, comp for every linked node: comp is the smallest node it reaches. Rounds grow with the logarithm of a component's width."""
+    """``links``: v, w. Returns v, comp for every linked node: comp is the smallest node it reaches. Rounds grow with the logarithm of a component's width.
+
+    Links of a node to itself, or with a null end, count for nothing; repeated links count once. Without links there are no rows.
+    """
     both = links.select("v", "w").where("v <> w")
     both = cut(both.unionByName(both.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct(), "links")
     labels = cut(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("comp")), "labels")

@@ -135,6 +135,22 @@ def test_jaccard_links_of_every_size(spark, percent):
     assert [c for _, c in sorted((r.doc_id, r.component_id) for r in jaccard_components(df, 1, percent).collect())] == want
 
 
+def test_components(spark):
+    from lattix.llm.components import components
+
+    r = random.Random(3)
+    links = [(k, k + 1) for k in range(100, 160)] + [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(500, k) for k in range(501, 530)] + [(7, 7), (8, None), (None, None), (100, 101)]
+    low = {x: x for pair in links for x in pair if x is not None and None not in pair and pair[0] != pair[1]}
+    for _ in low:
+        for v, w in links:
+            if v in low and w in low and v != w:
+                low[v] = low[w] = min(low[v], low[w])
+    df = spark.createDataFrame(links, "v long, w long")
+    got = [tuple(x) for x in components(df).collect()]
+    assert dict(got) == low and len(got) == len(low)
+    assert components(df.limit(0)).count() == 0
+
+
 def short_chains(width: int, percent: int, n: int = 300):
     """Chains of short texts, each chain of its own words, and the chain's number and brute-force component of each."""
     rows, want = [], []
