@@ -40,8 +40,8 @@ ELLS = (1, 2, 4, 8, 16)
 VERIFY_COST = 8
 MAX_BITS = 28
 HOT = 128
-#: Sets that a task remembers, so as not to send their copies again.
-REMEMBERED = 200_000
+#: Sets that a task remembers, so as not to send their copies again; tokens of a lot.
+REMEMBERED, HELD = 200_000, 1 << 20
 #: Kinds of rows; a count of settled tokens is 0 or more.
 TOKEN, WITNESS = -1, -2
 
@@ -92,38 +92,28 @@ def jaccard_nodes(docs: DataFrame, width: int) -> DataFrame:
 def tokens_elsewhere(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Sets that can link: v, n of those with enough first tokens that another set holds too. One shuffle of tokens.
 
-    A token that two sets of a task's batch hold is settled there: its sets only add to a count, and one witness row tells other tasks.
-    So a frequent token sends a row for each batch, not for each set.
+    A token that two sets of one lot of a task's rows hold is settled there: its sets only add to a count, and one witness row tells other tasks.
+    So a frequent token sends a row for each lot, not for each set.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        parts, nodes, sizes, held = [], [], [], 0
         for batch in batches:
-            parts, nodes, sizes = [], [], []
-            if len(seen) > REMEMBERED:
-                seen = set()
             for _, one, node in row_sets(batch, 0, width):
                 if len(one) and node not in seen:
                     seen.add(node)
-                    parts.append(one[: pruning_prefix(len(one), percent)[0]])
+                    parts.append(one[: pruning_prefix(len(one), percent)[0]].copy())
                     nodes.append(node)
                     sizes.append(len(one))
-            if not parts:
-                continue
-            v, n = np.array(nodes), np.array(sizes)
-            token, at = np.concatenate(parts).view(np.int64), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            order = np.argsort(token, kind="stable")
-            token, at = token[order], at[order]
-            same = np.concatenate([[False], token[1:] == token[:-1]])
-            local = same | np.append(same[1:], False)  # of different sets, as each is taken once
-            single, witness = ~local, token[local & ~same]
-            none = np.zeros(len(witness), np.int64)
-            cols = [
-                np.concatenate([token[single], witness, v]), np.concatenate([v[at[single]], none, v]), np.concatenate([n[at[single]], none, n]),
-                np.concatenate([np.full(int(single.sum()), TOKEN), np.full(len(witness), WITNESS), np.bincount(at[local], minlength=len(v))]),
-            ]
-            for a in range(0, len(cols[0]), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 17)]) for c in cols], names=["key", "v", "n", "k"])
+                    held += len(parts[-1])
+                    if held > HELD or len(seen) > REMEMBERED:
+                        yield from _token_rows(parts, nodes, sizes)
+                        parts, nodes, sizes, held = [], [], [], 0
+                        if len(seen) > REMEMBERED:  # not before: in a lot a set stands once
+                            seen = set()
+        if parts:
+            yield from _token_rows(parts, nodes, sizes)
 
     dealt = docs.select("text").mapInArrow(emit, "key long, v long, n long, k long").repartition("key").sortWithinPartitions("key")
     counts = dealt.mapInArrow(_settle, "v long, n long, k long, copies long").groupBy("v").agg(F.max("n").alias("n"), F.sum("k").alias("k"), F.sum("copies").alias("copies"))
@@ -132,6 +122,24 @@ def tokens_elsewhere(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return counts.withColumn("least", least).where(F.col("k") >= F.col("copies") * asked).select("v", "n")
 
 
+def _token_rows(parts: list[np.ndarray], nodes: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, v, n, k) of different sets: their tokens that stand once, a witness of the others, and how many of the others each set holds."""
+    v, n = np.array(nodes), np.array(sizes)
+    token, at = np.concatenate(parts).view(np.int64), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    order = np.argsort(token, kind="stable")
+    token, at = token[order], at[order]
+    same = np.concatenate([[False], token[1:] == token[:-1]])
+    local = same | np.append(same[1:], False)
+    single, witness = ~local, token[local & ~same]
+    none = np.zeros(len(witness), np.int64)
+    cols = [
+        np.concatenate([token[single], witness, v]), np.concatenate([v[at[single]], none, v]), np.concatenate([n[at[single]], none, n]),
+        np.concatenate([np.full(int(single.sum()), TOKEN), np.full(len(witness), WITNESS), np.bincount(at[local], minlength=len(v))]),
+    ]
+    for a in range(0, len(cols[0]), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 17)]) for c in cols], names=["key", "v", "n", "k"])
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of their tokens; the last token of a batch waits for the next. A set that several tasks have sent counts as often (``copies``)."""
     held = [np.zeros(0, np.int64)] * 4

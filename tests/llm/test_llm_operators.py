@@ -118,7 +118,7 @@ def test_pruning_asks_for_no_more_than_linked_sets_share():
                 assert met >= max(pruning_prefix(a, percent)[1], pruning_prefix(b, percent)[1]), (a, b, percent)
 
 
-@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95, 99])
+@pytest.mark.parametrize("percent", [50, 85, 95])
 def test_jaccard_links_of_every_size(spark, percent):
     from lattix.llm.jaccard_join import jaccard_components
 
