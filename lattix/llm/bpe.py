@@ -7,7 +7,7 @@ quadratic there. Each task keeps the words it has met in a bounded memory.
 
 One map-only pass: no shuffle. Null and empty texts have no ids. Special tokens that stand in a text are their own id, as in the
 tokenizers library; decoding looks each id up and gives their string back, and bytes that are no UTF-8 become replacement signs. Long
-texts are taken whole; a task works on a few million characters at a time, or one text. Repeated rows and null ids each get their own
+texts are taken whole; a task works on about a million bytes at a time, or one text. Repeated rows and null ids each get their own
 rows; an empty table gives none. Only the id and text columns are read, so that other columns may have any name.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 LONG = 96
-MEMORY = 700_000
+MEMORY = 300_000
 NONE = np.int64(1 << 40)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -207,7 +207,7 @@ class Codec:
             return b"".join([self.back.get(i, b"") for i in line[:-1].split(b",")])
 
 
-def text_runs(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[tuple[int, int, list[str]]]:
+def text_runs(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
     """Rows i..j-1 of a batch as Python strings, about ``most`` characters at a time."""
     from .common import slices, text_buffers
 

@@ -32,7 +32,7 @@ END = 1
 SHARD_IDS = 1 << 20
 #: Places that a rule must replace at least.
 LEAST = 4
-MEMORY = 1_000_000
+MEMORY = 400_000
 NO_ID = -(1 << 62)
 #: Fixed values of the vocabulary's pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
