@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattix.llm.bpe import bpe_round_trip
-from lattix.llm.common import cut, table, with_row_hash
+from lattix.llm.common import cut, drop_written, table, with_row_hash
 from lattix.llm.decontaminate import find_leaks
 from lattix.llm.jaccard_join import jaccard_components
 from lattix.llm.queries import tokenizer_path
@@ -58,7 +58,10 @@ STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if written is not None:
+            drop_written(spark, written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
