@@ -30,8 +30,8 @@ from .common import _LOWER, mix, powers, shared_folder, slices, text_buffers
 
 END = 1
 SHARD_IDS = 1 << 20
-#: Places that a rule must replace at least.
-LEAST = 4
+#: Places where a pair must stand to get a rule: a rule takes the room of four symbols, and of places that overlap every other one is lost.
+LEAST = 6
 MEMORY = 400_000
 NO_ID = -(1 << 62)
 #: Fixed values of the vocabulary's pre-tokenizer.
@@ -157,8 +157,7 @@ def encoder(path: str) -> WordEncoder:
 def re_pair(ids: np.ndarray, last: np.ndarray, symbols: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, its document ends, rules): rule k is the pair that symbol ``symbols + k`` stands for. ``ids`` are under ``symbols``; ``last`` marks each document's last id.
 
-    Pairs are replaced frequent ones first, those within a quarter of the highest count together, until none stands ``least`` times: under
-    that a rule takes more room than it saves.
+    Pairs are replaced frequent ones first, those within a sixteenth of the highest count together, until none stands ``least`` times.
     """
     seq, last, rules, made = ids.astype(np.uint32), last.copy(), [], 0
     while len(seq) > 1:
@@ -174,7 +173,7 @@ def re_pair(ids: np.ndarray, last: np.ndarray, symbols: int, least: int = LEAST)
             pairs, counts = pairs[:-1], counts[:-1]
         if not len(pairs) or counts.max() < least:
             break
-        pairs = pairs[counts >= max(least, counts.max() // 4)]
+        pairs = pairs[counts >= max(least, counts.max() // 16)]
         left, right = np.zeros(symbols + made, bool), np.zeros(symbols + made, bool)
         left[pairs >> kind(shift)], right[pairs & kind((1 << shift) - 1)] = True, True
         hit = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
