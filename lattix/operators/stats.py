@@ -62,6 +62,13 @@ def standardise(df: DataFrame, columns: Sequence[str], demean: bool = True, scal
     return rows.select(*(F.col(c) for c in df.columns if c not in columns), *(made(c) for c in columns))
 
 
+def zscore_cells(df: DataFrame, column: str) -> DataFrame:
+    """Array cells of numbers less the mean of all numbers, over their sample standard deviation (1 where that is 0). The statistics are one row."""
+    one = df.select(F.explode(column).alias("v")).agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
+    spread = F.when(F.coalesce("_s", F.lit(0.0)) == 0, 1.0).otherwise(F.col("_s"))
+    return df.join(F.broadcast(one)).withColumn(column, F.transform(column, lambda v: (v - F.col("_m")) / spread)).select(*df.columns)
+
+
 def balance_groups(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
     """Each group of feature columns scaled to Frobenius norm 1; an all-zero group stays."""
     norms = df.agg(*(F.sqrt(F.sum(reduce(lambda a, b: a + b, (F.col(c) * F.col(c) for c in cols)))).alias(f"_g_{g}") for g, cols in groups.items()))

@@ -606,6 +606,58 @@ def _(spark, d):
     return spark.createDataFrame([(round(float(m.coef[0, 0]), 3), round(float(m.intercept[0]), 2))], "coef double, intercept double")
 
 
+def _one(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select("l_linenumber", F.array("l_quantity").cast("array<double>").alias("x"), F.array("l_extendedprice").cast("array<double>").alias("y"))
+
+
+_SUMS = "s AS (SELECT l_linenumber AS g, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM (SELECT l_linenumber, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem) GROUP BY 1), t AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy FROM s)"
+_TRIED = [64.0, 1e6, 1e7, 1e9]
+
+
+@query("m2_alpha_choice", f"WITH {_SUMS}, r AS (SELECT g, t.n - s.n AS n, t.sx - s.sx AS sx, t.sy - s.sy AS sy, t.sxx - s.sxx AS sxx, t.sxy - s.sxy AS sxy FROM s, t), w AS (SELECT g, a, (sxy - sx * sy / n) / (sxx - sx * sx / n + a) AS w, sx / n AS mx, sy / n AS my FROM r, (SELECT unnest({_TRIED})::DOUBLE AS a)), m AS (SELECT a, avg((syy + w * w * sxx + n * (my - w * mx) ** 2 - 2 * w * sxy - 2 * (my - w * mx) * sy + 2 * w * (my - w * mx) * sx) / n) AS mse FROM w JOIN s USING (g) GROUP BY a) SELECT a AS alpha, round(mse / 1e6, 3) AS mse, a = (SELECT min_by(a, mse) FROM m) AS best FROM m")
+def _(spark, d):
+    """The losses of all penalties over held-out groups, and which is chosen."""
+    m = linear.ridge_cv(linear.group_factors(_one(spark, d), "l_linenumber"), alphas=_TRIED)
+    return spark.createDataFrame([(a, round(float(-s / 1e6), 3), bool(a == m.best_alphas[0])) for a, s in zip(m.alphas, m.cv_scores.mean(0)[:, 0])], "alpha double, mse double, best boolean")
+
+
+@query("m3_one_feature", "WITH x AS (SELECT l_linenumber AS g, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem) SELECT g::VARCHAR AS outer_fold, 0 AS target, round(corr(x, y) * (SELECT sign(covar_pop(o.x, o.y)) FROM x o WHERE o.g <> x.g), 6) AS r FROM x GROUP BY g")
+def _(spark, d):
+    """With one feature, r of a held-out group is that of its rows, with the sign of the slope over the others."""
+    tables_ = linear.result_tables(spark, linear.nested_ridge_cv(linear.group_factors(_one(spark, d), "l_linenumber"), alphas=_TRIED))
+    return tables_["r"].select("outer_fold", "target", F.round("r", 6).alias("r"))
+
+
+_M8 = (("least-squares", 1), ("pcreg", 1), ("ridge", 1e5), ("pls", 1), ("lasso", 500.0))
+
+
+@query("m8_one_feature", f"WITH {_SUMS}, c AS (SELECT n, sx / n AS mx, sy / n AS my, sqrt(sxx / n - (sx / n) ** 2) AS sd, (sxy / n - sx * sy / n / n) / sqrt(sxx / n - (sx / n) ** 2) AS b FROM t), w AS (SELECT m, mx, my, CASE m WHEN 'ridge' THEN b * n / (n + 1e5) WHEN 'lasso' THEN sign(b) * greatest(abs(b) - 500.0, 0) ELSE b END / sd AS w FROM c, (SELECT unnest({[m for m, _ in _M8]}) AS m)) SELECT m AS method, round(w, 4) AS slope, round((my - w * mx) / 100, 4) AS intercept FROM w")
+def _(spark, d):
+    parts = linear.decompose(linear.group_factors(_one(spark, d).withColumn("g", F.lit(0)), "g").r[0], 1)
+    rows = [(m, *(float(v) for v in linear.regression_weights(parts, m, k)[:, 0])) for m, k in _M8]
+    return spark.createDataFrame([(m, round(w, 4), round(b / 100, 4)) for m, b, w in rows], "method string, slope double, intercept double")
+
+
+@query("m9_one_feature", f"WITH {_SUMS}, c AS (SELECT sxx + 5e4 AS a, sx AS b, n + 5e4 AS d, sxy AS u, sy AS v FROM t) SELECT round((d * u - b * v) / (a * d - b * b), 4) AS slope, round((a * v - b * u) / (a * d - b * b) / 100, 4) AS intercept FROM c")
+def _(spark, d):
+    """The intercept is a penalised column of ones."""
+    m = linear.Ridge(5e4).fit(linear.group_factors(_one(spark, d), "l_linenumber"))
+    return spark.createDataFrame([(round(float(m.coef[0, 0]), 4), round(float(m.intercept[0]) / 100, 4))], "slope double, intercept double")
+
+
+@query("m1_two_columns", "WITH m AS (SELECT avg(l_quantity) AS mx, stddev_pop(l_quantity) AS dx, avg(l_tax) AS my, stddev_pop(l_tax) AS dy, corr(l_quantity, l_tax) AS r FROM lineitem), z AS (SELECT l_orderkey, l_partkey, l_linenumber, (l_quantity - mx) / dx AS x, (l_tax - my) / dy AS y, r FROM lineitem, m) SELECT l_orderkey, l_partkey, l_linenumber, round(CASE WHEN r > 0 THEN x + y ELSE x - y END / sqrt(2), 5) AS first, round(CASE WHEN r > 0 THEN x - y ELSE x + y END / sqrt(2), 5) AS second FROM z")
+def _(spark, d):
+    """Two standardised columns: the components are their sum and difference."""
+    x = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.array(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double")).alias("x"))
+    return linear.pca(x)[0].select("l_orderkey", "l_partkey", "l_linenumber", F.round(F.get("scores", F.lit(0)), 5).alias("first"), F.round(F.get("scores", F.lit(1)), 5).alias("second"))
+
+
+@query("a13_zscore", "WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1)::INT - 1 AS p, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, p, round((x - (SELECT avg(x) FROM x)) / (SELECT stddev_samp(x) FROM x), 5) AS z FROM x")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return stats.zscore_cells(e, "x").select("vec_id", F.posexplode("x").alias("p", "z")).withColumn("z", F.round("z", 5))
+
+
 def design(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_discount", "l_tax").alias("x"), F.array("l_extendedprice", (F.col("l_quantity") * F.col("l_tax")).alias("q")).alias("y"))
 
