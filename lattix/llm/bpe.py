@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 LONG = 96
-MEMORY = 300_000
+MEMORY = 700_000
 NONE = np.int64(1 << 40)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -170,8 +170,9 @@ class Codec:
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda t: [t]
         self.special = special
         self.ids: dict[str, bytes] = {}
-        self.names = {i: b"%d," % i for i in self.vocabulary.bytes}
-        self.back = {b"%d" % i: raw for i, raw in self.vocabulary.bytes.items()}
+        known = self.vocabulary.bytes
+        self.decimal = _pool({i: b"%d," % i for i in known})
+        self.raw = _pool(known)
 
     def cut(self, text: str) -> list[str]:
         if not any(s in text for s in self.special):
@@ -183,28 +184,47 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode words not met before."""
-        special, names = self.vocabulary.special, self.names
+        special = self.vocabulary.special
         raw = [b"" if p in special else p.encode() for p in pieces]
         for p, ids in zip(pieces, self.vocabulary.encode_words(raw), strict=True):
-            self.ids[p] = names[special[p]] if p in special else b"".join([names[i] for i in ids])
+            self.ids[p] = np.array([special[p]] if p in special else ids, np.int32).tobytes()
 
-    def run(self, texts: list[str]) -> Iterator[bytes]:
-        """For each text its decimal ids, each followed by a comma."""
+    def run(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [self.cut(t) for t in texts]
         new = set().union(*cut) - self.ids.keys()
         if len(self.ids) + len(new) > MEMORY:  # what this run needs is learnt anew
             self.ids.clear()
             new = set().union(*cut)
         self.learn(list(new))
-        for pieces in cut:
-            yield b"".join(map(self.ids.__getitem__, pieces))
+        return [np.frombuffer(b"".join(map(self.ids.__getitem__, pieces)), np.int32) for pieces in cut]
 
-    def decode(self, line: bytes) -> bytes:
-        """The bytes that decimal ids, each followed by a comma, stand for; ids that the vocabulary lacks stand for none."""
-        try:
-            return b"".join(map(self.back.__getitem__, line[:-1].split(b","))) if line else b""
-        except KeyError:
-            return b"".join([self.back.get(i, b"") for i in line[:-1].split(b",")])
+    def decimals(self, ids: list[np.ndarray]) -> list[memoryview]:
+        """Decimal ids joined by commas."""
+        return [line[:-1] for line in _spelled(self.decimal, ids)]
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts that ids stand for. Ids that the vocabulary lacks stand for nothing; bytes that are no UTF-8 become replacement signs."""
+        return [str(raw, "utf-8", "replace") for raw in _spelled(self.raw, ids)]
+
+
+def _pool(spelling: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all spellings one after another, where that of each id starts, and its length; ids beyond the last have none)."""
+    size = np.zeros(max(spelling, default=0) + 2, np.int64)
+    size[list(spelling)] = [len(x) for x in spelling.values()]
+    return np.frombuffer(b"".join(spelling[i] for i in sorted(spelling)), np.uint8), np.cumsum(size) - size, size
+
+
+def _spelled(pool: tuple[np.ndarray, np.ndarray, np.ndarray], ids: list[np.ndarray]) -> list[memoryview]:
+    """Of each list of ids their spellings joined."""
+    letters, start, size = pool
+    flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+    flat = np.where((flat < 0) | (flat >= len(size)), len(size) - 1, flat)
+    n = size[flat]
+    ends = np.append(0, np.cumsum(n))
+    out = memoryview(letters[np.repeat(start[flat] - ends[:-1], n) + np.arange(ends[-1])].tobytes())
+    at = ends[np.cumsum([0, *map(len, ids)])].tolist()
+    return [out[a:b] for a, b in zip(at, at[1:])]
 
 
 def text_runs(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
@@ -223,12 +243,10 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         codec = Codec(path)
         for batch in batches:
             for i, j, texts in text_runs(batch, 1):
-                counts, ids, back = [], [], []
-                for line in codec.run(texts):
-                    counts.append(line.count(b","))
-                    ids.append(hashlib.sha256(line[:-1]).hexdigest())
-                    back.append(hashlib.sha256(codec.decode(line).decode("utf-8", "replace").encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = codec.run(texts)
+                digests = [hashlib.sha256(line).hexdigest() for line in codec.decimals(ids)]
+                back = [hashlib.sha256(text.encode()).hexdigest() for text in codec.decode(ids)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text").mapInArrow(work, SCHEMA)
 
@@ -240,7 +258,7 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         codec = Codec(path)
         for batch in batches:
             for i, j, texts in text_runs(batch, 1):
-                ids = [np.fromstring(line[:-1].decode(), np.int32, sep=",") if line else np.zeros(0, np.int32) for line in codec.run(texts)]
+                ids = codec.run(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text").mapInArrow(work, "doc_id long, ids array<int>")
@@ -250,9 +268,9 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     """Per document the text that its ids stand for; null and empty lists give an empty text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = vocabulary(path).bytes
+        codec = Codec(path)
         for batch in batches:
-            texts = [b"".join([back.get(i, b"") for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            ids = [np.asarray(x or (), np.int32) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec.decode(ids), pa.string())], names=["doc_id", "text"])
 
     return encoded.selectExpr(f"cast({id_col} as long) as doc_id", f"{ids_col} as ids").mapInArrow(work, "doc_id long, text string")
