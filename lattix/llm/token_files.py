@@ -32,7 +32,7 @@ END = 1
 SHARD_IDS = 1 << 20
 #: Places where a pair must stand to get a rule: a rule takes the room of four symbols, and of places that overlap every other one is lost.
 LEAST = 6
-MEMORY = 400_000
+MEMORY = 1_000_000
 NO_ID = -(1 << 62)
 #: Fixed values of the vocabulary's pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
