@@ -172,8 +172,3 @@ def with_row_hash(df: DataFrame) -> tuple[DataFrame, str]:
         name += "_"
     columns = [F.col(c) for c in df.columns]
     return df.withColumn(name, F.xxhash64(*columns, *(c.isNull() for c in columns))), name
-
-
-def with_row_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns an operator reads, under names that clash with nothing."""
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

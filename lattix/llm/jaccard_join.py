@@ -372,18 +372,20 @@ def pivot_pairs(differences: DataFrame, percent: int) -> DataFrame:
     Sets a and b link when at most t * (|a| + |b|) tokens are in only one of them, t = (100 - percent) / (100 + percent). With A and B
     their differences from the pivot, they share at least (|A| + |B| - t * (|a| + |b|)) / 2 tokens of these. Two sets that link to the
     pivot are in one component by that. If a does not link to it, the shared tokens are more than (1 - t) / 2 of B, so prefixes of A and
-    B by rarity meet: few tokens of a group's common text are in them. A token whose sets are all of one component pairs nothing.
+    B by rarity meet: few tokens of a group's common text are in them. A token whose sets are all of one component pairs nothing, and a
+    set with few tokens that others hold pairs only with sets of small differences: where a token has none, it is left out there.
     """
     t = (100 - percent) / (100 + percent)
     rows = differences.withColumn("size", F.size("d")).select("v", "n", "comp", "hub", "linked", "size", F.explode("d").alias("d"))
     of_set = Window.partitionBy("hub", "v")
-    lists = rows.groupBy("hub", "d").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("spans")).where("df > 1")
-    rows = rows.join(lists, ["hub", "d"])
-    rows = rows.withColumn("pos", F.col("size") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("df", "d")) - 1)
+    lists = rows.groupBy("hub", "d").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("spans"), F.min(F.when(~F.col("linked"), F.col("size"))).alias("least_of_a"), F.min("size").alias("least_of_b")).where("df > 1")
+    rows = rows.join(lists, ["hub", "d"]).withColumn("m", F.count("*").over(of_set))
+    rows = rows.withColumn("pos", F.col("size") - F.col("m") + F.row_number().over(of_set.orderBy("df", "d")) - 1)
+    most = 2 * F.col("m") - F.col("size") + t * (1 + 100 / percent) * F.col("n") + 1e-6  # no partner's difference is larger
     least_a = F.greatest(F.lit(1), F.ceil(F.col("size") - t * (1 + 100 / percent) * F.col("n") - 1e-6))
     least_b = F.greatest(F.lit(1), F.ceil((1 - t) / 2 * F.col("size") - 1e-6))
-    a = rows.where(F.col("spans") & ~F.col("linked") & (F.col("pos") <= F.col("size") - least_a))
-    b = rows.where(F.col("spans") & (F.col("pos") <= F.col("size") - least_b))
+    a = rows.where(F.col("spans") & ~F.col("linked") & (most >= F.col("least_of_b")) & (F.col("pos") <= F.col("size") - least_a))
+    b = rows.where(F.col("spans") & (most >= F.col("least_of_a")) & (F.col("pos") <= F.col("size") - least_b))
     a, b = (x.select("hub", "d", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "comp", "size", "pos"))) for x, side in ((a, "a"), (b, "b")))
     need = (F.col("size_a") + F.col("size_b") - t * (F.col("n_a") + F.col("n_b"))) / 2 - 1e-6
     ok = (F.col("comp_a") != F.col("comp_b")) & (F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= need)

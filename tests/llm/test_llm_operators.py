@@ -135,6 +135,26 @@ def test_jaccard_links_of_every_size(spark, percent):
     assert [c for _, c in sorted((r.doc_id, r.component_id) for r in jaccard_components(df, 1, percent).collect())] == want
 
 
+def test_jaccard_components_of_a_large_group_below_the_threshold(spark, monkeypatch):
+    """Copies of one text with so many edits that few of them link, to the pivot or to each other."""
+    from lattix.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "HOT", 20)
+    base = words(200, 9)
+    texts = [edited(base, 5 + k % 6, k) for k in range(150)] + [edited(edited(base, 8, 7).split(), k % 3, 900 + k) for k in range(30)]
+    sets = [frozenset(tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)) for t in texts]
+    comp, changed = list(range(len(texts))), True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if comp[b] < comp[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    comp[a], changed = comp[b], True
+    assert 50 < len(set(comp)) < 160
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, 4, 85).collect()) == list(enumerate(comp))
+
+
 def test_components(spark):
     from lattix.llm.components import components
 
