@@ -289,6 +289,38 @@ def test_alignment_to_uneven_times(spark, tensor):
         timeseries.align_time(s, ["k"], timeseries.regular_times(2, 0, 9)).collect()
 
 
+def test_basis_expansion_streams_through_series(spark):
+    r = np.random.default_rng(4)
+    rows = [(k, t, None if (k, t) == (1, 3) else r.normal(size=2).tolist()) for k in range(3) for t in range(40 + 30 * k)]
+    df = spark.createDataFrame(rows, "k int, t int, features array<double>").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(x.k, x.t): x.basis for x in timeseries.hanning_feature(df, "features", ["k"], ["t"], sr=20).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    taps = timeseries.hanning_taps(sr=20)
+    value = {(k, t): x or [0.0, 0.0] for k, t, x in rows}
+    assert len(got) == len(rows)
+    for (k, t), basis in got.items():
+        want = np.zeros((2, timeseries.n_windows(0.2, 1)))
+        for w, j, h in taps:
+            if t - j >= 0:
+                want[:, w] += h * np.array(value[k, t - j])
+        assert np.allclose(basis, want)
+    assert timeseries.hanning_feature(df.limit(0), "features", ["k"], ["t"], sr=20).count() == 0
+
+
+def test_folds_from_index_lists(spark):
+    df = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(10)] + [(None, "c")], "row int, label string")
+    tests = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (3, 0), (3, 1)], "row int, fold int")
+    got = {(r.row, r.fold) for r in folds.folds_from_lists(df, tests, "row", 2).where("is_test").collect()}
+    assert got == {(1, 0), (2, 1), (3, 0), (3, 1)} and folds.folds_from_lists(df, tests, "row", 2).count() == 22
+    dealt = folds.partition_within_labels(spark.createDataFrame([(k, "ab"[k % 3 == 0]) for k in range(23)] + [(40 + k, None) for k in range(5)], "row int, label string"), "label", "row", 4)
+    assert sorted((r.label or "", r.fold, r["count"]) for r in dealt.groupBy("label", "fold").count().collect()) == sorted([("a", f, 4 - (f > 3)) for f in (1, 2, 3, 4)] + [("b", f, 2) for f in (1, 2, 3, 4)] + [("", 1, 2), ("", 2, 1), ("", 3, 1), ("", 4, 1)])
+    assert [r.fold for r in dealt.where("label = 'b'").orderBy("row").collect()] == [1, 1, 2, 2, 3, 3, 4, 4]
+
+
 def test_scores_pool_over_targets(spark):
     r = np.random.default_rng(5)
     y = r.normal(size=(40, 3)) * [1, 5, 0.2] + [10, -3, 0]
