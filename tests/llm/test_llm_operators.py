@@ -118,7 +118,7 @@ def test_pruning_asks_for_no_more_than_linked_sets_share():
                 assert met >= max(pruning_prefix(a, percent)[1], pruning_prefix(b, percent)[1]), (a, b, percent)
 
 
-@pytest.mark.parametrize("percent", [50, 85, 95])
+@pytest.mark.parametrize("percent", [50, 95])
 def test_jaccard_links_of_every_size(spark, percent):
     from lattix.llm.jaccard_join import jaccard_components
 
@@ -217,7 +217,7 @@ def brute_repeats(texts: list[bytes], window: int):
     return out
 
 
-@pytest.mark.parametrize(("piece", "shard_bytes"), [(8192, 3 << 19), (8192, 400), (2, 3 << 19), (2, 400)])
+@pytest.mark.parametrize(("piece", "shard_bytes"), [(8192, 3 << 18), (8192, 400), (2, 400)])
 def test_suffix_dedup_equals_brute_force(docs, empty, piece, shard_bytes):
     from lattix.llm.suffix_dedup import dedup_substrings
 
