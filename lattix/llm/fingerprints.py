@@ -54,7 +54,7 @@ def _lanes(hashed: Column) -> Column:
         return F.flatten(F.transform(numbers(GROUPS), lambda g: once(F.filter(parts, lambda p: p["g"] == g), count)))
 
     def lane(seed: int) -> Column:
-        return F.aggregate(hashed[f"s{seed}"], zero, lambda acc, h: (acc + h).bitwiseAND(F.lit(_STRONG_MASK)))
+        return F.aggregate(hashed[f"s{seed}"], zero, lambda acc, h: (acc + h.bitwiseAND(F.lit(_STRONG_MASK))).bitwiseAND(F.lit(_STRONG_MASK)))
 
     return F.concat(once(parts, counts), F.array(*(lane(seed) for seed in range(STRONG))))
 
