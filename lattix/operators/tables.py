@@ -22,6 +22,13 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def usable_rows(df: DataFrame, at: Mapping[str, object], columns: Sequence[str]) -> DataFrame:
+    """Rows that fit all values of a mapping (a hemisphere, say) and hold a number, no null or NaN, in each of the columns."""
+    fits = [F.col(k) == F.lit(v) for k, v in at.items()]
+    numbers = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns]
+    return df.where(reduce(lambda a, b: a & b, [*fits, *numbers], F.lit(True)))
+
+
 def require_unique(df: DataFrame, keys: Sequence[str]) -> None:
     if not repeated_keys(df, keys).isEmpty():
         raise ValueError(f"{list(keys)} do not identify rows")

@@ -560,6 +560,22 @@ def _(spark, d):
     return spark.createDataFrame([(k, i, round(float(bank[i, k]), 6)) for k in range(1, 7) for i in bank[:, k].nonzero()[0].tolist()], "filter int, bin int, gain double")
 
 
+@query("s13_usable_rows", "SELECT s_suppkey, s_nationkey, x FROM (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 4 = 1 THEN 'nan'::DOUBLE ELSE s_acctbal::DOUBLE END AS x FROM supplier) WHERE s_nationkey = 7 AND x IS NOT NULL AND NOT isnan(x)")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    x = F.when(k % 4 == 1, F.lit(float("nan"))).when(k % 4 != 0, F.col("s_acctbal").cast("double"))
+    return tables.usable_rows(read(spark, d, "supplier").select("s_suppkey", "s_nationkey", x.alias("x")), {"s_nationkey": 7}, ["x"])
+
+
+@query("io13_export", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(spark, d):
+    """A table written as CSV with its columns' names, and read again."""
+    home = scratch(spark, "io13")
+    files.write_rows(read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), f"{home}/nation")
+    kinds = {f.name: f.dataType.simpleString() for f in read(spark, d, "nation").schema.fields}
+    return spark.read.option("header", True).csv(f"{home}/nation").select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("n_nationkey", "n_name", "n_regionkey")))
+
+
 @query("a9_sorted_labels", "SELECT row_number() OVER (ORDER BY label) - 1 AS place, label FROM (SELECT DISTINCT event_type AS label FROM events)")
 def _(spark, d):
     labels = intervals.sorted_labels(read(spark, d, "events").select(F.col("event_type").alias("label")))

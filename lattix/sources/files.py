@@ -151,3 +151,8 @@ def read_wavs(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "sr", "channels", "samples"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "path string, sr int, channels int, samples array<array<double>>")
+
+
+def write_rows(df: DataFrame, path: str) -> None:
+    """A table, such as phones with their words, as CSV below ``path``, the columns' names in the first line of each file."""
+    df.write.option("header", True).csv(path)
