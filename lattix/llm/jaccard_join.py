@@ -248,16 +248,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     cold, hot = split_hot(keep(labelled(rows), "labelled-prefixes"))
     more = keep(verify(keep(candidate_pairs(cold, percent), "candidates"), sets, percent), "more-links")
-    differences = keep(pivot_differences(keep(hot, "pivots"), sets, percent), "pivot-differences")
-    more = more.unionByName(differences.where("linked").select("v", F.col("hub").alias("w")))
+    pivots = keep(hot, "pivots")
+    differences = None if pivots.isEmpty() else keep(pivot_differences(pivots, sets, percent), "pivot-differences")
+    if differences is not None:
+        more = more.unionByName(differences.where("linked").select("v", F.col("hub").alias("w")))
     links = links.unionByName(more)
-    if more.limit(1).count():
+    if not more.isEmpty():
         written.append(comps)
         comps = components(links)
-    more = keep(verify(keep(pivot_pairs(labelled(differences), percent), "pivot-candidates"), sets, percent), "pivot-links")
-    if more.limit(1).count():
-        written.append(comps)
-        comps = components(links.unionByName(more))
+    if differences is not None:
+        more = keep(verify(keep(pivot_pairs(labelled(differences), percent), "pivot-candidates"), sets, percent), "pivot-links")
+        if not more.isEmpty():
+            written.append(comps)
+            comps = components(links.unionByName(more))
     drop_written(docs.sparkSession, *written)
 
     names = nodes.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("low")).join(comps, "v", "left").select("v", "low", F.coalesce("comp", "v").alias("comp"))
