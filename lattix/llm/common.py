@@ -87,7 +87,7 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of whole rows of about ``most`` bytes, so that the working arrays stay small whatever the batch holds."""
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -118,7 +118,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """r^i and r^-i modulo 2^64 for i < n; few table sizes are kept."""
-    size = 1 << max(21, int(n - 1).bit_length())
+    size = 1 << max(18, int(n - 1).bit_length())
     a, b = _powers(size)
     return a[:n], b[:n]
 

@@ -305,7 +305,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str
 
         for batch in batches:
             data, at = text_buffers(batch.column(1))
-            for i, j in slices(at):
+            for i, j in slices(at, 1 << 20):  # a word is looked up once in each
                 for doc, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.run(data, at, i, j), strict=True):
                     held_ids.append(doc)
                     held.append(ids + end)
