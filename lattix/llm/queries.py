@@ -10,6 +10,9 @@ from .decontaminate import find_leaks
 from .fingerprints import fingerprint_edits
 from .jaccard_join import jaccard_components
 from .licenses import BASE_PHRASES, NOTICES, scan_licenses
+from .packing import pack_documents
+from .prefix_trie import graft, prefix_trie, turns_of
+from .resampling import resample
 from .suffix_dedup import dedup_substrings
 from .token_files import token_files_round_trip
 from .toxicity import score_texts, train, training_rows
@@ -70,6 +73,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation takes its first crc32(id) % 9 turns from the one whose id is the next lower multiple of five."""
+    conv = F.col("conv_id")
+    turns = turns_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie(graft(turns, conv - conv % 5, F.crc32(conv.cast("string")) % 9))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1_SQL = f"""
@@ -144,6 +162,50 @@ for _side in "ab":
     OP7_SQL = OP7_SQL.replace(f"RECORD_{_side.upper()}", f"('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Length: ' || strlen({_side})::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || {_side} || chr(13) || chr(10) || chr(13) || chr(10))")
 
 
+#: crc32 by its definition, from the hex digits of a text's bytes.
+CRC_SQL = "tb AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))) AS t)"
+
+
+def _crc(text: str) -> str:
+    bytes_of = f"list_transform(range(strlen({text})), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_of}), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH {CRC_SQL},
+d AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+f AS MATERIALIZED (SELECT n, unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS x FROM d),
+g AS MATERIALIZED (SELECT unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS x FROM q),
+b AS MATERIALIZED (SELECT x, {_crc("x")} % 10000 AS b FROM (SELECT x FROM f UNION SELECT x FROM g), tb),
+s AS (SELECT b, count(*)::DOUBLE AS s FROM f JOIN b USING (x) GROUP BY b),
+t AS (SELECT b, count(*)::DOUBLE AS t FROM g JOIN b USING (x) GROUP BY b),
+u AS (SELECT (SELECT count(*) FROM f)::DOUBLE AS su, (SELECT count(*) FROM g)::DOUBLE AS tu),
+gain AS (SELECT b.b, floor(1000 * ln((coalesce(t, 0) + 1) * (su + 10000) / ((coalesce(s, 0) + 1) * (tu + 10000))))::BIGINT AS gain FROM (SELECT DISTINCT b FROM b) b LEFT JOIN s USING (b) LEFT JOIN t USING (b), u),
+m AS (SELECT n, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN b USING (x) JOIN gain USING (b) GROUP BY n),
+e AS (SELECT doc_id, n, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN m USING (n)),
+r AS (SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS total FROM e WHERE n_words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <= 25 * total // 100 THEN rank END AS rank FROM e LEFT JOIN r USING (n)
+"""
+
+OP12_SQL = f"""
+WITH {CRC_SQL},
+c AS (SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc("conv_id::VARCHAR")} % 9 AS h FROM (SELECT conv_id FROM c), tb),
+p AS MATERIALIZED (SELECT h.conv_id, coalesce(b.t[1:h], []) || c.t[h + 1:] AS t FROM h JOIN c USING (conv_id) LEFT JOIN c b ON b.conv_id = h.base),
+m AS (SELECT conv_id, len(t) AS len, d AS depth, md5(t[1:d]::VARCHAR) AS id, CASE WHEN d > 0 THEN md5(t[1:d - 1]::VARCHAR) END AS up, CASE WHEN d > 0 THEN strlen(t[d].x) ELSE 0 END AS size FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM p)),
+n AS MATERIALIZED (SELECT id, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len = depth), '')) AS ends_sha256 FROM m GROUP BY id, depth),
+k AS (SELECT up AS id, depth - 1 AS depth, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY ALL),
+o AS (SELECT n.*, coalesce(n_children, 0) AS n_children, t FROM n LEFT JOIN k USING (id, depth) JOIN p USING (conv_id)),
+a AS (SELECT saved, (n_children = 0)::INT AS leaf, g AS depth, md5(t[1:g]::VARCHAR) AS id FROM (SELECT *, unnest(range(depth + 1)) AS g FROM o)),
+s AS (SELECT id, depth, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM a GROUP BY id, depth)
+SELECT o.conv_id, o.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, o.ends_sha256
+FROM o JOIN s USING (id, depth) LEFT JOIN n u ON u.id = o.up AND u.depth = o.depth - 1
+"""
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -156,8 +218,11 @@ def queries() -> dict:
         "op8_token_files": op8_token_files,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_importance_resample": op11_importance_resample,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_best_fit_packing": op13_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op5_license_scan": _op5_sql(), "op7_warc_audit": OP7_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op5_license_scan": _op5_sql(), "op7_warc_audit": OP7_SQL, "op11_importance_resample": OP11_SQL, "op12_prefix_trie": OP12_SQL}
