@@ -4,24 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from ..plans.ranking import with_group_index
+
+
+def _equal_parts(i: Column, n: Column, parts: int) -> Column:
+    """The part of place i among n rows in ``parts`` near-equal parts."""
+    small, extra = F.floor(n / parts), n % parts
+    edge = extra * (small + 1)
+    return F.when(i < edge, F.floor(i / (small + 1)) + 1).otherwise(extra + F.floor((i - edge) / F.greatest(small, F.lit(1))) + 1).cast("int")
 
 
 def subdivide(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = (), out: str = "fold") -> DataFrame:
     """1-based labels of n contiguous parts in order; the first parts take the remainder.
 
-    With keys each group is divided on its own. Without, ranks come from per-range counts, so that no task sees all rows.
+    With keys each group is divided on its own. Places come from ranges, so that no task sees all rows or a large group.
     """
-    if keys:
-        return df.withColumn(out, F.ntile(n).over(Window.partitionBy(*keys).orderBy(*order)))
-    from ..plans.ranking import with_global_index
-
-    total = df.count()
-    small, extra = divmod(total, n)
-    edge = extra * (small + 1)
-    i = F.col("_i")
-    label = F.when(i < edge, F.floor(i / (small + 1)) + 1).otherwise(extra + F.floor((i - edge) / max(small, 1)) + 1)
-    return with_global_index(df, order, "_i").withColumn(out, label.cast("int")).drop("_i")
+    return with_group_index(df, keys, order, "_i", "_n").withColumn(out, _equal_parts(F.col("_i"), F.col("_n"), n)).drop("_i", "_n")
 
 
 def shuffled(row_id: str, seed: int) -> Column:
@@ -34,21 +34,13 @@ def partition_within_labels(df: DataFrame, label: str, row_id: str, fractions: i
 
     A whole number k means k equal parts. Fractions may sum to less than 1 (the rest is dealt round) or more (the last parts are cut short).
     """
-    from ..plans.ranking import with_global_index
-
-    rows, order = df, [label, row_id]
+    rows, order = df, [row_id]
     if shuffle:
-        rows, order = df.withColumn("_o", shuffled(row_id, seed or 0)), [label, "_o", row_id]
-    # places within a label: places in the order of all rows, from counts per range, less the rows of the labels before
-    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_label").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-    rows = with_global_index(rows, order, "_g").join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("_i", F.col("_g") - F.col("_start"))
+        rows, order = df.withColumn("_o", shuffled(row_id, seed or 0)), ["_o", row_id]
+    rows = with_group_index(rows, [label], order, "_i", "_n")
     i, n = F.col("_i"), F.col("_n")
     if isinstance(fractions, int):
-        small, extra = F.floor(n / fractions), n % fractions
-        edge = extra * (small + 1)
-        made = F.when(i < edge, F.floor(i / (small + 1)) + 1).otherwise(extra + F.floor((i - edge) / F.greatest(small, F.lit(1))) + 1)
-        return rows.withColumn(out, made.cast("int")).select(*df.columns, out)
+        return rows.withColumn(out, _equal_parts(i, n, fractions)).select(*df.columns, out)
     k = len(fractions)
     floors = [F.floor(n * F.lit(float(f))).cast("long") for f in fractions]
     rest = F.greatest(n - sum(floors[1:], floors[0]), F.lit(0).cast("long"))
@@ -62,10 +54,17 @@ def partition_within_labels(df: DataFrame, label: str, row_id: str, fractions: i
     return rows.withColumn(out, label_of.cast("int")).select(*df.columns, out)
 
 
+#: Folds up to which their list is sent to every task.
+MOST_FOLDS = 100_000
+
+
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:
-    """Every row for every fold (a group's value), with is_test. Meant for few groups; models use per-group sums instead."""
-    folds = df.agg(F.array_sort(F.collect_set(group)).alias("_f"))
-    return df.join(F.broadcast(folds)).withColumn("fold", F.explode("_f")).drop("_f").withColumn("is_test", F.col(group) == F.col("fold"))
+    """Every row for every fold (a group's value), with is_test: rows times folds, as asked for. Models use per-group factors instead. Over MOST_FOLDS groups are refused."""
+    folds = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().limit(MOST_FOLDS + 1).collect()]
+    if len(folds) > MOST_FOLDS:
+        raise ValueError(f"over {MOST_FOLDS} groups are too many folds for every row")
+    table = df.sparkSession.createDataFrame([(sorted(folds),)], T.StructType([T.StructField("_f", T.ArrayType(df.schema[group].dataType))]))
+    return df.join(F.broadcast(table)).withColumn("fold", F.explode("_f")).drop("_f").withColumn("is_test", F.col(group) == F.col("fold"))  # one row of a checked size
 
 
 def folds_from_lists(df: DataFrame, tests: DataFrame, row_id: str, folds: int) -> DataFrame:

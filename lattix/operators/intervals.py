@@ -1,7 +1,8 @@
 """Joins of points and intervals with intervals.
 
-A range predicate alone makes Spark compare every pair. ``range_join`` deals both sides by keys and time bins: an interval goes to
-every bin it touches, a point to its one bin, so no pair shows twice. A bin should be about as wide as a usual interval.
+A range predicate alone makes Spark compare every pair. ``range_join`` deals both sides by keys and time bins of several widths, each
+LEVEL_STEP times the one before: an interval goes to the narrowest bins that are as wide as it, of which it touches two at most, whatever
+its length; a point looks into its one bin of every width that is in use.
 """
 
 from __future__ import annotations
@@ -10,17 +11,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
+from .timeseries import series_places
 
-def range_join(points: DataFrame, intervals: DataFrame, t: str, onset: str, offset: str, bin_width: float, keys: Sequence[str] = (), how: str = "inner") -> DataFrame:
-    """Pairs with onset <= t <= offset and equal keys; ``left`` keeps points without an interval."""
-    a = points.withColumn("_bin", F.floor(F.col(t) / F.lit(float(bin_width))))
-    first, last = (F.floor(F.col(c) / F.lit(float(bin_width))) for c in (onset, offset))
-    b = intervals.where(F.col(onset) <= F.col(offset)).withColumn("_bin2", F.explode(F.sequence(first, last)))
-    b = b.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = (F.col("_bin") == F.col("_bin2")) & F.col(t).between(F.col(onset), F.col(offset))
+LEVEL_STEP = 4
+
+
+def bin_level(length: Column, bin_width: float) -> Column:
+    """The least level whose bins, LEVEL_STEP ** level * bin_width wide, are as wide as ``length``."""
+    return F.greatest(F.ceil(F.log(float(LEVEL_STEP), length / F.lit(float(bin_width)))), F.lit(0).cast("long")).cast("int")
+
+
+def _binned(points: DataFrame, intervals: DataFrame, t: str, onset: str, offset: str, bin_width: float, keys: Sequence[str], how: str) -> DataFrame:
+    """Points, once for each level, with the intervals that hold them; a left join gives a row without an interval for each level that has none."""
+    spans = intervals.where(F.col(onset) <= F.col(offset)).withColumn("_level2", F.coalesce(bin_level(F.col(offset) - F.col(onset), bin_width), F.lit(0)))
+    levels = sorted(r[0] for r in spans.select("_level2").distinct().collect()) or [0]  # as many as there are orders of magnitude
+    width = F.lit(float(bin_width)) * F.pow(F.lit(float(LEVEL_STEP)), F.col("_level2"))
+    first, last = (F.floor(F.col(c) / width) for c in (onset, offset))
+    b = spans.withColumn("_bin2", F.explode(F.sequence(first, last))).withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    own = F.lit(float(bin_width)) * F.pow(F.lit(float(LEVEL_STEP)), F.col("_level"))
+    a = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_bin", F.floor(F.col(t) / own))
+    on = (F.col("_level") == F.col("_level2")) & (F.col("_bin") == F.col("_bin2")) & F.col(t).between(F.col(onset), F.col(offset))
     for k in keys:
         on &= F.col(k) == F.col(f"_r_{k}")
-    return a.join(b, on, how).drop("_bin", "_bin2", *(f"_r_{k}" for k in keys))
+    return a.join(b, on, how).drop("_level", "_bin", *(f"_r_{k}" for k in keys))
+
+
+def range_join(points: DataFrame, intervals: DataFrame, t: str, onset: str, offset: str, bin_width: float, keys: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Pairs with onset <= t <= offset and equal keys; ``left`` keeps points without an interval. ``bin_width`` is that of the narrowest bins: about the length of short intervals."""
+    if how == "inner":
+        return _binned(points, intervals, t, onset, offset, bin_width, keys, how).drop("_level2", "_bin2")
+    if how != "left":
+        raise ValueError(f"inner or left, not {how}")
+    found = _binned(points.withColumn("_row", F.monotonically_increasing_id()), intervals, t, onset, offset, bin_width, keys, how)
+    w = Window.partitionBy("_row")
+    hits, nth = F.count("_level2").over(w), F.row_number().over(w.orderBy(F.col("_level2").desc_nulls_last()))
+    kept = found.withColumn("_hits", hits).withColumn("_nth", nth).where(F.col("_level2").isNotNull() | ((F.col("_hits") == 0) & (F.col("_nth") == 1)))
+    return kept.drop("_level2", "_bin2", "_row", "_hits", "_nth")
 
 
 def containment_join(phones: DataFrame, words: DataFrame, bin_width: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -29,10 +55,10 @@ def containment_join(phones: DataFrame, words: DataFrame, bin_width: float, keys
     ``phones`` and ``words``: keys, idx, text, onset, offset. Words with empty text count for nothing, in the index too.
     """
     p = phones.where("text <> ''").select(*keys, F.col("idx").alias("_p"), F.col("text").alias("phoneme"), F.col("onset").alias("phoneme_absolute_onset"), F.col("offset").alias("phoneme_absolute_offset"))
-    numbered = Window.partitionBy(*keys).orderBy("idx")
-    w = words.where("text <> ''").select(*keys, F.col("text").alias("word"), F.col("onset").alias("word_absolute_onset"), F.col("offset").alias("word_absolute_offset"), (F.row_number().over(numbered) - 1).alias("word_index"))
+    w = series_places(words.where("text <> ''"), keys, ["idx"], "word_index")
+    w = w.select(*keys, F.col("text").alias("word"), F.col("onset").alias("word_absolute_onset"), F.col("offset").alias("word_absolute_offset"), F.col("word_index").cast("int").alias("word_index"))
     # the phone's onset lies in the word: one bin, then the offset is checked; phones without a word stay, so that they are not joined again
-    near = range_join(p, w, "phoneme_absolute_onset", "word_absolute_onset", "word_absolute_offset", bin_width, keys, "left")
+    near = _binned(p, w, "phoneme_absolute_onset", "word_absolute_onset", "word_absolute_offset", bin_width, keys, "left")
     names = ["word", "word_absolute_onset", "word_absolute_offset", "word_index"]
     holds = F.col("phoneme_absolute_offset") <= F.col("word_absolute_offset")
     own = ["phoneme", "phoneme_absolute_onset", "phoneme_absolute_offset"]

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from itertools import groupby
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..plans.ranking import with_group_index
+
 
 def filter_at(df: DataFrame, at: Sequence[Mapping[str, object]]) -> DataFrame:
     """Rows that fit all values of a mapping, for each mapping in turn: a row that fits two shows twice. ``at_idx`` tells which."""
@@ -69,50 +68,31 @@ def concatenate_by_variables(df: DataFrame, variables: Sequence[str], data: str
     return (rows.groupBy(*ids) if ids else rows.groupBy()).agg(*out)
 
 
-def digest_concatenated(df: DataFrame, variables: Sequence[str], within: Sequence[str], data: str = "data", fold_mask: bool = False) -> DataFrame:
-    """MD5 of the cells that ``concatenate_by_variables`` would make, as comma-separated text, from rows of one sample each.
+def concatenate_rows(df: DataFrame, variables: Sequence[str], within: Sequence[str], data: str = "data", out: str = "place") -> DataFrame:
+    """What ``concatenate_by_variables`` joins, as rows of one sample each: the other columns, data, the last variable as ``<variable>_mask``, and the 0-based place in the joined series.
 
-    ``within`` orders the samples of a cell. No cell or series is held as an array: rows are sorted by group and order (a sort may spill),
-    and a task streams through them with one running digest a column. MD5 is sequential, so a group's rows still pass one task.
+    ``within`` orders the samples of a cell. Places come from ranges of all rows, so a group of any size is many tasks. Rows with a null key
+    are left out.
     """
     require_columns(df, [*variables, *within, data])
     ids = [c for c in df.columns if c not in (*variables, *within, data)]
     order = [*reversed(variables), *within]
-    name = f"{order[0]}_mask"
     rows = df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in ids), F.lit(True)))
-    dealt = rows.repartition(*ids) if ids else rows.repartition(1)
-    dealt = dealt.sortWithinPartitions(*ids, *(F.col(c).asc_nulls_first() for c in order))
-    texts = [F.col(data).cast("string").alias(data), *([F.col(order[0]).cast("string").alias(name)] if fold_mask else [])]
-    dealt = dealt.select(*ids, *texts)
-    schema, names, width = dealt.schema, dealt.columns, len(texts)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kinds = None, None
-        sums, started = [], []
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*held, *(x.hexdigest() for x in sums)], kinds, strict=True)], names=names)
-
-        for batch in batches:
-            kinds = batch.schema.types
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(len(ids))), strict=True)) if ids else [()] * len(batch)
-            at = 0
-            for key, run in groupby(keys):
-                n = sum(1 for _ in run)
-                if key != held:
-                    if held is not None:
-                        yield done()
-                    held, sums, started = key, [hashlib.md5() for _ in range(width)], [False] * width
-                for k in range(width):
-                    some = batch.column(len(ids) + k).slice(at, n).drop_null().to_pylist()
-                    if some:
-                        sums[k].update(("," * started[k] + ",".join(some)).encode())
-                        started[k] = True
-                at += n
-        if held is not None:
-            yield done()
-
-    return dealt.mapInArrow(work, schema)
+    return with_group_index(rows, ids, order, out).select(*ids, data, F.col(order[0]).alias(f"{order[0]}_mask"), out)
+
+
+def place_digest(value: Column, place: Column) -> Column:
+    """A sum over rows that tells a series by its values and their places: 60 bits of the MD5 of each place and value. Sums of parts of a series add up to the sum of the whole."""
+    text = F.concat_ws(":", place.cast("string"), F.coalesce(value.cast("string"), F.lit("")))
+    return F.sum(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+
+
+def digest_concatenated(df: DataFrame, variables: Sequence[str], within: Sequence[str], data: str = "data", fold_mask: bool = False) -> DataFrame:
+    """A digest of each series that ``concatenate_by_variables`` would make, and with ``fold_mask`` of its mask: sums that each task begins and a shuffle of one row a task and group ends."""
+    rows = concatenate_rows(df, variables, within, data)
+    ids, name = rows.columns[:-3], rows.columns[-2]
+    sums = [place_digest(F.col(data), F.col("place")).alias(data), *([place_digest(F.col(name), F.col("place")).alias(name)] if fold_mask else [])]
+    return (rows.groupBy(*ids) if ids else rows.groupBy()).agg(*sums)
 
 
 def replicate_data_feature(feature_df: DataFrame, data_df: DataFrame, check_levels: bool = True) -> tuple[DataFrame, DataFrame]:

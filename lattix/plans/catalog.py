@@ -52,10 +52,7 @@ KEYS, ORDER = ["user_id"], ["ts", "event_id"]
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as one series per user: user_id, event_id, ts, event_type, value, t_idx."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy(*ORDER)
-    return read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value", (F.row_number().over(w) - 1).alias("t_idx"))
+    return timeseries.series_places(read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value"), KEYS, ORDER)
 
 
 S = "s AS (SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t_idx FROM events)"
@@ -207,7 +204,11 @@ def _(spark, d):
     return stats.usable_targets(read(spark, d, "lineitem").select(F.col("l_returnflag").alias("target"), "l_tax"), "target", "l_tax")
 
 
-CELLS = "cells AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber AS rep, list(l_quantity::INT ORDER BY l_orderkey, l_partkey, l_suppkey, l_quantity) AS data FROM lineitem GROUP BY ALL)"
+CELLS = "cells AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber AS rep, l_quantity::INT AS data, l_orderkey, l_partkey, l_suppkey, l_quantity FROM lineitem)"
+
+
+def _place_sum(value: str) -> str:
+    return f"sum(('0x' || substr(md5(place || ':' || {value}), 1, 15))::BIGINT)::VARCHAR"
 
 
 SAMPLE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"]
@@ -218,17 +219,25 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("rep"), *SAMPLE_ORDER, F.col("l_quantity").cast("int").alias("data"))
 
 
-@query("a1_concatenate", f"WITH {CELLS} SELECT flag, status, md5(array_to_string(flatten(list(data ORDER BY rep)), ',')) AS data, md5(array_to_string(flatten(list(list_transform(data, lambda x: rep) ORDER BY rep)), ',')) AS mask FROM cells GROUP BY flag, status")
+_CELL_ORDER = "l_orderkey, l_partkey, l_suppkey, l_quantity"
+
+
+@query("a1_concatenate", f"WITH {CELLS}, p AS (SELECT *, row_number() OVER (PARTITION BY flag, status ORDER BY rep, {_CELL_ORDER}) - 1 AS place FROM cells) SELECT flag, status, {_place_sum('data')} AS data, {_place_sum('rep')} AS mask FROM p GROUP BY flag, status")
 def _(spark, d):
     c = tables.digest_concatenated(samples(spark, d), ["rep"], SAMPLE_ORDER, fold_mask=True)
     return c.select("flag", "status", "data", F.col("rep_mask").alias("mask"))
 
 
-@query("a1_concatenate_two", f"WITH {CELLS} SELECT flag, md5(array_to_string(flatten(list(data ORDER BY status, rep)), ',')) AS data FROM cells GROUP BY flag")
+@query("a1_concatenate_two", f"WITH {CELLS}, p AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY status, rep, {_CELL_ORDER}) - 1 AS place FROM cells) SELECT flag, {_place_sum('data')} AS data FROM p GROUP BY flag")
 def _(spark, d):
     return tables.digest_concatenated(samples(spark, d), ["rep", "status"], SAMPLE_ORDER).select("flag", "data")
 
 
+@query("a1_concatenated_rows", f"WITH {CELLS} SELECT flag, status, data, rep AS rep_mask, row_number() OVER (PARTITION BY flag, status ORDER BY rep, {_CELL_ORDER}) - 1 AS place FROM cells")
+def _(spark, d):
+    return tables.concatenate_rows(samples(spark, d), ["rep"], SAMPLE_ORDER)
+
+
 @query("j5_replicate", "WITH f AS (SELECT n_regionkey AS region, max(n_nationkey) AS feature FROM nation GROUP BY 1), x AS (SELECT n_regionkey AS region, n_name AS name, n_nationkey AS data FROM nation) SELECT region, name, data, feature FROM x FULL JOIN f USING (region)")
 def _(spark, d):
     n = read(spark, d, "nation")
@@ -394,14 +403,19 @@ def _(spark, d):
     return x.select("l_orderkey", "l_linenumber", *(F.round(c, 9).alias(c) for c in ("l_quantity", "l_tax", "l_discount")))
 
 
-@query("g1_subdivide", "SELECT event_id, ntile(7) OVER (ORDER BY event_id)::INT AS fold FROM events")
+@query("g1_subdivide", "SELECT *, ntile(7) OVER (ORDER BY event_id)::INT AS fold FROM events")
+def _(spark, d):
+    return folds.subdivide(read(spark, d, "events"), 7, ["event_id"])
+
+
+@query("g1_subdivide_series", "SELECT *, ntile(3) OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS part FROM events")
 def _(spark, d):
-    return folds.subdivide(read(spark, d, "events").select("event_id"), 7, ["event_id"])
+    return folds.subdivide(read(spark, d, "events"), 3, ORDER, KEYS, "part")
 
 
-@query("g2_partition", "SELECT event_id, ntile(4) OVER (PARTITION BY event_type ORDER BY event_id)::INT AS fold FROM events")
+@query("g2_partition", "SELECT *, ntile(4) OVER (PARTITION BY event_type ORDER BY event_id)::INT AS fold FROM events")
 def _(spark, d):
-    return folds.partition_within_labels(read(spark, d, "events"), "event_type", "event_id", 4).select("event_id", "fold")
+    return folds.partition_within_labels(read(spark, d, "events"), "event_type", "event_id", 4)
 
 
 @query("g2_partition_fractions", "WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), f AS (SELECT *, floor(n * 0.6::DOUBLE)::BIGINT AS a, floor(n * 0.2::DOUBLE)::BIGINT AS b FROM r), x AS (SELECT *, n - a - b - b AS q FROM f) SELECT event_id, CASE WHEN i < a + q // 3 + (q % 3 > 0)::INT THEN 1 WHEN i < a + b + 2 * (q // 3) + (q % 3 > 0)::INT + (q % 3 > 1)::INT THEN 2 ELSE 3 END AS fold FROM x")
