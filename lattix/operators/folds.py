@@ -29,15 +29,15 @@ def shuffled(row_id: str, seed: int) -> Column:
     return F.xxhash64(F.col(row_id), F.lit(seed))
 
 
-def partition_within_labels(df: DataFrame, label: str, row_id: str, fractions: int | Sequence[float], seed: int | None = None, shuffle: bool = False, out: str = "fold") -> DataFrame:
+def partition_within_labels(df: DataFrame, label: str | Sequence[str], row_id: str, fractions: int | Sequence[float], seed: int | None = None, shuffle: bool = False, out: str = "fold") -> DataFrame:
     """Stratified 1-based parts: per label floor(count * fraction) rows each, the remainder dealt one by one from the first part.
 
-    A whole number k means k equal parts. Fractions may sum to less than 1 (the rest is dealt round) or more (the last parts are cut short).
+    Several columns make one label. A whole number k means k equal parts. Fractions may sum to less than 1 (the rest is dealt round) or more (the last parts are cut short).
     """
     rows, order = df, [row_id]
     if shuffle:
         rows, order = df.withColumn("_o", shuffled(row_id, seed or 0)), ["_o", row_id]
-    rows = with_group_index(rows, [label], order, "_i", "_n")
+    rows = with_group_index(rows, [label] if isinstance(label, str) else label, order, "_i", "_n")
     i, n = F.col("_i"), F.col("_n")
     if isinstance(fractions, int):
         return rows.withColumn(out, _equal_parts(i, n, fractions)).select(*df.columns, out)

@@ -1,76 +1,108 @@
-"""Linear models from one small triangular factor per group of rows.
+"""Linear models from one small factor per group of rows.
 
-For each group Spark keeps the R of the QR decomposition of [1, x, y]: partial factors per task are stacked and decomposed again, so
-rows never travel. Any set of groups has the R of its stacked factors. As 1 comes first, R holds the means in its first row and the
-centred data below; squared errors of any weights are column norms of R times the weights. Working on R and not on x'x keeps the
-condition number of x. What reaches the driver is groups * (1 + features + targets)^2 numbers.
+For each group Spark keeps what the QR decomposition of [1, x] makes of the rows: its R, Q'y, and per target the norm of what is left of y,
+as one last row. Partial factors per task are stacked and decomposed again, so rows never travel, and any set of groups has the factor of
+its stacked factors. As 1 comes first, a factor holds the means in its first row and the centred data below; squared errors of any weights
+are column norms of the factor times the weights. Working on R and not on x'x keeps the condition number of x. A factor has
+(2 + features) * (1 + features + targets) numbers: nothing grows with the square of the targets.
+
+With few targets the factors of all groups reach the driver. ``nested_ridge_blocks`` is for many: rows are dealt out by blocks of targets
+within their task, blocks are solved in tasks of their own, and results are written by executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: The penalties tried by default, 2^-100 to 2^99.
 ALPHAS = tuple(2.0**k for k in range(-100, 100))
 
 
-def stack_factors(parts: Iterable[np.ndarray]) -> np.ndarray:
-    """The square factor of all rows that the given factors stand for."""
+def stack_factors(parts: Iterable[np.ndarray], p: int) -> np.ndarray:
+    """The factor of all rows that the given factors, or rows themselves, stand for; the first ``p`` columns are those of [1, x]."""
     a = np.concatenate(list(parts))
-    r = np.linalg.qr(a, mode="r")
-    if len(r) < a.shape[1]:
-        r = np.concatenate([r, np.zeros((a.shape[1] - len(r), a.shape[1]))])
-    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+    q, r = np.linalg.qr(a[:, :p])
+    sign = np.where(np.diag(r) < 0, -1.0, 1.0)
+    q, top = q * sign, np.zeros((p, a.shape[1]))
+    top[: len(r), :p] = r * sign[:, None]
+    inside = q.T @ a[:, p:]
+    top[: len(r), p:] = inside
+    rest = np.zeros((1, a.shape[1]))
+    rest[0, p:] = np.sqrt(((a[:, p:] - q @ inside) ** 2).sum(0))
+    return np.concatenate([top, rest])
 
 
 @dataclass
 class Factors:
-    """R of every group, and the numbers of features and targets."""
+    """The factor of every group, and the numbers of features and targets."""
 
     r: dict[object, np.ndarray]
     f: int
     t: int
 
     def without(self, *groups: object) -> np.ndarray:
-        return stack_factors(r for g, r in self.r.items() if g not in groups)
+        return stack_factors((r for g, r in self.r.items() if g not in groups), 1 + self.f)
 
     def of(self, groups: Iterable[object]) -> np.ndarray:
-        return stack_factors(self.r[g] for g in groups)
+        return stack_factors((self.r[g] for g in groups), 1 + self.f)
 
 
-def group_factors(df: DataFrame, group: str, x: str = "x", y: str = "y") -> Factors:
-    """Factors of array columns x and y per group. Rows with a null group, x or y are left out; NaN is an error."""
-    rows = df.where(f"{group} is not null and {x} is not null and {y} is not null").select(F.col(group).alias("g"), F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y"))
-    kind = df.schema[group].dataType.simpleString()
-    shape = rows.select(F.size("x").alias("f"), F.size("y").alias("t")).first()
+#: Numbers of a stretch of rows that a task decomposes at once.
+STRETCH = 1 << 20
+
+
+def _shape(df: DataFrame, x: str, y: str) -> tuple[int, int]:
+    """(features, targets) of the first row; rows that differ are found when they are decomposed."""
+    shape = df.select(F.size(x).alias("f"), F.size(y).alias("t")).first()
     if shape is None:
         raise ValueError("no rows")
+    return shape["f"], shape["t"]
+
+
+def factor_rows(rows: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
+    """(keys, r): the factor of each key of ``rows`` (keys, x, y), its rows one after another. Tasks keep one factor a key; factors are merged in two steps."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, r array<double>"
+
+    def key_of(part: pd.DataFrame) -> tuple:
+        return tuple(part[k].iloc[0] for k in keys)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[object, np.ndarray] = {}
+        held: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            for g, part in pdf.groupby("g", sort=False):
-                a = np.column_stack([np.ones(len(part)), np.stack(part["x"].to_numpy()), np.stack(part["y"].to_numpy())])
-                if np.isnan(a).any():
-                    raise ValueError("NaN among features or targets")
-                held[g] = stack_factors([held[g], a] if g in held else [a])
-        yield pd.DataFrame([(g, r.ravel().tolist()) for g, r in held.items()], columns=["g", "r"])
+            for _, part in pdf.groupby(list(keys), sort=False):
+                key = key_of(part)
+                step = max(1, STRETCH // (p + len(part["y"].iloc[0])))
+                for i in range(0, len(part), step):
+                    some = part.iloc[i : i + step]
+                    a = np.column_stack([np.ones(len(some)), np.stack(some["x"].to_numpy()), np.stack(some["y"].to_numpy())])
+                    if np.isnan(a).any():
+                        raise ValueError("NaN among features or targets")
+                    held[key] = stack_factors([held[key], a] if key in held else [a], p)
+        yield pd.DataFrame([(*g, r.ravel().tolist()) for g, r in held.items()], columns=[*keys, "r"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(round(len(pdf["r"].iloc[0]) ** 0.5))
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "r": [stack_factors(np.array(v).reshape(p, p) for v in pdf["r"]).ravel().tolist()]})
+        return pd.DataFrame([(*key_of(pdf), stack_factors((np.array(v).reshape(p + 1, -1) for v in pdf["r"]), p).ravel().tolist())], columns=[*keys, "r"])
 
-    schema = f"g {kind}, r array<double>"
     parts = rows.mapInPandas(partial, schema)
-    tree = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("g", "salt").applyInPandas(merge, schema)
-    whole = tree.groupBy("g").applyInPandas(merge, schema)
-    p = 1 + shape["f"] + shape["t"]
-    return Factors({r["g"]: np.array(r["r"]).reshape(p, p) for r in whole.collect()}, shape["f"], shape["t"])
+    tree = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy(*keys, "salt").applyInPandas(merge, schema)
+    return tree.groupBy(*keys).applyInPandas(merge, schema)
+
+
+def _usable(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    return df.where(f"{group} is not null and {x} is not null and {y} is not null").select(F.col(group).alias("g"), F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y"))
+
+
+def group_factors(df: DataFrame, group: str, x: str = "x", y: str = "y") -> Factors:
+    """Factors of array columns x and y per group. Rows with a null group, x or y are left out; NaN is an error."""
+    rows = _usable(df, group, x, y)
+    f, t = _shape(rows, "x", "y")
+    return Factors({r["g"]: np.array(r["r"]).reshape(f + 2, -1) for r in factor_rows(rows, ["g"], 1 + f).collect()}, f, t)
 
 
 def centred(r: np.ndarray, f: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
@@ -155,6 +187,33 @@ def nested_ridge_cv(factors: Factors, alphas: Sequence[float] = ALPHAS, train_gr
     return NestedResult(models, r)
 
 
+#: Numbers that the weights of all penalties of a block of targets may take.
+BLOCK_NUMBERS = 1 << 22
+
+
+def nested_ridge_blocks(df: DataFrame, group: str, x: str = "x", y: str = "y", alphas: Sequence[float] = ALPHAS, block: int | None = None) -> DataFrame:
+    """``nested_ridge_cv`` for any number of targets: a row for each outer fold and target, with r, alpha (the penalty chosen), intercept and coef.
+
+    A row's targets are cut into blocks in the task that holds the row; a block's factors of all groups meet in one task, which solves it. A
+    block has so many targets that its weights of all penalties stay under BLOCK_NUMBERS.
+    """
+    rows = _usable(df, group, x, y)
+    kind = rows.schema["g"].dataType.simpleString()
+    f, t = _shape(rows, "x", "y")
+    block = block or max(1, min(t, BLOCK_NUMBERS // (len(alphas) * (f + 1))))
+    first = F.explode(F.sequence(F.lit(0), F.lit(max(t - 1, 0)), F.lit(block)))
+    cut = rows.select("g", first.alias("b"), "x", "y").select("g", "b", "x", F.slice("y", F.col("b") + 1, F.lit(block)).alias("y"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = int(pdf["b"].iloc[0])
+        held = {g: np.array(r).reshape(f + 2, -1) for g, r in zip(pdf["g"], pdf["r"], strict=True)}
+        factors = Factors(held, f, next(iter(held.values())).shape[1] - 1 - f)
+        found = nested_ridge_cv(factors, alphas)
+        return pd.DataFrame([(g, start + k, float(found.r[g][k]), float(m.best_alphas[k]), float(m.intercept[k]), m.coef[:, k].tolist()) for g, m in found.models.items() for k in range(factors.t)], columns=["outer_fold", "target", "r", "alpha", "intercept", "coef"])
+
+    return factor_rows(cut, ["g", "b"], 1 + f).groupBy("b").applyInPandas(solve, f"outer_fold {kind}, target int, r double, alpha double, intercept double, coef array<double>")
+
+
 #: Numbers in a table of weights up to which it is sent to every task.
 MOST_BROADCAST = 4_000_000
 
@@ -238,6 +297,98 @@ def pca(df: DataFrame, x: str = "x", std: bool = True, demean: bool = True, n_co
     return df.join(F.broadcast(one)).withColumn(out, dot).drop("_w", "_s"), d  # one row of a bounded size
 
 
+def wide_pca(df: DataFrame, n_components: int, x: str = "x", std: bool = True, out: str = "scores", extra: int = 10, power: int = 1, seed: int = 0) -> tuple[DataFrame, Decomposition]:
+    """``pca`` of demeaned rows for many features, by a randomised range finder: nothing of features squared is made.
+
+    A pass takes means and deviations; a pass multiplies the standardised rows z by a random thin matrix and keeps the R of the product's QR;
+    a pass gathers q'z, which is thin, and whose decomposition is that of z up to what lies outside the range. ``power`` passes before turn
+    the thin matrix towards the largest components. Tasks and driver hold (n_components + extra) * features numbers.
+    """
+    rows = df.where(F.col(x).isNotNull()).select(F.col(x).cast("array<double>").alias("x"))
+    f, _ = _shape(rows, "x", "x")
+    k = min(f, n_components + extra)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, mean, square = 0, np.zeros(f), np.zeros(f)
+        for pdf in batches:
+            a = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, f))
+            if np.isnan(a).any():
+                raise ValueError("NaN among features")
+            if len(a):
+                m, s = a.mean(0), ((a - a.mean(0)) ** 2).sum(0)
+                square += s + (m - mean) ** 2 * (n * len(a) / (n + len(a)))
+                mean, n = mean + (m - mean) * (len(a) / (n + len(a))), n + len(a)
+        if n:
+            yield pd.DataFrame({"n": [n], "a": [mean.tolist()], "b": [square.tolist()]})
+
+    def merged(parts: DataFrame, join: Callable[[pd.DataFrame], pd.DataFrame]) -> list:
+        """What tasks send, merged by up to 64 tasks and then by one."""
+        tree = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("salt").applyInPandas(join, parts.schema)
+        return tree.withColumn("salt", F.lit(0)).groupBy("salt").applyInPandas(join, parts.schema).collect()
+
+    def join_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["n"].to_numpy(float)
+        means, squares = np.stack(pdf["a"].to_numpy()), np.stack(pdf["b"].to_numpy())
+        mean = (n[:, None] * means).sum(0) / n.sum()
+        return pd.DataFrame({"n": [int(n.sum())], "a": [mean.tolist()], "b": [(squares + n[:, None] * (means - mean) ** 2).sum(0).tolist()]})
+
+    one = merged(rows.mapInPandas(sums, "n long, a array<double>, b array<double>"), join_sums)[0]
+    n, mean, norm = one["n"], np.array(one["a"]), np.sqrt(np.array(one["b"]) / one["n"]) if std else np.ones(f)
+    norm = np.where(norm < 1e-12 * max(1.0, np.abs(mean).max()), 1.0, norm)
+
+    def thin_r(thin: np.ndarray) -> np.ndarray:
+        """R of the QR of z times a thin matrix."""
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = np.zeros((0, thin.shape[1]))
+            for pdf in batches:
+                if len(pdf):
+                    held = np.linalg.qr(np.concatenate([held, (np.stack(pdf["x"].to_numpy()) - mean) / norm @ thin]), mode="r")
+            yield pd.DataFrame({"r": [held.ravel().tolist()]})
+
+        def join(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"r": [np.linalg.qr(np.concatenate([np.array(v).reshape(-1, thin.shape[1]) for v in pdf["r"]]), mode="r").ravel().tolist()]})
+
+        return np.array(merged(rows.mapInPandas(work, "r array<double>"), join)[0]["r"]).reshape(-1, thin.shape[1])
+
+    def gathered(thin: np.ndarray) -> np.ndarray:
+        """(z thin)'z: thin columns by features."""
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = np.zeros((thin.shape[1], f))
+            for pdf in batches:
+                if len(pdf):
+                    z = (np.stack(pdf["x"].to_numpy()) - mean) / norm
+                    held += (z @ thin).T @ z
+            yield pd.DataFrame({"r": [held.ravel().tolist()]})
+
+        return np.array(merged(rows.mapInPandas(work, "r array<double>"), lambda pdf: pd.DataFrame({"r": [np.sum(np.stack(pdf["r"].to_numpy()), 0).tolist()]}))[0]["r"]).reshape(-1, f)
+
+    thin = np.linalg.qr(np.random.default_rng(seed).normal(size=(f, k)))[0]
+    for _ in range(power):
+        thin = np.linalg.qr(gathered(thin).T)[0]
+    r = thin_r(thin)
+    u, s, _ = np.linalg.svd(r.T @ r)
+    whiten = u[:, s > s.max(initial=0) * 1e-24] / np.sqrt(s[s > s.max(initial=0) * 1e-24])
+    u, s, vt = np.linalg.svd(gathered(thin @ whiten), full_matrices=False)
+    sign = np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])
+    u, s, vt = (u * sign)[:, :n_components], s[:n_components], (vt * sign[:, None])[:n_components]
+    d = Decomposition(u, s, vt, mean, norm, np.zeros((len(u), 1)), np.zeros(1), float(n))
+    weights, shift = (vt / norm).T, (vt / norm) @ mean
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            there = pdf[x].notna().to_numpy()
+            made = np.full(len(pdf), None, object)
+            if there.any():
+                for k, v in zip(np.flatnonzero(there), np.stack(pdf[x][there].to_numpy()).astype(float) @ weights - shift, strict=True):
+                    made[k] = v
+            yield pdf.assign(**{out: made})
+
+    return df.mapInPandas(project, schema), d
+
+
 def ridge_from_svd(d: Decomposition, penalties: Sequence[float]) -> np.ndarray:
     """Weights (penalties x features x targets) for the standardised features."""
     return np.einsum("kf,ak,kt->aft", d.vt, d.s / (d.s**2 + np.asarray(penalties, float)[:, None] + np.where(d.s == 0, 1e-300, 0)), d.u.T @ d.y)
@@ -353,25 +504,27 @@ class Ridge:
             return -np.stack([np.nan_to_num(correlation_of(r, f, one), nan=-1.0) for one in w])
         return np.stack([np.asarray(self.scoring(r, f, one, c)) for one, c in zip(w, b, strict=True)])
 
-    def inner_cv(self, factors: Factors, groups: Iterable[object] | None = None) -> Ridge:
-        """The alpha of least mean loss over folds (groups of the factors), per target, fitted on all."""
+    def inner_cv(self, factors: Factors, groups: Iterable[object] | None = None, folds: Mapping[object, object] | None = None) -> Ridge:
+        """The alpha of least mean loss over folds, per target, fitted on all. A fold is a group of the factors, or all groups that ``folds`` maps to it."""
         groups = sorted(factors.r if groups is None else groups, key=str)
+        label = {g: folds[g] if folds else g for g in groups}
         losses = []
-        for g in groups:
-            w, b = self.path(factors.of(h for h in groups if h != g), factors.f)
-            losses.append(self.loss(factors.r[g], factors.f, w, b))
+        for k in sorted(set(label.values()), key=str):
+            w, b = self.path(factors.of(g for g in groups if label[g] != k), factors.f)
+            losses.append(self.loss(factors.of(g for g in groups if label[g] == k), factors.f, w, b))
         best = np.mean(losses, 0).argmin(0)
         w, b = self.path(factors.of(groups), factors.f)
         t = np.arange(factors.t)
         self.coef, self.intercept, self.best_alphas = w[best, :, t].T, b[best, t], self.alphas[best]
         return self
 
-    def outer_cv(self, factors: Factors) -> dict[object, np.ndarray]:
-        """Loss per target on each fold, of the model that the other folds choose and fit."""
+    def outer_cv(self, factors: Factors, outer: Mapping[object, object] | None = None, inner: Mapping[object, object] | None = None) -> dict[object, np.ndarray]:
+        """Loss per target on each fold, of the model that the other folds choose and fit. ``outer`` and ``inner`` map groups to folds; without them each group is one."""
+        label = {g: outer[g] if outer else g for g in factors.r}
         out = {}
-        for g in sorted(factors.r, key=str):
-            self.inner_cv(factors, [h for h in factors.r if h != g])
-            out[g] = self.loss(factors.r[g], factors.f, self.coef[None], self.intercept[None])[0]
+        for k in sorted(set(label.values()), key=str):
+            self.inner_cv(factors, [g for g in factors.r if label[g] != k], inner)
+            out[k] = self.loss(factors.of(g for g in factors.r if label[g] == k), factors.f, self.coef[None], self.intercept[None])[0]
         return out
 
     def transform(self, df: DataFrame, x: str = "x", out: str = "y_hat") -> DataFrame:
@@ -379,6 +532,25 @@ class Ridge:
         return predict(df.withColumn("_one", F.lit(0)), {0: model}, "_one", x, out).drop("_one")
 
 
+def stratified_cells(df: DataFrame, label: str, row_id: str, outer: int, inner: int, seed: int | None = None) -> DataFrame:
+    """Rows with ``outer`` and ``inner`` (1-based folds, both stratified by label) and ``cell``, their pair as one number.
+
+    Inner folds are dealt within each label and outer fold, so that they are stratified among whichever outer folds remain.
+    """
+    from .folds import partition_within_labels
+
+    shuffle = {"seed": seed, "shuffle": True} if seed is not None else {}
+    rows = partition_within_labels(df, label, row_id, outer, out="outer", **shuffle)
+    rows = partition_within_labels(rows, [label, "outer"], row_id, inner, out="inner", **shuffle)
+    return rows.withColumn("cell", (F.col("outer") - 1) * inner + F.col("inner") - 1)
+
+
+def stratified_cv(df: DataFrame, label: str, row_id: str, ridge: Ridge, outer: int = 5, inner: int = 5, seed: int | None = None, x: str = "x", y: str = "y") -> dict[int, np.ndarray]:
+    """``Ridge.outer_cv`` over stratified folds: factors by cell, from which every training and test set of both levels is stacked; one pass over the rows for all."""
+    factors = group_factors(stratified_cells(df, label, row_id, outer, inner, seed), "cell", x, y)
+    return ridge.outer_cv(factors, {c: c // inner + 1 for c in factors.r}, {c: c % inner + 1 for c in factors.r})
+
+
 def fold_predictions(df: DataFrame, factors: Factors, group: str, method: str = "ridge", k: float = 1.0, std: bool = True, blocks: Sequence[int] | None = None, x: str = "x", out: str = "y_hat") -> DataFrame:
     """Out-of-fold predictions by any method of ``regression_weights``."""
     models = {}

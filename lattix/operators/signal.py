@@ -1,4 +1,4 @@
-"""Audio features, one waveform per row, in Arrow batches. A waveform is one cell, so a task holds a batch of them."""
+"""Audio features in Arrow batches: of waveforms that are one cell each, so that a task holds a batch of them, or of waveforms in rows of samples, of any length."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .timeseries import resample
+from .timeseries import resample, series_places
 
 FEATURES = "array<array<double>>"
 
@@ -32,19 +32,58 @@ def spectrogram(audio: np.ndarray, sr: int = 16000, window_s: float = 0.02, stri
     return (out - out.mean()) / out.std(ddof=1) if normalise else out
 
 
-def freq2erb(f: np.ndarray) -> np.ndarray:
+#: Frames that a task transforms at once.
+FRAME_BLOCK = 1 << 12
+
+
+def spectrogram_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], sample: str, sr: int = 16000, window_s: float = 0.02, stride_s: float = 0.01, normalise: bool = False, block: int = FRAME_BLOCK) -> DataFrame:
+    """``spectrogram`` of waveforms that are rows of one sample each, of any length: keys, frame, spectrum.
+
+    Samples get their place in the waveform and those near its ends a mirrored one; a block of frames meets in a task with the samples that
+    they overlap. Waveforms of no frame give no row.
+    """
+    n, hop = int(sr * window_s), int(sr * stride_s)
+    half = n // 2
+    placed = series_places(df.select(*keys, *(c for c in order if c not in keys), F.col(sample).cast("double").alias("_x")), keys, order, "_i")
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_n", F.col("_n") - F.col("_n") % hop - 1).where(F.col("_n") > half)
+    rows = placed.join(sizes, list(keys)).where(F.col("_i") < F.col("_n"))
+    i, last = F.col("_i"), F.col("_n") - 1
+    places = F.array_compact(F.array(i + half, F.when((i >= 1) & (i <= half), half - i), F.when((i < last) & (i >= last - half), 2 * last - i + half)))
+    frames = F.floor((F.col("_n") + 2 * half - n) / hop) + 1
+    at = rows.select(*keys, "_x", frames.alias("_frames"), F.explode(places).alias("_at"))
+    first, stop = F.greatest(F.ceil((F.col("_at") - n + 1) / hop), F.lit(0).cast("long")), F.least(F.floor(F.col("_at") / hop), F.col("_frames") - 1)
+    dealt = at.where(first <= stop).withColumn("_block", F.explode(F.sequence(F.floor(first / block), F.floor(stop / block))))
+    window = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / n)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        begin = int(pdf["_block"].iloc[0]) * block
+        here = np.arange(begin, min(begin + block, int(pdf["_frames"].iloc[0])))
+        x = pdf["_x"].to_numpy()[here[0] * hop - int(pdf["_at"].iloc[0]) :]
+        made = np.log1p(np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, n)[::hop][: len(here)] * window, axis=1)))
+        return pd.DataFrame({**{k: pd.Series([pdf[k].iloc[0]] * len(here), dtype=object) for k in keys}, "frame": here, "spectrum": pd.Series(list(made), dtype=object)})
+
+    kinds = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "frame long, spectrum array<double>"])
+    out = dealt.groupBy(*keys, "_block").applyInPandas(work, kinds)
+    if not normalise:
+        return out
+    stats = out.select(*keys, F.explode("spectrum").alias("v")).groupBy(*keys).agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
+    return out.join(stats, list(keys)).withColumn("spectrum", F.transform("spectrum", lambda v: (v - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
+
+
+def hz_to_erb(f: np.ndarray) -> np.ndarray:
     return 9.265 * np.log(1 + np.asarray(f, float) / (24.7 * 9.265))
 
 
-def erb2freq(e: np.ndarray) -> np.ndarray:
+def erb_to_hz(e: np.ndarray) -> np.ndarray:
     return 24.7 * 9.265 * (np.exp(np.asarray(e, float) / 9.265) - 1)
 
 
-def freq2erb_ferret(f: np.ndarray) -> np.ndarray:
+def hz_to_erb_ferret(f: np.ndarray) -> np.ndarray:
     return (1 / 0.31) * (1 / (1 - 0.533)) * (np.asarray(f, float) / 1000) ** (1 - 0.533)
 
 
-def erb2freq_ferret(e: np.ndarray) -> np.ndarray:
+def erb_to_hz_ferret(e: np.ndarray) -> np.ndarray:
     return (np.asarray(e, float) * 0.31 * (1 - 0.533)) ** (1 / (1 - 0.533)) * 1000
 
 
@@ -52,7 +91,7 @@ def erb_filters(length: int, sr: float, n: int, low: float, high: float, animal:
     """(filters: frequency by n + 2, cutoffs, frequencies): half-cosines evenly spaced in ERBs (of a human or a ferret), with a low and a high pass that complete them."""
     if animal not in ("human", "ferret"):
         raise ValueError(f"no ERB scale for: {animal}")
-    to_erb, to_freq = (freq2erb, erb2freq) if animal == "human" else (freq2erb_ferret, erb2freq_ferret)
+    to_erb, to_freq = (hz_to_erb, erb_to_hz) if animal == "human" else (hz_to_erb_ferret, erb_to_hz_ferret)
     f = np.linspace(0, sr / 2, length // 2 + 1)
     cut = to_freq(np.linspace(to_erb(low), to_erb(min(high, sr / 2)), n + 2))
     e, edges = to_erb(f), to_erb(cut)

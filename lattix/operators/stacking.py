@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,27 +10,39 @@ from .stats import error_moments
 
 
 def simplex_weights(p: np.ndarray) -> np.ndarray:
-    """The least w'Pw on the simplex: each support's stationary point, the best that is nowhere negative. For up to 12 models."""
+    """The least w'Pw on the simplex, by an active set: from the best single model on, each step goes to the stationary point of the models in use, or as far towards it as all weights stay positive; then the model that lowers the value most is let in, until none does."""
     k = len(p)
-    if k > 12:
-        raise ValueError("too many models to go through all supports")
     p = p + 1e-12 * np.trace(p) / k * np.eye(k)
-    best, least = np.full(k, 1 / k), np.inf
-    for n in range(1, k + 1):
-        for s in map(list, combinations(range(k), n)):
-            try:
-                w = np.linalg.solve(p[np.ix_(s, s)], np.ones(n))
-            except np.linalg.LinAlgError:
-                continue
-            if not np.isfinite(w).all() or w.sum() == 0:
-                continue
-            w = w / w.sum()
-            if (w >= -1e-12).all():
-                value = w @ p[np.ix_(s, s)] @ w
-                if value < least - 1e-15 * abs(value):
-                    best, least = np.zeros(k), value
-                    best[s] = np.maximum(w, 0)
-    return best / best.sum()
+    w = np.zeros(k)
+    w[np.diag(p).argmin()] = 1.0
+    used = w > 0
+    scale = max(np.abs(p).max(initial=0), 1e-300)
+    for _ in range(100 * k + 100):
+        while True:
+            s = np.flatnonzero(used)
+            # stationary on the support: P w = c with the sum 1, as one symmetric system, which holds for singular P too
+            system = np.block([[p[np.ix_(s, s)] / scale, np.ones((len(s), 1))], [np.ones((1, len(s))), np.zeros((1, 1))]])
+            aim = np.linalg.lstsq(system, np.append(np.zeros(len(s)), 1.0), rcond=None)[0][:-1]
+            if (aim > 0).all():
+                w[:] = 0
+                w[s] = aim / aim.sum()
+                break
+            low = aim <= 0
+            step = (w[s][low] / (w[s][low] - aim[low])).min()
+            w[s] = np.maximum(w[s] + step * (aim - w[s]), 0)
+            blocked = s[low][np.argmin(w[s][low] / np.maximum(w[s][low] - aim[low], 1e-300))] if step > 0 else s[low][0]
+            w[blocked] = 0
+            used = used & (w > 0)
+            if used.sum() == 1:
+                w[used] = 1.0
+        slope = p @ w
+        value = w @ slope
+        slope[used] = np.inf
+        best = int(slope.argmin())
+        if slope[best] >= value - 1e-12 * scale:
+            break
+        used[best] = True
+    return w / w.sum()
 
 
 def stacking_weights(errors: DataFrame, row: str, target: str, model: str, error: str = "e") -> DataFrame:

@@ -124,6 +124,17 @@ def hanning_taps(hanning_width: float = 0.2, dur: float = 1, sr: float = 100, sc
     return [(k, j, h / total) for k, j, h in taps] if normalise else taps
 
 
+def taps_by_scale(df: DataFrame, scale: str, hanning_width: float = 0.2, dur: float = 1, sr: float = 100, scale_max: float = 2) -> DataFrame:
+    """``hanning_taps`` for the scale of each row: its columns, k, j, h. Expressions only, so that many scales are many tasks."""
+    width = F.lit(float(hanning_width))
+    windows, last = n_windows(hanning_width, dur), max(0, math.ceil(scale_max * dur * sr - 1)) - 1
+    at = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.transform(F.sequence(F.lit(0), F.lit(last)), lambda j: F.struct(k.alias("k"), j.alias("j"), ((j / F.lit(float(sr))) / F.col(scale) - k * F.lit(0.5) * width).alias("x"))))
+    inside = F.filter(F.flatten(at), lambda p: (p["x"] > 0) & (p["x"] < width))
+    taps = F.transform(inside, lambda p: F.struct(p["k"].alias("k"), p["j"].alias("j"), (0.5 * (1 - F.cos(2 * math.pi * p["x"] / width))).alias("h")))
+    rows = df.withColumn("_taps", taps).withColumn("_sum", F.aggregate("_taps", F.lit(0.0), lambda s, p: s + p["h"]))
+    return rows.select(*df.columns, F.explode("_taps").alias("_t"), "_sum").select(*df.columns, "_t.k", "_t.j", (F.col("_t.h") / F.col("_sum")).alias("h"))
+
+
 def taps_table(spark: SparkSession, **parameters) -> DataFrame:
     return spark.createDataFrame(hanning_taps(**parameters), "k int, j int, h double")
 

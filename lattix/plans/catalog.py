@@ -86,9 +86,11 @@ def _taps_sql(scale: float = 1.0) -> str:
     return f"raw AS (SELECT k, j, (j / 100.0) / {scale}::DOUBLE - k * 0.5::DOUBLE * 0.2::DOUBLE AS u FROM range(9) a(k), range(199) b(j)), pos AS (SELECT k, j, 0.5 * (1 - cos(2 * pi() * u / 0.2)) AS h FROM raw WHERE u > 0 AND u < 0.2), taps AS (SELECT k, j, h / (SELECT sum(h) FROM pos) AS h FROM pos)"
 
 
-@query("w4_hanning_taps", f"WITH {_taps_sql()} SELECT k::INT AS k, j::INT AS j, round(h, 9) AS h FROM taps WHERE h > 1e-12")
+@query("w4_hanning_taps", "WITH s AS (SELECT n_nationkey, 0.5 + n_nationkey / 20.0::DOUBLE AS scale FROM nation), raw AS (SELECT n_nationkey, scale, k, j, (j / 100.0::DOUBLE) / scale - k * 0.5::DOUBLE * 0.2::DOUBLE AS u FROM s, range(9) a(k), range(199) b(j)), pos AS (SELECT *, 0.5 * (1 - cos(2 * pi() * u / 0.2)) AS h FROM raw WHERE u > 0 AND u < 0.2), taps AS (SELECT *, h / sum(h) OVER (PARTITION BY n_nationkey) AS h2 FROM pos) SELECT n_nationkey, k::INT AS k, j::INT AS j, round(h2, 9) AS h FROM taps WHERE h2 > 1e-12")
 def _(spark, d):
-    return timeseries.taps_table(spark).where("h > 1e-12").select("k", "j", F.round("h", 9).alias("h"))
+    """The taps of a time scale for each nation."""
+    scales = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") / 20.0 + 0.5).alias("scale"))
+    return timeseries.taps_by_scale(scales, "scale").where("h > 1e-12").select("n_nationkey", "k", "j", F.round("h", 9).alias("h"))
 
 
 def _fir_sql(scale: float) -> str:
@@ -118,15 +120,28 @@ def _(spark, d):
     return y.select("user_id", "event_id", F.posexplode(F.get("basis", F.lit(0))).alias("k", "y")).withColumn("y", F.round("y", 6))
 
 
-@query("m15_fit_over_rho", "SELECT rho, rho = 0.5 AS best FROM (SELECT unnest([-0.5, 0.0, 0.5])::DOUBLE AS rho)")
+def _wide_tap(scale: float) -> str:
+    """One window as long as the response."""
+    return f"(SELECT j, h / sum(h) OVER () AS h FROM (SELECT j, 0.5 * (1 - cos(2 * pi() * u)) AS h FROM (SELECT j, (j / 100.0::DOUBLE) / {scale}::DOUBLE AS u FROM range(199) b(j)) WHERE u > 0 AND u < 1))"
+
+
+def _rho_fit(rho: float) -> str:
+    parts = " UNION ALL ".join(f"SELECT s.user_id, s.event_id, coalesce((SELECT sum(x.value * taps.h) FROM {_wide_tap(scale)} taps JOIN s x ON x.user_id = s.user_id AND x.t_idx = s.t_idx - taps.j), 0) AS f FROM s WHERE user_id % 2 = {k}" for k, scale in enumerate(timeseries.rho_scales(rho)))
+    return f"SELECT {rho}::DOUBLE AS rho, user_id, event_id, f FROM ({parts})"
+
+
+_RHOS = [-0.5, 0.0, 0.5]
+
+
+@query("m15_fit_over_rho", f"WITH {S}, f AS ({' UNION ALL '.join(map(_rho_fit, _RHOS))}), y AS (SELECT event_id, f.f + s.value * 0.05 AS y FROM f JOIN s USING (user_id, event_id) WHERE rho = {_RHO}) SELECT rho, round(corr(f, y) * sign(sum(f * y)), 6) AS r FROM f JOIN y USING (event_id) GROUP BY rho")
 def _(spark, d):
-    """The response is made with rho 0.5: that assumption alone fits it without an error."""
-    e = read(spark, d, "events").select("user_id", "event_id", "ts", F.array("value").alias("features"))
+    """The response follows rho 0.5, with something of the sample itself: how well each assumed rho fits it with one wide window."""
+    one = {"hanning_width": 1.0, "dur": 1}
+    e = read(spark, d, "events").select("user_id", "event_id", "ts", "value", F.array("value").alias("features"))
     fast, slow = e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1")
-    weighted = F.aggregate(F.transform(F.get("basis", F.lit(0)), lambda b, k: b * (k + 1)), F.lit(0.0), lambda s, v: s + v)
-    true = timeseries.hanning_from_rho(fast, slow, _RHO, "features", KEYS, ORDER).select("user_id", "event_id", "ts", "features", weighted.alias("y"))
-    fit = timeseries.fit_over_rho(true.where("user_id % 2 = 0"), true.where("user_id % 2 = 1"), [-0.5, 0.0, 0.5], "features", "y", KEYS, ORDER)
-    return fit.select("rho", (F.col("r") > 1 - 1e-9).alias("best"))
+    y = F.get(F.get("basis", F.lit(0)), F.lit(0)) + F.col("value") * 0.05
+    true = timeseries.hanning_from_rho(fast, slow, _RHO, "features", KEYS, ORDER, **one).select("user_id", "event_id", "ts", "features", y.alias("y"))
+    return timeseries.fit_over_rho(true.where("user_id % 2 = 0"), true.where("user_id % 2 = 1"), _RHOS, "features", "y", KEYS, ORDER, **one).withColumn("r", F.round("r", 6))
 
 
 @query("w7_islands", f"WITH {S}, g AS (SELECT user_id, event_type, t_idx, t_idx - row_number() OVER (PARTITION BY user_id, event_type ORDER BY t_idx) AS g FROM s) SELECT user_id, event_type, min(t_idx) / 100.0::DOUBLE AS onset, max(t_idx) / 100.0::DOUBLE AS \"offset\" FROM g GROUP BY user_id, event_type, g")
@@ -179,8 +194,10 @@ def _(spark, d):
     return intervals.onset_raster(read(spark, d, "supplier").select((F.col("s_suppkey") / 40.0).alias("onset")), 300)
 
 
-@query("j1_phone_in_word", "WITH p AS (SELECT user_id, event_id AS idx, event_type AS text, value AS onset, value + 0.5 AS \"offset\" FROM events), w AS (SELECT u.user_id, k AS idx, 'w' || k AS text, k * 10.0::DOUBLE AS onset, k * 10.0::DOUBLE + 11 AS \"offset\" FROM (SELECT DISTINCT user_id FROM events) u, range(1000) r(k)) SELECT p.user_id, p.text AS phoneme, p.onset AS phoneme_absolute_onset, p.\"offset\" AS phoneme_absolute_offset, w.text AS word, w.onset AS word_absolute_onset, w.\"offset\" AS word_absolute_offset, w.idx::INT AS word_index, p.onset - w.onset AS phoneme_relative_onset, p.\"offset\" - w.onset AS phoneme_relative_offset FROM p JOIN w ON p.user_id = w.user_id AND w.onset <= p.onset AND w.\"offset\" >= p.\"offset\" QUALIFY row_number() OVER (PARTITION BY p.idx ORDER BY w.idx) = 1")
-def _(spark, d):
+_J1_SQL = "WITH p AS (SELECT user_id, event_id AS idx, event_type AS text, value AS onset, value + 0.5 AS \"offset\" FROM events), w AS (SELECT u.user_id, k AS idx, 'w' || k AS text, k * 10.0::DOUBLE AS onset, k * 10.0::DOUBLE + 11 AS \"offset\" FROM (SELECT DISTINCT user_id FROM events) u, range(1000) r(k)) SELECT p.user_id, p.text AS phoneme, p.onset AS phoneme_absolute_onset, p.\"offset\" AS phoneme_absolute_offset, w.text AS word, w.onset AS word_absolute_onset, w.\"offset\" AS word_absolute_offset, w.idx::INT AS word_index, p.onset - w.onset AS phoneme_relative_onset, p.\"offset\" - w.onset AS phoneme_relative_offset FROM p JOIN w ON p.user_id = w.user_id AND w.onset <= p.onset AND w.\"offset\" >= p.\"offset\" QUALIFY row_number() OVER (PARTITION BY p.idx ORDER BY w.idx) = 1"
+
+
+def _phones_in_words(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     p = e.select("user_id", F.col("event_id").alias("idx"), F.col("event_type").alias("text"), F.col("value").alias("onset"), (F.col("value") + 0.5).alias("offset"))
     w = e.select("user_id").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(999))))
@@ -188,6 +205,9 @@ def _(spark, d):
     return intervals.containment_join(p, w, 10, KEYS)
 
 
+query("j1_phone_in_word", _J1_SQL)(_phones_in_words)
+
+
 @query("j10_interpolate", f"WITH {S}, seg AS (SELECT user_id, t_idx * 1.0 AS t0, value AS x0, lead(t_idx * 1.0) OVER v AS t1, lead(value) OVER v AS x1 FROM s WINDOW v AS (PARTITION BY user_id ORDER BY t_idx)) SELECT user_id, t0 + 0.25 AS t, round(x0 + 0.25 * (x1 - x0), 6) AS x_new FROM seg WHERE t1 IS NOT NULL")
 def _(spark, d):
     s = series(spark, d).select("user_id", F.col("t_idx").cast("double").alias("t"), F.col("value").alias("x"))
@@ -266,19 +286,23 @@ def _(spark, d):
 
 
 _ATTR = ", ".join(f"('{m}', {lookups.ATTRIBUTES.index(a) if a in lookups.ATTRIBUTES else 'NULL'}, '{a}', '{p}')" for m in ("Arpabet", "IPA") for a in lookups.ARPABET for p in lookups.phonemes(a, m))
-_PHONES = ["AA", "hh", "Zh", "NG", "w", "ER", "b", "TH"]
+_ASKED = ["Back", "NASAL", "semivowel", "none", "labial", "Stop", "vowel"]
+_PHONES = ["AA", "hh", "Zh", "NG", "w", "ER", "b", "TH", "?"]
 
 
-@query("j8_attribute_phonemes", f"WITH a(mode, pos, attribute, phoneme) AS (VALUES {_ATTR}) SELECT 'Vowel-' || attribute AS tag, phoneme FROM a WHERE mode = 'IPA' AND attribute IN ('back', 'nasal', 'semivowel')")
+def _of_part(spark: SparkSession, d: str, values: list[str], name: str) -> DataFrame:
+    """One of some values for each part, by its size."""
+    return read(spark, d, "part").select("p_partkey", F.get(F.array(*map(F.lit, values)), (F.col("p_size") % len(values)).cast("int")).alias(name))
+
+
+@query("j8_attribute_phonemes", f"WITH a(mode, pos, attribute, phoneme) AS (VALUES {_ATTR}), p AS (SELECT p_partkey, {_ASKED!r}[p_size % {len(_ASKED)} + 1] AS asked FROM part) SELECT p_partkey, 'Vowel-' || attribute AS tag, phoneme FROM p JOIN a ON attribute = lower(asked) WHERE mode = 'IPA'")
 def _(spark, d):
-    asked = spark.createDataFrame([("Back",), ("NASAL",), ("semivowel",), ("none",)], "attribute string")
-    return lookup.phonemes_of(asked, "IPA").select(F.concat(F.lit("Vowel-"), F.lower("attribute")).alias("tag"), "phoneme")
+    return lookup.phonemes_of(_of_part(spark, d, _ASKED, "attribute"), "IPA").select("p_partkey", F.concat(F.lit("Vowel-"), F.lower("attribute")).alias("tag"), "phoneme")
 
 
-@query("j9_phoneme_attributes", f"WITH a(mode, pos, attribute, phoneme) AS (VALUES {_ATTR}), p AS (SELECT unnest({_PHONES!r}) AS phoneme) SELECT p.phoneme, coalesce(string_agg(attribute, ' ' ORDER BY pos), '') AS attributes FROM p LEFT JOIN a ON lower(a.phoneme) = lower(p.phoneme) AND mode = 'Arpabet' AND pos IS NOT NULL GROUP BY 1")
+@query("j9_phoneme_attributes", f"WITH a(mode, pos, attribute, phoneme) AS (VALUES {_ATTR}), p AS (SELECT p_partkey, {_PHONES!r}[p_size % {len(_PHONES)} + 1] AS phoneme FROM part) SELECT p_partkey, any_value(p.phoneme) AS phoneme, coalesce(string_agg(attribute, ' ' ORDER BY pos), '') AS attributes FROM p LEFT JOIN a ON lower(a.phoneme) = lower(p.phoneme) AND mode = 'Arpabet' AND pos IS NOT NULL GROUP BY 1")
 def _(spark, d):
-    asked = spark.createDataFrame([(p,) for p in _PHONES], "phoneme string")
-    return lookup.attributes_of(asked).select("phoneme", F.array_join("attributes", " ").alias("attributes"))
+    return lookup.attributes_of(_of_part(spark, d, _PHONES, "phoneme")).select("p_partkey", "phoneme", F.array_join("attributes", " ").alias("attributes"))
 
 
 @query("a2_mean_arrays", "SELECT label, pos, round(avg(x), 5) AS x FROM (SELECT label, generate_subscripts(embedding, 1)::INT - 1 AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL")
@@ -452,11 +476,11 @@ def _(spark, d):
     return e.select("vec_id", "f", F.posexplode("row").alias("l", "x"))
 
 
-@query("r3_split_strf", "SELECT vec_id, CASE WHEN f < 3 THEN 'low' ELSE 'high' END AS feature_name, CASE WHEN f < 3 THEN f ELSE f - 3 END::INT AS f, embedding[f * 8 + 1] AS x FROM embeddings, range(8) a(f)")
+@query("r3_split_strf", "SELECT vec_id, CASE WHEN f < 3 THEN 'low' ELSE 'high' END AS feature_name, CASE WHEN f < 3 THEN f ELSE f - 3 END::INT AS f, l::INT AS l, embedding[f * 8 + l + 1] AS x FROM embeddings, range(8) a(f), range(8) b(l)")
 def _(spark, d):
     two = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
     s = tables.split_strf(read(spark, d, "embeddings").select("vec_id", two.alias("STRF")), "STRF", [3, 5], ["low", "high"], ["vec_id"])
-    return s.select("vec_id", "feature_name", F.posexplode("STRF").alias("f", "row")).select("vec_id", "feature_name", "f", F.get("row", F.lit(0)).alias("x"))
+    return s.select("vec_id", "feature_name", F.posexplode("STRF").alias("f", "row")).select("vec_id", "feature_name", "f", F.posexplode("row").alias("l", "x"))
 
 
 @query("r4_pivot_cell", "SELECT vec_id, i / 100.0::DOUBLE AS time_stamp, embedding[i + 1] AS \"diff\" FROM embeddings, range(64) r(i)")
@@ -567,11 +591,30 @@ def _(spark, d):
 _ERB = "9.265 * ln(1 + ({}) / (24.7 * 9.265))"
 
 
-@query("s3_erb_filters", f"WITH f AS (SELECT i, i * 8000.0::DOUBLE / 400 AS f FROM range(401) r(i)), c AS (SELECT k, 24.7 * 9.265 * (exp(({_ERB.format(80)} + k * ({_ERB.format(6990)} - {_ERB.format(80)}) / 7) / 9.265) - 1) AS cut FROM range(8) r(k)), b AS (SELECT k, cut AS low, lead(cut, 2) OVER (ORDER BY k) AS high, lead(k, 2) OVER (ORDER BY k) AS there FROM c), e AS (SELECT k, low, high, {_ERB.format('low')} AS el, {_ERB.format('high')} AS eh, (SELECT count(*) FROM f WHERE f.f < high) AS stop FROM b WHERE there IS NOT NULL) SELECT k::INT + 1 AS filter, i::INT AS bin, round(cos(({_ERB.format('f')} - (el + eh) / 2) / (eh - el) * pi()), 6) AS gain FROM f, e WHERE f > low AND i < stop - 1")
+_DFT = "w AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS t FROM embeddings)"
+
+
+@query("s3_erb_filters", f"WITH f AS (SELECT i, i * 8000.0::DOUBLE / 32 AS f FROM range(33) r(i)), c AS (SELECT k, 24.7 * 9.265 * (exp(({_ERB.format(80)} + k * ({_ERB.format(6990)} - {_ERB.format(80)}) / 7) / 9.265) - 1) AS cut FROM range(8) r(k)), b AS (SELECT k, cut AS low, lead(cut, 2) OVER (ORDER BY k) AS high, lead(k, 2) OVER (ORDER BY k) AS there FROM c), e AS (SELECT k, low, high, {_ERB.format('low')} AS el, {_ERB.format('high')} AS eh, (SELECT count(*) FROM f WHERE f.f < high) AS stop FROM b WHERE there IS NOT NULL), bank AS (SELECT k + 1 AS filter, i, cos(({_ERB.format('f')} - (el + eh) / 2) / (eh - el) * pi()) AS gain FROM f, e WHERE f > low AND i < stop - 1), {_DFT}, s AS (SELECT vec_id, i, sum(x * cos(2 * pi() * i * t / 64)) AS re, sum(x * sin(2 * pi() * i * t / 64)) AS im FROM w, range(33) r(i) GROUP BY ALL) SELECT vec_id, filter::INT AS filter, round(sum(gain * gain * (re * re + im * im) * CASE WHEN i IN (0, 32) THEN 1 ELSE 2 END) / 64, 4) AS energy FROM bank JOIN s USING (i) GROUP BY ALL")
+def _(spark, d):
+    """The energy of each embedding, taken for a waveform, in six ERB-spaced half-cosine bands."""
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"), F.lit(16000).alias("sr"))
+
+    def energies(x, sr):
+        bank, _, _ = signal.erb_filters(len(x), sr, 6, 80, 6990)
+        return (signal.subbands(x, bank[:, 1:-1]) ** 2).sum(0)
+
+    rows = signal.map_waveforms(e, energies, "e", "array<double>").select("vec_id", F.posexplode("e").alias("k", "energy"))
+    return rows.where(F.col("energy") > 0).select("vec_id", (F.col("k") + 1).alias("filter"), F.round("energy", 4).alias("energy"))
+
+
+_FRAMES = "SELECT vec_id, frame, i, 0.54 - 0.46 * cos(2 * pi() * t / 32) AS h, t, CASE WHEN p < 0 THEN -p WHEN p > 62 THEN 124 - p ELSE p END AS p FROM (SELECT vec_id, frame, i, t, frame * 16 + t - 16 AS p FROM (SELECT vec_id FROM embeddings), range(4) a(frame), range(17) b(i), range(32) c(t))"
+
+
+@query("s1_spectrogram_rows", f"WITH {_DFT}, f AS ({_FRAMES}), s AS (SELECT f.vec_id, frame, i, sum(h * x * cos(2 * pi() * i * f.t / 32)) AS re, sum(h * x * sin(2 * pi() * i * f.t / 32)) AS im FROM f JOIN w ON w.vec_id = f.vec_id AND w.t = f.p GROUP BY ALL) SELECT vec_id, frame, i::INT AS i, round(ln(1 + sqrt(re * re + im * im)), 5) AS x FROM s")
 def _(spark, d):
-    """The band filters of six ERB-spaced half-cosines, where they are not 0."""
-    bank, _, _ = signal.erb_filters(800, 16000, 6, 80, 6990)
-    return spark.createDataFrame([(k, i, round(float(bank[i, k]), 6)) for k in range(1, 7) for i in bank[:, k].nonzero()[0].tolist()], "filter int, bin int, gain double")
+    """Embeddings as waveforms of 1600 Hz in rows of samples: frames of 32 samples."""
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("t", "x"))
+    return signal.spectrogram_rows(e, ["vec_id"], ["t"], "x", 1600).select("vec_id", "frame", F.posexplode("spectrum").alias("i", "x")).withColumn("x", F.round("x", 5))
 
 
 @query("s13_usable_rows", "SELECT s_suppkey, s_nationkey, x FROM (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 4 = 1 THEN 'nan'::DOUBLE ELSE s_acctbal::DOUBLE END AS x FROM supplier) WHERE s_nationkey = 7 AND x IS NOT NULL AND NOT isnan(x)")
@@ -590,6 +633,15 @@ def _(spark, d):
     return spark.read.option("header", True).csv(f"{home}/nation").select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("n_nationkey", "n_name", "n_regionkey")))
 
 
+@query("io13_phones", _J1_SQL)
+def _(spark, d):
+    """Phones with their words, nine columns beside the key, written as CSV with its columns' names, and read again."""
+    home = scratch(spark, "io13")
+    rows = _phones_in_words(spark, d)
+    files.write_rows(rows, f"{home}/phones")
+    return spark.read.option("header", True).schema(rows.schema).csv(f"{home}/phones")
+
+
 @query("a9_sorted_labels", "SELECT row_number() OVER (ORDER BY label) - 1 AS place, label FROM (SELECT DISTINCT event_type AS label FROM events)")
 def _(spark, d):
     labels = intervals.sorted_labels(read(spark, d, "events").select(F.col("event_type").alias("label")))
@@ -606,13 +658,13 @@ def _(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalar.round8(F.col("l_extendedprice").cast("double") / 7).alias("x"))
 
 
-@query("m13_fold_scores", "SELECT g::INT AS g, t::INT AS target FROM range(1, 8) a(g), range(4) b(t) WHERE t IN (1, 2)")
+@query("m13_fold_scores", "WITH x AS (SELECT l_linenumber AS g, l_quantity::DOUBLE AS x, unnest([0, 3]) AS t, unnest([l_extendedprice::DOUBLE, (l_quantity * l_discount)::DOUBLE]) AS y FROM lineitem) SELECT g, t::INT AS target, round(corr(x, y) * (SELECT sign(covar_pop(o.x, o.y)) FROM x o WHERE o.g <> x.g AND o.t = x.t), 6) AS r FROM x GROUP BY g, t UNION ALL SELECT DISTINCT l_linenumber, unnest([1, 2])::INT, 0.0 FROM lineitem")
 def _(spark, d):
-    """Targets 1 (constant) and 2 (with a NaN) score 0; 0 and 3 do not."""
+    """Targets 1 (constant) and 2 (with a NaN) score 0."""
     y = F.array(F.col("l_extendedprice").cast("double"), F.lit(1.0), F.when(F.col("l_orderkey") == 1, F.lit(float("nan"))).otherwise(F.col("l_tax").cast("double")), (F.col("l_quantity") * F.col("l_discount")).cast("double"))
-    x = read(spark, d, "lineitem").select("l_linenumber", F.array("l_quantity", "l_discount").alias("x"), y.alias("y"))
-    found = linear.fold_scores(x, "l_linenumber", alphas=[1.0, 64.0])
-    return spark.createDataFrame([(int(g), t) for g, r in found.items() for t, v in enumerate(r) if v == 0], "g int, target int")
+    x = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("g"), F.array("l_quantity").alias("x"), y.alias("y"))
+    found = linear.fold_scores(x, "g", alphas=[1.0, 64.0])
+    return spark.createDataFrame([(g, t, round(float(v), 6)) for g, r in found.items() for t, v in enumerate(r)], f"g {x.schema['g'].dataType.simpleString()}, target int, r double")
 
 
 @query("m5_prefit_stacking", "WITH e AS (SELECT avg(e1 * e1) AS p11, avg(e1 * e2) AS p12, avg(e2 * e2) AS p22 FROM (SELECT o_totalprice - 2000 * (o_custkey % 100) AS e1, o_totalprice - 150000 AS e2 FROM orders)), w AS (SELECT greatest(0.0, least(1.0, (p22 - p12) / (p11 + p22 - 2 * p12))) AS w FROM e) SELECT 0 AS target, 1 AS model, round(w, 5) AS weight FROM w UNION ALL SELECT 0, 2, round(1 - w, 5) FROM w")
@@ -658,6 +710,45 @@ def _(spark, d):
     return tables_["r"].select("outer_fold", "target", F.round("r", 6).alias("r"))
 
 
+_M3 = """WITH x AS (SELECT l_linenumber AS g, l_quantity::DOUBLE AS x, unnest([0, 1, 2]) AS t, unnest([l_extendedprice::DOUBLE, l_tax::DOUBLE, l_quantity * l_discount::DOUBLE]) AS y FROM lineitem),
+s AS (SELECT t, g, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy, corr(x, y) AS r FROM x GROUP BY ALL),
+o AS (SELECT t, s.g AS o, sum(z.n) AS n, sum(z.sx) AS sx, sum(z.sy) AS sy, sum(z.sxx) AS sxx, sum(z.sxy) AS sxy FROM s JOIN s z USING (t) WHERE z.g <> s.g GROUP BY ALL),
+i AS (SELECT o.t, o.o, s.g AS h, o.n - s.n AS n, o.sx - s.sx AS sx, o.sy - s.sy AS sy, o.sxx - s.sxx AS sxx, o.sxy - s.sxy AS sxy FROM o JOIN s ON s.t = o.t AND s.g <> o.o),
+w AS (SELECT t, o, h, a, (sxy - sx * sy / n) / (sxx - sx * sx / n + a) AS w, sx / n AS mx, sy / n AS my FROM i, (SELECT unnest(ALPHAS)::DOUBLE AS a)),
+m AS (SELECT w.t, o, a, avg((syy + w * w * sxx + s.n * (my - w * mx) ** 2 - 2 * w * sxy - 2 * (my - w * mx) * sy + 2 * w * (my - w * mx) * sx) / s.n) AS mse FROM w JOIN s ON s.t = w.t AND s.g = w.h GROUP BY ALL),
+b AS (SELECT t, o, min_by(a, mse) AS a FROM m GROUP BY ALL),
+c AS (SELECT t, o, a, (sxy - sx * sy / n) / (sxx - sx * sx / n + a) AS w, sx / n AS mx, sy / n AS my FROM o JOIN b USING (t, o))
+SELECT o AS outer_fold, c.t::INT AS target, a AS alpha, round(w, 6) AS coef, round(my - w * mx, 4) AS intercept, round(s.r * sign(w), 6) AS r FROM c JOIN s ON s.t = c.t AND s.g = c.o"""
+
+
+@query("m3_target_blocks", _M3.replace("ALPHAS", str(_TRIED)))
+def _(spark, d):
+    """Nested ridge in blocks of two targets: the penalty chosen for each, and what it makes of the weights."""
+    y = F.array(F.col("l_extendedprice").cast("double"), F.col("l_tax").cast("double"), (F.col("l_quantity") * F.col("l_discount")).cast("double"))
+    x = read(spark, d, "lineitem").select("l_linenumber", F.array("l_quantity").alias("x"), y.alias("y"))
+    found = linear.nested_ridge_blocks(x, "l_linenumber", alphas=_TRIED, block=2)
+    return found.select("outer_fold", "target", "alpha", F.round(F.get("coef", F.lit(0)), 6).alias("coef"), F.round("intercept", 4).alias("intercept"), F.round("r", 6).alias("r"))
+
+
+_M10_ALPHAS = [1.0, 1e5, 3e6, 1e8]
+_M10 = """WITH r AS (SELECT o_orderkey, o_orderstatus, o_custkey % 97 AS x, o_totalprice / 1000 AS y, ntile(3) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS o FROM orders),
+q AS (SELECT *, ntile(4) OVER (PARTITION BY o_orderstatus, o ORDER BY o_orderkey) AS i FROM r),
+s AS (SELECT o, i, count(*)::DOUBLE AS n, sum(x)::DOUBLE AS sx, sum(y) AS sy, sum(x * x)::DOUBLE AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM q GROUP BY ALL),
+t AS (SELECT k.o AS k, j.i AS j, a, sum(s.n) + a AS d, sum(sx) AS b, sum(sxx) + a AS c, sum(sxy) AS u, sum(sy) AS v FROM s, (SELECT DISTINCT o FROM s) k, (SELECT DISTINCT i FROM s UNION ALL SELECT 0) j(i), (SELECT unnest(ALPHAS)::DOUBLE AS a) WHERE s.o <> k.o AND s.i <> j.i GROUP BY k.o, j.i, a),
+w AS (SELECT k, j, a, (d * u - b * v) / (c * d - b * b) AS w, (c * v - b * u) / (c * d - b * b) AS z FROM t),
+l AS (SELECT w.k, w.j, a, sum(syy + w * w * sxx + z * z * s.n - 2 * w * sxy - 2 * z * sy + 2 * w * z * sx) / sum(s.n) AS loss FROM w JOIN s ON (j > 0 AND s.o <> k AND s.i = j) OR (j = 0 AND s.o = k) GROUP BY ALL),
+c AS (SELECT k, min_by(a, loss) AS a FROM (SELECT k, a, avg(loss) AS loss FROM l WHERE j > 0 GROUP BY ALL) GROUP BY k)
+SELECT k::INT AS fold, round(loss, 4) AS mse FROM c JOIN l USING (k, a) WHERE j = 0"""
+
+
+@query("m10_stratified_cv", _M10.replace("ALPHAS", str(_M10_ALPHAS)))
+def _(spark, d):
+    """Three outer and four inner folds, stratified by status: the loss of each outer fold by the penalty that the inner ones choose."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.array((F.col("o_custkey") % 97).cast("double")).alias("x"), F.array((F.col("o_totalprice") / 1000).cast("double")).alias("y"))
+    found = linear.stratified_cv(o, "o_orderstatus", "o_orderkey", linear.Ridge(_M10_ALPHAS, scoring="mse"), 3, 4)
+    return spark.createDataFrame([(int(k), round(float(v[0]), 4)) for k, v in found.items()], "fold int, mse double")
+
+
 _M8 = (("least-squares", 1), ("pcreg", 1), ("ridge", 1e5), ("pls", 1), ("lasso", 500.0))
 
 
@@ -675,11 +766,27 @@ def _(spark, d):
     return spark.createDataFrame([(round(float(m.coef[0, 0]), 4), round(float(m.intercept[0]) / 100, 4))], "slope double, intercept double")
 
 
-@query("m1_two_columns", "WITH m AS (SELECT avg(l_quantity) AS mx, stddev_pop(l_quantity) AS dx, avg(l_tax) AS my, stddev_pop(l_tax) AS dy, corr(l_quantity, l_tax) AS r FROM lineitem), z AS (SELECT l_orderkey, l_partkey, l_linenumber, (l_quantity - mx) / dx AS x, (l_tax - my) / dy AS y, r FROM lineitem, m) SELECT l_orderkey, l_partkey, l_linenumber, round(CASE WHEN r > 0 THEN x + y ELSE x - y END / sqrt(2), 5) AS first, round(CASE WHEN r > 0 THEN x - y ELSE x + y END / sqrt(2), 5) AS second FROM z")
+_TWO_SQL = "WITH m AS (SELECT avg(l_quantity) AS mx, stddev_pop(l_quantity) AS dx, avg(l_tax) AS my, stddev_pop(l_tax) AS dy, corr(l_quantity, l_tax) AS r FROM lineitem), z AS (SELECT l_orderkey, l_partkey, l_linenumber, (l_quantity - mx) / dx AS x, (l_tax - my) / dy AS y, r FROM lineitem, m) SELECT l_orderkey, l_partkey, l_linenumber, round(CASE WHEN r > 0 THEN x + y ELSE x - y END / sqrt(2), 5) AS first, round(CASE WHEN r > 0 THEN x - y ELSE x + y END / sqrt(2), 5) AS second FROM z"
+
+
+def _two_columns(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.array(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double")).alias("x"))
+
+
+def _two_scores(rows: DataFrame) -> DataFrame:
+    return rows.select("l_orderkey", "l_partkey", "l_linenumber", F.round(F.get("scores", F.lit(0)), 5).alias("first"), F.round(F.get("scores", F.lit(1)), 5).alias("second"))
+
+
+@query("m1_two_columns", _TWO_SQL)
 def _(spark, d):
     """Two standardised columns: the components are their sum and difference."""
-    x = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.array(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double")).alias("x"))
-    return linear.pca(x)[0].select("l_orderkey", "l_partkey", "l_linenumber", F.round(F.get("scores", F.lit(0)), 5).alias("first"), F.round(F.get("scores", F.lit(1)), 5).alias("second"))
+    return _two_scores(linear.pca(_two_columns(spark, d))[0])
+
+
+@query("m1_wide_pca", _TWO_SQL)
+def _(spark, d):
+    """The same by the range finder for many features."""
+    return _two_scores(linear.wide_pca(_two_columns(spark, d), 2)[0])
 
 
 @query("a13_zscore", "WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1)::INT - 1 AS p, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, p, round((x - (SELECT avg(x) FROM x)) / (SELECT stddev_samp(x) FROM x), 5) AS z FROM x")

@@ -355,7 +355,7 @@ def test_sound_shapes(spark):
     assert len(signal.cochleagram(sound[:960], 16000, 100, 6)) == 6 and len(signal.cochleagram(np.tile(sound, 2)[:2500], 16000, 100, 6)) == 16
     bank, cut, _ = signal.erb_filters(4000, 16000, 10, 50, 7000, "ferret")
     assert np.allclose((bank**2).sum(1)[(np.linspace(0, 8000, 2001) > cut[1]) & (np.linspace(0, 8000, 2001) < cut[-2])], 1, atol=0.05)
-    assert np.allclose(signal.erb2freq_ferret(signal.freq2erb_ferret([50, 800, 7000])), [50, 800, 7000])
+    assert np.allclose(signal.erb_to_hz_ferret(signal.hz_to_erb_ferret([50, 800, 7000])), [50, 800, 7000])
     f = np.array([100.0, 200, 400, 800])
     same = signal.resample_time_and_freq(low[:, :4], 100, 100, f, f)
     assert np.allclose(same, low[:, :4])
