@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
-from .bpe import Codec, text_runs
-from .common import cut
+from .byte_words import ByteEncoder
+from .common import cut, slices, text_buffers
 
 END = 2
 ROOM = 1024
@@ -122,11 +122,12 @@ def encode_pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec, part, seen = Codec(tokenizer), TaskContext.get().partitionId(), Counter()
+        encode, part, seen = ByteEncoder(tokenizer), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for i, j, texts in text_runs(batch, 1):
+            data, at = text_buffers(batch.column(1))
+            for i, j in slices(at, 1 << 20):
                 rows = []
-                for doc, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), codec.run(texts), strict=True):
+                for doc, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.run(data, at, i, j), strict=True):
                     raw = memoryview(np.append(ids, end_id).astype("<u4").tobytes())
                     n = len(raw) // 4
                     cuts = [0, *range((n - 1) % room + 1, n + 1, room)]
