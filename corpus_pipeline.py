@@ -10,7 +10,7 @@ from lattix.llm.decontaminate import find_leaks
 from lattix.llm.jaccard_join import jaccard_components
 from lattix.llm.queries import tokenizer_path
 from lattix.llm.suffix_dedup import dedup_substrings
-from lattix.llm.toxicity import score_texts, train, training_rows
+from lattix.llm.toxicity import score_texts, train_on
 
 #: A trained classifier and suffix arrays cannot be put in SQL.
 ORACLE_SQL = None
@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for toxic go. Null and empty texts get the score of a text without n-grams, so they go only where most texts are toxic. Repeated rows are scored alike; rows with a null id are scored, but not learnt from."""
-    model = train(training_rows(docs, table(spark, sf_dir, "labels")))
+    model = train_on(docs, table(spark, sf_dir, "labels"))
     return score_texts(docs, model, out_col="_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
 
 

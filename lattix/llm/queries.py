@@ -15,7 +15,7 @@ from .prefix_trie import graft, prefix_trie, turns_of
 from .resampling import resample
 from .suffix_dedup import dedup_substrings
 from .token_files import token_files_round_trip
-from .toxicity import score_texts, train, training_rows
+from .toxicity import score_texts, train_on
 from .url_filter import BLOCKED_GLOBS, BLOCKED_WORDS, judge_urls
 from .warc import archive, audit, build_tree
 
@@ -37,7 +37,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(training_rows(docs, table(spark, sf_dir, "labels")))
+    model = train_on(docs, table(spark, sf_dir, "labels"))
     scored = score_texts(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
 

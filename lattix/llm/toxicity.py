@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Training reads at most ``max_rows`` labelled rows (a documented bound; the rows with the smallest crc32 of a salted id). In a first
-pass Spark counts, per class, the documents that hold each hashed n-gram; the log-count ratios pick and scale ``features`` of them.
+Training reads at most ``max_rows`` labelled texts (a documented bound; those with the smallest crc32 of a salted id, then the smallest id
+and hash of the text). Their ids are chosen first, from ids and hashes, and sent to the tasks that
+read the texts, so that no text is shuffled but the chosen ones. In a first pass over these Spark counts, per class, the documents that hold each hashed n-gram; the log-count ratios pick and scale ``features`` of them.
 In a second pass each training document becomes its set of picked features, and the driver fits a logistic regression on that
 bounded matrix. Scoring is map-only over whole texts: no shuffle, so no source or copy group can pile up in a task.
 
@@ -21,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _LOWER, cut, slices, text_buffers
+from .common import _LOWER, cut, drop_written, slices, text_buffers
 
 BITS = 18
 WIDTHS = (3, 4, 5, 6)
 #: Bytes that are worked on at once.
 STRETCH = 1 << 17
+#: Texts that are learnt from, at most.
+MAX_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -81,13 +84,49 @@ def _long_features(text: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.n
     return np.zeros(len(found), np.int64), found
 
 
-def train(labelled: DataFrame, max_rows: int = 20_000, features: int = 2048, rounds: int = 300, penalty: float = 1e-3) -> Model:
+def _fit_order() -> list:
+    return [F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("/fit"))), F.col("doc_id"), F.col("_th")]
+
+
+def _with_text_hash(df: DataFrame) -> DataFrame:
+    return df.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def _first_texts(keys: DataFrame, texts: DataFrame, max_rows: int) -> DataFrame:
+    """The first ``max_rows`` rows of ``keys`` (doc_id, _th, label; repeated ones too) with the texts that ``texts`` (doc_id, text, _th) holds of them."""
+    one = keys.groupBy("doc_id", "_th", "label").agg(F.count("*").alias("n"))
+    chosen, left = [], max_rows
+    for r in one.orderBy(*_fit_order(), "label").limit(max_rows).collect():  # max_rows times four numbers
+        if left:
+            chosen.append((r["doc_id"], r["_th"], r["label"], min(left, r["n"])))
+            left -= chosen[-1][3]
+    few = F.broadcast(keys.sparkSession.createDataFrame(chosen, "doc_id long, _th long, label int, n int"))
+    found = texts.select("doc_id", "text", "_th").join(few, ["doc_id", "_th"]).groupBy("doc_id", "_th", "label").agg(F.first("text").alias("text"), F.first("n").alias("n"))
+    return found.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc_id", "text", "label")
+
+
+def train(labelled: DataFrame, max_rows: int = MAX_ROWS, features: int = 2048, rounds: int = 300, penalty: float = 1e-3) -> Model:
     """``labelled``: doc_id, text, label (0 or 1); the training fold only."""
-    labelled = labelled.where("label in (0, 1) and doc_id is not null")
-    picked = labelled.select("doc_id", "label", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("/fit"))).alias("_h"), F.struct("doc_id", "text").alias("_row"))
-    limit = picked.select("_h", "doc_id").orderBy("_h", "doc_id").limit(max_rows).agg(F.max("_h").alias("h")).first()["h"]
-    sample = labelled.where(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("/fit"))) <= F.lit(-1 if limit is None else limit)).select(F.col("label").cast("int").alias("label"), "text").repartition(8)
-    sample = cut(sample, "toxicity-sample")
+    rows = _with_text_hash(labelled.where("label in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label")))
+    return _train(_first_texts(rows.select("doc_id", "_th", "label"), rows, max_rows), features, rounds, penalty)
+
+
+def train_on(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MAX_ROWS, **rest) -> Model:
+    """``train`` on ``training_rows``, of which no more texts are read than are learnt from."""
+    texts = _with_text_hash(docs.select("doc_id", "text"))
+    keys = texts.select("doc_id", "_th").join(_training_labels(labels, folds), "doc_id")
+    return _train(_first_texts(keys.where("label in (0, 1)"), texts, max_rows), **rest)
+
+
+def _train(chosen: DataFrame, features: int = 2048, rounds: int = 300, penalty: float = 1e-3) -> Model:
+    sample = cut(chosen.select("label", "text").repartition(8), "toxicity-sample")
+    try:
+        return _train_on_sample(sample, features, rounds, penalty)
+    finally:
+        drop_written(sample.sparkSession, sample)
+
+
+def _train_on_sample(sample: DataFrame, features: int, rounds: int, penalty: float) -> Model:
     size = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +212,11 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", out_col:
     return docs.withColumn(out_col, score(F.col(text_col)))
 
 
+def _training_labels(labels: DataFrame, folds: int) -> DataFrame:
+    marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    return marks.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """Labelled documents outside the held-out fold, which is crc32(id as text) mod ``folds`` = 0."""
-    marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    kept = marks.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
-    return docs.select("doc_id", "text").join(kept, "doc_id")
+    return docs.select("doc_id", "text").join(_training_labels(labels, folds), "doc_id")
