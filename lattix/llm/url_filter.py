@@ -36,11 +36,11 @@ class Rule:
 
 
 def host_rule(action: str, rule: str) -> Rule:
-    """``host/path``: fits the host and its subdomains where the URL's path starts with the rule's path."""
+    """``host/path``: fits the host and its subdomains where the URL's path starts with the rule's path. Without a slash the host must end where the rule does."""
     host, slash, path = rule.partition("/")
     low = path.rpartition("/")[0].translate(_LOWER)  # a path's last segment may be a prefix of a longer token
     whole = [*_TOKEN.findall(host), *_TOKEN.findall(low)]
-    return Rule(rule, action, rf"(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + path)}", tuple(whole), True)
+    return Rule(rule, action, rf"(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + path) if slash else r'(?=/|\Z)'}", tuple(whole), True)
 
 
 def word_rule(action: str, token: str) -> Rule:
