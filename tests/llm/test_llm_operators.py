@@ -118,7 +118,7 @@ def test_pruning_asks_for_no_more_than_linked_sets_share():
                 assert met >= max(pruning_prefix(a, percent)[1], pruning_prefix(b, percent)[1]), (a, b, percent)
 
 
-@pytest.mark.parametrize("percent", [50, 95])
+@pytest.mark.parametrize("percent", [50, 85, 95])
 def test_jaccard_links_of_every_size(spark, percent):
     from lattix.llm.jaccard_join import jaccard_components
 
@@ -217,7 +217,7 @@ def brute_repeats(texts: list[bytes], window: int):
     return out
 
 
-@pytest.mark.parametrize(("piece", "shard_bytes"), [(8192, 3 << 18), (8192, 400), (2, 400)])
+@pytest.mark.parametrize(("piece", "shard_bytes"), [(8192, 3 << 18), (8192, 400), (2, 3 << 19), (2, 400)])
 def test_suffix_dedup_equals_brute_force(docs, empty, piece, shard_bytes):
     from lattix.llm.suffix_dedup import dedup_substrings
 
@@ -580,6 +580,30 @@ def test_url_filter(spark):
         judge_urls(df.withColumnRenamed("rule", "_url"))
 
 
+def test_a_host_rule_without_a_slash_ends_with_the_host(spark):
+    from lattix.llm.url_filter import host_rule, judge_urls
+
+    urls = ["http://example.com/x", "http://a.example.com", "http://example.com?q", "http://example.com.evil.org/x", "http://example.community/", "http://notexample.com/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = [r._url.verdict for r in judge_urls(df, rules=[host_rule("block", "example.com")]).collect()]
+    assert got == ["block"] * 3 + ["allow"] * 3
+
+
+def test_training_takes_no_more_texts_than_asked_for(spark, monkeypatch):
+    from lattix.llm import toxicity
+
+    rows = [(7, f"text number {k}", k % 2) for k in range(50)] + [(8, "the same", 1)] * 40 + [(k, f"other {k}", k % 2) for k in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    kept = []
+    monkeypatch.setattr(toxicity, "_train_on_sample", lambda sample, *_: kept.append(sorted((r.text, r.label) for r in sample.collect())))
+    labels = spark.createDataFrame([(7, 1), (8, 1), *((k, k % 2) for k in range(100, 130))], "doc_id long, toxic int")
+    for most in (10, 1000):
+        toxicity.train(df, max_rows=most)
+        toxicity.train_on(df.drop("label"), labels, max_rows=most)
+    assert [len(x) for x in kept[:2]] == [10, 10] and kept[2] == sorted((t, x) for _, t, x in rows)
+    assert [x for x, _ in kept[3]] == sorted(t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5)
+
+
 def test_url_rules_are_found_by_their_tokens(spark):
     """Every rule of a large set, in any case of letters, against all URLs without an index."""
     from lattix.llm.url_filter import glob_rule, host_rule, judge_urls, split_url
