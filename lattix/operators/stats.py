@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -103,18 +105,25 @@ def char_error_rate(df: DataFrame, truth: str, heard: str, keys: Sequence[str] =
     return df.groupBy(*keys).agg(F.sum(F.levenshtein(heard, truth)).alias("edits"), F.sum(F.char_length(truth)).alias("chars")).withColumn("cer", F.try_divide("edits", "chars"))
 
 
+def word_distance(truth: str, heard: str) -> int:
+    """Edit distance of two word sequences. A row of the distance table follows from the one before in whole: an insertion is a running minimum once each cell's place is taken off."""
+    a, b = ([w for w in x.split(" ") if w] for x in (truth, heard))
+    known = {w: k for k, w in enumerate({*a, *b})}
+    codes, places = np.array([known[w] for w in b], np.int64), np.arange(len(b) + 1)
+    row = places.copy()
+    for i, w in enumerate(a):
+        made = np.minimum(row[1:] + 1, row[:-1] + (codes != known[w]))
+        row = np.minimum.accumulate(np.concatenate([[i + 1], made]) - places) + places
+    return int(row[-1])
+
+
 def word_errors(truth: Column, heard: Column) -> Column:
-    """Edit distance of two word sequences, as a fold over one row of the distance table."""
-    a, b = F.split(F.trim(truth), " +"), F.split(F.trim(heard), " +")
-    a, b = F.filter(a, lambda w: w != ""), F.filter(b, lambda w: w != "")
-    start = F.transform(F.concat(F.array(F.lit("")), b), lambda _, i: i)
+    """``word_distance`` of two columns of words between blanks; null where either is null."""
 
-    def next_row(row: Column, word: Column) -> Column:
-        first = F.array(F.get(row, F.lit(0)) + 1)
-        cost = F.transform(b, lambda w, j: F.least(F.get(row, j + 1) + 1, F.get(row, j) + F.when(w == word, 0).otherwise(1)))
-        return F.aggregate(cost, first, lambda done, c: F.concat(done, F.array(F.least(c, F.element_at(done, -1) + 1))))
+    def work(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else word_distance(a, b) for a, b in zip(x, y, strict=True)], dtype="Int64")
 
-    return F.element_at(F.aggregate(a, start, next_row), -1)
+    return F.pandas_udf(work, "long")(truth, heard)
 
 
 def word_error_rate(df: DataFrame, truth: str, heard: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -642,6 +642,50 @@ def _(spark, d):
     return spark.read.option("header", True).schema(rows.schema).csv(f"{home}/phones")
 
 
+_SUMS = "s AS (SELECT l_linenumber AS g, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM (SELECT l_linenumber, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem) GROUP BY 1), t AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy FROM s)"
+
+
+@query("io9_wav", "SELECT 'v' || vec_id AS path, 8000 + vec_id::INT % 3 AS sr, 1 AS channels, generate_subscripts(embedding, 1)::INT - 1 AS i, greatest(-32768, least(32767, round(unnest(embedding)::DOUBLE * 32768))) / 32768 AS x FROM embeddings")
+def _(spark, d):
+    """Embeddings as WAV files of their own rates, read back."""
+    e = read(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("path"), F.col("embedding").cast("array<double>").alias("samples"), (F.col("vec_id") % 3 + 8000).cast("int").alias("sr"))
+    wavs = files.parse_wavs(files.wav_contents(e))
+    return wavs.select("path", "sr", "channels", F.posexplode("samples").alias("i", "x")).withColumn("x", F.get("x", F.lit(0)))
+
+
+@query("s4_format_wav", "WITH x AS (SELECT vec_id, list_transform(embedding[1:48], lambda v: v::DOUBLE) AS x FROM embeddings), p AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)) AS p FROM x) SELECT vec_id, generate_subscripts(x, 1)::INT - 1 AS i, round(unnest(x) * 0.01 / p, 8) AS x FROM p")
+def _(spark, d):
+    """Waveforms of 16000 Hz cut to 3 ms, at a root mean square of 0.01."""
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"), F.lit(16000).alias("sr"))
+    out = signal.map_waveforms(e, lambda x, r: signal.format_wav(x, r, 0.003, 16000), "out", "array<double>")
+    return out.select("vec_id", F.posexplode("out").alias("i", "x")).withColumn("x", F.round("x", 8))
+
+
+@query("s7_layer_means", "WITH u AS (SELECT vec_id, unnest([0, 1]) AS layer, unnest([8, 16]) AS n, embedding FROM embeddings), f AS (SELECT vec_id, layer, n, unnest(range(n)) AS frame, embedding FROM u), m AS (SELECT vec_id, layer, frame, list_avg(list_transform(range(64 // n), lambda j: embedding[frame * (64 // n) + j + 1]::FLOAT)) AS mean FROM f) SELECT vec_id, layer::INT AS layer, frame::INT AS frame, frame * 320.0::DOUBLE - 0.5 AS t, round(CASE WHEN max(mean) OVER w > 0 THEN mean / max(mean) OVER w ELSE mean END, 4) AS mean FROM m WINDOW w AS (PARTITION BY vec_id, layer)")
+def _(spark, d):
+    """Two layers of a network that only folds its waveform: eight frames of eight units, and sixteen of four."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.col("embedding").cast("array<double>").alias("samples"), F.lit(16000).alias("sr"))
+    layers = signal.layer_means(signal.layer_activations(e, lambda: lambda x, sr: [x.reshape(8, 8), x.reshape(16, 4)]))
+    return layers.select(F.col("path").cast("long").alias("vec_id"), "layer", F.posexplode(F.arrays_zip("time_stamp", "mean")).alias("frame", "z")).select("vec_id", "layer", "frame", F.col("z.time_stamp").alias("t"), F.round("z.mean", 4).alias("mean"))
+
+
+@query("w10_align_linear", "WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), g AS (SELECT round(k / 75.0::DOUBLE, 8) AS t, floor(k * 50 / 75)::BIGINT AS i FROM range(94) r(k)) SELECT a.vec_id, t, round(a.x + (t - g.i / 50.0::DOUBLE) / ((g.i + 1) / 50.0::DOUBLE - g.i / 50.0::DOUBLE) * (b.x - a.x), 6) AS x FROM g JOIN x a USING (i) JOIN x b ON b.vec_id = a.vec_id AND b.i = g.i + 1")
+def _(spark, d):
+    """Series of 50 Hz at the times of 75 Hz, interpolated between their own samples, in blocks of 16."""
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
+    e = e.select("vec_id", (F.col("i") / 50.0).alias("t"), F.array("v").alias("features"))
+    out = timeseries.align_time(e, ["vec_id"], timeseries.regular_times(75, 0, 1.24), resample_first=False, block=16)
+    return out.select("vec_id", "t", F.round(F.get("features", F.lit(0)), 6).alias("x"))
+
+
+@query("m11_one_feature", f"WITH {_SUMS}, r AS (SELECT g, t.n - s.n AS n, t.sx - s.sx AS sx, t.sy - s.sy AS sy, t.sxx - s.sxx AS sxx, t.sxy - s.sxy AS sxy FROM s, t), w AS (SELECT g, (sxy - sx * sy / n) / (sxx - sx * sx / n) AS w, sx / n AS mx, sy / n AS my FROM r) SELECT l_orderkey, l_partkey, l_linenumber, round(my + w * (l_quantity - mx), 3) AS y_hat FROM lineitem JOIN w ON g = l_linenumber")
+def _(spark, d):
+    """Predictions of each group by the least squares of the others."""
+    x = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.array(F.col("l_quantity").cast("double")).alias("x"), F.array(F.col("l_extendedprice").cast("double")).alias("y"))
+    out = linear.fold_predictions(x, linear.group_factors(x, "l_linenumber"), "l_linenumber", "least-squares")
+    return out.select("l_orderkey", "l_partkey", "l_linenumber", F.round(F.get("y_hat", F.lit(0)), 3).alias("y_hat"))
+
+
 @query("a9_sorted_labels", "SELECT row_number() OVER (ORDER BY label) - 1 AS place, label FROM (SELECT DISTINCT event_type AS label FROM events)")
 def _(spark, d):
     labels = intervals.sorted_labels(read(spark, d, "events").select(F.col("event_type").alias("label")))
@@ -692,7 +736,6 @@ def _one(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select("l_linenumber", F.array("l_quantity").cast("array<double>").alias("x"), F.array("l_extendedprice").cast("array<double>").alias("y"))
 
 
-_SUMS = "s AS (SELECT l_linenumber AS g, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM (SELECT l_linenumber, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem) GROUP BY 1), t AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy FROM s)"
 _TRIED = [64.0, 1e6, 1e7, 1e9]
 
 

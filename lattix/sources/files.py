@@ -8,7 +8,7 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -142,15 +142,33 @@ def decode_wav(content: bytes) -> tuple[int, list]:
     return rate, x.reshape(-1, channels)
 
 
-def read_wavs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sr, channels, samples array<array<double>>, sample by channel)."""
+def parse_wavs(files: DataFrame) -> DataFrame:
+    """(path, sr, channels, samples array<array<double>>, sample by channel) from (path, content) of WAV files."""
 
     def work(batches):
         for pdf in batches:
             rows = [(p, r, x.shape[1], x.tolist()) for p, (r, x) in ((p, decode_wav(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True))]
             yield pd.DataFrame(rows, columns=["path", "sr", "channels", "samples"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "path string, sr int, channels int, samples array<array<double>>")
+    return files.select("path", "content").mapInPandas(work, "path string, sr int, channels int, samples array<array<double>>")
+
+
+def read_wavs(spark: SparkSession, path: str) -> DataFrame:
+    return parse_wavs(spark.read.format("binaryFile").load(path))
+
+
+def _little(number: Column, digits: int) -> Column:
+    """A whole number as little-endian hex of so many digits; negative ones as their two's complement."""
+    text = F.lpad(F.hex(F.pmod(number.cast("long"), F.lit(1 << 4 * digits))), digits, "0")
+    return F.concat(*(F.substring(text, k + 1, 2) for k in range(digits - 2, -1, -2)))
+
+
+def wav_contents(df: DataFrame, samples: str = "samples", sr: str = "sr", out: str = "content") -> DataFrame:
+    """``df`` with the bytes of a WAV file of 16-bit samples of one channel, from an array of numbers within -1 to 1 (others are cut off). Expressions only."""
+    rounded = F.transform(samples, lambda v: F.greatest(F.least(F.round(v * 32768), F.lit(32767.0)), F.lit(-32768.0)).cast("long"))
+    size, rate = F.size(samples) * 2, F.col(sr)
+    head = F.concat(F.lit("52494646"), _little(size + 36, 8), F.lit("57415645666D74201000000001000100"), _little(rate, 8), _little(rate * 2, 8), F.lit("0200100064617461"), _little(size, 8))
+    return df.withColumn(out, F.unhex(F.concat(head, F.array_join(F.transform(rounded, lambda v: _little(v, 4)), ""))))
 
 
 def write_rows(df: DataFrame, path: str) -> None:
