@@ -307,13 +307,13 @@ def align_time(df: DataFrame, keys: Sequence[str], t_new: Sequence[float], t: st
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         """The blocks from _b0 to _b1 that a sample at _at reaches."""
-        lows, highs = [], []
-        for at, n, start, end in zip(pdf["_at"], *(pdf[c] for c in own), strict=True):
+        out = pd.DataFrame({"_b0": 0, "_b1": 0}, index=pdf.index)
+        for (n, start, end), part in pdf.groupby(own, sort=False):
             _, up, down, made = plan(n, start, end)
-            half = 10 * max(up, down) if up != down else 0
-            lows.append(max(0, ((at * up - half) // down - 1) // block))
-            highs.append(min(made - 1, (at * up + half) // down) // block)
-        return pd.DataFrame({"_b0": lows, "_b1": highs})
+            half, at = 10 * max(up, down) if up != down else 0, part["_at"].to_numpy() * up
+            out.loc[part.index, "_b0"] = np.maximum(0, ((at - half) // down - 1) // block)
+            out.loc[part.index, "_b1"] = np.minimum(made - 1, (at + half) // down) // block
+        return out
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")

@@ -671,10 +671,10 @@ def _(spark, d):
 
 @query("w10_align_linear", "WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), g AS (SELECT round(k / 75.0::DOUBLE, 8) AS t, floor(k * 50 / 75)::BIGINT AS i FROM range(94) r(k)) SELECT a.vec_id, t, round(a.x + (t - g.i / 50.0::DOUBLE) / ((g.i + 1) / 50.0::DOUBLE - g.i / 50.0::DOUBLE) * (b.x - a.x), 6) AS x FROM g JOIN x a USING (i) JOIN x b ON b.vec_id = a.vec_id AND b.i = g.i + 1")
 def _(spark, d):
-    """Series of 50 Hz at the times of 75 Hz, interpolated between their own samples, in blocks of 16."""
+    """Series of 50 Hz at the times of 75 Hz, interpolated between their own samples, in blocks of 32."""
     e = read(spark, d, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
     e = e.select("vec_id", (F.col("i") / 50.0).alias("t"), F.array("v").alias("features"))
-    out = timeseries.align_time(e, ["vec_id"], timeseries.regular_times(75, 0, 1.24), resample_first=False, block=16)
+    out = timeseries.align_time(e, ["vec_id"], timeseries.regular_times(75, 0, 1.24), resample_first=False, block=32)
     return out.select("vec_id", "t", F.round(F.get("features", F.lit(0)), 6).alias("x"))
 
 
