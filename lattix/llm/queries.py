@@ -9,7 +9,7 @@ from .common import table
 from .decontaminate import find_leaks
 from .fingerprints import fingerprint_edits
 from .jaccard_join import jaccard_components
-from .licenses import BASE_PHRASES, NOTICES, scan_licenses
+from .licenses import ACCEPTED, ACCEPTED_NOTICES, BASE_PHRASES, FILLING, NOTICES, scan_licenses
 from .packing import pack_documents
 from .prefix_trie import graft, prefix_trie, turns_of
 from .resampling import resample
@@ -47,7 +47,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("permitted")
+    return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,19 +120,24 @@ def _phrase_at(words: list[str]) -> str:
 
 
 def _op5_sql() -> str:
-    """Base phrases, notices and scores. Identifier tags need the expression parser; the tables hold none, so a score of 1.0 never shows."""
-    places = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS pos, '{label}' AS label, {base} AS is_base FROM spots WHERE {_phrase_at(p.split())}" for phrases, base in ((BASE_PHRASES, "true"), (NOTICES, "false")) for p, label in phrases.items())
+    """Base phrases, notices, scores, and what notices permit. Identifier tags need the expression parser; the tables hold none, so a score of 1.0 never shows."""
+    places = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS pos, '{label}' AS label, {base} AS is_base, i + {len(p.split())} AS next FROM spots WHERE {_phrase_at(p.split())}" for phrases, base in ((BASE_PHRASES, "true"), (NOTICES, "false")) for p, label in phrases.items())
+    accepted, filling = (", ".join(f"'{x}'" for x in sorted(some)) for some in (ACCEPTED | ACCEPTED_NOTICES, FILLING))
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
 spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 places AS ({places}),
 found AS (SELECT doc_id, count(*) FILTER (WHERE is_base) AS n_base, min(pos) FILTER (WHERE is_base) AS first_word, max(pos) FILTER (WHERE is_base) AS last_word,
                  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
-          FROM places GROUP BY doc_id)
+          FROM places GROUP BY doc_id),
+k AS (SELECT doc_id, pos, label, list_filter(w[lag(next) OVER o : pos], lambda x: x NOT IN ({filling}) AND NOT regexp_full_match(x, '[0-9]+')) AS between FROM places JOIN d USING (doc_id) WINDOW o AS (PARTITION BY doc_id ORDER BY pos, next DESC)),
+terms AS (SELECT doc_id, label IN ({accepted}) AS ok, count(*) FILTER (WHERE between IS NULL OR between <> ['and'] AND between <> ['or']) OVER o AS bracket, count(*) FILTER (WHERE between IS NULL OR between <> ['and']) OVER o AS term FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+brackets AS (SELECT doc_id, bool_or(ok) AS ok FROM (SELECT doc_id, bracket, bool_and(ok) AS ok FROM terms GROUP BY doc_id, bracket, term) GROUP BY doc_id, bracket),
+p AS (SELECT doc_id, bool_and(ok) AS permitted FROM brackets GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-       CASE WHEN n_base > 0 THEN 0.9 WHEN labels IS NOT NULL THEN 0.6 ELSE 0.0 END::DOUBLE AS score
-FROM d LEFT JOIN found USING (doc_id)
+       CASE WHEN n_base > 0 THEN 0.9 WHEN labels IS NOT NULL THEN 0.6 ELSE 0.0 END::DOUBLE AS score, permitted
+FROM d LEFT JOIN found USING (doc_id) LEFT JOIN p USING (doc_id)
 """
 
 

@@ -356,6 +356,33 @@ def test_leaks_against_every_alignment(spark):
     assert got <= want and len(want) > 40 and len(got) >= 0.9 * len(want)
 
 
+def test_copies_leak_as_their_class_does(spark):
+    """Whole copies, copies of a passage after texts of other lengths, and a template that many items share, against each text judged once."""
+    from pathlib import Path
+
+    from lattix.llm.decontaminate import find_leaks
+
+    template = words(13, 700)
+    items = [(k, " ".join([*template, *words(6, 710 + k)])) for k in range(12)] + [(k, " ".join(words(30, 730 + k))) for k in (12, 13, 13)]
+    kinds = [" ".join([*words(k % 3 * 40, 750 + k), *template, *words(30, 760 + k)]) for k in range(4)] + [" ".join(words(50, 770)) + " " + items[12][1] + " " + items[0][1], " ".join(words(80, 780))]
+    rows = [(k if k % 5 else None, kinds[k % 6]) for k in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    alone = {t: [] for t in kinds}
+    for r in find_leaks(spark.createDataFrame(list(enumerate(kinds)), "doc_id long, text string"), bench).collect():
+        alone[kinds[r.doc_id]].append(tuple(r)[1:])
+    best = {}
+    for i, t in rows:
+        for item, *run in alone[t]:
+            rank = (run[0], -run[2], -run[3])
+            if rank > best.get((i, item), ((), None))[0]:
+                best[i, item] = rank, tuple(run)
+    found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), bench)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(((i, item, *run) for (i, item), (_, run) in best.items()), key=str)
+    assert len({x for i, x in best if i is None}) == 13
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    assert {p.name.rsplit("-", 1)[0] for p in shared.iterdir() if "decontamination" in p.name or "benchmark" in p.name} <= {"decontamination-leaks"}
+
+
 def test_frequent_keys_join_as_any_other(spark):
     from lattix.llm.common import salted_join, spread_join
 
@@ -549,6 +576,35 @@ def test_licenses(docs, empty, spark):
     assert (rows[2].labels, rows[2].score, rows[2].permitted) == ("", 0.0, None)
 
 
+def test_notices_are_expressions(spark):
+    from lattix.llm.licenses import scan_licenses
+
+    cases = [
+        ("MIT License", True),
+        ("GNU General Public License", False),
+        ("under the GNU General Public License, Version 2, or at your option the MIT License", True),
+        ("the GNU General Public License and the MIT License", False),
+        ("MIT license. Some words, or others, then the GNU General Public License", False),
+        ("MIT License or GNU General Public License and Apache License", True),
+        ("GNU General Public License or Mozilla Public License", False),
+        ("Released into the public domain or the Mozilla Public License", True),
+        ("MIT License; BSD License", True),
+        ("MIT License. SPDX-License-Identifier: GPL-2.0-only", False),
+        ("or and with", None),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert [r.permitted for r in scan_licenses(df).orderBy("doc_id").collect()] == [x for _, x in cases]
+    import duckdb
+    from lattix.llm.queries import _op5_sql
+
+    con = duckdb.connect()
+    plain = [(k, t) for k, (t, _) in enumerate(cases) if "SPDX" not in t]
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", plain)
+    got = dict(con.execute(f"SELECT doc_id, permitted FROM ({_op5_sql()})").fetchall())
+    assert got == {k: cases[k][1] for k, _ in plain}
+
+
 def test_url_filter(spark):
     from lattix.llm.url_filter import judge_urls
 
