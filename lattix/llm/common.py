@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -32,10 +33,26 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """The paths of the tables that cut() writes within the block."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.pop()
+
+
 def cut(df: DataFrame, purpose: str) -> DataFrame:
     """Cut the lineage with a written table in the shared folder, which outlives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
+    for paths in _OPEN:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,12 +82,16 @@ def salted_join(rows: DataFrame, keys: DataFrame, key: str, by: str) -> DataFram
 
 def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that cut() wrote and nothing reads any more."""
+    drop_folders(spark, {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()})
+
+
+def drop_folders(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete folders, those that are gone already too."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for df in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

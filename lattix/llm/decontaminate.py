@@ -3,18 +3,21 @@
 Words are lower-cased runs of letters and digits. Fixed masks hash a window of words but ignore some of its positions, so a
 substituted word leaves other windows whole. All windows of the test items are hashed into seeds; a bit filter of bounded size (two
 probes) tells each training window apart in the task that reads the text, and only windows that pass travel: per text one row for
-each stretch around its hits, with the stretch's words. Hits join seeds on the hash; each (stretch, item, diagonal) is then verified
-word by word: the best run, where a match counts 1 and a substitution -2, must hold ``share`` of the item's words or ``enough`` words.
+each stretch around its hits, with the stretch's words. Stretches of equal words and hits, told by a 128-bit digest, are one class:
+copies of a text are looked up and verified once. Hits join seeds on the hash; each (class, item, diagonal) is then verified word by
+word: the best run, where a match counts 1 and a substitution -2, must hold ``share`` of the item's words or ``enough`` words. The best
+diagonal of each (class, item) is joined to the class's texts.
 
 Items with fewer than ``least`` words are too short to tell and never leak. Null and empty texts hold no windows. Rows that share an
 id, null included, leak together: one row for each (id, item), with the best run of any of them. Of equal runs the shorter, then the
 first, is told. Very long texts are hashed whole, and of them only stretches around hits travel. An empty benchmark or corpus gives no
-rows. Only the id and text columns are read, so that other columns may have any name. Frequent seeds and items are dealt over many
-tasks (``salted_join``).
+rows. Only the id and text columns are read, so that other columns may have any name. Frequent seeds, items, classes, and stretches of
+many items are dealt over many tasks (``salted_join``). The result is a written table; all others are deleted when it stands.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NOT_ALNUM, cut, is_word, mix, salted_join, slices, text_buffers, words
+from .common import NOT_ALNUM, cut, drop_written, is_word, mix, salted_join, slices, text_buffers, words
 
 #: 1 is read, 0 ignored.
 MASKS = ("11011011", "1110010111", "10111001101")
@@ -105,7 +108,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, made = shared.value, TaskContext.get().partitionId() << 33
-        kinds = pa.schema([("stretch", pa.int64()), ("doc_id", pa.int64()), ("from_word", pa.int64()), ("words", pa.binary()), ("hits", pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int32())])))])
+        kinds = pa.schema([("stretch", pa.int64()), ("k", pa.binary()), ("doc_id", pa.int64()), ("from_word", pa.int64()), ("words", pa.binary()), ("hits", pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int32())])))])
         for batch in batches:
             data, at = text_buffers(batch.column(1))
             for i, j in slices(at):
@@ -130,32 +133,37 @@ def find_leaks(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS
                     k = int(row[a])
                     lo, hi = max(int(ends[k]), int(s[a]) - longest), min(int(ends[k + 1]), int(s[b - 1]) + longest + 64)
                     hits = [{"hash": x, "pos": y} for x, y in zip(h[a:b].view(np.int64).tolist(), (s[a:b] - lo).tolist(), strict=True)]
-                    out.append({"stretch": made, "doc_id": batch.column(0)[i + k].as_py(), "from_word": lo - int(ends[k]), "words": hashed[lo:hi].tobytes(), "hits": hits})
+                    kind = hashlib.blake2b(hashed[lo:hi].tobytes(), digest_size=16)
+                    kind.update((s[a:b] - lo).tobytes() + h[a:b].tobytes())
+                    out.append({"stretch": made, "k": kind.digest(), "doc_id": batch.column(0)[i + k].as_py(), "from_word": lo - int(ends[k]), "words": hashed[lo:hi].tobytes(), "hits": hits})
                     made += 1
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    stretches = cut(rows.mapInArrow(work, "stretch long, doc_id long, from_word long, words binary, hits array<struct<hash: long, pos: int>>"), "decontamination-stretches")
-    hits = stretches.select("stretch", F.explode("hits").alias("h")).select("stretch", F.col("h.hash").alias("hash"), F.col("h.pos").alias("pos"))
-    diagonals = salted_join(hits, seeds, "hash", "stretch").groupBy("stretch", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("n_hits"))
+    stretches = cut(rows.mapInArrow(work, "stretch long, k binary, doc_id long, from_word long, words binary, hits array<struct<hash: long, pos: int>>"), "decontamination-stretches")
+    kinds = cut(stretches.groupBy("k").agg(F.min_by(F.struct("words", "hits"), "stretch").alias("one")).select("k", "one.*"), "decontamination-kinds")
+    hits = kinds.select("k", F.explode("hits").alias("h")).select("k", F.col("h.hash").alias("hash"), F.col("h.pos").alias("pos"))
+    diagonals = salted_join(hits, seeds, "hash", "k").groupBy("k", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("n_hits"))
     diagonals = cut(diagonals, "decontamination-diagonals")
-    pairs = salted_join(diagonals, table.select("item", "item_id", F.col("words").alias("item_words")), "item", "stretch")
-    pairs = pairs.join(stretches.select("stretch", "doc_id", "from_word", F.col("words").alias("doc_words")), "stretch")
+    pairs = salted_join(diagonals, table.select("item", "item_id", F.col("words").alias("item_words")), "item", "k")
+    pairs = salted_join(pairs, kinds.select("k", F.col("words").alias("doc_words")), "k", "item")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list[int]] = [[], [], [], []]
-            for shift, start, doc, item in zip(*(batch.column(c).to_pylist() for c in ("shift", "from_word", "doc_words", "item_words")), strict=True):
-                n, matched, length, first = best_run(np.frombuffer(doc, np.uint64), np.frombuffer(item, np.uint64), shift)
-                for c, v in zip(cols, (n, matched, length, start + first), strict=True):
+            for shift, doc, item in zip(*(batch.column(c).to_pylist() for c in ("shift", "doc_words", "item_words")), strict=True):
+                for c, v in zip(cols, best_run(np.frombuffer(doc, np.uint64), np.frombuffer(item, np.uint64), shift), strict=True):
                     c.append(v)
-            names = ["n_item_words", "n_matched", "n_run", "first_word"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stretch"), batch.column("item_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "stretch", "item_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("item_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["k", "item_id", "n_item_words", "n_matched", "n_run", "first_word"])
 
-    checked = pairs.select("doc_id", "stretch", "item_id", "shift", "from_word", "doc_words", "item_words").mapInArrow(verify, "doc_id long, stretch long, item_id long, n_item_words long, n_matched long, n_run long, first_word long")
+    checked = pairs.select("k", "item_id", "shift", "doc_words", "item_words").mapInArrow(verify, "k binary, item_id long, n_item_words long, n_matched long, n_run long, first_word long")
     leaks = checked.where((F.col("n_matched") >= least) & ((F.col("n_matched") >= enough) | (F.col("n_matched") >= share * F.col("n_item_words"))))
     best = F.max_by(F.struct("n_matched", "n_item_words", "n_run", "first_word"), F.struct("n_matched", -F.col("n_run"), -F.col("first_word"))).alias("b")
-    return leaks.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    classes = cut(leaks.groupBy("k", "item_id").agg(best).select("k", "item_id", "b.*"), "decontamination-classes")
+    found = salted_join(stretches.select("k", "stretch", "doc_id", "from_word"), classes, "k", "stretch").withColumn("first_word", F.col("from_word") + F.col("first_word"))
+    out = cut(found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*"), "decontamination-leaks")
+    drop_written(docs.sparkSession, table, stretches, kinds, diagonals, classes)
+    return out
 
 
 def best_run(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int]:
