@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattix.llm.bpe import bpe_round_trip
-from lattix.llm.common import cut, drop_written, table, with_row_hash
+from lattix.llm.common import cut, drop_folders, table, tables_written, with_row_hash
 from lattix.llm.decontaminate import find_leaks
 from lattix.llm.jaccard_join import jaccard_components
 from lattix.llm.queries import tokenizer_path
@@ -58,10 +58,13 @@ STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, written = table(spark, sf_dir, "documents"), None
+    """When a stage's table stands, the one before and all that the stage wrote on its way are deleted."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
-        if written is not None:
-            drop_written(spark, written)
-        written = docs
+        with tables_written() as inner:
+            made = stage(spark, docs, sf_dir)
+        with tables_written() as written:
+            docs = cut(made, name)
+        drop_folders(spark, [*inner, *before])
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -185,7 +186,10 @@ def test_run_is_its_stages_in_order(spark, docs, home):
     for r in left.collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         want.append((r.doc_id, len(ids), sha(",".join(map(str, ids)).encode()), sha(library.decode(ids, skip_special_tokens=False).encode())))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    there = set(shared.iterdir()) if shared.exists() else set()
     assert sorted((tuple(r) for r in pipeline.run(spark, home).collect()), key=str) == sorted(want, key=str)
+    assert [p.name.split("-")[0] for p in set(shared.iterdir()) - there] == ["decontaminate"]
 
 
 def test_empty_documents_go_through(spark, home, tmp_path):
