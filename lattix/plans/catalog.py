@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import lookups, scalar
 from ..operators import folds, intervals, linear, lookup, signal, stacking, stats, strf, tables, timeseries
-from ..sources import files
+from ..sources import files, formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -588,6 +588,29 @@ def _(spark, d):
     return files.read_vectors(spark, f"{home}/vectors.parquet").select("word", F.posexplode("vec").alias("p", "x"))
 
 
+@query("io5_textgrid_format", f"WITH {S} SELECT 'set/' || user_id AS file, event_type AS tier, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY t_idx) - 1)::INT AS idx, value AS xmin, value + 0.5 AS xmax, 'say \"' || event_type || '\"' AS text FROM s")
+def _(spark, d):
+    """A TextGrid file for each user, a tier for each kind of event, written and read by format name."""
+    from pyspark.sql import Window
+
+    home = scratch(spark, "io5")
+    label = F.concat(F.lit('say "'), F.col("event_type"), F.lit('"'))
+    rows = series(spark, d).select(F.concat(F.lit("set/"), F.col("user_id").cast("string")).alias("file"), F.col("event_type").alias("tier"), F.col("t_idx").alias("idx"), F.col("value").alias("onset"), (F.col("value") + 0.5).alias("offset"), label.alias("label"))
+    formats.save_textgrids(rows.withColumn("tier_no", F.dense_rank().over(Window.partitionBy("file").orderBy("tier")) - 1), home)
+    return spark.read.format("textgrid").load(home)
+
+
+@query("io9_wav_format", "SELECT 'v' || vec_id AS file, 8000 + vec_id::INT % 3 AS sr, 1 AS channels, generate_subscripts(embedding, 1) - 1 AS i, greatest(-32768, least(32767, round(unnest(embedding)::DOUBLE * 32768))) / 32768 AS x FROM embeddings")
+def _(spark, d):
+    """Embeddings as WAV files of their own rates, written and read by format name in blocks of ten frames."""
+    home = scratch(spark, "io9")
+    e = read(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("file"), F.col("embedding").cast("array<double>").alias("samples"), (F.col("vec_id") % 3 + 8000).cast("int").alias("sr"))
+    formats.save_wavs(e, home)
+    blocks = spark.read.format("wav").option("blockFrames", 10).load(home)
+    rows = blocks.select("file", "sr", "channels", "start", F.posexplode("samples").alias("k", "x"))
+    return rows.select("file", "sr", "channels", (F.col("start") + F.col("k")).alias("i"), F.get("x", F.lit(0)).alias("x"))
+
+
 _ERB = "9.265 * ln(1 + ({}) / (24.7 * 9.265))"
 
 

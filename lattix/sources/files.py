@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import wave
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,16 +44,22 @@ _INTERVAL = re.compile(rf"intervals \[\d+\]:?\s*xmin = (\S+)\s*xmax = (\S+)\s*te
 _NAME = re.compile(rf"name = {_QUOTED}")
 
 
+def textgrid_rows(value: str | None, tiers: set | None = None) -> Iterator[tuple]:
+    """(tier, idx, xmin, xmax, text) of a long TextGrid text; of ``tiers`` only, where they are given."""
+    for part in _TIER.split(value or "")[1:]:
+        found = _NAME.search(part)
+        tier = found[1].replace('""', '"') if found else None
+        if tiers is None or tier in tiers:
+            for k, (a, b, t) in enumerate(_INTERVAL.findall(part)):
+                yield tier, k, float(a), float(b), t.replace('""', '"')
+
+
 def parse_textgrids(files: DataFrame) -> DataFrame:
     """(file, tier, idx, xmin, xmax, text) from (file, value) of long TextGrid texts."""
 
     def work(batches):
         for pdf in batches:
-            rows = []
-            for name, value in zip(pdf["file"], pdf["value"], strict=True):
-                for part in _TIER.split(value or "")[1:]:
-                    tier = _NAME.search(part)
-                    rows += [(name, tier[1].replace('""', '"') if tier else None, k, float(a), float(b), t.replace('""', '"')) for k, (a, b, t) in enumerate(_INTERVAL.findall(part))]
+            rows = [(name, *row) for name, value in zip(pdf["file"], pdf["value"], strict=True) for row in textgrid_rows(value)]
             yield pd.DataFrame(rows, columns=["file", "tier", "idx", "xmin", "xmax", "text"])
 
     return files.select("file", "value").mapInPandas(work, "file string, tier string, idx int, xmin double, xmax double, text string")
@@ -132,6 +139,11 @@ def decode_wav(content: bytes) -> tuple[int, list]:
     with wave.open(io.BytesIO(content)) as w:
         width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
         raw = w.readframes(w.getnframes())
+    return rate, pcm_samples(raw, width, channels)
+
+
+def pcm_samples(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Samples from -1 to 1, sample by channel, of PCM of ``width`` bytes."""
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
     elif width == 3:
@@ -139,7 +151,7 @@ def decode_wav(content: bytes) -> tuple[int, list]:
         x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) - ((b[:, 2] >> 7) << 24)) / float(1 << 23)
     else:
         x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(float) / float(1 << (8 * width - 1))
-    return rate, x.reshape(-1, channels)
+    return x.reshape(-1, channels)
 
 
 def parse_wavs(files: DataFrame) -> DataFrame:
