@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import lookups, scalar
@@ -617,7 +618,10 @@ _ERB = "9.265 * ln(1 + ({}) / (24.7 * 9.265))"
 _DFT = "w AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS t FROM embeddings)"
 
 
-@query("s3_erb_filters", f"WITH f AS (SELECT i, i * 8000.0::DOUBLE / 32 AS f FROM range(33) r(i)), c AS (SELECT k, 24.7 * 9.265 * (exp(({_ERB.format(80)} + k * ({_ERB.format(6990)} - {_ERB.format(80)}) / 7) / 9.265) - 1) AS cut FROM range(8) r(k)), b AS (SELECT k, cut AS low, lead(cut, 2) OVER (ORDER BY k) AS high, lead(k, 2) OVER (ORDER BY k) AS there FROM c), e AS (SELECT k, low, high, {_ERB.format('low')} AS el, {_ERB.format('high')} AS eh, (SELECT count(*) FROM f WHERE f.f < high) AS stop FROM b WHERE there IS NOT NULL), bank AS (SELECT k + 1 AS filter, i, cos(({_ERB.format('f')} - (el + eh) / 2) / (eh - el) * pi()) AS gain FROM f, e WHERE f > low AND i < stop - 1), {_DFT}, s AS (SELECT vec_id, i, sum(x * cos(2 * pi() * i * t / 64)) AS re, sum(x * sin(2 * pi() * i * t / 64)) AS im FROM w, range(33) r(i) GROUP BY ALL) SELECT vec_id, filter::INT AS filter, round(sum(gain * gain * (re * re + im * im) * CASE WHEN i IN (0, 32) THEN 1 ELSE 2 END) / 64, 4) AS energy FROM bank JOIN s USING (i) GROUP BY ALL")
+_BANK = f"f AS (SELECT i, i * 8000.0::DOUBLE / 32 AS f FROM range(33) r(i)), c AS (SELECT k, 24.7 * 9.265 * (exp(({_ERB.format(80)} + k * ({_ERB.format(6990)} - {_ERB.format(80)}) / 7) / 9.265) - 1) AS cut FROM range(8) r(k)), b AS (SELECT k, cut AS low, lead(cut, 2) OVER (ORDER BY k) AS high, lead(k, 2) OVER (ORDER BY k) AS there FROM c), e AS (SELECT k, low, high, {_ERB.format('low')} AS el, {_ERB.format('high')} AS eh, (SELECT count(*) FROM f WHERE f.f < high) AS stop FROM b WHERE there IS NOT NULL), bank AS (SELECT k + 1 AS filter, i, cos(({_ERB.format('f')} - (el + eh) / 2) / (eh - el) * pi()) AS gain FROM f, e WHERE f > low AND i < stop - 1)"
+
+
+@query("s3_erb_filters", f"WITH {_BANK}, {_DFT}, s AS (SELECT vec_id, i, sum(x * cos(2 * pi() * i * t / 64)) AS re, sum(x * sin(2 * pi() * i * t / 64)) AS im FROM w, range(33) r(i) GROUP BY ALL) SELECT vec_id, filter::INT AS filter, round(sum(gain * gain * (re * re + im * im) * CASE WHEN i IN (0, 32) THEN 1 ELSE 2 END) / 64, 4) AS energy FROM bank JOIN s USING (i) GROUP BY ALL")
 def _(spark, d):
     """The energy of each embedding, taken for a waveform, in six ERB-spaced half-cosine bands."""
     e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"), F.lit(16000).alias("sr"))
@@ -640,6 +644,32 @@ def _(spark, d):
     return signal.spectrogram_rows(e, ["vec_id"], ["t"], "x", 1600).select("vec_id", "frame", F.posexplode("spectrum").alias("i", "x")).withColumn("x", F.round("x", 5))
 
 
+@query("s2_cochleagram_frames", f"WITH {_BANK}, {_DFT}, s AS (SELECT vec_id, i, sum(x * cos(2 * pi() * i * t / 64)) AS re, -sum(x * sin(2 * pi() * i * t / 64)) AS im FROM w, range(33) r(i) GROUP BY ALL), g AS (SELECT vec_id, filter, i, re, im, gain * CASE WHEN i IN (0, 32) THEN 1 ELSE 2 END / 64 AS g FROM bank JOIN s USING (i)), a AS (SELECT vec_id, filter, t, sum(g * (re * cos(2 * pi() * i * t / 64) - im * sin(2 * pi() * i * t / 64))) AS p, sum(g * (re * sin(2 * pi() * i * t / 64) + im * cos(2 * pi() * i * t / 64))) AS q FROM g, range(64) r(t) GROUP BY ALL), y AS (SELECT vec_id, filter, t, pow(p * p + q * q, 0.15) AS y FROM a), d AS (SELECT vec_id, filter, k, sum(y * cos(2 * pi() * k * t / 64)) AS re, -sum(y * sin(2 * pi() * k * t / 64)) AS im FROM y, range(9) r(k) GROUP BY ALL) SELECT vec_id, filter::INT AS filter, n::INT AS frame, round(sum(CASE WHEN k = 0 THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * n / 16) - im * sin(2 * pi() * k * n / 16))) / 64, 4) AS x FROM d, range(16) r(n) GROUP BY ALL")
+def _(spark, d):
+    """Each embedding, taken for a waveform of 16000 Hz, as 16 frames of the compressed envelopes of six bands; bands without a frequency of its spectrum are left out."""
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"), F.lit(16000).alias("sr"))
+    frames = signal.map_waveforms(e, lambda x, r: signal.cochleagram(x, r, output_sr=4000, n=6, low=80, high=6990), "c").select("vec_id", F.posexplode("c").alias("frame", "bands"))
+    rows = frames.select("vec_id", "frame", F.posexplode("bands").alias("k", "x")).where(F.col("x") != 0)
+    return rows.select("vec_id", (F.col("k") + 1).alias("filter"), "frame", F.round("x", 4).alias("x"))
+
+
+@query("s6_time_and_frequency", "WITH w AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings), d AS (SELECT vec_id, j % 4 AS f, k, sum(x * cos(2 * pi() * k * (j // 4) / 16)) AS re, -sum(x * sin(2 * pi() * k * (j // 4) / 16)) AS im FROM w, range(9) r(k) GROUP BY ALL), y AS (SELECT vec_id, n, f, sum(CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * n / 24) - im * sin(2 * pi() * k * n / 24))) / 16 AS y FROM d, range(24) r(n) GROUP BY ALL), p AS (SELECT vec_id, n, max(y) FILTER (f = 0) AS a, max(y) FILTER (f = 1) AS b, max(y) FILTER (f = 2) AS c, max(y) FILTER (f = 3) AS e FROM y GROUP BY ALL), m AS (SELECT *, CASE WHEN (b - a) * (c - b) <= 0 THEN 0 ELSE 2 * (b - a) * (c - b) / (c - a) END AS mb, CASE WHEN (c - b) * (e - c) <= 0 THEN 0 ELSE 2 * (c - b) * (e - c) / (e - b) END AS mc FROM p), u AS (SELECT k, log2((250 + 50 * k) / 200.0::DOUBLE) AS t FROM range(3) r(k)) SELECT vec_id, n::INT AS frame, (250 + 50 * k)::INT AS hz, round(b * (1 + 2 * t) * pow(1 - t, 2) + mb * t * pow(1 - t, 2) + c * t * t * (3 - 2 * t) + mc * t * t * (t - 1), 5) + 0.0 AS x FROM m, u")
+def _(spark, d):
+    """Embeddings as 16 frames of 100, 200, 400 and 800 Hz: 24 frames in the same time, at three frequencies between."""
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"), F.lit(8).alias("sr"))
+    old, new = np.array([100.0, 200.0, 400.0, 800.0]), np.array([250.0, 300.0, 350.0])
+    frames = signal.map_waveforms(e, lambda x, r: signal.resample_time_and_freq(x.reshape(16, 4), r, 12, old, new), "c").select("vec_id", F.posexplode("c").alias("frame", "x"))
+    return frames.select("vec_id", "frame", F.posexplode("x").alias("k", "x")).select("vec_id", "frame", (F.col("k") * 50 + 250).alias("hz"), F.round("x", 5).alias("x"))
+
+
+@query("m14_two_features", "WITH m AS (SELECT vec_id, l, embedding[l + 1]::DOUBLE AS a, embedding[l + 33]::DOUBLE AS b FROM embeddings, range(32) r(l)), g AS (SELECT vec_id, 0.5 * atan2(2 * sum(a * b), sum(a * a) - sum(b * b)) AS h FROM m GROUP BY 1), v AS (SELECT vec_id, l, a * cos(h) + b * sin(h) AS v FROM m JOIN g USING (vec_id)) SELECT vec_id, l::INT AS l, round(v * CASE WHEN sum(v) OVER w < 0 THEN -1 ELSE 1 END / sqrt(sum(v * v) OVER w), 6) + 0.0 AS x FROM v WINDOW w AS (PARTITION BY vec_id)")
+def _(spark, d):
+    """Two features by 32 lags: the lags of the nearest matrix of rank one, whose angle between the features is known in closed form."""
+    two = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.slice(F.col("embedding").cast("array<double>"), i * 32 + 1, 32))
+    rows = strf.trf(read(spark, d, "embeddings").select("vec_id", two.alias("STRF"))).select("vec_id", F.posexplode("TRF").alias("l", "x"))
+    return rows.withColumn("x", F.round("x", 6))
+
+
 @query("s13_usable_rows", "SELECT s_suppkey, s_nationkey, x FROM (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 4 = 1 THEN 'nan'::DOUBLE ELSE s_acctbal::DOUBLE END AS x FROM supplier) WHERE s_nationkey = 7 AND x IS NOT NULL AND NOT isnan(x)")
 def _(spark, d):
     k = F.col("s_suppkey")
