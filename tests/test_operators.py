@@ -428,3 +428,32 @@ def test_concatenated_digests_hold_no_series(spark):
     assert tables.digest_concatenated(df.limit(0), ["rep"], ["k"]).count() == 0
     placed = tables.concatenate_rows(df, ["rep"], ["k"])
     assert {tuple(r) for r in placed.where("g = 'A'").collect()} == {("A", x[2], x[0], i) for i, x in enumerate(ordered["A"])}
+
+
+def test_cochleagram_of_a_tone_and_of_silence(spark):
+    """A tone on a frequency of the spectrum has the same envelope at all times: its amplitude times each filter's gain there."""
+    n, sr, k = 1600, 16000, 100
+    bank, _, f = signal.erb_filters(n, sr, 8, 80, 6990)
+    tone = 0.5 * np.cos(2 * np.pi * k * np.arange(n) / n)
+    rows = spark.createDataFrame([(0, tone.tolist(), sr), (1, [0.0] * n, sr), (2, None, sr)], "id long, samples array<double>, sr int")
+    out = {r["id"]: r["c"] for r in signal.map_waveforms(rows, lambda x, r: signal.cochleagram(x, r, n=8, low=80, high=6990, compression=1.0), "c").collect()}
+    assert f[k] == 1000 and (bank[k, 1:-1] > 0).sum() >= 1
+    assert np.allclose(np.array(out[0]), np.tile(0.5 * np.abs(bank[k, 1:-1]), (10, 1)), atol=1e-9)
+    assert not np.any(out[1]) and out[2] is None
+
+
+def test_time_and_frequency_of_even_planes():
+    """Constant in time and linear in octaves: both survive, beyond the ends as well."""
+    f = np.array([100.0, 200.0, 400.0, 800.0])
+    x = np.tile(2 + 3 * np.log2(f), (16, 1))
+    to = np.array([50.0, 300.0, 1600.0])
+    assert np.allclose(signal.resample_time_and_freq(x, 8, 12, f, to), np.tile(2 + 3 * np.log2(to), (24, 1)))
+
+
+def test_rank_one_responses(spark):
+    lags = np.array([0.1, 0.9, -0.3, 0.2])
+    planes = [(0, np.outer([1.0, -2.0, 0.5], lags).tolist()), (1, np.outer([-1.0, 2.0, 0.5], -lags).tolist()), (2, None), (3, []), (4, [[1.0, None], [0.0, 1.0]]), (5, [[math.nan, 1.0]])]
+    out = {r["id"]: r["TRF"] for r in strf.trf(spark.createDataFrame(planes, "id long, STRF array<array<double>>")).collect()}
+    want = lags / np.linalg.norm(lags)
+    assert np.allclose(out[0], want) and np.allclose(out[1], want)
+    assert all(out[k] is None for k in (2, 3, 4, 5))
