@@ -264,7 +264,7 @@ class Decomposition:
 
 
 def decompose(r: np.ndarray, f: int, std: bool = True, demean: bool = True, blocks: Sequence[int] | None = None) -> Decomposition:
-    """Standardise by population deviation (1 where it is 0), balance blocks of features to equal Frobenius norm, and take the SVD. Signs: the largest loading is positive."""
+    """Standardise by population deviation (1 where it is 0), balance blocks of features to equal Frobenius norms that keep the whole one, and take the SVD. Signs: the largest loading is positive."""
     mx, my, xc, yc, n = centred(r, f)
     x, y = (xc, yc) if demean else (r[:, 1 : 1 + f], r[:, 1 + f :])
     norm = np.sqrt((xc**2).sum(0) / n) if std else np.ones(f)
@@ -272,8 +272,10 @@ def decompose(r: np.ndarray, f: int, std: bool = True, demean: bool = True, bloc
     x = x / norm
     if blocks is not None:
         blocks = np.asarray(blocks)
+        # penalties weigh against the whole norm, so it stays
+        share = np.linalg.norm(x) / np.sqrt(len(np.unique(blocks)))
         for b in np.unique(blocks):
-            size = np.sqrt((x[:, blocks == b] ** 2).sum())
+            size = np.linalg.norm(x[:, blocks == b]) / max(share, 1e-300)
             if size > 0:
                 x[:, blocks == b] /= size
                 norm[blocks == b] *= size

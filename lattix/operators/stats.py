@@ -72,11 +72,13 @@ def zscore_cells(df: DataFrame, column: str) -> DataFrame:
 
 
 def balance_groups(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
-    """Each group of feature columns scaled to Frobenius norm 1; an all-zero group stays."""
-    norms = df.agg(*(F.sqrt(F.sum(reduce(lambda a, b: a + b, (F.col(c) * F.col(c) for c in cols)))).alias(f"_g_{g}") for g, cols in groups.items()))
+    """Each group of feature columns scaled to the same Frobenius norm, the whole one over the root of the number of groups; an all-zero group stays."""
+    norms = df.agg(*(F.sqrt(F.sum(reduce(lambda a, b: a + b, (F.col(c) * F.col(c) for c in cols)))).alias(g) for g, cols in groups.items()))
+    share = F.sqrt(reduce(lambda a, b: a + b, (F.col(g) * F.col(g) for g in groups)) / len(groups))
+    sizes = norms.select(*(F.when(F.col(g) == 0, 1.0).otherwise(F.col(g) / share).alias(f"_g_{g}") for g in groups))
     home = {c: g for g, cols in groups.items() for c in cols}
-    rows = df.join(F.broadcast(norms))
-    return rows.select(*((F.col(c) / F.when(F.col(f"_g_{home[c]}") == 0, 1.0).otherwise(F.col(f"_g_{home[c]}"))).alias(c) if c in home else F.col(c) for c in df.columns))
+    rows = df.join(F.broadcast(sizes))  # one row
+    return rows.select(*((F.col(c) / F.col(f"_g_{home[c]}")).alias(c) if c in home else F.col(c) for c in df.columns))
 
 
 def usable_targets(df: DataFrame, target: str, y: str) -> DataFrame:

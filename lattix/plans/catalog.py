@@ -422,10 +422,11 @@ def _(spark, d):
     return e.select("vec_id", F.round(F.aggregate("e", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
-@query("a17_balance_groups", "WITH n AS (SELECT sqrt(sum(l_quantity * l_quantity + l_tax * l_tax)) AS a, sqrt(sum(l_discount * l_discount)) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(l_quantity / a, 9) AS l_quantity, round(l_tax / a, 9) AS l_tax, round(l_discount / b, 9) AS l_discount FROM lineitem, n")
+@query("a17_balance_groups", "WITH n AS (SELECT sqrt(sum(l_quantity * l_quantity + l_tax * l_tax)) AS a, sqrt(sum(l_discount * l_discount)) AS b FROM lineitem), s AS (SELECT a / sqrt((a * a + b * b) / 2) AS a, b / sqrt((a * a + b * b) / 2) AS b FROM n) SELECT l_orderkey, l_linenumber, round(l_quantity / a, 6) AS l_quantity, round(l_tax / a, 6) AS l_tax, round(l_discount / b, 6) AS l_discount FROM lineitem, s")
 def _(spark, d):
+    """Two groups of features, whose norms come to be equal while that of all stays."""
     x = stats.balance_groups(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount"), {"a": ["l_quantity", "l_tax"], "b": ["l_discount"]})
-    return x.select("l_orderkey", "l_linenumber", *(F.round(c, 9).alias(c) for c in ("l_quantity", "l_tax", "l_discount")))
+    return x.select("l_orderkey", "l_linenumber", *(F.round(c, 6).alias(c) for c in ("l_quantity", "l_tax", "l_discount")))
 
 
 @query("g1_subdivide", "SELECT *, ntile(7) OVER (ORDER BY event_id)::INT AS fold FROM events")
@@ -739,6 +740,14 @@ def _(spark, d):
     return out.select("l_orderkey", "l_partkey", "l_linenumber", F.round(F.get("y_hat", F.lit(0)), 3).alias("y_hat"))
 
 
+@query("m7_balanced_blocks", "WITH x AS (SELECT l_linenumber AS g, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_extendedprice::DOUBLE AS y FROM lineitem), s AS (SELECT g, count(*)::DOUBLE AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS by_ FROM x GROUP BY 1), o AS (SELECT s.g, sum(o.n) AS n, sum(o.a) AS a, sum(o.b) AS b, sum(o.y) AS y, sum(o.aa) AS aa, sum(o.bb) AS bb, sum(o.ab) AS ab, sum(o.ay) AS ay, sum(o.by_) AS by_ FROM s JOIN s o ON o.g <> s.g GROUP BY 1), c AS (SELECT g, a / n AS ma, b / n AS mb, y / n AS my, aa - a * a / n AS aa, bb - b * b / n AS bb, ab - a * b / n AS ab, ay - a * y / n AS ay, by_ - b * y / n AS by_ FROM o), f AS (SELECT *, (aa + bb) / 2 + 1000000 AS h, sqrt(2 * aa / (aa + bb)) AS fa, sqrt(2 * bb / (aa + bb)) AS fb FROM c), w AS (SELECT g, ma, mb, my, (h * ay / fa - ab / (fa * fb) * by_ / fb) / (h * h - pow(ab / (fa * fb), 2)) / fa AS wa, (h * by_ / fb - ab / (fa * fb) * ay / fa) / (h * h - pow(ab / (fa * fb), 2)) / fb AS wb FROM f) SELECT l_orderkey, l_partkey, l_linenumber, round(my + wa * (l_quantity - ma) + wb * (l_discount - mb), 2) AS y_hat FROM lineitem JOIN w ON g = l_linenumber")
+def _(spark, d):
+    """Predictions of each group by ridge weights of the others, on two blocks of features that are balanced first: discounts weigh as much as quantities."""
+    x = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount"))).alias("x"), F.array(F.col("l_extendedprice").cast("double")).alias("y"))
+    out = linear.fold_predictions(x, linear.group_factors(x, "l_linenumber"), "l_linenumber", "ridge", 1e6, std=False, blocks=[0, 1])
+    return out.select("l_orderkey", "l_partkey", "l_linenumber", F.round(F.get("y_hat", F.lit(0)), 2).alias("y_hat"))
+
+
 @query("a9_sorted_labels", "SELECT row_number() OVER (ORDER BY label) - 1 AS place, label FROM (SELECT DISTINCT event_type AS label FROM events)")
 def _(spark, d):
     labels = intervals.sorted_labels(read(spark, d, "events").select(F.col("event_type").alias("label")))

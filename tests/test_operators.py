@@ -457,3 +457,30 @@ def test_rank_one_responses(spark):
     want = lags / np.linalg.norm(lags)
     assert np.allclose(out[0], want) and np.allclose(out[1], want)
     assert all(out[k] is None for k in (2, 3, 4, 5))
+
+
+def test_balanced_blocks_keep_the_whole_norm(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 4)) * [1.0, 10.0, 100.0, 0.0] + [3.0, 0.0, -5.0, 0.0]
+    y = rng.normal(size=(40, 1))
+    blocks = [0, 0, 1, 2]
+    # rows, and the same by hand
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, a double, b double, c double, z double")
+    got = np.array([[r.a, r.b, r.c, r.z] for r in stats.balance_groups(df, {"one": ["a", "b"], "two": ["c"], "none": ["z"]}).orderBy("i").collect()])
+    share = np.linalg.norm(x) / math.sqrt(3)
+    assert np.allclose(got, x / np.array([*[np.linalg.norm(x[:, :2]) / share] * 2, np.linalg.norm(x[:, 2]) / share, 1.0]))
+    # weights of ridge on centred, balanced features
+    r = np.linalg.qr(np.column_stack([np.ones(40), x, y]), mode="r")
+    for std in (False, True):
+        c = x - x.mean(0)
+        c = c / np.where(c.std(0) == 0, 1, c.std(0)) if std else c
+        share = np.linalg.norm(c) / math.sqrt(3)
+        scale = np.array([*[np.linalg.norm(c[:, :2]) / share] * 2, np.linalg.norm(c[:, 2]) / share, 1.0])
+        b = c / scale
+        assert math.isclose(np.linalg.norm(b[:, :2]), np.linalg.norm(b[:, 2]))
+        w = np.linalg.solve(b.T @ b + 7.0 * np.eye(4), b.T @ (y - y.mean())) / scale[:, None]
+        w = w / np.where(x.std(0) == 0, 1, x.std(0))[:, None] if std else w
+        assert np.allclose(linear.regression_weights(linear.decompose(r, 4, std, True, blocks), "ridge", 7.0)[1:], w)
+    # one block is left as it is
+    whole, plain = linear.decompose(r, 4, False, True, [0] * 4), linear.decompose(r, 4, False)
+    assert np.allclose(whole.s, plain.s) and np.allclose(whole.norm, plain.norm)
