@@ -22,7 +22,11 @@ def bin_level(length: Column, bin_width: float) -> Column:
 
 
 def _binned(points: DataFrame, intervals: DataFrame, t: str, onset: str, offset: str, bin_width: float, keys: Sequence[str], how: str) -> DataFrame:
-    """Points, once for each level, with the intervals that hold them; a left join gives a row without an interval for each level that has none."""
+    """Points, once for each level, with the intervals that hold them; a left join gives a row without an interval for each level that has none.
+
+    Both sides are shuffled and sorted: the planner doesn't see how many rows an array or a sequence in the caller's plan makes of one, and
+    would broadcast intervals that no driver holds.
+    """
     spans = intervals.where(F.col(onset) <= F.col(offset)).withColumn("_level2", F.coalesce(bin_level(F.col(offset) - F.col(onset), bin_width), F.lit(0)))
     levels = sorted(r[0] for r in spans.select("_level2").distinct().collect()) or [0]  # as many as there are orders of magnitude
     width = F.lit(float(bin_width)) * F.pow(F.lit(float(LEVEL_STEP)), F.col("_level2"))
@@ -33,7 +37,7 @@ def _binned(points: DataFrame, intervals: DataFrame, t: str, onset: str, offset:
     on = (F.col("_level") == F.col("_level2")) & (F.col("_bin") == F.col("_bin2")) & F.col(t).between(F.col(onset), F.col(offset))
     for k in keys:
         on &= F.col(k) == F.col(f"_r_{k}")
-    return a.join(b, on, how).drop("_level", "_bin", *(f"_r_{k}" for k in keys))
+    return a.join(b.hint("merge"), on, how).drop("_level", "_bin", *(f"_r_{k}" for k in keys))
 
 
 def range_join(points: DataFrame, intervals: DataFrame, t: str, onset: str, offset: str, bin_width: float, keys: Sequence[str] = (), how: str = "inner") -> DataFrame:

@@ -484,3 +484,13 @@ def test_balanced_blocks_keep_the_whole_norm(spark):
     # one block is left as it is
     whole, plain = linear.decompose(r, 4, False, True, [0] * 4), linear.decompose(r, 4, False)
     assert np.allclose(whole.s, plain.s) and np.allclose(whole.norm, plain.norm)
+
+
+def test_interval_joins_broadcast_no_intervals(spark):
+    """A planner takes words that a sequence makes of few rows for few."""
+    p = spark.range(40).select(F.lit(1).alias("u"), F.col("id").alias("idx"), F.lit("a").alias("text"), F.col("id").cast("double").alias("onset"), (F.col("id") + 0.5).alias("offset"))
+    w = spark.range(1).select(F.lit(1).alias("u"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx"))
+    w = w.select("u", "idx", F.concat(F.lit("w"), F.col("idx").cast("string")).alias("text"), (F.col("idx") * 10.0).alias("onset"), (F.col("idx") * 10.0 + 11).alias("offset"))
+    out = intervals.containment_join(p, w, 10, ["u"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert column(out, "word_index", "phoneme_absolute_onset") == [0] * 11 + [1] * 10 + [2] * 10 + [3] * 9
