@@ -263,8 +263,15 @@ class Decomposition:
     rows: float
 
 
+def _signs(vt: np.ndarray) -> np.ndarray:
+    """1 or -1 for each component, by its largest loading; of loadings as large but for rounding, by the first."""
+    size = np.abs(vt)
+    first = (size >= size.max(1, initial=0, keepdims=True) * (1 - 1e-6)).argmax(1)
+    return np.where(vt[np.arange(len(vt)), first] < 0, -1.0, 1.0)
+
+
 def decompose(r: np.ndarray, f: int, std: bool = True, demean: bool = True, blocks: Sequence[int] | None = None) -> Decomposition:
-    """Standardise by population deviation (1 where it is 0), balance blocks of features to equal Frobenius norms that keep the whole one, and take the SVD. Signs: the largest loading is positive."""
+    """Standardise by population deviation (1 where it is 0), balance blocks of features to equal Frobenius norms that keep the whole one, and take the SVD. Signs: the largest loading is positive, of equal ones the first."""
     mx, my, xc, yc, n = centred(r, f)
     x, y = (xc, yc) if demean else (r[:, 1 : 1 + f], r[:, 1 + f :])
     norm = np.sqrt((xc**2).sum(0) / n) if std else np.ones(f)
@@ -280,8 +287,7 @@ def decompose(r: np.ndarray, f: int, std: bool = True, demean: bool = True, bloc
                 x[:, blocks == b] /= size
                 norm[blocks == b] *= size
     u, s, vt = np.linalg.svd(x, full_matrices=False)
-    sign = np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])
-    sign[sign == 0] = 1
+    sign = _signs(vt)
     return Decomposition(u * sign, s, vt * sign[:, None], mx if demean else np.zeros(f), norm, y, my if demean else np.zeros_like(my), n)
 
 

@@ -494,3 +494,13 @@ def test_interval_joins_broadcast_no_intervals(spark):
     out = intervals.containment_join(p, w, 10, ["u"])
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert column(out, "word_index", "phoneme_absolute_onset") == [0] * 11 + [1] * 10 + [2] * 10 + [3] * 9
+
+
+def test_signs_of_equal_loadings():
+    """The components of two standardised columns load both equally, whichever rounding makes the larger."""
+    for tilt in (-1e-12, 1e-12):
+        a, b = np.cos(np.pi / 4 + tilt), np.sin(np.pi / 4 + tilt)
+        x = np.array([[2 * a, 2 * b], [a, -b], [0, 0]])
+        r = np.concatenate([np.array([[2.0], [0], [0]]), np.concatenate([np.zeros((1, 2)), x[:2]]), np.zeros((3, 1))], 1)
+        vt = linear.decompose(r, 2, std=False).vt
+        assert (np.sign(vt) == [[1, 1], [1, -1]]).all()
