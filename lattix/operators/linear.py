@@ -378,8 +378,13 @@ def wide_pca(df: DataFrame, n_components: int, x: str = "x", std: bool = True, o
     r = thin_r(thin)
     u, s, _ = np.linalg.svd(r.T @ r)
     whiten = u[:, s > s.max(initial=0) * 1e-24] / np.sqrt(s[s > s.max(initial=0) * 1e-24])
-    u, s, vt = np.linalg.svd(gathered(thin @ whiten), full_matrices=False)
-    sign = np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])
+    inside = gathered(thin @ whiten)
+    if std and k == f:
+        # the range holds all of z, so these columns are as long as z's: sqrt(n). Nearly equal components turn with the rounding of sums.
+        size = np.linalg.norm(inside, axis=0)
+        inside = np.where(size > 0.5 * np.sqrt(n), inside * np.sqrt(n) / np.where(size > 0, size, 1), inside)
+    u, s, vt = np.linalg.svd(inside, full_matrices=False)
+    sign = _signs(vt)
     u, s, vt = (u * sign)[:, :n_components], s[:n_components], (vt * sign[:, None])[:n_components]
     d = Decomposition(u, s, vt, mean, norm, np.zeros((len(u), 1)), np.zeros(1), float(n))
     weights, shift = (vt / norm).T, (vt / norm) @ mean

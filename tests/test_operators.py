@@ -504,3 +504,11 @@ def test_signs_of_equal_loadings():
         r = np.concatenate([np.array([[2.0], [0], [0]]), np.concatenate([np.zeros((1, 2)), x[:2]]), np.zeros((3, 1))], 1)
         vt = linear.decompose(r, 2, std=False).vt
         assert (np.sign(vt) == [[1, 1], [1, -1]]).all()
+
+
+def test_wide_components_of_two_columns(spark):
+    """All pairs of 50 and 9 values, and one row that links the columns a little."""
+    x = spark.range(45_001).select(F.array(F.when(F.col("id") == 45_000, 50.0).otherwise(F.col("id") % 50 + 1.0), F.when(F.col("id") == 45_000, 0.08).otherwise(F.floor(F.col("id") / 50) % 9 / 100.0)).alias("x"))
+    for parts in (1, 2, 3, 5):
+        vt = linear.wide_pca(x.repartition(parts), 2)[1].vt
+        assert np.abs(vt * 2**0.5 - [[1, 1], [1, -1]]).max() < 1e-11
