@@ -512,3 +512,14 @@ def test_wide_components_of_two_columns(spark):
     for parts in (1, 2, 3, 5):
         vt = linear.wide_pca(x.repartition(parts), 2)[1].vt
         assert np.abs(vt * 2**0.5 - [[1, 1], [1, -1]]).max() < 1e-11
+
+
+def test_phones_as_csv_without_broadcast(spark, tmp_path):
+    """What io13_phones writes is joined by sort and merge too."""
+    from lattix.plans import catalog
+
+    rows = catalog._phones_in_words(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    files.write_rows(rows, f"{tmp_path}/phones")
+    back = spark.read.option("header", True).schema(rows.schema).csv(f"{tmp_path}/phones")
+    assert back.exceptAll(rows).isEmpty() and back.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
