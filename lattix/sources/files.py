@@ -6,9 +6,11 @@ import io
 import re
 import wave
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 
@@ -50,19 +52,35 @@ def textgrid_rows(value: str | None, tiers: set | None = None) -> Iterator[tuple
         found = _NAME.search(part)
         tier = found[1].replace('""', '"') if found else None
         if tiers is None or tier in tiers:
-            for k, (a, b, t) in enumerate(_INTERVAL.findall(part)):
-                yield tier, k, float(a), float(b), t.replace('""', '"')
+            for k, found in enumerate(_INTERVAL.finditer(part)):
+                yield tier, k, float(found[1]), float(found[2]), found[3].replace('""', '"')
 
 
-def parse_textgrids(files: DataFrame) -> DataFrame:
-    """(file, tier, idx, xmin, xmax, text) from (file, value) of long TextGrid texts."""
+#: Intervals that a task holds as rows at once.
+ROW_BLOCK = 1 << 13
+
+
+_GRID = {"file": pa.string(), "tier": pa.string(), "idx": pa.int32(), "xmin": pa.float64(), "xmax": pa.float64(), "text": pa.string()}
 
-    def work(batches):
-        for pdf in batches:
-            rows = [(name, *row) for name, value in zip(pdf["file"], pdf["value"], strict=True) for row in textgrid_rows(value)]
-            yield pd.DataFrame(rows, columns=["file", "tier", "idx", "xmin", "xmax", "text"])
 
-    return files.select("file", "value").mapInPandas(work, "file string, tier string, idx int, xmin double, xmax double, text string")
+def textgrid_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals of batches of (file, value), ROW_BLOCK of them at once: one text is held beside the batch that is read."""
+
+    def intervals(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for k in range(len(batch)):
+            name = batch.column(0)[k].as_py()
+            for row in textgrid_rows(batch.column(1)[k].as_py()):
+                yield name, *row
+
+    for batch in batches:
+        rows = intervals(batch)
+        while some := list(islice(rows, ROW_BLOCK)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some), _GRID.values(), strict=True)], names=list(_GRID))
+
+
+def parse_textgrids(files: DataFrame) -> DataFrame:
+    """(file, tier, idx, xmin, xmax, text) from (file, value) of long TextGrid texts."""
+    return files.select("file", "value").mapInArrow(textgrid_batches, "file string, tier string, idx int, xmin double, xmax double, text string")
 
 
 def read_textgrids(spark: SparkSession, path: str) -> DataFrame:

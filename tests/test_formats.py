@@ -6,6 +6,7 @@ import wave
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,13 @@ def test_names_and_modes(spark, tmp_path):
     assert spark.read.format("textgrid").load(str(empty)).count() == 0
     with pytest.raises(Exception):
         spark.read.format("wav").load(str(tmp_path / "missing")).count()
+
+
+def test_textgrids_are_parsed_in_blocks():
+    n = 2 * files.ROW_BLOCK + 5
+    body = "".join(f'        intervals [{k + 1}]:\n            xmin = {k}\n            xmax = {k + 1}\n            text = "a{k}"\n' for k in range(n))
+    text = f'item []:\n    item [1]:\n        class = "IntervalTier"\n        name = "words"\n{body}'
+    made = list(files.textgrid_batches([pa.RecordBatch.from_pydict({"file": ["f", "g", "h"], "value": [text, None, text]})]))
+    assert max(map(len, made)) <= files.ROW_BLOCK
+    rows = [tuple(r.values()) for b in made for r in b.to_pylist()]
+    assert rows == [(f, "words", k, float(k), float(k + 1), f"a{k}") for f in "fh" for k in range(n)]
