@@ -187,23 +187,42 @@ def layer_means(activations: DataFrame, activation: str = "activation", out: str
     return activations.withColumn(out, means).withColumn(out, F.when(top > 0, F.transform(F.col(out), lambda v: v / F.when(top > 0, top).otherwise(F.lit(1.0)))).otherwise(F.col(out)))
 
 
+#: Numbers of results that a task holds at once, about.
+RESULT_NUMBERS = 1 << 18
+
+
 def map_waveforms(df: DataFrame, fn: Callable[[np.ndarray, int], np.ndarray], out: str, kind: str = FEATURES, samples: str = "samples", sr: str = "sr") -> DataFrame:
     """``fn(samples, sr)`` for each row, a few rows at a time; null waveforms give null."""
 
     @F.pandas_udf(kind)
     def work(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, rate in batches:
-            def one(a, r):
-                if a is None:
-                    return None
-                first = a[0] if len(a) else 0.0
-                return fn(np.stack(a) if hasattr(first, "__len__") else np.asarray(a, float), int(r)).tolist()
-
-            yield pd.Series([one(a, r) for a, r in zip(x, rate, strict=True)])
+        return waveform_results(batches, fn)
 
     return df.withColumn(out, work(F.col(samples), F.col(sr)))
 
 
+def waveform_results(batches: Iterator[tuple[pd.Series, pd.Series]], fn: Callable[[np.ndarray, int], np.ndarray]) -> Iterator[pd.Series]:
+    """Results of batches of waveforms and rates, in parts of RESULT_NUMBERS numbers or one row: a result may be far larger than its waveform."""
+
+    def one(a, r) -> np.ndarray | None:
+        if a is None:
+            return None
+        first = a[0] if len(a) else 0.0
+        return fn(np.stack(a) if hasattr(first, "__len__") else np.asarray(a, float), int(r))
+
+    for x, rate in batches:
+        made, held = [], 0
+        for a, r in zip(x, rate, strict=True):
+            result = one(a, r)
+            made.append(None if result is None else result.tolist())
+            held += 1 if result is None else max(1, result.size)
+            if held >= RESULT_NUMBERS:
+                yield pd.Series(made)
+                made, held = [], 0
+        if made:
+            yield pd.Series(made)
+
+
 def layer_activations(df: DataFrame, load: Callable[[], Callable[[np.ndarray, int], Sequence[np.ndarray]]], path: str = "path", samples: str = "samples", sr: str = "sr", hop: int = 320) -> DataFrame:
     """One row per (path, layer): path, layer, time_stamp, activation. ``load`` returns, once per task, a function from a waveform to its layers' activations; network weights are the caller's."""
 

@@ -523,3 +523,15 @@ def test_phones_as_csv_without_broadcast(spark, tmp_path):
     files.write_rows(rows, f"{tmp_path}/phones")
     back = spark.read.option("header", True).schema(rows.schema).csv(f"{tmp_path}/phones")
     assert back.exceptAll(rows).isEmpty() and back.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_waveforms_give_results_in_parts():
+    """100 waveforms of a batch, of which two results are as many numbers as a task holds at once."""
+    import pandas as pd
+
+    wide = signal.RESULT_NUMBERS // 2
+    x = pd.Series([None if k == 50 else np.full(4, float(k)) for k in range(100)])
+    made = list(signal.waveform_results([(x, pd.Series([8] * 100))], lambda a, r: np.full((2, wide // 2), a[0] + r)))
+    assert max(map(len, made)) <= 3
+    rows = [v for s in made for v in s]
+    assert len(rows) == 100 and rows[50] is None and all(v[1][-1] == k + 8 for k, v in enumerate(rows) if k != 50)
