@@ -315,16 +315,14 @@ def align_time(df: DataFrame, keys: Sequence[str], t_new: Sequence[float], t: st
             out.loc[part.index, "_b1"] = np.minimum(made - 1, (at + half) // down) // block
         return out
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        n, start, end, k = (pdf[c].iloc[0] for c in (*own, "_block"))
-        n, k = int(n), int(k)
-        f_new, up, down, made = plan(n, start, end)
+    def one(place: np.ndarray, times: np.ndarray, x: np.ndarray, start: float, end: float, k: int, n: int, how: tuple[float, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(times, samples) of block k, from its samples in their order."""
+        f_new, up, down, made = how
         first, stop = k * block, min((k + 1) * block, made)
         last = min(stop + 1, made)  # the next block's first sample ends the last stretch
-        begin, x = int(pdf["_at"].iloc[0]), np.stack(pdf[features].to_numpy()).astype(float)
+        begin = int(place[0])
         y = resample_part(x, begin, n, up, down, first, last)
-        at = np.round(np.arange(first, last) / f_new + start, 8) if resample_first else np.round(pdf[t].to_numpy(float)[first - begin : last - begin], 8)
+        at = np.round(np.arange(first, last) / f_new + start, 8) if resample_first else np.round(times[first - begin : last - begin], 8)
         final = round((made - 1) / f_new + start, 8) if resample_first else round(end, 8)
         if first == 0:
             before = max(0, math.ceil(round((at[0] - fresh[0]) * f_new, 8)))
@@ -340,7 +338,33 @@ def align_time(df: DataFrame, keys: Sequence[str], t_new: Sequence[float], t: st
             high = np.inf if stop == made else at[-1]
             some = fresh[(fresh >= low) & (fresh < high)]
             y, at = np.stack([np.interp(some, at, c) for c in y.T], 1), some
-        return pd.DataFrame({**{k: pd.Series([pdf[k].iloc[0]] * len(at), dtype=object) for k in keys}, t: at, features: pd.Series(list(y), dtype=object)})
+        return at, y
+
+    def aligned(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """Whole blocks, one after another."""
+        flags, sizes = rows.column("_first").to_numpy(zero_copy_only=False), np.diff(rows.column("_x").offsets.to_numpy())
+        if rows.column("_x").null_count or (sizes != sizes[0]).any():
+            raise ValueError("rows differ in their number of features")
+        x = rows.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        place, times, n, start, end, k = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_at", "_t", *own, "_block"))
+        edges = [*np.flatnonzero(flags).tolist(), len(rows)]
+        plans = {u: plan(*u) for u in {(int(n[a]), float(start[a]), float(end[a])) for a in edges[:-1]}}
+        made = [one(place[a:b], times[a:b], x[a:b], float(start[a]), float(end[a]), int(k[a]), int(n[a]), plans[int(n[a]), float(start[a]), float(end[a])]) for a, b in zip(edges, edges[1:])]
+        at, y = (np.concatenate(v) for v in zip(*made))
+        of = pa.array(np.repeat(edges[:-1], [len(v) for v, _ in made]))
+        values = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+        return pa.RecordBatch.from_arrays([*(rows.column(c).take(of) for c in keys), pa.array(at), values], names=[*keys, t, features])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            last = int(np.flatnonzero(held.column("_first").to_numpy(zero_copy_only=False))[-1])  # its block may go on
+            if last:
+                yield aligned(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield aligned(held)
 
     on = F.lit(True)
     for i, k in enumerate(keys):
@@ -350,7 +374,9 @@ def align_time(df: DataFrame, keys: Sequence[str], t_new: Sequence[float], t: st
     reach = F.pandas_udf(lambda at, n, a, b: deal(pd.DataFrame({"_at": at, "_n": n, "_from": a, "_to": b})), "_b0 long, _b1 long")
     dealt = placed.withColumn("_r", reach("_at", *own)).where("_r._b0 <= _r._b1").withColumn("_block", F.explode(F.sequence("_r._b0", "_r._b1"))).drop("_r")
     kinds = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), f"`{t}` double", f"`{features}` array<double>"])
-    return dealt.groupBy(*keys, "_block").applyInPandas(one, kinds)
+    first = (F.row_number().over(_series([*keys, "_block"], ["_at"])) == 1).alias("_first")
+    # a task streams through its blocks: calls for each of many short series would cost more than they do
+    return dealt.select(*keys, "_at", "_block", *own, F.col(t).cast("double").alias("_t"), F.col(features).cast("array<double>").alias("_x"), first).mapInArrow(stream, kinds)
 
 
 def regular_times(f_new: float, t_start: float, t_stop: float) -> np.ndarray:

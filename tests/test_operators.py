@@ -535,3 +535,19 @@ def test_waveforms_give_results_in_parts():
     assert max(map(len, made)) <= 3
     rows = [v for s in made for v in s]
     assert len(rows) == 100 and rows[50] is None and all(v[1][-1] == k + 8 for k, v in enumerate(rows) if k != 50)
+
+
+def test_alignment_streams_through_blocks(spark):
+    """Many short series in one stream, whose batches end within blocks."""
+    df = spark.range(30).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"), "id")
+    df = df.select("k", (F.col("i") / 2).alias("t"), F.array(F.col("id") * 100.0 + F.col("i"), F.lit(1.0)).alias("features"))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in (7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            out = timeseries.align_time(df, ["k"], [0.25, 3.0, 8.75], resample_first=False, block=6)
+            assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+            got = {(r.k, r.t): r.features for r in out.collect()}
+            assert got == {(f"s{k}", t): [k * 100 + 2 * t, 1.0] for k in range(30) for t in (0.25, 3.0, 8.75)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
