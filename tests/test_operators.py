@@ -562,3 +562,12 @@ def test_digests_are_summed_as_longs(spark):
     assert "sum(cast(conv" not in out._jdf.queryExecution().optimizedPlan().toString()
     want = {g: str(sum(int(hashlib.md5(f"{i}:{(2 * i + g) % 13}".encode()).hexdigest()[:15], 16) for i in range(1500))) for g in (0, 1)}
     assert {r.g: r.data for r in out.collect()} == want and all(int(v) > 1 << 63 for v in want.values())
+
+
+def test_words_of_users_are_many_tasks(spark):
+    """Adaptive execution sees 15 users, not the 15,000 words that are made of them."""
+    from lattix.plans import catalog
+
+    words = catalog._words_of_users(spark, spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    tasks = words.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 15_000
